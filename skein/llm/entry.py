@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, linededup, mixing, sharding
 from .common import table
 
 
@@ -11,6 +11,27 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.find_contamination(docs, items))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
+def op2_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE}
+
+def op4_sharding(spark, sf_dir):
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
+
+
+def op5_linededup(spark, sf_dir):
+    return linededup.digest(linededup.drop_templates(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_mixing": op2_mixing,
+    "op4_sharding": op4_sharding,
+    "op5_linededup": op5_linededup,
+}
+
+ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op2_mixing": mixing.ORACLE,
+    "op5_linededup": linededup.ORACLE,
+}
