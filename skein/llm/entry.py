@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, mixing, sharding
+from . import decontaminate, langid, linededup, mixing, pii, sharding
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op3_pii(spark, sf_dir):
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
@@ -23,11 +27,18 @@ def op5_linededup(spark, sf_dir):
     return linededup.digest(linededup.drop_templates(table(spark, sf_dir, "documents")))
 
 
+def op6_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mixing": op2_mixing,
+    "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
     "op5_linededup": op5_linededup,
+    "op6_langid": op6_langid,
 }
 
 ORACLES = {
