@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, linededup, mixing, pii, sharding
+from . import ann, chat, decontaminate, langid, linededup, mixing, pii, sharding, tokencount
 from .common import table
 
 
@@ -32,6 +32,20 @@ def op6_langid(spark, sf_dir):
     return langid.identify(docs, langid.fit(docs))
 
 
+def op8_tokencount(spark, sf_dir):
+    import public_tokenizers
+
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_ann(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_chat(spark, sf_dir):
+    return chat.digest(chat.records(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mixing": op2_mixing,
@@ -39,10 +53,14 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_linededup": op5_linededup,
     "op6_langid": op6_langid,
+    "op8_tokencount": op8_tokencount,
+    "op9_ann": op9_ann,
+    "op10_chat": op10_chat,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_mixing": mixing.ORACLE,
     "op5_linededup": linededup.ORACLE,
+    "op10_chat": chat.ORACLE,
 }
