@@ -8,8 +8,9 @@ are visited in the order they leave the queue. How many is calibrated: for some
 queries the true neighbours are found by brute force, and the number of leaves
 is widened until the wanted share of them is reached.
 
-A query's k-th best product within the sample is a lower bound of its true k-th
-best, so tiles return only candidates at or above it: nothing is lost by that.
+A query's k best vectors of the sample are candidates wherever they are filed;
+the k-th of them is a lower bound of its true k-th best, so tiles return only
+candidates at or above it: nothing is lost by that.
 """
 
 from __future__ import annotations
@@ -98,10 +99,13 @@ class Tree:
                 heapq.heappush(queue, (-product[child], child))
         return out
 
-    def floor(self, query: np.ndarray, own: int, k: int) -> float:
-        """The k-th best product among the sample's other vectors."""
-        product = (self.sample @ query)[self.ids != own]
-        return -np.inf if len(product) < k else float(np.partition(product, len(product) - k)[len(product) - k])
+    def near(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and products of the sample's ``k`` best other vectors."""
+        product = self.sample @ query
+        product[self.ids == own] = -np.inf
+        best = _best(self.ids, product, k)
+        best = best[self.ids[best] != own]
+        return self.ids[best], (self.sample[best] * query).sum(axis=1)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -199,8 +203,12 @@ def _walker(tree, k):
                 part = batch.slice(row, 64)
                 points, ids = _matrix(part.column(1)), part.column(0).to_numpy()
                 leaves = [t.walk(x, t.visits) for x in points]
-                floors = [t.floor(x, i, k) for x, i in zip(points, ids)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(floors, pa.float64()), pa.array(leaves, pa.list_(pa.int32()))], ["query_id", "query", "floor", "leaves"])
+                known, products = zip(*[t.near(x, i, k) for x, i in zip(points, ids)])
+                floors = [p.min() if len(p) >= k else -np.inf for p in products]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(floors, pa.float64()), pa.array(leaves, pa.list_(pa.int32())), pa.array(known, pa.list_(pa.int64())), pa.array(products, pa.list_(pa.float64()))],
+                    ["query_id", "query", "floor", "leaves", "known", "products"],
+                )
 
     return run
 
@@ -247,8 +255,10 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = K, tile_rows: int =
     filed = cut(rows.mapInArrow(_filer(sent), "vec_id bigint, embedding array<double>, leaf int"))
     calibrate(tree, filed, recall=recall, k=k)
     sent = spark.sparkContext.broadcast(tree)
-    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(_walker(sent, k), "query_id bigint, query array<double>, floor double, leaves array<int>")
-    visits = cut(queries).withColumn("leaf", F.explode("leaves")).drop("leaves")
+    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(_walker(sent, k), "query_id bigint, query array<double>, floor double, leaves array<int>, known array<bigint>, products array<double>")
+    queries = cut(queries)
+    visits = queries.select("query_id", "query", "floor", F.explode("leaves").alias("leaf"))
+    sampled = queries.select("query_id", F.explode(F.arrays_zip("known", "products")).alias("x")).select("query_id", F.col("x.known").alias("vec_id"), F.col("x.products").alias("score"))
     # Tiles of both sides; the counts are one row a leaf, at most LEAVES.
     tiles = {r["leaf"]: max(1, -(-r["n"] // tile_rows)) for r in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     asked = {r["leaf"]: max(1, -(-r["n"] // tile_rows)) for r in visits.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
@@ -266,5 +276,6 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = K, tile_rows: int =
     right = dealt(filed, "vec_id", "tile", tiles, "part", asked)
     key = ["leaf", "tile", "part"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_scorer(k), "query_id bigint, vec_id bigint, score double")
+    found = found.unionByName(sampled).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

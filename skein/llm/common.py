@@ -7,17 +7,14 @@ code-point-level split.
 
 from __future__ import annotations
 
-import os
-import sys
-import tempfile
 import uuid
 
 import numpy as np
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-# Executors need not have the package: functions travel by value.
-cloudpickle.register_pickle_by_value(sys.modules[__package__])
+from skein.session import cut, shared_dir
+
+__all__ = ["cut", "shared_dir"]
 
 #: Fixed odd multiplier of the rolling word hash and its inverse mod 2**64.
 _R = 0x9E3779B97F4A7C13
@@ -31,30 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only when the setting is absent (local tests) a temporary folder is used.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        path = tempfile.mkdtemp(prefix="skein-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, langid, linededup, mixing, pii, sharding, tokencount
+from . import ann, chat, decontaminate, jaccard, langid, linededup, mixing, pii, sharding, tokencount
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_langid(spark, sf_dir):
     return langid.identify(docs, langid.fit(docs))
 
 
+def op7_jaccard(spark, sf_dir):
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def op8_tokencount(spark, sf_dir):
     import public_tokenizers
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_linededup": op5_linededup,
     "op6_langid": op6_langid,
+    "op7_jaccard": op7_jaccard,
     "op8_tokencount": op8_tokencount,
     "op9_ann": op9_ann,
     "op10_chat": op10_chat,
@@ -62,5 +67,6 @@ ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_mixing": mixing.ORACLE,
     "op5_linededup": linededup.ORACLE,
+    "op7_jaccard": jaccard.ORACLE,
     "op10_chat": chat.ORACLE,
 }
