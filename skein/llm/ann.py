@@ -135,12 +135,15 @@ def _best(ids, scores, k):
 
 
 def build(rows: DataFrame, *, sample: int = SAMPLE, **options) -> Tree | None:
-    """Fit a tree to a sample of about ``sample`` rows, chosen by hash of the id."""
+    """Fit a tree to a sample of the rows, chosen by hash of the id.
+
+    About a quarter of them, a thousand at least and ``sample`` at most.
+    """
     sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
         return None
     dimensions, n = sizes[0]
-    part = min(1.0, sample / n)
+    part = min(1.0, min(sample, max(1000, n // 4)) / n)
     some = rows.filter((F.size("embedding") == dimensions) & (F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30)) + 1))
     table = some.toArrow().sort_by("vec_id")
     if not len(table):
