@@ -12,15 +12,16 @@ documents link when the sets' Jaccard similarity reaches ``threshold``.
    The global order is by frequency class, rarest first, then hash. A class of
    which less than the needed share occurs elsewhere is out; the others post
    their prefix.
-4. Candidates: holders of the same prefix n-gram form a star round the smallest
-   of them (first within a batch, then over all), linear in their number. Stars
-   are verified by a trie: the member sets, most frequent n-gram first, share the
+4. Candidates: holders of the same prefix n-gram form a star round the one with
+   the smallest share of n-grams of its own (first within a batch, then over all);
+   each holder keeps its most frequent centre. Stars are verified by a trie: the member sets, most frequent n-gram first, share the
    path of what they have in common, the centre's set descends once with partial
    overlaps, and subtrees whose remaining length cannot reach the needed overlap
    are pruned.
 5. Links give components. Where holders of an n-gram are still in different
-   components, all their pairs across components that pass the length bound are
-   verified the same way. Pairs within a component need no check: they cannot
+   components, all their pairs across components are verified the same way that
+   lengths and positions allow (nothing before the first common n-gram is common,
+   which bounds the overlap by what follows it). Pairs within a component need no check: they cannot
    change the groups. So no link that matters is lost and no group is expanded
    into all its pairs.
 """
@@ -98,39 +99,72 @@ def _describe(n):
     return run
 
 
-POSTED = "pid int, hashes binary, owners binary, ids binary, extra binary"
+#: Postings: for each document of a map batch, the stretch of its sorted set that
+#: falls into one part of the hash range. Hashes are cut into 32 + 16 + 16 bits.
+POSTED = "pid int, ids binary, starts binary, counts binary, a binary, b binary, c binary, rank binary"
+_POSTED = [("pid", pa.int32()), *((n, pa.binary()) for n in ("ids", "starts", "counts", "a", "b", "c", "rank"))]
 
 
-def _pack(hashes, owners, ids, parts, extra=None) -> Iterator[pa.RecordBatch]:
-    """One row a part of the hash range: postings sorted by hash.
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
-    ``owners`` index ``ids``; ``extra`` is a 32-bit number a posting.
-    """
-    order = np.argsort(hashes, kind="stable")
-    hashes, owners = hashes[order], owners[order]
-    extra = None if extra is None else extra[order]
-    pid = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    edges = np.searchsorted(pid, np.arange(parts + 1, dtype=np.uint64))
-    rows = []
-    for p, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-        if a < b:
-            own, index = np.unique(owners[a:b], return_inverse=True)
-            rows.append((p, hashes[a:b].tobytes(), index.astype(np.uint32 if len(own) > 65_535 else np.uint16).tobytes(), ids[own].tobytes(), None if extra is None else extra[a:b].astype(np.uint32).tobytes()))
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], ["pid", "hashes", "owners", "ids", "extra"])
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _POSTED)], [n for n, _ in _POSTED])
+
+
+def _pack(sets: list[np.ndarray], ids: np.ndarray, parts: int, *, short: bool) -> Iterator[pa.RecordBatch]:
+    """One row a part of the hash range; ``short`` leaves out the last 16 bits."""
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+    if not len(flat):
+        return
+    owner, pid = np.repeat(np.arange(len(sets)), sizes), _part(flat, parts)
+    edge = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (pid[1:] != pid[:-1])))
+    counts, first = np.diff(np.append(edge, len(flat))), (np.cumsum(sizes) - sizes)[owner[edge]]
+    yield from _pack_stretches(pid[edge].astype(np.int64), ids[owner[edge]], edge - first, counts, edge, flat, None, short)
+
+
+def _pack_stretches(pid, ids, starts, counts, at, hashes, rank, short: bool) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(pid, kind="stable")
+    pid, ids, starts, counts, at = pid[order], ids[order], starts[order], counts[order], at[order]
+    take = np.repeat(at - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    hashes = hashes[take]
+    rank = None if rank is None else rank[take]
+    ends, rows = np.cumsum(counts), []
+    edge = np.append(np.flatnonzero(np.append(True, pid[1:] != pid[:-1])), len(pid))
+    for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        h = hashes[ends[x] - counts[x] : ends[y - 1]]
+        a, b, c = (h >> np.uint64(32)).astype(np.uint32), (h >> np.uint64(16)).astype(np.uint16), None if short else h.astype(np.uint16).tobytes()
+        r = None if rank is None else rank[ends[x] - counts[x] : ends[y - 1]].tobytes()
+        rows.append((int(pid[x]), ids[x:y].tobytes(), starts[x:y].astype(np.uint32).tobytes(), counts[x:y].astype(np.uint32).tobytes(), a.tobytes(), b.tobytes(), c, r))
+    yield _batch(rows)
+
+
+def _gather(batches):
+    """All stretches of a part: ids, starts, counts, and their hashes and ranks."""
+    rows = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(1, 8)))]
+    if not rows:
+        return None
+    read = lambda i, kind: np.frombuffer(b"".join(r[i] for r in rows), dtype=kind)
+    hashes = (read(3, np.uint32).astype(np.uint64) << np.uint64(32)) | (read(4, np.uint16).astype(np.uint64) << np.uint64(16))
+    if rows[0][5] is not None:
+        hashes |= read(5, np.uint16).astype(np.uint64)
+    return read(0, np.int64), read(1, np.uint32).astype(np.int64), read(2, np.uint32).astype(np.int64), hashes, None if rows[0][6] is None else read(6, np.uint8)
 
 
-def _unpack(batch: pa.RecordBatch):
-    """(hashes, owner ids, extra) of each packed row."""
-    for _, hashes, owners, ids, extra in zip(*(batch.column(i).to_pylist() for i in range(5))):
-        hashes, ids = np.frombuffer(hashes, dtype=np.uint64), np.frombuffer(ids, dtype=np.int64)
-        index = np.frombuffer(owners, dtype=np.uint16 if len(owners) == 2 * len(hashes) else np.uint32)
-        yield hashes, ids[index], None if extra is None else np.frombuffer(extra, dtype=np.uint32)
+def _times(hashes: np.ndarray) -> np.ndarray:
+    """How often each posting's hash occurs."""
+    order = np.argsort(hashes, kind="stable")
+    edge = np.flatnonzero(np.append(True, hashes[order][1:] != hashes[order][:-1]))
+    n = np.diff(np.append(edge, len(hashes)))
+    out = np.empty(len(hashes), dtype=np.int64)
+    out[order] = np.repeat(n, n)
+    return out
 
 
-def _flat(sets: list[np.ndarray]):
-    owners = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
-    return (np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)), owners
+def _target(ids: np.ndarray, parts: int) -> np.ndarray:
+    return _part(mix64(ids.view(np.uint64)), parts).astype(np.int64)
 
 
 def _post_support(n, t, parts):
@@ -143,169 +177,200 @@ def _post_support(n, t, parts):
                 for s in shingle_sets(texts, hasher, n):
                     if len(s) and (digest := _digest(s)) not in seen:
                         seen.add(digest)
-                        prefix = s[: len(s) - needed(len(s), t) + int(_slack(len(s)))].copy()
-                        held.append(prefix)
+                        held.append(s[: len(s) - needed(len(s), t) + int(_slack(len(s)))].copy())
                         ids.append(_class_id(digest))
-                        size += len(prefix)
-                if size > 1 << 19:
-                    yield from _pack(*_flat(held), np.array(ids, dtype=np.int64), parts)
+                        size += len(held[-1])
+                if size > 1 << 20:
+                    yield from _pack(held, np.array(ids, dtype=np.int64), parts, short=True)
                     held, ids, size = [], [], 0
         if held:
-            yield from _pack(*_flat(held), np.array(ids, dtype=np.int64), parts)
+            yield from _pack(held, np.array(ids, dtype=np.int64), parts, short=True)
 
     return run
 
 
-def _gather(batches):
-    """All postings of a part, sorted by hash: hashes, ids, extra, run starts."""
-    rows = [x for batch in batches for x in _unpack(batch)]
-    if not rows:
-        return None
-    hashes, ids = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    extra = None if rows[0][2] is None else np.concatenate([r[2] for r in rows])
-    del rows
-    order = np.argsort(hashes, kind="stable")
-    hashes = hashes[order]
-    edge = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-    return hashes, ids[order], None if extra is None else extra[order], edge
+COUNTED = "pid int, ids binary, counts binary"
 
 
-def _count_support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_support(parts):
     """Step 2, reduce side: for each class, its n-grams that others sent too."""
-    got = _gather(batches)
-    if got is not None:
-        hashes, ids, _, edge = got
-        times = np.diff(np.append(edge, len(hashes)))
-        own, n = np.unique(ids[np.repeat(times > 1, times)], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n.astype(np.int64))], ["class_id", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _gather(batches)
+        if got is None:
+            return
+        ids, _, counts, hashes, _ = got
+        shared = np.add.reduceat((_times(hashes) > 1).astype(np.int64), np.cumsum(counts) - counts)
+        own, where = np.unique(ids, return_inverse=True)
+        total = np.bincount(where, weights=shared).astype(np.uint32)
+        own, total = own[total > 0], total[total > 0]
+        target = _target(own, parts)
+        order = np.argsort(target, kind="stable")
+        edge = np.searchsorted(target[order], np.arange(parts + 1))
+        rows = [(p, own[order[x:y]].tobytes(), total[order[x:y]].tobytes()) for p, (x, y) in enumerate(zip(edge[:-1], edge[1:])) if x < y]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["pid", "ids", "counts"])
+
+    return run
+
+
+def _sum_support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for batch in batches for r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+    if rows:
+        own, where = np.unique(np.frombuffer(b"".join(r[0] for r in rows), dtype=np.int64), return_inverse=True)
+        total = np.bincount(where, weights=np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint32))
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total.astype(np.int64))], ["class_id", "shared"])
 
 
-def _set_rows(n):
-    """Step 3: the sets of fetched texts."""
+def _post_all(n, parts):
+    """Step 3, map side: the whole sets of fetched texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             for first, texts in text_groups(batch.column(1)):
-                sets = shingle_sets(texts, hasher, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "grams"])
+                ids = batch.column(0).slice(first, len(texts)).to_numpy()
+                yield from _pack(shingle_sets(texts, hasher, n), ids, parts, short=False)
 
     return run
 
 
-def _post_all(parts):
+def _rank(parts):
+    """Step 3, reduce side: frequency classes, sent on to the sets' parts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                sets = [np.frombuffer(x, dtype=np.uint64) for x in part.column(1).to_pylist()]
-                hashes, owners = _flat(sets)
-                at = np.concatenate([np.arange(len(s), dtype=np.uint32) for s in sets]) if sets else np.empty(0, dtype=np.uint32)
-                yield from _pack(hashes, owners, part.column(0).to_numpy(), parts, at)
+        got = _gather(batches)
+        if got is not None:
+            ids, starts, counts, hashes, _ = got
+            times = _times(hashes)
+            rank = np.where(times > 1, np.ceil(np.log2(times)), 0).astype(np.uint8)
+            yield from _pack_stretches(_target(ids, parts), ids, starts, counts, np.cumsum(counts) - counts, hashes, rank, False)
 
     return run
 
 
-def _frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3: for each set, positions and frequency classes of its shared n-grams."""
-    got = _gather(batches)
-    if got is not None:
-        hashes, ids, at, edge = got
-        times = np.diff(np.append(edge, len(hashes)))
-        rank = np.repeat(np.where(times > 1, np.ceil(np.log2(times)), 0).astype(np.uint8), times)
-        on = rank > 0
-        ids, at, rank = ids[on], at[on], rank[on]
-        order = np.argsort(ids, kind="stable")
-        ids, at, rank = ids[order], at[order], rank[order]
-        edge = np.append(np.flatnonzero(np.append(True, ids[1:] != ids[:-1])), len(ids)) if len(ids) else np.array([0])
-        for low in range(0, len(edge) - 1, 10_000):
-            pairs = list(zip(edge[low : low + 10_000].tolist(), edge[low + 1 : low + 10_001].tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[[a for a, _ in pairs]]), pa.array([at[a:b].tobytes() for a, b in pairs], pa.binary()), pa.array([rank[a:b].tobytes() for a, b in pairs], pa.binary())], ["id", "at", "rank"]
-            )
+ORDERED = "id bigint, n bigint, alone bigint, grams binary, prefix binary, at binary"
 
 
 def _order(t):
-    """Step 3: order each set, drop sets without support.
+    """Step 3: put the sets together again, ordered; drop those without support.
 
-    ``grams`` becomes the set, most frequent n-gram first (the trie's order);
-    ``prefix`` the shared n-grams of the prefix, whose order is the reverse.
+    ``grams`` is the set, most frequent n-gram first (the trie's order), ``alone``
+    its number of n-grams that occur nowhere else; ``prefix`` the others within
+    the prefix of the reverse order and ``at`` their positions in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for id_, grams, at, rank in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                grams = np.frombuffer(grams, dtype=np.uint64)
-                ranks = np.zeros(len(grams), dtype=np.uint8)
-                for a, r in zip(at or (), rank or ()):
-                    ranks[np.frombuffer(a, dtype=np.uint32)] = np.frombuffer(r, dtype=np.uint8)
-                least = needed(len(grams), t)
-                if np.count_nonzero(ranks) < least:
-                    continue
-                order = np.lexsort((grams, ranks))
-                prefix = order[: len(grams) - least + 1]
-                out.append((id_, len(grams), grams[order[::-1]].tobytes(), grams[prefix[ranks[prefix] > 0]].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["id", "n", "grams", "prefix"])
+        got = _gather(batches)
+        if got is None:
+            return
+        ids, starts, counts, hashes, ranks = got
+        at, order = np.cumsum(counts) - counts, np.lexsort((starts, ids))
+        edge = np.append(np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1])), len(order))
+        out = []
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            own = order[x:y]
+            take = np.concatenate([np.arange(at[i], at[i] + counts[i]) for i in own])
+            grams, first = np.unique(hashes[take], return_index=True)  # a repeated row sends its set twice
+            rank = ranks[take][first]
+            least, shared = needed(len(grams), t), int(np.count_nonzero(rank))
+            if shared < least:
+                continue
+            ascending = np.lexsort((grams, rank))
+            prefix = np.arange(len(grams) - shared, len(grams) - least + 1, dtype=np.uint32)
+            out.append((int(ids[own[0]]), len(grams), len(grams) - shared, grams[ascending[::-1]].tobytes(), grams[ascending[prefix]].tobytes(), prefix.tobytes()))
+            if len(out) == 500:
+                yield _ordered_batch(out)
+                out = []
+        if out:
+            yield _ordered_batch(out)
 
     return run
 
 
-def _stars(parts):
-    """Step 4, map side: stars within a batch; the centres are posted (pid >= 0).
+def _ordered_batch(rows):
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "n", "alone", "grams", "prefix", "at"])
+
 
-    Edges come as rows of pid -1: ``owners`` centres, ``ids`` members.
+STARRED = "pid int, hashes binary, ids binary, n binary, at binary, score binary"
+
+
+def _stars(t, parts):
+    """Step 4, map side: stars within a batch; the centres are posted on.
+
+    Edges come as rows of pid -1: ``ids`` centres, ``hashes`` members, ``n`` the
+    number of prefix n-grams behind each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 4000):
                 part = batch.slice(low, 4000)
-                ids = part.column(0).to_numpy()
-                hashes, owners = _flat([np.frombuffer(x, dtype=np.uint64) for x in part.column(1).to_pylist()])
+                grams = [np.frombuffer(x, dtype=np.uint64) for x in part.column(3).to_pylist()]
+                at = np.frombuffer(b"".join(part.column(4).to_pylist()), dtype=np.uint32).astype(np.int64)
+                own = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+                ids, n, alone = (part.column(i).to_numpy()[own] for i in range(3))
+                hashes = np.concatenate(grams)
                 if not len(hashes):
                     continue
-                centres, members, first = _star(hashes, ids[owners])
-                yield _edge_row(centres, members)
-                yield from _pack_ids(first, parts)
+                edges, first = _star(hashes, ids, n, at, (alone << 16) // n, t)
+                rows = [(-1, edges[1].tobytes(), edges[0].tobytes(), edges[2].tobytes(), None, None)] if len(edges[0]) else []
+                columns = [x[first] for x in (hashes, ids, n, at, (alone << 16) // n)]
+                pid = _part(columns[0], parts).astype(np.int64)
+                order = np.argsort(pid, kind="stable")
+                edge = np.searchsorted(pid[order], np.arange(parts + 1))
+                for p, (x, y) in enumerate(zip(edge[:-1], edge[1:])):
+                    if x < y:
+                        rows.append((p, *(c[order[x:y]].astype(k).tobytes() for c, k in zip(columns, (np.uint64, np.int64, np.uint32, np.uint32, np.uint32)))))
+                kinds = (pa.int32(), *[pa.binary()] * 5)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["pid", "hashes", "ids", "n", "at", "score"])
 
     return run
 
 
-def _star(hashes, ids):
-    """Edges (least id of each hash, other id), distinct; and (hash, least id)."""
-    order = np.lexsort((ids, hashes))
-    hashes, ids = hashes[order], ids[order]
-    edge = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-    least = np.repeat(ids[edge], np.diff(np.append(edge, len(hashes))))
-    pairs = np.unique(np.stack([least, ids], axis=1)[least != ids], axis=0)
-    return pairs[:, 0], pairs[:, 1], (hashes[edge], ids[edge])
+def reach(n, at, m, at2, t=THRESHOLD):
+    """Whether sets of n and m whose first common n-gram stands at these positions
+    can still link: nothing before it is common."""
+    most = np.minimum(n - at, m - at2)
+    return (t[0] + t[1]) * most >= t[0] * (n + m)
 
 
-def _pack_ids(first, parts):
-    hashes, ids = first
-    own, index = np.unique(ids, return_inverse=True)
-    return _pack(hashes, index.astype(np.uint32), own, parts)
+def _star(hashes, ids, n, at, score, t):
+    """Stars round the holder of each n-gram that has the smallest share of
+    n-grams of its own (ties to the smaller id).
 
-
-def _edge_row(centres, members) -> pa.RecordBatch:
-    none = pa.array([None], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), none, pa.array([centres.tobytes()], pa.binary()), pa.array([members.tobytes()], pa.binary()), none], ["pid", "hashes", "owners", "ids", "extra"])
+    Returns each member's most frequent centre that positions and sizes allow, as
+    (centre, member, n-grams), and the rows of the centres.
+    """
+    order = np.lexsort((ids, score, hashes))
+    edge = np.flatnonzero(np.append(True, hashes[order][1:] != hashes[order][:-1]))
+    centre = np.repeat(order[edge], np.diff(np.append(edge, len(order))))
+    good = (ids[centre] != ids[order]) & reach(n[centre], at[centre], n[order], at[order], t)
+    pairs, count = np.unique(np.stack([ids[order][good], ids[centre][good]], axis=1).reshape(-1, 2), axis=0, return_counts=True)
+    best = np.lexsort((-count, pairs[:, 0]))
+    best = best[np.append(True, pairs[best][1:, 0] != pairs[best][:-1, 0])] if len(best) else best
+    return (pairs[best, 1], pairs[best, 0], count[best].astype(np.int64)), order[edge]
 
 
-def _join_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _join_stars(t):
     """Step 4, reduce side: stars over all batches."""
-    got = _gather(batches)
-    if got is not None:
-        centres, members, _ = _star(got[0], got[1])
-        yield pa.RecordBatch.from_arrays([pa.array(centres), pa.array(members)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(1, 6)))]
+        if rows:
+            kinds = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32)
+            hashes, ids, *more = (np.frombuffer(b"".join(r[i] for r in rows), dtype=k) for i, k in enumerate(kinds))
+            (a, b, count), _ = _star(hashes, ids, *(x.astype(np.int64) for x in more), t)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(count)], ["a", "b", "count"])
+
+    return run
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, dtype=np.int64)), pa.array(np.frombuffer(b, dtype=np.int64))], ["a", "b"])
+        for b, a, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, dtype=np.int64)) for x in (a, b, n)], ["a", "b", "count"])
 
 
 class Trie:
@@ -414,44 +479,47 @@ def class_links(docs: DataFrame, classes: DataFrame, *, n: int = N, t=THRESHOLD)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = lambda df: df.repartitionById(parts, F.col("pid"))
-    counts = dealt(docs.select("text").mapInArrow(_post_support(n, t, parts), POSTED)).mapInArrow(_count_support, "class_id bigint, n bigint")
-    counts = counts.groupBy("class_id").agg(F.sum("n").alias("shared"))
+    counts = dealt(docs.select("text").mapInArrow(_post_support(n, t, parts), POSTED)).mapInArrow(_count_support(parts), COUNTED)
+    counts = dealt(counts).mapInArrow(_sum_support, "class_id bigint, shared bigint")
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * t[0] / t[1]) / SLACK))
     own = classes.withColumn("class_id", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long"))
     left = cut(own.join(counts, "class_id").filter(F.col("shared") >= least).select("id", "first", "th"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     texts = texts.join(left, (texts["doc_id"] == left["first"]) & (texts["th"] == left["th"])).select("id", "text")
-    sets = cut(texts.mapInArrow(_set_rows(n), "id bigint, grams binary"))
-    shared = dealt(sets.mapInArrow(_post_all(parts), POSTED)).mapInArrow(_frequency, "id bigint, at binary, rank binary")
-    ranks = shared.groupBy("id").agg(F.collect_list(F.struct("at", "rank")).alias("r")).select("id", F.col("r.at").alias("at"), F.col("r.rank").alias("rank"))  # at most a row a part
-    ordered = cut(sets.join(ranks, "id").mapInArrow(_order(t), "id bigint, n bigint, grams binary, prefix binary"))
-    sets = ordered.select("id", "n", "grams")
-    stars = cut(ordered.select("id", "prefix").mapInArrow(_stars(parts), POSTED))
-    pairs = stars.filter("pid < 0").select("owners", "ids").mapInArrow(_edges, "a bigint, b bigint")
-    pairs = pairs.unionByName(dealt(stars.filter("pid >= 0")).mapInArrow(_join_stars, "a bigint, b bigint")).distinct()
+    ranked = dealt(texts.mapInArrow(_post_all(n, parts), POSTED)).mapInArrow(_rank(parts), POSTED)
+    ordered = cut(dealt(ranked).mapInArrow(_order(t), ORDERED))
+    sets = ordered.select("id", "grams")
+    stars = cut(ordered.select("id", "n", "alone", "prefix", "at").mapInArrow(_stars(t, parts), STARRED))
+    edges = "a bigint, b bigint, count bigint"
+    pairs = stars.filter("pid < 0").mapInArrow(_edges, edges).unionByName(dealt(stars.filter("pid >= 0")).mapInArrow(_join_stars(t), edges).groupBy("a", "b").agg(F.sum("count").alias("count")))
+    pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
     links = cut(_verified(pairs, sets, t))
-    # Step 5: holders of a prefix n-gram that are still apart.
+    # Step 5: holders of a prefix n-gram that are still apart and could link.
     found = cut(connected_components(links))
-    sizes = sets.select("id", "n").join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    held = ordered.select("id", "prefix").mapInArrow(_explode, "id bigint, gram bigint").join(sizes, "id")
+    sizes = ordered.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    held = ordered.select("id", "n", "prefix", "at").mapInArrow(_explode, "id bigint, n bigint, gram bigint, reach bigint").join(sizes, "id")
+    # Largest partner that the positions allow: (t0 + t1) reach >= t0 (n + m).
+    held = held.withColumn("most", F.floor(F.lit(t[0] + t[1]) * F.col("reach") / t[0]) - F.col("n"))
+    smallest = held.groupBy("gram").agg(F.min("n").alias("smallest"))
+    held = cut(held.join(smallest, "gram").filter("most >= smallest").drop("smallest"))
     apart = held.groupBy("gram").agg((F.min("component") != F.max("component")).alias("apart")).filter("apart").select("gram")
     held = cut(held.join(apart, "gram", "left_semi"))
-    other = held.select("gram", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component")])
-    across = held.join(other, "gram").filter((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")))
-    across = across.filter((F.col("n") * t[1] >= F.col("n2") * t[0]) & (F.col("n2") * t[1] >= F.col("n") * t[0]))
-    rest = across.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(pairs_of(links), ["a", "b"], "left_anti")
+    other = held.select("gram", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "most")])
+    near = (F.col("n") * t[1] >= F.col("n2") * t[0]) & (F.col("n2") * t[1] >= F.col("n") * t[0]) & (F.col("n2") <= F.col("most")) & (F.col("n") <= F.col("most2"))
+    across = held.join(other, (held["gram"] == other["gram"]) & (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & near)
+    rest = cut(across.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
     return links.unionByName(_verified(rest, sets, t))
 
 
-def pairs_of(links: DataFrame) -> DataFrame:
-    """Links with the smaller id first."""
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes, owners = _flat([np.frombuffer(x, dtype=np.uint64) for x in batch.column(1).to_pylist()])
-        yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[owners]), pa.array(hashes.view(np.int64))], ["id", "gram"])
+        grams = [np.frombuffer(x, dtype=np.int64) for x in batch.column(2).to_pylist()]
+        if not grams:
+            continue
+        own = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        at = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint32).astype(np.int64)
+        n = batch.column(1).to_numpy()[own]
+        yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[own]), pa.array(n), pa.array(np.concatenate(grams)), pa.array(n - at)], ["id", "n", "gram", "reach"])
 
 
 def groups(docs: DataFrame, *, n: int = N, t=THRESHOLD) -> DataFrame:
