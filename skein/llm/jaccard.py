@@ -13,8 +13,8 @@ documents link when the sets' Jaccard similarity reaches ``threshold``.
    which less than the needed share occurs elsewhere is out; the others post
    their prefix.
 4. Candidates: holders of the same prefix n-gram form a star round the one with
-   the smallest share of n-grams of its own (first within a batch, then over all);
-   each holder keeps its most frequent centre. Stars are verified by a trie: the member sets, most frequent n-gram first, share the
+   the smallest share of n-grams of its own; each holder keeps its most frequent
+   centre. Stars are verified by a trie: the member sets, most frequent n-gram first, share the
    path of what they have in common, the centre's set descends once with partial
    overlaps, and subtrees whose remaining length cannot reach the needed overlap
    are pruned.
@@ -43,6 +43,8 @@ N = 5
 THRESHOLD = (75, 100)
 #: Share of a set (1 / SLACK) by which the support prefix is longer than needed.
 SLACK = 16
+#: Prefix n-grams of a set that look for a star's centre; step 5 uses all.
+STARS = 16
 
 
 def shingle_sets(texts: list[bytes], hasher: WordHasher, n: int = N) -> list[np.ndarray]:
@@ -293,86 +295,6 @@ def _ordered_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "n", "alone", "grams", "prefix", "at"])
 
 
-STARRED = "pid int, hashes binary, ids binary, n binary, at binary, score binary"
-
-
-def _stars(t, parts):
-    """Step 4, map side: stars within a batch; the centres are posted on.
-
-    Edges come as rows of pid -1: ``ids`` centres, ``hashes`` members, ``n`` the
-    number of prefix n-grams behind each.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 4000):
-                part = batch.slice(low, 4000)
-                grams = [np.frombuffer(x, dtype=np.uint64) for x in part.column(3).to_pylist()]
-                at = np.frombuffer(b"".join(part.column(4).to_pylist()), dtype=np.uint32).astype(np.int64)
-                own = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-                ids, n, alone = (part.column(i).to_numpy()[own] for i in range(3))
-                hashes = np.concatenate(grams)
-                if not len(hashes):
-                    continue
-                edges, first = _star(hashes, ids, n, at, (alone << 16) // n, t)
-                rows = [(-1, edges[1].tobytes(), edges[0].tobytes(), edges[2].tobytes(), None, None)] if len(edges[0]) else []
-                columns = [x[first] for x in (hashes, ids, n, at, (alone << 16) // n)]
-                pid = _part(columns[0], parts).astype(np.int64)
-                order = np.argsort(pid, kind="stable")
-                edge = np.searchsorted(pid[order], np.arange(parts + 1))
-                for p, (x, y) in enumerate(zip(edge[:-1], edge[1:])):
-                    if x < y:
-                        rows.append((p, *(c[order[x:y]].astype(k).tobytes() for c, k in zip(columns, (np.uint64, np.int64, np.uint32, np.uint32, np.uint32)))))
-                kinds = (pa.int32(), *[pa.binary()] * 5)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["pid", "hashes", "ids", "n", "at", "score"])
-
-    return run
-
-
-def reach(n, at, m, at2, t=THRESHOLD):
-    """Whether sets of n and m whose first common n-gram stands at these positions
-    can still link: nothing before it is common."""
-    most = np.minimum(n - at, m - at2)
-    return (t[0] + t[1]) * most >= t[0] * (n + m)
-
-
-def _star(hashes, ids, n, at, score, t):
-    """Stars round the holder of each n-gram that has the smallest share of
-    n-grams of its own (ties to the smaller id).
-
-    Returns each member's most frequent centre that positions and sizes allow, as
-    (centre, member, n-grams), and the rows of the centres.
-    """
-    order = np.lexsort((ids, score, hashes))
-    edge = np.flatnonzero(np.append(True, hashes[order][1:] != hashes[order][:-1]))
-    centre = np.repeat(order[edge], np.diff(np.append(edge, len(order))))
-    good = (ids[centre] != ids[order]) & reach(n[centre], at[centre], n[order], at[order], t)
-    pairs, count = np.unique(np.stack([ids[order][good], ids[centre][good]], axis=1).reshape(-1, 2), axis=0, return_counts=True)
-    best = np.lexsort((-count, pairs[:, 0]))
-    best = best[np.append(True, pairs[best][1:, 0] != pairs[best][:-1, 0])] if len(best) else best
-    return (pairs[best, 1], pairs[best, 0], count[best].astype(np.int64)), order[edge]
-
-
-def _join_stars(t):
-    """Step 4, reduce side: stars over all batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(1, 6)))]
-        if rows:
-            kinds = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32)
-            hashes, ids, *more = (np.frombuffer(b"".join(r[i] for r in rows), dtype=k) for i, k in enumerate(kinds))
-            (a, b, count), _ = _star(hashes, ids, *(x.astype(np.int64) for x in more), t)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(count)], ["a", "b", "count"])
-
-    return run
-
-
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b, a, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, dtype=np.int64)) for x in (a, b, n)], ["a", "b", "count"])
-
-
 class Trie:
     """Globally ordered sets as paths; equal beginnings are stored once."""
 
@@ -489,15 +411,18 @@ def class_links(docs: DataFrame, classes: DataFrame, *, n: int = N, t=THRESHOLD)
     ranked = dealt(texts.mapInArrow(_post_all(n, parts), POSTED)).mapInArrow(_rank(parts), POSTED)
     ordered = cut(dealt(ranked).mapInArrow(_order(t), ORDERED))
     sets = ordered.select("id", "grams")
-    stars = cut(ordered.select("id", "n", "alone", "prefix", "at").mapInArrow(_stars(t, parts), STARRED))
-    edges = "a bigint, b bigint, count bigint"
-    pairs = stars.filter("pid < 0").mapInArrow(_edges, edges).unionByName(dealt(stars.filter("pid >= 0")).mapInArrow(_join_stars(t), edges).groupBy("a", "b").agg(F.sum("count").alias("count")))
+    # Step 4. The centre has the smallest share of n-grams of its own.
+    postings = "id bigint, n bigint, alone bigint, gram bigint, reach bigint"
+    held = cut(ordered.select("id", "n", "alone", "prefix", "at").mapInArrow(_postings(STARS), postings))
+    centres = held.groupBy("gram").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"))).alias("c"))
+    reach = F.least("reach", "c.ra") * (t[0] + t[1]) >= (F.col("n") + F.col("c.na")) * t[0]
+    pairs = held.join(centres, "gram").filter((F.col("id") != F.col("c.a")) & reach).groupBy(F.col("id").alias("b"), F.col("c.a").alias("a")).agg(F.count("*").alias("count"))
     pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
     links = cut(_verified(pairs, sets, t))
     # Step 5: holders of a prefix n-gram that are still apart and could link.
     found = cut(connected_components(links))
     sizes = ordered.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    held = ordered.select("id", "n", "prefix", "at").mapInArrow(_explode, "id bigint, n bigint, gram bigint, reach bigint").join(sizes, "id")
+    held = ordered.select("id", "n", "alone", "prefix", "at").mapInArrow(_postings(None), postings).drop("alone").join(sizes, "id")
     # Largest partner that the positions allow: (t0 + t1) reach >= t0 (n + m).
     held = held.withColumn("most", F.floor(F.lit(t[0] + t[1]) * F.col("reach") / t[0]) - F.col("n"))
     smallest = held.groupBy("gram").agg(F.min("n").alias("smallest"))
@@ -511,15 +436,21 @@ def class_links(docs: DataFrame, classes: DataFrame, *, n: int = N, t=THRESHOLD)
     return links.unionByName(_verified(rest, sets, t))
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        grams = [np.frombuffer(x, dtype=np.int64) for x in batch.column(2).to_pylist()]
-        if not grams:
-            continue
-        own = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        at = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint32).astype(np.int64)
-        n = batch.column(1).to_numpy()[own]
-        yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[own]), pa.array(n), pa.array(np.concatenate(grams)), pa.array(n - at)], ["id", "n", "gram", "reach"])
+def _postings(most: int | None):
+    """Each set's prefix n-grams (the first ``most`` of them): rows with ``reach``,
+    the number of n-grams from there on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [np.frombuffer(x, dtype=np.int64)[:most] for x in batch.column(3).to_pylist()]
+            at = [np.frombuffer(x, dtype=np.uint32)[:most].astype(np.int64) for x in batch.column(4).to_pylist()]
+            if not grams:
+                continue
+            own = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+            ids, n, alone = (batch.column(i).to_numpy()[own] for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, n, alone, np.concatenate(grams), n - np.concatenate(at))], ["id", "n", "alone", "gram", "reach"])
+
+    return run
 
 
 def groups(docs: DataFrame, *, n: int = N, t=THRESHOLD) -> DataFrame:
