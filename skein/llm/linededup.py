@@ -15,6 +15,8 @@ rare to hold a recurring template never reach the token step.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut
@@ -25,17 +27,26 @@ MIN_CONSTANT = 0.7
 MIN_TOKENS = 3
 VARIABLE = "<*>"
 
-_BLANK, _DIGIT = r"[ \t\r\f\x0b]", r"[^ \t\r\f\x0b\n]*[0-9][^ \t\r\f\x0b\n]*"
+#: A token with a digit, begun only where a token begins.
+_BLANK, _DIGIT = r"[ \t\r\f\x0b]", r"(?<![^ \t\r\f\x0b\n])[^ \t\r\f\x0b\n0-9]*+[0-9][^ \t\r\f\x0b\n]*+"
+#: Up to so many rows (8 bytes of key each) a set of leaves or lines is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def masked_lines(text: Column) -> Column:
-    """Lines with single blanks between tokens and variable tokens masked."""
-    squeezed = F.regexp_replace(F.regexp_replace(text, _BLANK + "+", " "), _DIGIT, VARIABLE)
-    return F.split(F.regexp_replace(squeezed, "(?m)^ | $", ""), "\n")
+    """Lines with single blanks between tokens and variable tokens masked.
+
+    Texts that hold nothing to squeeze or mask skip the patterns.
+    """
+    untidy = [F.contains(text, F.lit(x)) for x in ("  ", "\n ", " \n", "\t", "\r", "\f", "\x0b")]
+    untidy += [F.startswith(text, F.lit(" ")), F.endswith(text, F.lit(" "))]
+    squeezed = F.regexp_replace(F.regexp_replace(text, _BLANK + "+", " "), "(?m)^ | $", "")
+    tidy = F.when(reduce(Column.__or__, untidy), squeezed).otherwise(text)
+    return F.split(F.when(F.rlike(text, F.lit("[0-9]")), F.regexp_replace(tidy, _DIGIT, VARIABLE)).otherwise(tidy), "\n")
 
 
 def _n_tokens(line: Column) -> Column:
-    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
 def _with_leaf(lines: DataFrame, depth: int) -> DataFrame:
@@ -43,13 +54,26 @@ def _with_leaf(lines: DataFrame, depth: int) -> DataFrame:
     return lines.withColumn("_leaf", F.xxhash64("_n", F.substring_index("_line", " ", depth)))
 
 
-def templates(docs: DataFrame, *, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast a stored table of one or two numbers a row if it is small;
+    beyond that the join shuffles."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def placed_lines(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """Where each line stands: (doc_id, text hash, position, leaf, line hash)."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("_t"), F.posexplode(masked_lines(F.col("text"))).alias("_pos", "_line"))
+    lines = _with_leaf(lines, depth).filter(F.col("_n") >= min_tokens)
+    return lines.select("doc_id", "_t", "_pos", "_leaf", F.xxhash64("_line").alias("_h"))
+
+
+def templates(docs: DataFrame, placed: DataFrame, *, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """Masked lines (``_line``) whose template recurs, with ``template`` and ``n_docs``."""
+    # A leaf of fewer lines cannot hold a template of so many documents.
+    leaves = cut(placed.groupBy("_leaf").agg(F.count("*").alias("_c")).filter(F.col("_c") >= min_docs).select("_leaf"))
     # Distinct lines of a document, so that counts are of documents.
-    each = docs.select(F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("_line"))
-    each = _with_leaf(each, depth).filter(F.col("_n") >= min_tokens)
-    leaves = each.groupBy("_leaf").agg(F.count("*").alias("_c")).filter(F.col("_c") >= min_docs).select("_leaf")
-    lines = cut(each.join(leaves, "_leaf", "left_semi").groupBy("_leaf", "_n", "_line").agg(F.count("*").alias("_docs")))
+    each = _with_leaf(docs.select(F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("_line")), depth).filter(F.col("_n") >= min_tokens)
+    lines = cut(each.join(_small(leaves), "_leaf", "left_semi").groupBy("_leaf", "_n", "_line").agg(F.count("*").alias("_docs")))
     tokens = lines.select("_leaf", F.xxhash64("_line").alias("_id"), "_docs", F.posexplode(F.split("_line", " ")).alias("_pos", "_token"))
     constants = tokens.filter(F.col("_token") != VARIABLE).groupBy("_leaf", "_pos", "_token").agg(F.sum("_docs").alias("_c")).filter(F.col("_c") >= min_docs).drop("_c")
     kept = tokens.join(constants, ["_leaf", "_pos", "_token"], "left_semi")
@@ -57,12 +81,12 @@ def templates(docs: DataFrame, *, depth: int = DEPTH, min_docs: int = MIN_DOCS,
     shaped = lines.withColumn("_id", F.xxhash64("_line")).join(shape, ["_leaf", "_id"]).filter(F.size("_kept") >= F.col("_n") * min_constant)
     known = F.map_from_entries("_kept")
     template = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.coalesce(F.try_element_at(known, i), F.lit(VARIABLE))), " ")
-    shaped = shaped.select("_line", "_docs", template.alias("template"))
+    shaped = cut(shaped.select("_line", "_docs", template.alias("template")))
     recurring = shaped.groupBy("template").agg(F.sum("_docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
     return shaped.join(recurring, "template").select("_line", "template", "n_docs")
 
 
-def drop_templates(docs: DataFrame, **options) -> DataFrame:
+def drop_templates(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, **options) -> DataFrame:
     """Documents without lines of recurring templates.
 
     Returns ``docs`` with ``text`` rewritten (kept lines, joined by line feeds)
@@ -72,19 +96,17 @@ def drop_templates(docs: DataFrame, **options) -> DataFrame:
     alike; an empty table gives no rows.
     """
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    dropped = templates(docs, **options).select(F.xxhash64("_line").alias("_h"), F.lit(True).alias("_drop"))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("_t"), "text")
-    lines = keyed.select("doc_id", "_t", F.posexplode(masked_lines(F.col("text"))).alias("_pos", "_line")).select("doc_id", "_t", "_pos", F.xxhash64("_line").alias("_h"))
-    gone = lines.join(dropped, "_h").groupBy("doc_id", "_t").agg(F.collect_set("_pos").alias("_gone"))
-    row = F.struct("doc_id", "_t")
-    gone = gone.select(row.alias("_key"), "_gone")
+    placed = cut(placed_lines(docs, depth=depth, min_tokens=min_tokens))
+    dropped = cut(templates(docs, placed, depth=depth, min_tokens=min_tokens, **options).select(F.xxhash64("_line").alias("_h")).distinct())
+    gone = placed.join(_small(dropped), "_h", "left_semi").groupBy("doc_id", "_t").agg(F.collect_set("_pos").alias("_gone"))  # at most a document's lines
+    gone = gone.select(F.struct("doc_id", "_t").alias("_key"), "_gone")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_doc"), F.struct("doc_id", F.xxhash64("text").alias("_t")).alias("_key"))
     both = whole.join(gone, whole["_key"].eqNullSafe(gone["_key"]), "left").select("_doc", F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"))
     text = F.col("_doc").getField("text")
     kept = F.when(F.size("_gone") == 0, text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n"))
     return both.select(
         *[(kept if c == "text" else F.col("_doc").getField(c)).alias(c) for c in others],
-        F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.size("_gone").cast("long").alias("n_dropped"),
     )
 
