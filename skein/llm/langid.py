@@ -85,9 +85,9 @@ class Model:
         within = np.arange(len(starts)) - bounds[doc]
         first = np.append(0, np.cumsum(-(-sizes // WINDOW)))
         window, column = first[doc] + within // WINDOW, within % WINDOW
-        for low in range(0, int(first[-1]), 16_384):
-            a, b = np.searchsorted(window, [low, low + 16_384])
-            rows = int(min(16_384, first[-1] - low))
+        for low in range(0, int(first[-1]), 4_096):
+            a, b = np.searchsorted(window, [low, low + 4_096])
+            rows = int(min(4_096, first[-1] - low))
             emit = np.zeros((rows, WINDOW, len(self.languages)))
             valid = np.zeros((rows, WINDOW), dtype=bool)
             emit[window[a:b] - low, column[a:b]] = self.emissions(buf, starts[a:b], ends[a:b], hashes[a:b])
