@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skein.functions import geometry as g, scalar as s
-from skein.operators import graph, model, pairs, partition, retrieval, store
+from skein.operators import edits, graph, model, pairs, partition, retrieval, store, views
 from skein.session import cut
 from skein.views import frame, with_
 
@@ -832,6 +832,92 @@ def incremental_pairs(v):
     return new_pairs(known, batch, done)
 
 
+# Edits, sources, votes, rigs ---------------------------------------------------------------------------
+
+
+@query("""--with
+    m AS (SELECT image_id, idx, point_id, (image_id + idx) % 3 <> 0 AS stays, sum(CASE WHEN (image_id + idx) % 3 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY point_id) AS n FROM {obs})
+    SELECT image_id, idx, CASE WHEN stays AND n >= 2 THEN point_id END AS point_id FROM m""")
+def observations_deleted(v):
+    obs = v("obs").select("image_id", "idx", "point_id")
+    return edits.delete_observations(obs, obs.filter("(image_id + idx) % 3 = 0"))
+
+
+@query("SELECT image_id, idx, CASE WHEN point_id % 5 = 1 THEN point_id - 1 WHEN point_id % 5 > 2 THEN NULL ELSE point_id END AS point_id FROM {obs}")
+def points_merged(v):
+    obs = edits.delete_points(v("obs").select("image_id", "idx", "point_id"), v("points").filter("point_id % 5 > 2"))
+    return edits.merge_points(obs, v("points").filter("point_id % 5 = 1").select((F.col("point_id") - 1).alias("id1"), F.col("point_id").alias("id2")))
+
+
+@query("SELECT image_id1, image_id2, CAST(sum(CASE WHEN idx1 % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS inliers, CAST(sum(CASE WHEN idx1 % 2 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS outliers FROM {matches} GROUP BY image_id1, image_id2")
+def match_split(v):
+    good, bad = edits.split_by_mask(F.col("matches"), F.transform("matches", lambda m: m["idx1"] % 2 == 0))
+    return _matches(v).select("image_id1", "image_id2", F.size(good).cast("long").alias("inliers"), F.size(bad).cast("long").alias("outliers"))
+
+
+@query("""SELECT image_id, other, shared, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY shared DESC, other) AS rank
+    FROM (SELECT image_id1 AS image_id, image_id2 AS other, shared FROM {sparse} UNION ALL SELECT image_id2, image_id1, shared FROM {sparse}) b WHERE image_id % 3 > 0 AND other % 3 > 0) t WHERE rank <= 2""")
+def source_images(v):
+    return views.source_images(v("sparse"), v("images").filter("image_id % 3 > 0"), most=2)
+
+
+@query("""SELECT image_id1, image_id2 FROM (SELECT m.image_id1, m.image_id2, count(*) AS total, sum(CASE WHEN a.point_id % 7 = 0 THEN 1 ELSE 0 END) AS good FROM {matches} m JOIN {obs} a ON a.image_id = m.image_id1 AND a.idx = m.idx1 GROUP BY m.image_id1, m.image_id2) t
+    WHERE good / CAST(total AS DOUBLE) < 0.2 AND image_id1 % 4 > 0 AND image_id2 % 4 > 0""")
+def under_reconstructed(v):
+    obs = v("obs").withColumn("point_id", F.when(F.col("point_id") % 7 == 0, F.col("point_id")))
+    stats = model.pair_statistics(model.correspondences(v("matches")), obs).na.fill(0, ["triangulated"])
+    return model.under_reconstructed(stats, v("images").filter("image_id % 4 > 0")).select("image_id1", "image_id2")
+
+
+@query("SELECT DISTINCT m.idx1 AS idx, o.point_id FROM (SELECT * FROM {matches} UNION ALL SELECT image_id2, image_id1, idx2, idx1 FROM {matches}) m JOIN {obs} o ON o.image_id = m.image_id2 AND o.idx = m.idx2 WHERE m.image_id1 = (SELECT min(image_id1) FROM {matches})")
+def registration_candidates(v):
+    corr = cut(model.correspondences(v("matches")))
+    return model.registration_candidates(corr, v("obs"), corr.agg(F.min("image_id")).first()[0])
+
+
+_VOTES = """--with
+    t AS (SELECT l_suppkey % 20 AS pair, l_quantity * 160 - 4080 AS tx, (l_orderkey % 50) * 160 - 4000 AS ty, pow(2, (l_partkey % 7 - 3) / 1.5) AS scale, (l_linenumber % 8) * 0.75 - 2.9 AS angle FROM {lineitem}),
+    b AS (SELECT pair, least(CAST(trunc((tx + 4096) / 8192 * 64) AS INTEGER), 63) AS x, least(CAST(trunc((ty + 4096) / 8192 * 64) AS INTEGER), 63) AS y, least(CAST(trunc((log2(scale) + log2(10)) / (2 * log2(10)) * 32) AS INTEGER), 31) AS s, least(CAST(trunc((angle + pi()) / (2 * pi()) * 8) AS INTEGER), 7) AS a
+          FROM t WHERE abs(tx) <= 4096 AND abs(ty) <= 4096 AND abs(log2(scale)) <= log2(10)),
+    f AS (SELECT pair, x, y, s, a, count(*) AS n FROM b GROUP BY ALL),
+    l AS (SELECT unnest([1, 2, 3, 4, 5]) AS level),
+    c AS (SELECT pair, level, x >> level AS px, y >> level AS py, s >> level AS ps, a >> level AS pa, sum(n) AS m FROM f, l GROUP BY ALL)
+    SELECT f.pair, x, y, s, a, n AS votes, round(n + sum(m * pow(0.5, l.level)), 4) AS score FROM f CROSS JOIN l JOIN c ON c.pair = f.pair AND c.level = l.level AND px = x >> l.level AND py = y >> l.level AND ps = s >> l.level AND pa = a >> l.level WHERE n >= 2 GROUP BY f.pair, x, y, s, a, n"""
+
+
+@query(_VOTES)
+def transform_votes(v):
+    k = F.col
+    rows = v("lineitem").select((k("l_suppkey") % 20).alias("pair"), (k("l_quantity") * 160 - 4080).alias("tx"), ((k("l_orderkey") % 50) * 160 - 4000).cast("double").alias("ty"), F.pow(F.lit(2.0), (k("l_partkey") % 7 - 3) / 1.5).alias("scale"), ((k("l_linenumber") % 8) * 0.75 - 2.9).alias("angle"))
+    return views.votes(rows, ["pair"], least=2).withColumn("score", F.round("score", 4))
+
+
+@query("""SELECT l_partkey % 500 AS cluster, count(*) AS n, round(median(l_quantity), 4) AS x, round(median(l_extendedprice), 4) AS y, round(median(l_discount), 4) AS z FROM {lineitem} GROUP BY 1 HAVING count(*) >= 5""")
+def fused_points(v):
+    c = F.col
+    rows = v("lineitem").select((c("l_partkey") % 500).alias("cluster"), c("l_quantity").alias("x"), c("l_extendedprice").alias("y"), c("l_discount").alias("z"), *[F.lit(0.0).alias(n) for n in ("nx", "ny", "nz", "r", "g", "b")])
+    return views.fused_points(rows).select("cluster", "n", *[F.round(n, 4).alias(n) for n in "xyz"])
+
+
+@query("""--with
+    i AS (SELECT o_orderkey // 4 AS snapshot, o_orderkey % 4 AS c, o_orderkey % 4 + (o_orderkey // 4) % 3 AS x, CAST(o_orderkey % 4 * 2 AS DOUBLE) AS y, CAST((o_orderkey // 4) % 5 AS DOUBLE) AS z FROM {orders}),
+    r AS (SELECT a.snapshot, sqrt(3.0 * 3.0 * (a.c - b.c) * (a.c - b.c)) / sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS ratio FROM i a JOIN i b ON a.snapshot = b.snapshot AND a.c < b.c)
+    SELECT round(avg(ratio), 6) AS scale FROM r""")
+def rig_scale(v):
+    k, snap = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 4)
+    images = v("orders").select(snap.alias("snapshot"), (k % 4).alias("camera_id"), (k % 4 + snap % 3).cast("double").alias("x"), (k % 4 * 2).cast("double").alias("y"), (snap % 5).cast("double").alias("z"))
+    rig = v("orders").select((k % 4).alias("camera_id")).distinct().select("camera_id", (F.col("camera_id") * 3.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    return views.rig_scale(rig, images).select(F.round("scale", 6).alias("scale"))
+
+
+@query()
+def one_to_one(v):
+    rows = _feature_pairs(v).withColumn("pair", (F.col("a") % 7).cast("long"))
+    order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+    few = rows.withColumn("k", F.row_number().over(order)).filter("k <= 3").select("pair", "a", "b", "score")
+    return views.one_to_one(few, ["pair"])
+
+
 def flagship(spark, sf_dir: str) -> DataFrame:
     """Co-visibility, largest component, and the best neighbours in it."""
     v = lambda name: frame(spark, sf_dir, name)
