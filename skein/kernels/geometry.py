@@ -432,6 +432,44 @@ class PnP:
         return np.where(p[:, 2] > 0, off, np.inf)
 
 
+class P3P(PnP):
+    """Three points: distances along the rays from a quartic, then orientation."""
+
+    least = 3
+
+    def fit(self, x, y):
+        if len(x) >= 6:
+            return super().fit(x, y)
+        from .robust import polynomial_roots
+
+        ray = np.column_stack([y[:3], np.ones(3)])
+        ray /= np.linalg.norm(ray, axis=1, keepdims=True)
+        a2, b2, c2 = (((x[i] - x[j]) ** 2).sum() for i, j in ((1, 2), (0, 2), (0, 1)))
+        if min(a2, b2, c2) < 1e-18:
+            return []
+        ca, cb, cg = ray[1] @ ray[2], ray[0] @ ray[2], ray[0] @ ray[1]
+        p, q, r, s = (a2 - c2) / b2, (a2 + c2) / b2, (b2 - c2) / b2, (b2 - a2) / b2
+        quartic = [
+            (p - 1) ** 2 - 4 * c2 / b2 * ca**2,
+            4 * (p * (1 - p) * cb - (1 - q) * ca * cg + 2 * c2 / b2 * ca**2 * cb),
+            2 * (p**2 - 1 + 2 * p**2 * cb**2 + 2 * r * ca**2 - 4 * q * ca * cb * cg + 2 * s * cg**2),
+            4 * (-p * (1 + p) * cb + 2 * a2 / b2 * cg**2 * cb - (1 - q) * ca * cg),
+            (1 + p) ** 2 - 4 * a2 / b2 * cg**2,
+        ]
+        out = []
+        for root in polynomial_roots(quartic):
+            v, below = root.real, 2 * (cg - root.real * ca)
+            if abs(root.imag) > 1e-6 or v <= 0 or abs(below) < 1e-12:
+                continue
+            u = ((p - 1) * v * v - 2 * p * cb * v + 1 + p) / below
+            length = 1 + u * u - 2 * u * cg
+            if u <= 0 or length <= 0:
+                continue
+            d = np.sqrt(c2 / length) * np.array([1, u, v])
+            out.append(Similarity(scale=False).fit(x[:3], ray * d[:, None])[0])
+        return out
+
+
 def refine_pose(pose: np.ndarray, x: np.ndarray, y: np.ndarray, rounds: int = 20) -> np.ndarray:
     """Gauss-Newton on the reprojection error."""
     for _ in range(rounds):

@@ -212,6 +212,42 @@ def vrml_lines(points: DataFrame) -> DataFrame:
     return points.select(F.concat(F.concat_ws(", ", "x", "y", "z"), F.lit(",")).alias("value"))
 
 
+BUNDLER_VIEWS = "image_id bigint, f double, k1 double, k2 double, r array<double>, t array<double>"
+BUNDLER_POINTS = "point_id bigint, x double, y double, z double, r int, g int, b int, track array<struct<image_id:bigint,idx:bigint,x:double,y:double>>"
+
+
+def _bundler(content: bytes) -> tuple[list[tuple], list[tuple]]:
+    words = [w for line in content.decode().split("\n") if not line.startswith("#") for w in line.split()]
+    n, m = int(words[0]), int(words[1])
+    at, images, points = 2, [], []
+    for i in range(n):
+        v = list(map(float, words[at : at + 15]))
+        images.append((i, *v[:3], v[3:12], v[12:]))
+        at += 15
+    for i in range(m):
+        k = int(words[at + 6])
+        rows = [words[at + 7 + 4 * j : at + 11 + 4 * j] for j in range(k)]
+        track = [{"image_id": int(a), "idx": int(b), "x": float(c), "y": float(d)} for a, b, c, d in rows]
+        points.append((i, *map(float, words[at : at + 3]), *map(int, words[at + 3 : at + 6]), track))
+        at += 7 + 4 * k
+    return images, points
+
+
+def read_bundler(spark: SparkSession, path: str, table: str = "points") -> DataFrame:
+    """``images`` or ``points`` of Bundler files (the model of PMVS folders too)."""
+    schema = BUNDLER_VIEWS if table == "images" else BUNDLER_POINTS
+    names = [c.strip().split(" ")[0] for c in _top_level(schema)]
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for content in frame["content"]:
+                yield pd.DataFrame(_bundler(bytes(content))[table != "images"], columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+
+
 def inlier_pairs(geometries: DataFrame, images: DataFrame, least: int = 15) -> DataFrame:
     """Names of verified pairs (name1, name2, inliers)."""
     ids = images.select("image_id", "name")
