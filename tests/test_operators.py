@@ -31,9 +31,10 @@ def test_numbered(spark):
     assert got == {k: k for k in range(1000)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_components(spark, small):
     links = [(0, 2), (4, 5), (3, 9), (5, 7), (6, 7), (1, 4), (8, 8)]
-    found = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    found = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint"), small=small).collect()}
     assert found == {0: 0, 2: 0, 1: 1, 4: 1, 5: 1, 6: 1, 7: 1, 3: 3, 9: 3, 8: 8}
 
 
@@ -51,8 +52,9 @@ def test_components_of_random_graphs(spark):
         for a, b in links:
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
-        found = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
-        assert found == {x: root(x) for x in parent}
+        for small in (0, 10, 100_000):
+            found = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint"), small=small).collect()}
+            assert found == {x: root(x) for x in parent}
 
 
 def test_no_edges(spark):
