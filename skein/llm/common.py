@@ -20,7 +20,7 @@ __all__ = ["cut", "shared_dir"]
 _R = 0x9E3779B97F4A7C13
 _RINV = pow(_R, -1, 1 << 64)
 #: Bytes hashed at once; longer buffers are cut at white space.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,7 +109,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
-def text_groups(column, limit: int = 4 << 20):
+def text_groups(column, limit: int = 1 << 20):
     """Cut an Arrow string column into runs of rows of about ``limit`` bytes.
 
     Yields (first row, list of UTF-8 bytes); null is empty.

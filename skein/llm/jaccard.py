@@ -182,7 +182,7 @@ def _post_support(n, t, parts):
                         held.append(s[: len(s) - needed(len(s), t) + int(_slack(len(s)))].copy())
                         ids.append(_class_id(digest))
                         size += len(held[-1])
-                if size > 1 << 20:
+                if size > 1 << 19:
                     yield from _pack(held, np.array(ids, dtype=np.int64), parts, short=True)
                     held, ids, size = [], [], 0
         if held:

@@ -251,7 +251,7 @@ def _predictor(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            for first, texts in text_groups(batch.column(2), 1 << 20):
+            for first, texts in text_groups(batch.column(2), 1 << 19):
                 langs, scores = zip(*model.value.predict(texts, hasher))
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
@@ -263,7 +263,7 @@ def _keeper(model, at: int, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            for first, texts in text_groups(batch.column(at), 1 << 20):
+            for first, texts in text_groups(batch.column(at), 1 << 19):
                 keep = [lang != UNKNOWN and score >= min_score for lang, score in model.value.predict(texts, hasher)]
                 yield batch.slice(first, len(texts)).filter(pa.array(keep))
 
