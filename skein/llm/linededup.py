@@ -19,7 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import bounded, cut
 
 DEPTH = 3
 MIN_DOCS = 5
@@ -29,8 +29,6 @@ VARIABLE = "<*>"
 
 #: A token with a digit, begun only where a token begins.
 _BLANK, _DIGIT = r"[ \t\r\f\x0b]", r"(?<![^ \t\r\f\x0b\n])[^ \t\r\f\x0b\n0-9]*+[0-9][^ \t\r\f\x0b\n]*+"
-#: Up to so many rows (8 bytes of key each) a set of leaves or lines is broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def masked_lines(text: Column) -> Column:
@@ -40,7 +38,7 @@ def masked_lines(text: Column) -> Column:
     """
     untidy = [F.contains(text, F.lit(x)) for x in ("  ", "\n ", " \n", "\t", "\r", "\f", "\x0b")]
     untidy += [F.startswith(text, F.lit(" ")), F.endswith(text, F.lit(" "))]
-    squeezed = F.regexp_replace(F.regexp_replace(text, _BLANK + "+", " "), "(?m)^ | $", "")
+    squeezed = F.regexp_replace(F.regexp_replace(text, _BLANK + "+", " "), "(?dm)^ | $", "")
     tidy = F.when(reduce(Column.__or__, untidy), squeezed).otherwise(text)
     return F.split(F.when(F.rlike(text, F.lit("[0-9]")), F.regexp_replace(tidy, _DIGIT, VARIABLE)).otherwise(tidy), "\n")
 
@@ -54,12 +52,6 @@ def _with_leaf(lines: DataFrame, depth: int) -> DataFrame:
     return lines.withColumn("_leaf", F.xxhash64("_n", F.substring_index("_line", " ", depth)))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a stored table of one or two numbers a row if it is small;
-    beyond that the join shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def placed_lines(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """Where each line stands: (doc_id, text hash, position, leaf, line hash)."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("_t"), F.posexplode(masked_lines(F.col("text"))).alias("_pos", "_line"))
@@ -73,7 +65,7 @@ def templates(docs: DataFrame, placed: DataFrame, *, depth: int = DEPTH, min_doc
     leaves = cut(placed.groupBy("_leaf").agg(F.count("*").alias("_c")).filter(F.col("_c") >= min_docs).select("_leaf"))
     # Distinct lines of a document, so that counts are of documents.
     each = _with_leaf(docs.select(F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("_line")), depth).filter(F.col("_n") >= min_tokens)
-    lines = cut(each.join(_small(leaves), "_leaf", "left_semi").groupBy("_leaf", "_n", "_line").agg(F.count("*").alias("_docs")))
+    lines = cut(each.join(bounded(leaves), "_leaf", "left_semi").groupBy("_leaf", "_n", "_line").agg(F.count("*").alias("_docs")))
     tokens = lines.select("_leaf", F.xxhash64("_line").alias("_id"), "_docs", F.posexplode(F.split("_line", " ")).alias("_pos", "_token"))
     constants = tokens.filter(F.col("_token") != VARIABLE).groupBy("_leaf", "_pos", "_token").agg(F.sum("_docs").alias("_c")).filter(F.col("_c") >= min_docs).drop("_c")
     kept = tokens.join(constants, ["_leaf", "_pos", "_token"], "left_semi")
@@ -98,7 +90,7 @@ def drop_templates(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     placed = cut(placed_lines(docs, depth=depth, min_tokens=min_tokens))
     dropped = cut(templates(docs, placed, depth=depth, min_tokens=min_tokens, **options).select(F.xxhash64("_line").alias("_h")).distinct())
-    gone = placed.join(_small(dropped), "_h", "left_semi").groupBy("doc_id", "_t").agg(F.collect_set("_pos").alias("_gone"))  # at most a document's lines
+    gone = placed.join(bounded(dropped), "_h", "left_semi").groupBy("doc_id", "_t").agg(F.collect_set("_pos").alias("_gone"))  # at most a document's lines
     gone = gone.select(F.struct("doc_id", "_t").alias("_key"), "_gone")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_doc"), F.struct("doc_id", F.xxhash64("text").alias("_t")).alias("_key"))
     both = whole.join(gone, whole["_key"].eqNullSafe(gone["_key"]), "left").select("_doc", F.coalesce("_gone", F.array().cast("array<int>")).alias("_gone"))
