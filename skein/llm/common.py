@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein.session import cut, shared_dir
 
@@ -33,6 +33,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a path made by ``scratch``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Broadcast a stored table of a few numbers a row if it has at most ``rows``.
+
+    Beyond that bound the join shuffles both sides.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _byte_table(is_word) -> bytes:
     out = bytearray()
     for b in range(256):

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut
+from .common import bounded, cut
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -103,7 +103,8 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, repeats: int
     sources = sources.withColumn("_cells", F.ceil(F.col("source_size") / F.lit(cell_words)).cast("long"))
     sources = cut(sources.select("_key", "source_size", "target", "_blocks", F.greatest(F.lit(1), "_cells").alias("_cells")))
 
-    dealt = sized.join(sources, "_key").withColumn("_h", seeded(F.col("doc_id"), F.col("_key")))
+    # A hot source would be one key of a shuffled join.
+    dealt = sized.join(bounded(sources, 100_000), "_key").withColumn("_h", seeded(F.col("doc_id"), F.col("_key")))
     dealt = dealt.withColumn("_cell", F.pmod("_h", "_cells"))
     cells = dealt.groupBy("_key", "_cell").agg(F.sum("size").alias("_cell_size"), F.first("_blocks").alias("_blocks"))
     cells = sainte_lague(cells, ["_key"], "_cell", "_cell_size", "_blocks", "_quota")
