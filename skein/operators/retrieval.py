@@ -6,12 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skein.functions.scalar import hamming_weight, pack_bits
+from skein.session import cut
 
 
 def idf(postings: DataFrame, doc: str = "doc_id", word: str = "word") -> DataFrame:
-    """``ln(N / df)`` of each word."""
+    """``ln(N / df)`` of each word; a document has one posting a word."""
     n = postings.agg(F.countDistinct(doc).alias("n"))
-    df = postings.select(doc, word).distinct().groupBy(word).agg(F.count("*").alias("df"))
+    df = postings.groupBy(word).agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(n)).select(word, "df", F.ln(F.col("n") / F.col("df")).alias("idf"))  # one row
 
 
@@ -30,7 +31,8 @@ def search(queries: DataFrame, postings: DataFrame, k: int = 10, salt: int = 8)
     posting list is dealt by document into ``salt`` parts, so that frequent words
     are not one task's; words in every document weigh nothing and are left out.
     """
-    weights = idf(postings).filter("idf > 0")
+    postings = cut(postings)  # used four times
+    weights = cut(idf(postings).filter("idf > 0"))
     there = postings.join(weights.select("word", "idf"), "word").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(salt)))
     asked = queries.join(weights.select("word", F.col("idf").alias("qidf")), "word").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
     value = F.col("qtf") * F.col("idf") * F.col("idf") * F.sqrt("tf")

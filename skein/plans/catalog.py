@@ -27,7 +27,8 @@ def query(sql: str | None = None):
         name = function.__name__
 
         def run(spark, sf_dir, function=function) -> DataFrame:
-            return function(lambda view: frame(spark, sf_dir, view))
+            known: dict[str, DataFrame] = {}
+            return function(lambda view: frame(spark, sf_dir, view, known))
 
         QUERIES[name] = run
         if sql is not None:

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.session import cut
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS: dict[str, str] = {
@@ -61,12 +63,24 @@ def _parts(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table or view as a DataFrame."""
+#: Small results of wide joins: stored once where several views use them.
+STORED = ("sparse", "dense")
+
+
+def frame(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A base table or view as a DataFrame.
+
+    ``known`` keeps what was built, and stores the views of ``STORED``.
+    """
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if known is not None and name in known:
+        return known[name]
     sql = SPARK.get(name, VIEWS[name])
-    return spark.sql(sql, **{p: frame(spark, sf_dir, p) for p in _parts(sql)})
+    out = spark.sql(sql, **{p: frame(spark, sf_dir, p, known) for p in _parts(sql)})
+    if known is not None:
+        known[name] = out = cut(out) if name in STORED else out
+    return out
 
 
 def with_(body: str) -> str:
