@@ -8,8 +8,8 @@ document's language has the largest sum of marginals over all its words, and its
 score is the mean marginal of that language.
 
 Chains are windows of ``WINDOW`` words, which bounds memory for any text.
-Training uses at most ``train_docs`` documents of each language (a documented
-bound), with stretches of at most ``train_chars`` characters.
+Training uses at most ``TRAIN_DOCS`` documents of each language, a stretch of at
+most ``TRAIN_CHARS`` characters of each, and ``TRAIN_WINDOWS`` windows of them.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from .crf import forward_backward
 WINDOW = 32
 TRAIN_DOCS = 200
 TRAIN_CHARS = 20_000
+TRAIN_WINDOWS = 1_500
 MIN_SCORE = 0.35
 UNKNOWN = "und"
 
@@ -131,54 +132,56 @@ def train(rows: list[tuple[str, str]], *, epochs: int = 6, seed: int = 1) -> Mod
     n = len(languages)
     if n == 0:
         return model
-    by_lang = [[] for _ in languages]  # windows of feature ids
-    grams, words = np.full((len(_ORDERS), 1 << _BITS, n), 0.05), [{} for _ in languages]
+    windows: list[list] = [[] for _ in languages]  # (n-gram ids of the buffer, starts, ends, hashes)
+    words = [{} for _ in languages]
     for lang, text in rows:
         y = languages.index(lang)
         buf, _ = joined([b" " + text.encode()], LETTERS)
         buf += b" "
         starts, ends, hashes = hasher(buf)
         piece = np.frombuffer(buf, dtype=np.uint8).astype(np.uint32)
-        ids = [_gram_index(piece, order) for order in _ORDERS]
-        feats = []
-        for s, e in zip((starts - 1).tolist(), (ends + 1).tolist()):
-            own = [k * (1 << _BITS) + ids[k][s : e - order + 1].astype(np.int64) for k, order in enumerate(_ORDERS) if e - order + 1 > s]
-            feats.append(np.concatenate(own))
-        for h in hashes.tolist():
-            words[y][h] = words[y].get(h, 0) + 1
-        for f in feats:
-            np.add.at(grams.reshape(-1, n)[:, y], f, 1)
-        by_lang[y] += [(feats[i : i + WINDOW], hashes[i : i + WINDOW]) for i in range(0, len(feats), WINDOW)]
+        ids = [_gram_index(piece, order).astype(np.int64) + (k << _BITS) for k, order in enumerate(_ORDERS)]
+        windows[y] += [(ids, starts[i : i + WINDOW], ends[i : i + WINDOW], hashes[i : i + WINDOW]) for i in range(0, len(starts), WINDOW)]
+        for h, c in zip(*(x.tolist() for x in np.unique(hashes, return_counts=True))):
+            words[y][h] = words[y].get(h, 0) + c
+    windows = [w if len(w) <= TRAIN_WINDOWS else [w[i] for i in rng.choice(len(w), TRAIN_WINDOWS, replace=False)] for w in windows]
     total = [max(1, sum(w.values())) for w in words]
     lexicon = sorted({h for w in words for h, _ in sorted(w.items(), key=lambda x: (-x[1], x[0]))[:_LEXICON]})
     model.lexicon = np.array(lexicon, dtype=np.uint64)
-    share = np.array([[(w.get(h, 0) + 0.5) / t for w, t in zip(words, total)] for h in lexicon]) if lexicon else np.zeros((0, n))
-    logs = np.log(grams / grams.sum(axis=1, keepdims=True))
-    weights = np.concatenate([(0.3 * (logs - logs.mean(axis=2, keepdims=True))).reshape(-1, n), 0.3 * (np.log(share) - np.log(share).mean(axis=1, keepdims=True))])
-    seen = (grams > 0.06).any(axis=2).reshape(-1)
-    weights[: len(seen)][~seen] = 0
-
-    trans, start = np.full((n, n), -3.0) + 3.0 * np.eye(n), np.zeros(n)
-    step_w, step_t = np.full(weights.shape, 1e-2), np.full((n, n), 1e-2)
-    base = len(_ORDERS) << _BITS
+    base, place = len(_ORDERS) << _BITS, {h: i for i, h in enumerate(lexicon)}
 
-    def sequence(y, window):
-        feats, hashes = window
+    def sequence(y, ids, starts, ends, hashes):
+        """(feature ids, label) of each word of a window."""
         out = []
-        at = np.searchsorted(model.lexicon, hashes) if len(lexicon) else np.zeros(len(hashes), dtype=int)
-        for f, h, i in zip(feats, hashes, at):
-            known = i < len(model.lexicon) and model.lexicon[i] == h
-            out.append((np.append(f, base + i) if known else f, y))
+        for s, e, h in zip((starts - 1).tolist(), (ends + 1).tolist(), hashes.tolist()):
+            own = [x[s : e - order + 1] for x, order in zip(ids, _ORDERS) if e - order + 1 > s]
+            if h in place:
+                own.append([base + place[h]])
+            out.append((np.concatenate(own), y))
         return out
 
-    pool = [(y, w) for y, ws in enumerate(by_lang) for w in (ws if len(ws) <= 1500 else [ws[i] for i in rng.choice(len(ws), 1500, replace=False)])]
+    pool = [sequence(y, *w) for y, own in enumerate(windows) for w in own]
+    grams = np.full((base + len(lexicon), n), 0.05)
+    for y in range(n):
+        own = [f for window in pool for f, label in window if label == y]
+        if own:
+            grams[:, y] += np.bincount(np.concatenate(own), minlength=len(grams))
+    share = np.array([[(w.get(h, 0) + 0.5) / t for w, t in zip(words, total)] for h in lexicon]) if lexicon else np.zeros((0, n))
+    seen = (grams > 0.06).any(axis=1)
+    counts = grams[:base].reshape(len(_ORDERS), -1, n)
+    logs = np.log(counts / counts.sum(axis=1, keepdims=True)).reshape(-1, n)
+    weights = np.concatenate([0.3 * (logs - logs.mean(axis=1, keepdims=True)), 0.3 * (np.log(share) - np.log(share).mean(axis=1, keepdims=True))])
+    weights[:base][~seen[:base]] = 0
+
+    trans, start = np.full((n, n), -3.0) + 3.0 * np.eye(n), np.zeros(n)
+    step_w, step_t = np.full(weights.shape, 1e-2), np.full((n, n), 1e-2)
     for _ in range(epochs if n > 1 and pool else 0):
         order = rng.permutation(len(pool))
         sequences = []
         for i in order:
-            own = sequence(*pool[i])
+            own = pool[i]
             if rng.random() < 0.5:  # a window that switches language
-                other = sequence(*pool[rng.integers(len(pool))])
+                other = pool[rng.integers(len(pool))]
                 k = int(rng.integers(1, WINDOW))
                 own = (own[:k] + other)[:WINDOW]
             if own:
