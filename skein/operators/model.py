@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skein.functions import geometry as g
 from skein.functions.scalar import fraction_rank, percentile_of
 
+from .pairs import numbered
+
 
 def shared_points(obs: DataFrame) -> DataFrame:
     """Images that see the same points: (image_id1 < image_id2, shared)."""
@@ -248,10 +250,10 @@ def images_to_drop(images: DataFrame, cameras: DataFrame, obs: DataFrame, **limi
     return rows.filter(F.col("n").isNull() | bogus(**limits)).select("image_id")
 
 
-def next_images(candidates: DataFrame, score: Column) -> DataFrame:
+def next_images(candidates: DataFrame, score: str) -> DataFrame:
     """Rank of images to register: untried first, then by score, then by id."""
-    order = Window.partitionBy(F.lit(0)).orderBy("trials", F.desc(score), "image_id")
-    return candidates.withColumn("rank", F.row_number().over(order))
+    rows = candidates.withColumn("_score", -F.col(score))
+    return numbered(rows, ["trials", "_score", "image_id"], "rank").withColumn("rank", (F.col("rank") + 1).cast("int")).drop("_score")
 
 
 def initial_pairs(cameras: DataFrame, images: DataFrame, correspondences: DataFrame) -> DataFrame:

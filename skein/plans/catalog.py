@@ -112,9 +112,9 @@ def store_merge(v):
 
 
 @query("""SELECT part, image_id, name, dense_rank() OVER (ORDER BY name) AS global_id, row_number() OVER (PARTITION BY name ORDER BY part, image_id) = 1 AS wins
-    FROM (SELECT unnest([0, 1]) AS part, image_id, name FROM {images} WHERE image_id % 50 < 20) p WHERE (image_id + part) % 3 > 0""")
+    FROM (SELECT unnest([0, 1]) AS part, image_id, name FROM {images}) p WHERE (image_id + part) % 3 > 0""")
 def store_merge_by_name(v):
-    parts = v("images").filter("image_id % 50 < 20").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("part"), "image_id", "name").filter("(image_id + part) % 3 > 0")
+    parts = v("images").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("part"), "image_id", "name").filter("(image_id + part) % 3 > 0")
     return store.merge_by_name(parts)
 
 
@@ -159,9 +159,9 @@ def visibility_lists(v):
 # Pair generators ---------------------------------------------------------------------
 
 
-@query("SELECT a.camera_id AS image_id1, b.camera_id AS image_id2 FROM {cameras} a JOIN {cameras} b ON a.camera_id < b.camera_id WHERE a.camera_id < 300 AND b.camera_id < 300")
+@query("SELECT a.camera_id AS image_id1, b.camera_id AS image_id2 FROM {cameras} a JOIN {cameras} b ON a.camera_id < b.camera_id")
 def pairs_exhaustive(v):
-    return pairs.exhaustive(v("cameras").filter("camera_id < 300").select(F.col("camera_id").alias("image_id")))
+    return pairs.exhaustive(v("cameras").select(F.col("camera_id").alias("image_id")))
 
 
 _SEQUENCE = """SELECT DISTINCT least(a.image_id, b.image_id) AS image_id1, greatest(a.image_id, b.image_id) AS image_id2
@@ -278,7 +278,7 @@ def filter_reprojection(v):
 _ANGLE = _POSE + """, q AS (SELECT a.point_id, a.image_id AS image_id1, b.image_id AS image_id2,
     (a.c0-b.c0)*(a.c0-b.c0)+(a.c1-b.c1)*(a.c1-b.c1)+(a.c2-b.c2)*(a.c2-b.c2) AS base,
     (a.px-a.c0)*(a.px-a.c0)+(a.py-a.c1)*(a.py-a.c1)+(a.pz-a.c2)*(a.pz-a.c2) AS r1, (b.px-b.c0)*(b.px-b.c0)+(b.py-b.c1)*(b.py-b.c1)+(b.pz-b.c2)*(b.pz-b.c2) AS r2
-    FROM r a JOIN r b ON a.point_id = b.point_id AND a.image_id < b.image_id WHERE a.image_id < 3000 AND b.image_id < 3000),
+    FROM r a JOIN r b ON a.point_id = b.point_id AND a.image_id < b.image_id),
     g AS (SELECT *, CASE WHEN r1 = 0 OR r2 = 0 THEN 0 ELSE acos(greatest(-1, least(1, (r1 + r2 - base) / (2 * sqrt(r1 * r2))))) END AS a FROM q),
     h AS (SELECT point_id, image_id1, image_id2, least(a, pi() - a) AS angle FROM g)
 """
@@ -286,17 +286,17 @@ _ANGLE = _POSE + """, q AS (SELECT a.point_id, a.image_id AS image_id1, b.image_
 
 @query(_ANGLE + "SELECT point_id, round(max(angle), 6) AS angle FROM h GROUP BY point_id")
 def widest_angle(v):
-    return model.pair_angles(v("seen").filter("image_id < 3000")).groupBy("point_id").agg(F.round(F.max("angle"), 6).alias("angle"))
+    return model.pair_angles(v("seen")).groupBy("point_id").agg(F.round(F.max("angle"), 6).alias("angle"))
 
 
-@query(_ANGLE + ", w AS (SELECT point_id FROM h GROUP BY point_id HAVING max(angle) >= radians(60)) SELECT image_id, idx, point_id FROM r WHERE image_id < 3000 AND point_id IN (SELECT point_id FROM w)")
+@query(_ANGLE + ", w AS (SELECT point_id FROM h GROUP BY point_id HAVING max(angle) >= radians(60)) SELECT image_id, idx, point_id FROM r WHERE point_id IN (SELECT point_id FROM w)")
 def filter_angle(v):
-    return model.filter_angle(v("seen").filter("image_id < 3000"), 60.0).select("image_id", "idx", "point_id")
+    return model.filter_angle(v("seen"), 60.0).select("image_id", "idx", "point_id")
 
 
 @query(_ANGLE + """SELECT image_id1, image_id2, round(list_sort(list(angle))[CAST(floor(0.75 * (count(*) - 1) + 0.5) AS BIGINT) + 1], 6) AS angle FROM h GROUP BY image_id1, image_id2 HAVING count(*) > 1""")
 def angle_percentile(v):
-    angles = model.pair_angles(v("seen").filter("image_id < 3000"))
+    angles = model.pair_angles(v("seen"))
     several = angles.groupBy("image_id1", "image_id2").agg(F.count("*").alias("n")).filter("n > 1").select("image_id1", "image_id2")
     return model.angle_percentile(angles.join(several, ["image_id1", "image_id2"], "left_semi")).select("image_id1", "image_id2", F.round("angle", 6).alias("angle"))
 
@@ -331,16 +331,16 @@ def one_per_image(v):
     return model.one_per_image(rows, order=["first"])
 
 
-@query(_POSE + "SELECT point_id, CAST(least(count(*), 25) AS BIGINT) AS length, round(avg(error2), 2) AS mean_error2 FROM r WHERE depth > 5 GROUP BY point_id")
+@query(_POSE + "SELECT point_id, CAST(least(count(*), 25) AS BIGINT) AS length, round(avg(error2), 2) AS mean_error2 FROM r WHERE depth > 0 GROUP BY point_id")
 def track_stats(v):
-    return model.track_statistics(model.with_error(v("seen")).filter("depth > 5"), 25).select("point_id", F.col("length").cast("long").alias("length"), F.round("mean_error2", 2).alias("mean_error2"))
+    return model.track_statistics(model.with_error(v("seen")).filter("depth > 0"), 25).select("point_id", F.col("length").cast("long").alias("length"), F.round("mean_error2", 2).alias("mean_error2"))
 
 
-@query(_POSE + """, t AS (SELECT point_id, least(count(*), 25) AS length, avg(error2) AS m FROM r WHERE depth > 5 GROUP BY point_id)
+@query(_POSE + """, t AS (SELECT point_id, least(count(*), 25) AS length, avg(error2) AS m FROM r WHERE depth > 0 GROUP BY point_id)
     SELECT image_id, cx, cy, point_id FROM (SELECT image_id, cx, cy, r.point_id, row_number() OVER (PARTITION BY image_id, cx, cy ORDER BY length, round(m, 6), r.point_id) AS k
-    FROM (SELECT image_id, point_id, CAST(trunc(x / 100) AS INTEGER) AS cx, CAST(trunc(y / 100) AS INTEGER) AS cy FROM r WHERE depth > 5) r JOIN t ON r.point_id = t.point_id) q WHERE k = 1""")
+    FROM (SELECT image_id, point_id, CAST(trunc(x / 100) AS INTEGER) AS cx, CAST(trunc(y / 100) AS INTEGER) AS cy FROM r WHERE depth > 0) r JOIN t ON r.point_id = t.point_id) q WHERE k = 1""")
 def grid_best_track(v):
-    seen = model.with_error(v("seen")).filter("depth > 5")
+    seen = model.with_error(v("seen")).filter("depth > 0")
     return model.grid_best(seen, model.track_statistics(seen, 25))
 
 
@@ -386,11 +386,11 @@ def initial_pairs(v):
     return model.initial_pairs(v("cameras"), v("images"), v("sparse")).select("image_id1", "image_id2", "shared", "rank")
 
 
-@query("""SELECT i.image_id, CAST(row_number() OVER (ORDER BY trials, n DESC, i.image_id) AS INTEGER) AS rank FROM (SELECT image_id, image_id % 2 AS trials FROM {images} WHERE image_id < 500) i
+@query("""SELECT i.image_id, CAST(row_number() OVER (ORDER BY trials, n DESC, i.image_id) AS INTEGER) AS rank FROM (SELECT image_id, image_id % 2 AS trials FROM {images}) i
     JOIN (SELECT image_id, count(*) AS n FROM {obs} GROUP BY image_id) o ON i.image_id = o.image_id""")
 def next_images(v):
-    rows = v("images").filter("image_id < 500").select("image_id", (F.col("image_id") % 2).alias("trials")).join(v("obs").groupBy("image_id").agg(F.count("*").alias("n")), "image_id")
-    return model.next_images(rows, F.col("n")).select("image_id", "rank")
+    rows = v("images").select("image_id", (F.col("image_id") % 2).alias("trials")).join(v("obs").groupBy("image_id").agg(F.count("*").alias("n")), "image_id")
+    return model.next_images(rows, "n").select("image_id", "rank")
 
 
 # Correspondences ---------------------------------------------------------------------------
@@ -417,13 +417,13 @@ def two_view_observations(v):
     return model.two_view_observations(model.correspondences(v("matches")))
 
 
-@query(_CORR + """, s AS (SELECT DISTINCT image_id, idx FROM c WHERE image_id % 20 = 0),
+@query(_CORR + """, s AS (SELECT DISTINCT image_id, idx FROM c),
     one AS (SELECT s.image_id AS s, s.idx AS si, c.other AS i, c.other_idx AS x FROM s JOIN c ON s.image_id = c.image_id AND s.idx = c.idx),
     two AS (SELECT one.s, one.si, c.other AS i, c.other_idx AS x FROM one JOIN c ON one.i = c.image_id AND one.x = c.idx)
     SELECT s, si AS sidx, i AS image_id, x AS idx, CAST(min(k) AS INTEGER) AS depth FROM (SELECT *, 1 AS k FROM one UNION ALL SELECT *, 2 FROM two) t WHERE NOT (s = i AND si = x) GROUP BY ALL""")
 def transitive_correspondences(v):
     corr = cut(model.correspondences(v("matches")))
-    return model.reachable(corr, corr.filter("image_id % 20 = 0").select("image_id", "idx").distinct(), 2)
+    return model.reachable(corr, corr.select("image_id", "idx").distinct(), 2)
 
 
 @query(_CORR + "SELECT c.image_id, count(DISTINCT c.idx) AS visible FROM c JOIN {obs} o ON c.other = o.image_id AND c.other_idx = o.idx WHERE o.point_id % 2 = 0 GROUP BY c.image_id")
@@ -437,9 +437,9 @@ def pair_statistics(v):
     return model.pair_statistics(model.correspondences(v("matches")), obs).select("image_id1", "image_id2", "total", F.coalesce("triangulated", F.lit(0)).cast("long").alias("triangulated"))
 
 
-@query("""SELECT 2 * (SELECT count(*) FROM {obs} WHERE image_id < 100 OR point_id IN (SELECT point_id FROM {obs} WHERE image_id < 100)) AS residuals""")
+@query("""SELECT 2 * (SELECT count(*) FROM {obs} WHERE image_id IN (SELECT image_id FROM {images} JOIN {cameras} USING (camera_id) WHERE prior_focal) OR point_id IN (SELECT point_id FROM {obs} WHERE image_id IN (SELECT image_id FROM {images} JOIN {cameras} USING (camera_id) WHERE prior_focal))) AS residuals""")
 def bundle_residuals(v):
-    return model.bundle_residuals(v("obs"), v("images").filter("image_id < 100"))
+    return model.bundle_residuals(v("obs"), v("images").join(v("cameras").filter("prior_focal").select("camera_id"), "camera_id", "left_semi"))
 
 
 # Geometry expressions --------------------------------------------------------------------------
@@ -485,12 +485,11 @@ def projections(v):
     return rows.select("camera_id", "point_id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
 
 
-@query("""SELECT o_orderkey AS id, round(1 / (1 + exp(-CAST(o_orderkey % 9 - 4 AS DOUBLE))), 6) AS sigmoid, CAST(factorial(CAST(o_orderkey % 12 AS INTEGER)) / (factorial(CAST(o_orderkey % 4 AS INTEGER)) * factorial(greatest(0, CAST(o_orderkey % 12 - o_orderkey % 4 AS INTEGER)))) AS BIGINT) AS choose,
-    least(greatest(CAST(o_orderkey % 400 - 50 AS INTEGER), 0), 255) AS clipped, round(radians(o_orderkey % 360), 6) AS rad, o_orderkey % 100 + 1 AS samples FROM {orders} WHERE o_orderkey % 12 >= o_orderkey % 4""")
+@query("""SELECT o_orderkey AS id, round(1 / (1 + exp(-CAST(o_orderkey % 9 - 4 AS DOUBLE))), 6) AS sigmoid, CAST(CASE WHEN o_orderkey % 12 < o_orderkey % 4 THEN 0 ELSE factorial(CAST(o_orderkey % 12 AS INTEGER)) / (factorial(CAST(o_orderkey % 4 AS INTEGER)) * factorial(greatest(0, CAST(o_orderkey % 12 - o_orderkey % 4 AS INTEGER)))) END AS BIGINT) AS choose,
+    least(greatest(CAST(o_orderkey % 400 - 50 AS INTEGER), 0), 255) AS clipped, round(radians(o_orderkey % 360), 6) AS rad, o_orderkey % 100 + 1 AS samples FROM {orders}""")
 def scalar_functions(v):
     k = F.col("o_orderkey")
-    rows = v("orders").filter("o_orderkey % 12 >= o_orderkey % 4")
-    return rows.select(
+    return v("orders").select(
         k.alias("id"), F.round(s.sigmoid((k % 9 - 4).cast("double")), 6).alias("sigmoid"), s.choose(k % 12, k % 4).alias("choose"),
         s.truncated(k % 400 - 50).alias("clipped"), F.round(F.radians(k % 360), 6).alias("rad"), (k % 100 + 1).alias("samples"),
     )
@@ -511,10 +510,10 @@ def group_statistics(v):
     return rows.agg(F.count("*").alias("n"), F.round(F.median(price), 4).alias("median"), F.round(F.avg(price), 4).alias("mean"), F.round(F.var_samp(price), 2).alias("variance"), F.round(s.percentile_of(price, 75.0), 4).alias("p75"))
 
 
-@query("SELECT CAST(2 AS BIGINT) AS k, 6905 AS trials")
+@query("""SELECT o_orderkey AS k, CAST(CASE WHEN o_orderkey % 100 = 99 THEN 1 ELSE greatest(1, ceil(ln(1 - 0.999::DOUBLE) / ln(1 - pow((o_orderkey % 100 + 1) / 100.0::DOUBLE, 3)))) END AS BIGINT) AS trials FROM {orders}""")
 def ransac_trials(v):
-    one = v("region").limit(1).select(F.lit(2).cast("long").alias("k"))
-    return one.select("k", s.ransac_trials(F.lit(10.0), F.lit(100.0), F.lit(0.999)).cast("int").alias("trials"))
+    inliers = (F.col("o_orderkey") % 100 + 1).cast("double")
+    return v("orders").select(F.col("o_orderkey").alias("k"), s.ransac_trials(inliers, F.lit(100.0), F.lit(0.999)).alias("trials"))
 
 
 @query("SELECT name, ln(1 + n) / ln(1 + most) AS unused, round(ln(1 + n) / ln(1 + most), 6) AS value FROM (SELECT CAST(src AS VARCHAR) || '-' || CAST(dst AS VARCHAR) AS name, weight AS n, max(weight) OVER () AS most FROM {dense}) t".replace("ln(1 + n) / ln(1 + most) AS unused, ", ""))
@@ -616,17 +615,17 @@ def open_wedges(v):
 
 
 @query("""RECURSIVE
-    u AS (SELECT src AS a, dst AS b FROM {viewgraph} WHERE (src + dst) % 9 = 0 UNION SELECT dst, src FROM {viewgraph} WHERE (src + dst) % 9 = 0),
+    u AS (SELECT src AS a, dst AS b FROM {viewgraph} UNION SELECT dst, src FROM {viewgraph}),
     d AS (SELECT CAST(0 AS BIGINT) AS id, 0 AS k UNION SELECT u.b, d.k + 1 FROM d JOIN u ON d.id = u.a WHERE d.k < 40)
     SELECT id, min(k) AS distance FROM d GROUP BY id""")
 def bfs_distance(v):
-    edges = v("viewgraph").filter("(src + dst) % 9 = 0").select("src", "dst", "weight")
+    edges = v("viewgraph").select("src", "dst", "weight")
     return graph.distances(edges, 0).select("id", "distance")
 
 
 @query()
 def bfs_path(v):
-    edges = v("viewgraph").filter("(src + dst) % 9 = 0").select("src", "dst", "weight")
+    edges = v("viewgraph").select("src", "dst", "weight")
     return graph.shortest_path(edges, 0, 9)
 
 
@@ -663,18 +662,18 @@ def cluster_tree(v):
 
 
 @query("""--with
-    l AS (SELECT image_id AS id, image_id % 5 AS label FROM {images} WHERE image_id < 100), e AS (SELECT src, dst, weight FROM {dense})
+    l AS (SELECT camera_id AS id, camera_id % 5 AS label FROM {cameras}), e AS (SELECT src, dst, weight FROM {dense})
     SELECT min(a.label) AS l1, max(b.label) AS l2, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM e JOIN l a ON a.id = src JOIN l b ON b.id = dst WHERE a.label <> b.label GROUP BY least(a.label, b.label), greatest(a.label, b.label)""".replace("min(a.label)", "least(min(a.label), min(b.label))").replace("max(b.label)", "greatest(max(a.label), max(b.label))"))
 def lost_edges(v):
-    labels = v("images").filter("image_id < 100").select(F.col("image_id").alias("id"), (F.col("image_id") % 5).alias("label"))
+    labels = v("cameras").select(F.col("camera_id").alias("id"), (F.col("camera_id") % 5).alias("label"))
     return partition.split_edges(v("dense"), labels)[1].groupBy("l1", "l2").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
 
 
 def _members(v):
-    return v("images").filter("image_id < 1000").select((F.col("image_id") % 7).alias("label"), F.col("image_id").alias("id")).unionByName(v("images").filter("image_id < 1000 AND image_id % 3 = 0").select((F.col("image_id") % 5).alias("label"), F.col("image_id").alias("id"))).distinct()
+    return v("images").select((F.col("image_id") % 7).alias("label"), F.col("image_id").alias("id")).unionByName(v("images").filter("image_id % 3 = 0").select((F.col("image_id") % 5).alias("label"), F.col("image_id").alias("id"))).distinct()
 
 
-_MEMBERS = "m AS (SELECT image_id % 7 AS label, image_id AS id FROM {images} WHERE image_id < 1000 UNION SELECT image_id % 5, image_id FROM {images} WHERE image_id < 1000 AND image_id % 3 = 0)"
+_MEMBERS = "m AS (SELECT image_id % 7 AS label, image_id AS id FROM {images} UNION SELECT image_id % 5, image_id FROM {images} WHERE image_id % 3 = 0)"
 
 
 @query("--with\n" + _MEMBERS + " SELECT a.label AS label1, b.label AS label2, count(*) AS common FROM m a JOIN m b ON a.id = b.id AND a.label < b.label GROUP BY a.label, b.label")
@@ -688,12 +687,12 @@ def repeated_ratio(v):
 
 
 @query("""--with
-    l AS (SELECT image_id AS id, image_id % 5 AS label FROM {images} WHERE image_id < 100),
+    l AS (SELECT camera_id AS id, camera_id % 5 AS label FROM {cameras}),
     e AS (SELECT a.label AS la, b.label AS lb, weight FROM {dense} JOIN l a ON a.id = src JOIN l b ON b.id = dst),
     s AS (SELECT la AS label, weight, la <> lb AS cut FROM e UNION ALL SELECT lb, weight, la <> lb FROM e)
     SELECT label, CAST(sum(weight) AS BIGINT) AS volume, CAST(sum(CASE WHEN cut THEN weight ELSE 0 END) AS BIGINT) AS cut, round(sum(CASE WHEN cut THEN weight ELSE 0 END) / CAST(sum(weight) AS DOUBLE), 6) AS share FROM s GROUP BY label""")
 def cut_values(v):
-    labels = v("images").filter("image_id < 100").select(F.col("image_id").alias("id"), (F.col("image_id") % 5).alias("label"))
+    labels = v("cameras").select(F.col("camera_id").alias("id"), (F.col("camera_id") % 5).alias("label"))
     return graph.cut_values(v("dense"), labels)
 
 
@@ -725,41 +724,36 @@ def tfidf_topk(v):
     return retrieval.search(queries, v("words"), 5).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
-def _signs(v):
-    sig = s.pack_bits(F.transform("embedding", lambda x: x > 0))
-    return v("embeddings").select("vec_id", sig.alias("sig"))
-
-
 @query("""--with
-    b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM {embeddings} WHERE vec_id < 400),
-    h AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.bits[i] <> b.bits[i] THEN 1 ELSE 0 END)) AS d FROM b a JOIN b ON a.vec_id < b.vec_id AND a.vec_id % 20 = 0)
+    b AS (SELECT vec_id, label, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM {embeddings}),
+    h AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.bits[i] <> b.bits[i] THEN 1 ELSE 0 END)) AS d FROM b a JOIN b ON a.vec_id < b.vec_id AND a.label = b.label)
     SELECT a, b, CAST(d AS INTEGER) AS distance, round(exp(-d * d / 256.0), 6) AS weight FROM h WHERE d <= 24""")
 def hamming_score(v):
-    rows = _signs(v).filter("vec_id < 400")
-    both = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("sig").alias("x"), F.explode(F.lit(F.array(F.lit(0)))).alias("k")).join(rows.select(F.col("vec_id").alias("b"), "sig", F.lit(0).alias("k")), "k").filter("a < b")
-    d = F.bit_count(F.col("x").bitwiseXOR(F.col("sig")))
-    return both.select("a", "b", d.alias("distance")).filter("distance <= 24").select("a", "b", "distance", F.round(s.hamming_weight(F.col("distance")), 6).alias("weight"))
+    rows = v("embeddings").select("vec_id", "label", s.pack_bits(F.transform("embedding", lambda x: x > 0)).alias("sig"))
+    both = rows.select(F.col("vec_id").alias("a"), F.col("sig").alias("x"), "label").join(rows.select(F.col("vec_id").alias("b"), "sig", "label"), "label").filter("a < b")
+    near = both.select("a", "b", F.bit_count(F.col("x").bitwiseXOR(F.col("sig"))).alias("distance")).filter("distance <= 24")
+    return near.select("a", "b", "distance", F.round(s.hamming_weight(F.col("distance")), 6).alias("weight"))
 
 
 _PRODUCT = "list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * b.embedding[i]))"
 
 
 @query(f"""SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, score FROM (SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS rank
-    FROM (SELECT a.vec_id AS query_id, b.vec_id, {_PRODUCT} AS score FROM {{embeddings}} a JOIN {{embeddings}} b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) p) t WHERE rank <= 10""")
+    FROM (SELECT a.vec_id AS query_id, b.vec_id, {_PRODUCT} AS score FROM {{embeddings}} a JOIN {{embeddings}} b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) p) t WHERE rank <= 10""")
 def cosine_topk(v):
-    return retrieval.similarities(v("embeddings").filter("vec_id % 50 = 0"), v("embeddings"), 10)
+    return retrieval.similarities(v("embeddings").filter("vec_id % 100 = 0"), v("embeddings"), 10)
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(range(0, 4), lambda i: list_max(list_transform(range(0, 4), lambda j: list_sum(list_transform(range(1, 17), lambda k: CAST(a.embedding[16 * i + k] AS DOUBLE) * b.embedding[16 * j + k])))))), 4) AS score
-    FROM {embeddings} a JOIN {embeddings} b ON a.vec_id % 25 = 0 AND b.vec_id = a.vec_id + 1""")
+    FROM {embeddings} a JOIN {embeddings} b ON b.vec_id = a.vec_id + 1""")
 def region_similarity(v):
-    a = v("embeddings").filter("vec_id % 25 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("q"), (F.col("vec_id") + 1).alias("b"))
+    a = v("embeddings").select(F.col("vec_id").alias("a"), F.col("embedding").alias("q"), (F.col("vec_id") + 1).alias("b"))
     rows = a.join(v("embeddings").select(F.col("vec_id").alias("b"), F.col("embedding").alias("v")), "b")
     return rows.select("a", "b", F.round(retrieval.region_similarity(rows), 4).alias("score"))
 
 
 @query(f"""--with
-    p AS (SELECT a.vec_id AS query_id, b.vec_id, a.label = b.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_PRODUCT}, 6) DESC, b.vec_id) AS rank FROM {{embeddings}} a JOIN {{embeddings}} b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT a.vec_id AS query_id, b.vec_id, a.label = b.label AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_PRODUCT}, 6) DESC, b.vec_id) AS rank FROM {{embeddings}} a JOIN {{embeddings}} b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
     z AS (SELECT query_id, count(*) AS size FROM p WHERE hit GROUP BY query_id),
     r AS (SELECT query_id, rank, sum(CAST(hit AS INTEGER)) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM p WHERE rank <= 20),
     c AS (SELECT r.query_id, rank, hits / CAST(size AS DOUBLE) AS recall, hits / CAST(rank AS DOUBLE) AS precision FROM r JOIN z ON z.query_id = r.query_id),
@@ -767,20 +761,20 @@ def region_similarity(v):
     SELECT query_id, round(sum(part), 6) AS ap FROM d GROUP BY query_id""")
 def mean_ap(v):
     rows = v("embeddings")
-    found = retrieval.similarities(rows.filter("vec_id % 50 = 0"), rows, 20)
-    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    found = retrieval.similarities(rows.filter("vec_id % 100 = 0"), rows, 20)
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
     truth = asked.join(rows.select("vec_id", "label"), "label").filter("query_id <> vec_id").select("query_id", "vec_id")
     return retrieval.average_precision(found, truth)
 
 
 def _feature_pairs(v):
-    a = v("embeddings").filter("vec_id % 2 = 0 AND vec_id < 400").select(F.col("vec_id").alias("a"), F.col("embedding").alias("q"), (F.col("label") % 5).alias("k"))
-    b = v("embeddings").filter("vec_id % 2 = 1 AND vec_id < 400").select(F.col("vec_id").alias("b"), F.col("embedding").alias("w"), (F.col("label") % 5).alias("k"))
+    a = v("embeddings").filter("vec_id % 2 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("q"), (F.col("label") % 5).alias("k"))
+    b = v("embeddings").filter("vec_id % 2 = 1").select(F.col("vec_id").alias("b"), F.col("embedding").alias("w"), (F.col("label") % 5).alias("k"))
     return a.join(b, "k").select("a", "b", retrieval.dot(F.col("q"), F.col("w")).alias("score"))
 
 
 _FEATURES = f"""--with
-    p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_PRODUCT} AS score FROM {{embeddings}} a JOIN {{embeddings}} b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND a.vec_id < 400 AND b.vec_id < 400 AND a.label % 5 = b.label % 5),
+    p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_PRODUCT} AS score FROM {{embeddings}} a JOIN {{embeddings}} b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND a.label % 5 = b.label % 5),
     l AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(score, 6) DESC, b) AS k FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY round(score, 6) DESC, a) AS k FROM p),
     lm AS (SELECT a, max(b) FILTER (WHERE k = 1) AS b, acos(max(score) FILTER (WHERE k = 1)) AS d1, coalesce(acos(max(score) FILTER (WHERE k = 2)), pi()) AS d2 FROM l WHERE k <= 2 GROUP BY a),
     rm AS (SELECT b, max(a) FILTER (WHERE k = 1) AS a, acos(max(score) FILTER (WHERE k = 1)) AS d1, coalesce(acos(max(score) FILTER (WHERE k = 2)), pi()) AS d2 FROM r WHERE k <= 2 GROUP BY b)

@@ -38,10 +38,10 @@ VIEWS: dict[str, str] = {
     # A dense weighted graph: suppliers that supply the same parts.
     "dense": """SELECT a.s AS src, b.s AS dst, count(*) AS weight
         FROM (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM {lineitem}) a JOIN (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM {lineitem}) b
-        ON a.p = b.p AND a.s < b.s WHERE a.s < 100 AND b.s < 100 GROUP BY a.s, b.s""",
-    # Its heavier half with a relative rotation (about z, in degrees) on each edge.
+        ON a.p = b.p AND a.s < b.s GROUP BY a.s, b.s""",
+    # Its heavy edges with a relative rotation (about z, in degrees) on each.
     "viewgraph": """SELECT src, dst, weight, CAST((dst - src) * 7 % 360 AS DOUBLE) + CASE WHEN (src * 13 + dst * 5) % 4 = 0 THEN 9.0D ELSE CAST((src + dst) % 3 AS DOUBLE) / 2 END AS turn
-        FROM {dense} WHERE weight > (SELECT avg(weight) FROM {dense})""",
+        FROM {dense} WHERE weight > (SELECT avg(weight) + 0.7D * stddev_pop(weight) FROM {dense})""",
     # Feature matches between images of the sparse graph (through common points).
     "matches": """SELECT a.image_id AS image_id1, b.image_id AS image_id2, a.idx AS idx1, b.idx AS idx2
         FROM {sparse} s JOIN {obs} a ON a.image_id = s.image_id1 JOIN {obs} b ON b.image_id = s.image_id2 AND b.point_id = a.point_id""",
