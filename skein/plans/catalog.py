@@ -625,8 +625,11 @@ def bfs_distance(v):
 
 @query()
 def bfs_path(v):
-    edges = v("viewgraph").select("src", "dst", "weight")
-    return graph.shortest_path(edges, 0, 9)
+    """From the smallest node to the one farthest from it."""
+    edges = cut(v("viewgraph").select("src", "dst", "weight"))
+    source = edges.agg(F.least(F.min("src"), F.min("dst"))).first()[0]
+    far = graph.distances(edges, source).agg(F.max(F.struct("distance", (-F.col("id")).alias("i"))).alias("m")).first()["m"]
+    return graph.shortest_path(edges, source, -far["i"])
 
 
 @query()
