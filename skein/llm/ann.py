@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import cut
+from .common import Sent, cut
 
 K = 20
 SAMPLE = 20_000
@@ -254,10 +254,10 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = K, tile_rows: int =
     if tree is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = rows.filter(F.size("embedding") == tree.sample.shape[1])
-    sent = spark.sparkContext.broadcast(tree)
+    sent = Sent(spark, tree)
     filed = cut(rows.mapInArrow(_filer(sent), "vec_id bigint, embedding array<double>, leaf int"))
     calibrate(tree, filed, recall=recall, k=k)
-    sent = spark.sparkContext.broadcast(tree)
+    sent = Sent(spark, tree)
     queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(_walker(sent, k), "query_id bigint, query array<double>, floor double, leaves array<int>, known array<bigint>, products array<double>")
     queries = cut(queries)
     visits = queries.select("query_id", "query", "floor", F.explode("leaves").alias("leaf"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein.session import cut, shared_dir
@@ -33,6 +34,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Sent:
+    """A broadcast object of this package's classes, carried by value.
+
+    Plain broadcasts name the class of what they hold, which executors without
+    the package could not find.
+    """
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value = None
+
+    def __getstate__(self):
+        return {"_bytes": self._bytes, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = cloudpickle.loads(self._bytes.value)
+        return self._value
+
+    def unpersist(self) -> None:
+        self._bytes.unpersist()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a path made by ``scratch``."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ALNUM, WordHasher, joined, shingle_hashes, text_groups
+from .common import ALNUM, Sent, WordHasher, joined, shingle_hashes, text_groups
 
 WINDOW = 10
 SHINGLE = 3
@@ -201,14 +201,14 @@ def indexes(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
         index = Index(rows, window)
         if not index.windows:
             return None
-        sent = spark.sparkContext.broadcast(index)
+        sent = Sent(spark, index)
         counts = {k: np.zeros(len(v), dtype=np.int64) for k, v in index.vocab.items()}
         counted = docs.select(F.col(text)).mapInArrow(_counter(sent), "k int, at bigint, n bigint").groupBy("k", "at").agg(F.sum("n").alias("n"))
         for k, at, n in counted.toLocalIterator():  # at most the block's vocabulary
             counts[k][at] = n
         sent.unpersist()
         index.rank(counts)
-        return spark.sparkContext.broadcast(index)
+        return Sent(spark, index)
 
     rows = benchmark.select(F.col("item_id").cast("string"), F.col(text)).filter(F.col("item_id").isNotNull() & F.col(text).isNotNull())
     for item, value in rows.toLocalIterator():
@@ -235,7 +235,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
     docs = docs.select("doc_id", "text")
     found = [docs.mapInArrow(_finder(i), FOUND) for i in indexes(docs, benchmark, window, block_words) if i is not None]
     if not found:
-        found = [docs.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(_ranked_empty(window))), FOUND)]
+        found = [docs.mapInArrow(_finder(Sent(docs.sparkSession, _ranked_empty(window))), FOUND)]
     if len(found) == 1:
         return found[0]
     # n_words tells rows of a repeated id apart unless they are equally long.

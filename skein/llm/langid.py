@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WordHasher, _byte_table, joined, text_groups
+from .common import Sent, WordHasher, _byte_table, joined, text_groups
 from .crf import forward_backward
 
 WINDOW = 32
@@ -281,11 +281,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     texts get equal results; ties go to the first language in code-point order;
     an empty table gives no rows. Other columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_predictor(sent), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def drop_unidentified(docs: DataFrame, model: Model, *, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without rows of no language or a score below ``min_score``; all columns stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
     return docs.mapInArrow(_keeper(sent, docs.columns.index("text"), min_score), docs.schema)

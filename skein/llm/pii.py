@@ -19,12 +19,12 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import Sent
 from .crf import forward_backward, viterbi
 
 #: In the order in which equal starts are listed.
@@ -186,14 +186,22 @@ def labelled_table(copies: int = 12, seed: int = 5) -> list[tuple[str, str]]:
     return out
 
 
-_CLASS = [(re.compile(r"[A-Z]+"), "X"), (re.compile(r"[^\W\d_A-Z]+"), "x")]
+_SHAPES: dict[str, tuple[str, str]] = {}
 
 
-@lru_cache(1 << 16)
 def shape(word: str) -> tuple[str, str]:
-    """(shape with run lengths up to 4, shape with runs collapsed)."""
+    """(shape with run lengths, shape with runs collapsed), of 64 characters."""
+    word = word[:64]
+    if word not in _SHAPES:
+        if len(_SHAPES) >= 1 << 16:
+            _SHAPES.clear()
+        _SHAPES[word] = _shape(word)
+    return _SHAPES[word]
+
+
+def _shape(word: str) -> tuple[str, str]:
     out, short, i = [], [], 0
-    kinds = ["9" if c in "0123456789" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:64]]
+    kinds = ["9" if c in "0123456789" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word]
     while i < len(kinds):
         j = i
         while j < len(kinds) and kinds[j] == kinds[i]:
@@ -426,14 +434,14 @@ def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
     table gives no rows. Other columns are ignored.
     """
     model = model or train(labelled_table())
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
     return docs.select("doc_id", "text").mapInArrow(_finder(sent), FOUND)
 
 
 def masked(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``<KIND>``."""
     model, at = model or train(labelled_table()), docs.columns.index("text")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
 
     def run(batches):
         for batch in batches:

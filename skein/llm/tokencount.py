@@ -15,7 +15,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, scratch
+from .common import Sent, cut, scratch
 
 LIMIT = 4096
 CACHE = "digest binary, version string, n_tokens bigint"
@@ -109,7 +109,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     missing = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known.select("digest"), "digest", "left_anti")
     texts = docs.select("doc_id", digest, text.alias("text"))
     wanted = texts.join(missing, (texts["digest"] == missing["digest"]) & texts["doc_id"].eqNullSafe(missing["doc_id"]), "left_semi").select("digest", "text")
-    sent = spark.sparkContext.broadcast(tokenizer)
+    sent = Sent(spark, tokenizer)
     counted = wanted.mapInArrow(_encoder(sent), "digest binary, n_tokens bigint")
     counted.select("digest", F.lit(tokenizer.version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     known = spark.read.parquet(cache).filter(F.col("version") == tokenizer.version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
