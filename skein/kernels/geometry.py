@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .robust import least_absolute, polynomial_roots, ransac
+
 # Cameras ---------------------------------------------------------------------
 
 #: Camera models by number: name and parameter names (fixed values).
@@ -164,8 +166,6 @@ def average_rotations(n: int, rows, cols, relative: np.ndarray, *, rounds: int =
     a = np.zeros((m, n))
     a[np.arange(m), cols], a[np.arange(m), rows] = 1, -1
     a = a[:, 1:]
-    from .robust import least_absolute
-
     for k in range(rounds):
         off = np.array([log_rotation(out[j].T @ r @ out[i]) for i, j, r in zip(rows, cols, relative)])
         if robust and k < 5:
@@ -237,8 +237,6 @@ class Fundamental7(Fundamental8):
         f1, f2 = np.linalg.svd(rows)[2][-2:].reshape(2, 3, 3)
         at = np.array([0.0, 1.0, -1.0, 2.0])
         cubic = np.linalg.solve(np.vander(at, 4), [np.linalg.det(k * f1 + (1 - k) * f2) for k in at])
-        from .robust import polynomial_roots
-
         return [k.real * f1 + (1 - k.real) * f2 for k in polynomial_roots(cubic) if abs(k.imag) < 1e-9]
 
 
@@ -327,8 +325,6 @@ def two_view(x: np.ndarray, y: np.ndarray, *, calibrated: bool, most: float, lea
     Points are normalised coordinates if ``calibrated``, else pixels; ``most``
     bounds residuals in the same unit. Configurations are numbered as in the store.
     """
-    from .robust import ransac
-
     none = {"config": 1, "inliers": np.zeros(len(x), dtype=bool), "R": None, "t": None, "angle": 0.0}
     if len(x) < least:
         return none
@@ -352,8 +348,6 @@ def two_view(x: np.ndarray, y: np.ndarray, *, calibrated: bool, most: float, lea
 
 def watermark(x: np.ndarray, y: np.ndarray, width: float, height: float, *, border: float = 0.1, share: float = 0.7, most: float = 4.0) -> bool:
     """Whether most matches lie in the border and agree with a pure shift."""
-    from .robust import ransac
-
     d = border * np.hypot(width, height)
     edge = lambda p: (p[:, 0] < d) | (p[:, 1] < d) | (p[:, 0] > width - d) | (p[:, 1] > height - d)
     near = edge(x) & edge(y)
@@ -440,8 +434,6 @@ class P3P(PnP):
     def fit(self, x, y):
         if len(x) >= 6:
             return super().fit(x, y)
-        from .robust import polynomial_roots
-
         ray = np.column_stack([y[:3], np.ones(3)])
         ray /= np.linalg.norm(ray, axis=1, keepdims=True)
         a2, b2, c2 = (((x[i] - x[j]) ** 2).sum() for i, j in ((1, 2), (0, 2), (0, 1)))
