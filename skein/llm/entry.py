@@ -36,6 +36,10 @@ def op7_jaccard(spark, sf_dir):
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_links(spark, sf_dir):
+    return jaccard.links(table(spark, sf_dir, "documents"))
+
+
 def op8_tokencount(spark, sf_dir):
     import public_tokenizers
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_linededup": op5_linededup,
     "op6_langid": op6_langid,
     "op7_jaccard": op7_jaccard,
+    "op7_links": op7_links,
     "op8_tokencount": op8_tokencount,
     "op9_ann": op9_ann,
     "op10_chat": op10_chat,
@@ -68,5 +73,6 @@ ORACLES = {
     "op2_mixing": mixing.ORACLE,
     "op5_linededup": linededup.ORACLE,
     "op7_jaccard": jaccard.ORACLE,
+    "op7_links": jaccard.LINKS_ORACLE,
     "op10_chat": chat.ORACLE,
 }

@@ -21,9 +21,11 @@ documents link when the sets' Jaccard similarity reaches ``threshold``.
 5. Links give components. Where holders of an n-gram are still in different
    components, all their pairs across components are verified the same way that
    lengths and positions allow (nothing before the first common n-gram is common,
-   which bounds the overlap by what follows it). Pairs within a component need no check: they cannot
-   change the groups. So no link that matters is lost and no group is expanded
-   into all its pairs.
+   which bounds the overlap by what follows it). Pairs within a component need no check for the groups: they cannot
+   change them. So no link that connects is lost and ``groups`` expands no group into all its pairs.
+6. ``links`` returns each document's number of links, for which all linked pairs are found. They lie within
+   components. A component's sets are dealt to blocks; where two blocks hold the same prefix n-gram, its holders
+   meet in a tile, and a trie of the one block's is probed with the other's. The work grows with the number of links.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ THRESHOLD = (75, 100)
 SLACK = 16
 #: Prefix n-grams of a set that look for a star's centre; step 5 uses all.
 STARS = 16
+#: Sets and n-grams of a block of step 6.
+BLOCK, BLOCK_GRAMS = 64, 1 << 19
 
 
 def shingle_sets(texts: list[bytes], hasher: WordHasher, n: int = N) -> list[np.ndarray]:
@@ -392,12 +396,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, t) -> DataFrame:
     return rows.mapInArrow(_verify(t), "a bigint, b bigint")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, *, n: int = N, t=THRESHOLD) -> DataFrame:
-    """Links (a, b) between classes that connect all linked ones.
-
-    ``classes``: (digest, id, first, th, n) of the non-empty classes; ``first`` and
-    ``th`` name a document that holds the class's text.
-    """
+def _ordered_sets(docs: DataFrame, classes: DataFrame, n: int, t) -> DataFrame:
+    """Steps 2 and 3: the classes that may link, as ``ORDERED``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = lambda df: df.repartitionById(parts, F.col("pid"))
@@ -409,11 +409,23 @@ def class_links(docs: DataFrame, classes: DataFrame, *, n: int = N, t=THRESHOLD)
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     texts = texts.join(left, (texts["doc_id"] == left["first"]) & (texts["th"] == left["th"])).select("id", "text")
     ranked = dealt(texts.mapInArrow(_post_all(n, parts), POSTED)).mapInArrow(_rank(parts), POSTED)
-    ordered = cut(dealt(ranked).mapInArrow(_order(t), ORDERED))
+    return cut(dealt(ranked).mapInArrow(_order(t), ORDERED))
+
+
+def class_links(docs: DataFrame, classes: DataFrame, *, n: int = N, t=THRESHOLD) -> DataFrame:
+    """Links (a, b) between classes that connect all linked ones; ``all_links`` has the others too.
+
+    ``classes``: (digest, id, first, th, n) of the non-empty classes; ``first`` and
+    ``th`` name a document that holds the class's text.
+    """
+    return _connecting(_ordered_sets(docs, classes, n, t), t)
+
+
+def _connecting(ordered: DataFrame, t) -> DataFrame:
+    """Steps 4 and 5."""
     sets = ordered.select("id", "grams")
     # Step 4. The centre has the smallest share of n-grams of its own.
-    postings = "id bigint, n bigint, alone bigint, gram bigint, reach bigint"
-    held = cut(ordered.select("id", "n", "alone", "prefix", "at").mapInArrow(_postings(STARS), postings))
+    held = cut(ordered.select("id", "n", "alone", "prefix", "at").mapInArrow(_postings(STARS), POSTINGS))
     centres = held.groupBy("gram").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"))).alias("c"))
     reach = F.least("reach", "c.ra") * (t[0] + t[1]) >= (F.col("n") + F.col("c.na")) * t[0]
     pairs = held.join(centres, "gram").filter((F.col("id") != F.col("c.a")) & reach).groupBy(F.col("id").alias("b"), F.col("c.a").alias("a")).agg(F.count("*").alias("count"))
@@ -422,7 +434,7 @@ def class_links(docs: DataFrame, classes: DataFrame, *, n: int = N, t=THRESHOLD)
     # Step 5: holders of a prefix n-gram that are still apart and could link.
     found = cut(connected_components(links))
     sizes = ordered.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    held = ordered.select("id", "n", "alone", "prefix", "at").mapInArrow(_postings(None), postings).drop("alone").join(sizes, "id")
+    held = ordered.select("id", "n", "alone", "prefix", "at").mapInArrow(_postings(None), POSTINGS).drop("alone").join(sizes, "id")
     # Largest partner that the positions allow: (t0 + t1) reach >= t0 (n + m).
     held = held.withColumn("most", F.floor(F.lit(t[0] + t[1]) * F.col("reach") / t[0]) - F.col("n"))
     smallest = held.groupBy("gram").agg(F.min("n").alias("smallest"))
@@ -436,6 +448,55 @@ def class_links(docs: DataFrame, classes: DataFrame, *, n: int = N, t=THRESHOLD)
     return links.unionByName(_verified(rest, sets, t))
 
 
+def _tile_links(t, *, summed: bool = False):
+    """Step 6: the linked pairs of one tile (rows ``x, y, id, block, grams, copies``);
+    if ``summed``, each set's copies of its partners instead."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
+        held = [(i, b, np.frombuffer(g, dtype=np.uint64)) for i, b, g in zip(*(rows.column(c).to_pylist() for c in ("id", "block", "grams")))]
+        trie = Trie()
+        for i, b, grams in held:
+            if b == y:
+                trie.insert(grams, i)
+        found = [(i, j) for i, b, grams in held if b == x for _, _, j in trie.search(grams, t) if x != y or i < j]
+        if summed:
+            copies, more = dict(zip(rows.column("id").to_pylist(), rows.column("copies").to_pylist())), {}
+            for i, j in found:
+                more[i] = more.get(i, 0) + copies[j]
+                more[j] = more.get(j, 0) + copies[i]
+            return pa.table({"id": pa.array(more.keys(), pa.int64()), "more": pa.array(more.values(), pa.int64())})
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def all_links(docs: DataFrame, classes: DataFrame, *, n: int = N, t=THRESHOLD) -> DataFrame:
+    """All links (a, b) between ``classes``, as in ``class_links``; each pair once."""
+    return _tiles(docs, classes, n, t).applyInArrow(_tile_links(t), "a bigint, b bigint")
+
+
+def _tiles(docs: DataFrame, classes: DataFrame, n: int, t):
+    """Step 6: sets grouped by the tiles in which they meet others."""
+    ordered = _ordered_sets(docs, classes, n, t)
+    found = connected_components(_connecting(ordered, t))
+    members = ordered.select("id", "n").join(found, "id")
+    blocks = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_GRAMS)).alias("blocks"))
+    members = cut(members.join(blocks, "component").select("id", "component", F.pmod(F.xxhash64("id"), "blocks").alias("block")))
+    held = ordered.select("id", "n", "alone", "prefix", "at").mapInArrow(_postings(None), POSTINGS).select("id", "gram").join(members, "id")
+    held = cut(held)
+    here = held.groupBy("gram", "component", F.col("block").alias("other")).agg(F.count("*").alias("holders"))
+    # A holder meets those of the other blocks, and of its own if there are any.
+    meets = held.join(here, ["gram", "component"]).filter((F.col("block") != F.col("other")) | (F.col("holders") > 1))
+    meets = meets.select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block").distinct()
+    sets = ordered.select("id", "grams").join(classes.select("id", "copies"), "id")
+    return meets.join(sets, "id").groupBy("component", "x", "y")
+
+
+POSTINGS = "id bigint, n bigint, alone bigint, gram bigint, reach bigint"
+
+
 def _postings(most: int | None):
     """Each set's prefix n-grams (the first ``most`` of them): rows with ``reach``,
     the number of n-grams from there on."""
@@ -453,6 +514,33 @@ def _postings(most: int | None):
     return run
 
 
+def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Step 1: (doc_id, text), what describes each row, and the non-empty classes with their number of copies."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    described = cut(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_describe(n), SETS))
+    own = described.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
+    classes = own.agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
+    # Numbered once, as documents that repeat an id may be in several classes.
+    classes = cut(classes.select("digest", F.monotonically_increasing_id().alias("id"), F.col("first.doc_id").alias("first"), F.col("first.th").alias("th"), "n", "copies"))
+    return docs, described, classes
+
+
+def links(docs: DataFrame, *, n: int = N, t=THRESHOLD) -> DataFrame:
+    """The exact number of links of each document: ``doc_id``, ``n_shingles``, ``n_links``.
+
+    Documents, words and rows are as in ``groups``, whose groups are the components
+    over these links. Copies count each; rows without words have no links, nor have
+    rows without ``doc_id``, which count for no other row either.
+    """
+    docs, described, classes = _classes(docs, n)
+    # Summed in the tiles, so that no pair becomes a row.
+    more = _tiles(docs, classes, n, t).applyInArrow(_tile_links(t, summed=True), "id bigint, more bigint").groupBy("id").agg(F.sum("more").alias("more"))
+    counted = classes.join(more, "id", "left").select("digest", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("_links"))
+    out = described.join(counted, "digest", "left")
+    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    return out.select("doc_id", "n_shingles", F.when(alone, F.lit(0)).otherwise(F.col("_links")).cast("long").alias("n_links"))
+
+
 def groups(docs: DataFrame, *, n: int = N, t=THRESHOLD) -> DataFrame:
     """The group of each document: ``doc_id``, ``n_shingles``, ``component_id``.
 
@@ -463,11 +551,7 @@ def groups(docs: DataFrame, *, n: int = N, t=THRESHOLD) -> DataFrame:
     that repeat an id are documents of their own; an empty table gives no rows.
     Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = cut(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_describe(n), SETS))
-    classes = described.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.first("n_shingles").alias("n"))
-    # Numbered once, as documents that repeat an id may be in several classes.
-    classes = cut(classes.select("digest", F.monotonically_increasing_id().alias("id"), F.col("first.doc_id").alias("first"), F.col("first.th").alias("th"), "n"))
+    docs, described, classes = _classes(docs, n)
     found = connected_components(class_links(docs, classes, n=n, t=t))
     named = classes.select("digest", "id", "first").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -499,3 +583,14 @@ r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c AS component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) USING (doc_id)
 """
+
+#: The links of each document in DuckDB.
+LINKS_ORACLE = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+k-1], ' ') AS g FROM (SELECT doc_id, w, least(len(w), 5) AS k, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, count(*) AS n_links FROM o JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * o >= 75 * (x.n + y.n - o) GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN l ON w.doc_id = l.a
+"""

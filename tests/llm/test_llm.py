@@ -457,6 +457,51 @@ def test_op7_copies_and_chains(spark):
     assert got == [c for _, c in groups7(texts)]
 
 
+def test_op7_links_oracle(spark, duck):
+    same(entry.op7_links(spark, SF), duck, entry.ORACLES["op7_links"])
+
+
+def links7(texts):
+    sets = [sets7(t) for t in texts]
+    near = lambda a, b: (o := len(a & b)) and 100 * o >= 75 * (len(a) + len(b) - o)
+    return [sum(bool(i != j and near(a, b)) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("block", [64, 4])
+def test_op7_links(spark, monkeypatch, block):
+    """Every link counts, also where its ends are connected already; copies count each."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng, texts = random.Random(8), [None, "", "one two", "ONE two"]
+    for k in range(4):
+        words = [f"w{k}x{i}" for i in range(60)]
+        for _ in range(25):
+            now = list(words)
+            for _ in range(rng.randint(0, 2)):
+                now[rng.randrange(60)] = f"n{rng.randint(0, 10**6)}"
+            texts.append(" ".join(now))
+    words = [f"k{i}" for i in range(100)]
+    for step in range(12):
+        texts.append(" ".join(words))
+        words = words[2:] + [f"n{step}a", f"n{step}b"]
+    texts.append(texts[-1])
+    expected = links7(texts)
+    got = {r.doc_id: (r.n_shingles, r.n_links) for r in jaccard.links(table(spark, texts)).collect()}
+    assert [got[i][1] for i in range(len(texts))] == expected and max(expected) > 3
+    assert [got[i][0] for i in range(len(texts))] == [len(sets7(t)) for t in texts]
+    docs, _, classes = jaccard._classes(table(spark, texts), jaccard.N)
+    first = {r.id: r["first"] for r in classes.collect()}
+    pairs = [(first[r.a], first[r.b]) for r in jaccard.all_links(docs, classes).collect()]
+    assert len({frozenset(p) for p in pairs}) == len(pairs)
+    label = {i: i for i in range(len(texts))} | {r["doc_id"]: r["component_id"] for r in jaccard.groups(table(spark, texts)).collect()}
+    assert all(label[a] == label[b] for a, b in pairs)
+
+
+def test_op7_links_odd(spark):
+    got = jaccard.links(odd(spark)).collect()
+    assert len(got) == 9 and sorted(r.n_links for r in got) == [0] * 7 + [1, 1]
+    assert jaccard.links(empty(spark)).count() == 0
+
+
 def test_op7_trie():
     rng = np.random.default_rng(0)
     trie, sets = jaccard.Trie(), []
