@@ -7,7 +7,8 @@ that stands at the same position in at least ``min_docs`` document lines is a
 constant, every other one is generalised to ``<*>``. What remains is the line's
 template. A template that recurs in at least ``min_docs`` documents and whose
 tokens are constants to at least ``min_constant`` is boilerplate: its lines are
-dropped from every document.
+dropped from every document. Everywhere, documents are counted, not their lines:
+many lines of one document count once.
 
 Counts are pre-aggregated by hash before each shuffle, and lines of leaves too
 rare to hold a recurring template never reach the token step.
@@ -53,10 +54,13 @@ def _with_leaf(lines: DataFrame, depth: int) -> DataFrame:
 
 
 def placed_lines(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """Where each line stands: (doc_id, text hash, position, leaf, line hash)."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("_t"), F.posexplode(masked_lines(F.col("text"))).alias("_pos", "_line"))
+    """Where each line stands: (doc_id, row number, text hash, position, leaf, line hash);
+    to be stored before use, as rows are numbered anew each time."""
+    # Rows that repeat an id and text are documents of their own.
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    lines = rows.select("doc_id", "_row", F.xxhash64("text").alias("_t"), F.posexplode(masked_lines(F.col("text"))).alias("_pos", "_line"))
     lines = _with_leaf(lines, depth).filter(F.col("_n") >= min_tokens)
-    return lines.select("doc_id", "_t", "_pos", "_leaf", F.xxhash64("_line").alias("_h"))
+    return lines.select("doc_id", "_row", "_t", "_pos", "_leaf", F.xxhash64("_line").alias("_h"))
 
 
 def templates(docs: DataFrame, placed: DataFrame, *, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -67,15 +71,26 @@ def templates(docs: DataFrame, placed: DataFrame, *, depth: int = DEPTH, min_doc
     each = _with_leaf(docs.select(F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("_line")), depth).filter(F.col("_n") >= min_tokens)
     lines = cut(each.join(bounded(leaves), "_leaf", "left_semi").groupBy("_leaf", "_n", "_line").agg(F.count("*").alias("_docs")))
     tokens = lines.select("_leaf", F.xxhash64("_line").alias("_id"), "_docs", F.posexplode(F.split("_line", " ")).alias("_pos", "_token"))
-    constants = tokens.filter(F.col("_token") != VARIABLE).groupBy("_leaf", "_pos", "_token").agg(F.sum("_docs").alias("_c")).filter(F.col("_c") >= min_docs).drop("_c")
+    place = ["_leaf", "_pos", "_token"]
+    # The sum over a token's lines is the most documents it can have, the largest of them the least.
+    often = tokens.filter(F.col("_token") != VARIABLE).groupBy(place).agg(F.sum("_docs").alias("_most"), F.max("_docs").alias("_least"))
+    often = cut(often.filter(F.col("_most") >= min_docs))
+    doubtful = cut(tokens.join(often.filter(F.col("_least") < min_docs), place, "left_semi").select(*place, F.col("_id").alias("_h")))
+    held = placed.join(bounded(cut(doubtful.select("_h").distinct())), "_h", "left_semi").select("_h", "_row").distinct()
+    settled = doubtful.join(held, "_h").select(*place, "_row").distinct().groupBy(place).count().filter(F.col("count") >= min_docs)
+    constants = often.filter(F.col("_least") >= min_docs).select(place).unionByName(settled.select(place))
     kept = tokens.join(constants, ["_leaf", "_pos", "_token"], "left_semi")
     shape = kept.groupBy("_leaf", "_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "_token"))).alias("_kept"))  # at most a line's tokens
     shaped = lines.withColumn("_id", F.xxhash64("_line")).join(shape, ["_leaf", "_id"]).filter(F.size("_kept") >= F.col("_n") * min_constant)
     known = F.map_from_entries("_kept")
     template = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.coalesce(F.try_element_at(known, i), F.lit(VARIABLE))), " ")
     shaped = cut(shaped.select("_line", "_docs", template.alias("template")))
-    recurring = shaped.groupBy("template").agg(F.sum("_docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    return shaped.join(recurring, "template").select("_line", "template", "n_docs")
+    likely = shaped.groupBy("template").agg(F.sum("_docs").alias("_most")).filter(F.col("_most") >= min_docs).select("template")
+    shaped = cut(shaped.join(likely, "template", "left_semi").select("_line", "template", F.xxhash64("_line").alias("_h"), F.xxhash64("template").alias("_t")))
+    # Each document once a template, however many of its lines it holds.
+    held = placed.select("_h", "_row").join(bounded(shaped.select("_h", "_t")), "_h").select("_t", "_row").distinct()
+    recurring = held.groupBy("_t").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    return shaped.join(recurring, "_t").select("_line", "template", "n_docs")
 
 
 def drop_templates(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, **options) -> DataFrame:

@@ -323,6 +323,26 @@ def test_op5_templates(spark):
     assert (got[8].text, got[8].n_lines) == (None, 0) and got[9].text == "" and got[10].text == "two\n\nlines"
 
 
+def test_op5_counts_documents(spark):
+    """Parallel lines of one document recur nowhere; of five documents they do."""
+    sold = [f"Sold in spring to {x}" for x in ("Ann", "Bob", "Cyd", "Dan", "Eve", "Fay")]
+    alone = "\n".join(sold)
+    got = linededup.drop_templates(table(spark, [alone, "some other text stands here"])).collect()
+    assert sorted((r.n_lines, r.n_dropped) for r in got) == [(1, 0), (6, 0)]
+    got = linededup.drop_templates(table(spark, [alone, *sold[:4]])).collect()
+    assert [r.n_dropped for r in sorted(got, key=lambda r: r.doc_id)] == [6, 1, 1, 1, 1]
+    four = linededup.drop_templates(table(spark, [alone, *sold[:3]])).collect()
+    assert not any(r.n_dropped for r in four)
+    # A constant needs five documents as well: "late" stands at its place in two only.
+    parallel = "\n".join(f"We sold all of it {a} late" for a in ("oak", "elm", "fir"))
+    placed = linededup.placed_lines(table(spark, [parallel] * 2 + ["We sold all of it oak soon"] * 3)).localCheckpoint()
+    found = linededup.templates(table(spark, [parallel] * 2 + ["We sold all of it oak soon"] * 3), placed).collect()
+    assert {(r.template, r.n_docs) for r in found} == {("We sold all of it oak <*>", 5)}
+    # Rows that repeat an id and text are documents of their own.
+    same_ = spark.createDataFrame([(1, "this line recurs often", "en", "s", 0)] * 5, DOCS)
+    assert [r.n_dropped for r in linededup.drop_templates(same_).collect()] == [1] * 5
+
+
 def test_op5_odd(spark):
     out = linededup.drop_templates(odd(spark))
     assert out.count() == 9
