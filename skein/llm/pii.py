@@ -341,7 +341,9 @@ def _neighbour(text: str, at: int, step: int) -> str:
     return part[-1] if part else ""
 
 
-_LONGEST = 64
+_SHORT = 64
+#: Digits of the longest kind; each word of a number has one at least.
+_MOST_DIGITS = 19
 
 
 def added_spans(model: Model, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -349,25 +351,16 @@ def added_spans(model: Model, texts: list[str]) -> list[list[tuple[int, int, str
     owner, runs, emits = [], [], []
     for k, text in enumerate(texts):
         for run in _words(text):
-            # Longer runs are decoded in stretches; each begins as after "none".
-            for low in range(0, len(run), _LONGEST):
-                part = run[low : low + _LONGEST]
-                rows = []
-                for i, (s, e) in enumerate(part):
-                    before = text[part[i - 1][0] : part[i - 1][1]][:24] if i else _neighbour(text, s, -1)
-                    after = text[part[i + 1][0] : part[i + 1][1]][:24] if i + 1 < len(part) else _neighbour(text, e, 1)
-                    rows.append(model.emit(features(before, text[s : min(e, s + 80)], after)))
-                owner.append(k)
-                runs.append(part)
-                emits.append(rows)
+            rows = []
+            for i, (s, e) in enumerate(run):
+                before = text[run[i - 1][0] : min(run[i - 1][1], run[i - 1][0] + 24)] if i else _neighbour(text, s, -1)
+                after = text[run[i + 1][0] : min(run[i + 1][1], run[i + 1][0] + 24)] if i + 1 < len(run) else _neighbour(text, e, 1)
+                rows.append(model.emit(features(before, text[s : min(e, s + 80)], after)))
+            owner.append(k)
+            runs.append(run)
+            emits.append(rows)
     out: list[list] = [[] for _ in texts]
-    if not runs:
-        return out
-    longest = max(map(len, runs))
-    valid = np.arange(longest)[None] < np.array([len(r) for r in runs])[:, None]
-    emit = np.zeros((*valid.shape, len(KINDS) + 1))
-    emit[valid] = np.concatenate([np.array(r) for r in emits])
-    for k, run, path in zip(owner, runs, viterbi(emit, model.trans, model.start, valid).tolist()):
+    for k, run, path in zip(owner, runs, _paths(model, emits)):
         text, i = texts[k], 0
         while i < len(run):
             j = i + 1
@@ -378,10 +371,54 @@ def added_spans(model: Model, texts: list[str]) -> list[list[tuple[int, int, str
                 s, e = _stripped(part)
                 if _plausible(KINDS[path[i] - 1], part[s:e]):
                     out[k].append((run[i][0] + s, run[i][0] + e, KINDS[path[i] - 1]))
+                elif j > i + 1:
+                    out[k] += [(a, b, KINDS[path[i] - 1]) for a, b in _plausible_parts(KINDS[path[i] - 1], text, run[i:j])]
             i = j
     return out
 
 
+def _paths(model: Model, emits: list[list]) -> list[list[int]]:
+    """The best labels of each run. Runs of up to ``_SHORT`` words are one batch, longer
+    ones one a power of two, so that padding at most doubles them; none is cut."""
+    batches: dict[int, list[int]] = {}
+    for i, rows in enumerate(emits):
+        batches.setdefault(max(_SHORT, 1 << (len(rows) - 1).bit_length()), []).append(i)
+    out: list[list[int]] = [[] for _ in emits]
+    for held in batches.values():
+        sizes = np.array([len(emits[i]) for i in held])
+        valid = np.arange(sizes.max())[None] < sizes[:, None]
+        emit = np.zeros((*valid.shape, len(KINDS) + 1))
+        emit[valid] = np.concatenate([np.array(emits[i]) for i in held])
+        for i, path in zip(held, viterbi(emit, model.trans, model.start, valid).tolist()):
+            out[i] = path
+    return out
+
+
+def _plausible_parts(kind: str, text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Neighbours of one kind, told apart: disjoint plausible stretches of words that
+    cover the most words, then with the evenest numbers of digits."""
+    best: list[tuple] = [(0, 0, None)]  # of the first i words: words left out, sum of squares, last stretch
+    for i in range(1, len(words) + 1):
+        now = (best[-1][0] + 1, best[-1][1], None)
+        for first in range(i - 1, max(-1, i - 1 - _MOST_DIGITS), -1):
+            at, end = words[first][0], words[i - 1][1]
+            part = text[at:end]
+            digits = len(_NOT_DIGIT.sub("", part))
+            if kind in ("card", "phone") and digits > _MOST_DIGITS:
+                break
+            s, e = _stripped(part)
+            if _plausible(kind, part[s:e]):
+                now = min(now, (best[first][0], best[first][1] + digits**2, (first, at + s, at + e)), key=lambda x: x[:2])
+        best.append(now)
+    out, i = [], len(words)
+    while i:
+        last = best[i][2]
+        if last:
+            out.append(last[1:])
+        i = last[0] if last else i - 1
+    return out[::-1]
+
+
 def _plausible(kind: str, part: str) -> bool:
     """Hard limits of a kind: numbers of digits, checksum, an ``@``."""
     digits = _NOT_DIGIT.sub("", part)

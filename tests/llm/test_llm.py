@@ -242,6 +242,35 @@ def test_op3_adds_but_never_replaces():
     assert pii.find_spans(model, [clean])[0] == ([], [])
 
 
+def numbers(*lengths):
+    """A model that takes words of so many digits for phones."""
+    weights = np.zeros((len(lengths), len(pii.KINDS) + 1))
+    weights[:, pii.KINDS.index("phone") + 1] = 1
+    return pii.Model({f"d{n}": i for i, n in enumerate(lengths)}, weights, np.zeros((len(pii.KINDS) + 1,) * 2))
+
+
+@pytest.mark.parametrize("before", [0, 62, 63, 64, 127, 1000])
+def test_op3_long_runs_are_not_cut(before):
+    text = "19 " * before + "(030) 1234567" + " 20" * 70
+    assert [(text[s:e].lstrip("("), k) for s, e, k in pii.added_spans(numbers(3, 7), [text, "19"])[0]] == [("030) 1234567", "phone")]
+
+
+def test_op3_long_runs_have_the_best_path():
+    from skein.llm.crf import viterbi
+
+    rng = np.random.default_rng(3)
+    model = pii.Model({}, None, rng.normal(size=(5, 5)))
+    emits = [list(rng.normal(size=(n, 5))) for n in (1, 5, 64, 65, 130, 300)]
+    for rows_, path in zip(emits, pii._paths(model, emits)):
+        alone = viterbi(np.array(rows_)[None], model.trans, model.start, np.ones((1, len(rows_)), dtype=bool))[0]
+        assert path[: len(rows_)] == alone.tolist()
+
+
+def test_op3_neighbours_of_one_kind():
+    for text, expected in (("030 1234567 040 7654321", ["030 1234567", "040 7654321"]), ("1234567 " * 3, ["1234567"] * 3), ("030 030", [])):
+        assert [text[s:e] for s, e, _ in pii.added_spans(numbers(3, 7), [text])[0]] == expected
+
+
 def test_op3_rows(spark, docs, rows):
     got = {r.doc_id: r for r in entry.op3_pii(spark, SF).collect()}
     for r in rows:
