@@ -10,6 +10,11 @@ tokens are constants to at least ``min_constant`` is boilerplate: its lines are
 dropped from every document. Everywhere, documents are counted, not their lines:
 many lines of one document count once.
 
+With ``whole``, every line that is not blank is looked at, and one whose masked
+form recurs in at least ``min_docs`` documents is its own template, whatever its
+share of constants (so lines of numbers only go too); the share is asked only
+where different lines make a template.
+
 Counts are pre-aggregated by hash before each shuffle, and lines of leaves too
 rare to hold a recurring template never reach the token step.
 """
@@ -63,7 +68,7 @@ def placed_lines(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_T
     return lines.select("doc_id", "_row", "_t", "_pos", "_leaf", F.xxhash64("_line").alias("_h"))
 
 
-def templates(docs: DataFrame, placed: DataFrame, *, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def templates(docs: DataFrame, placed: DataFrame, *, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, min_tokens: int = MIN_TOKENS, whole: bool = False) -> DataFrame:
     """Masked lines (``_line``) whose template recurs, with ``template`` and ``n_docs``."""
     # A leaf of fewer lines cannot hold a template of so many documents.
     leaves = cut(placed.groupBy("_leaf").agg(F.count("*").alias("_c")).filter(F.col("_c") >= min_docs).select("_leaf"))
@@ -81,7 +86,11 @@ def templates(docs: DataFrame, placed: DataFrame, *, depth: int = DEPTH, min_doc
     constants = often.filter(F.col("_least") >= min_docs).select(place).unionByName(settled.select(place))
     kept = tokens.join(constants, ["_leaf", "_pos", "_token"], "left_semi")
     shape = kept.groupBy("_leaf", "_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "_token"))).alias("_kept"))  # at most a line's tokens
-    shaped = lines.withColumn("_id", F.xxhash64("_line")).join(shape, ["_leaf", "_id"]).filter(F.size("_kept") >= F.col("_n") * min_constant)
+    shaped = lines.withColumn("_id", F.xxhash64("_line")).join(shape, ["_leaf", "_id"], "left" if whole else "inner")
+    shaped = shaped.withColumn("_kept", F.coalesce("_kept", F.array().cast(shape.schema["_kept"].dataType)))
+    # All tokens of a line that recurs are constants or variable: it is its own template.
+    fixed = F.size("_kept") >= F.col("_n") * min_constant
+    shaped = shaped.filter(fixed | (F.col("_docs") >= min_docs) if whole else fixed)
     known = F.map_from_entries("_kept")
     template = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.coalesce(F.try_element_at(known, i), F.lit(VARIABLE))), " ")
     shaped = cut(shaped.select("_line", "_docs", template.alias("template")))
@@ -93,18 +102,19 @@ def templates(docs: DataFrame, placed: DataFrame, *, depth: int = DEPTH, min_doc
     return shaped.join(recurring, "_t").select("_line", "template", "n_docs")
 
 
-def drop_templates(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, **options) -> DataFrame:
+def drop_templates(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, whole: bool = False, **options) -> DataFrame:
     """Documents without lines of recurring templates.
 
     Returns ``docs`` with ``text`` rewritten (kept lines, joined by line feeds)
     and ``n_lines`` and ``n_dropped`` added or replaced. Blank lines and lines of
-    fewer than ``min_tokens`` tokens always stay; null text has no lines and
+    fewer than ``min_tokens`` tokens (if not ``whole``) always stay; null text has no lines and
     stays null; repeated rows count as documents of their own and are treated
     alike; an empty table gives no rows.
     """
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    min_tokens = 1 if whole else min_tokens
     placed = cut(placed_lines(docs, depth=depth, min_tokens=min_tokens))
-    dropped = cut(templates(docs, placed, depth=depth, min_tokens=min_tokens, **options).select(F.xxhash64("_line").alias("_h")).distinct())
+    dropped = cut(templates(docs, placed, depth=depth, min_tokens=min_tokens, whole=whole, **options).select(F.xxhash64("_line").alias("_h")).distinct())
     gone = placed.join(bounded(dropped), "_h", "left_semi").groupBy("doc_id", "_t").agg(F.collect_set("_pos").alias("_gone"))  # at most a document's lines
     gone = gone.select(F.struct("doc_id", "_t").alias("_key"), "_gone")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_doc"), F.struct("doc_id", F.xxhash64("text").alias("_t")).alias("_key"))
