@@ -12,9 +12,13 @@ necessary prefix of a set ordered by rarity is its single rarest shingle. So:
    candidate word for word.
 
 The benchmark is the small side. It is streamed to the driver in blocks of at
-most ``block_words`` words, so that the broadcast index has a size bound that
-does not depend on the benchmark's size; documents are scanned once per block
-and never shuffled (with several blocks only spans and ids are).
+most ``block_bytes`` bytes (a longer item is cut into pieces that overlap by
+``window - 1`` words, so that no window is lost); a block's windows are offsets
+into one buffer. What is broadcast is bounded whatever the benchmark's size.
+Documents are never shuffled: with several blocks each row passes through one
+block's index after the other and takes its findings along, so rows never have
+to be told apart; after every ``CHAIN`` blocks the rows are written, which bounds
+the indexes that a task holds at once.
 """
 
 from __future__ import annotations
@@ -25,35 +29,80 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ALNUM, Sent, WordHasher, joined, shingle_hashes, text_groups
+from .common import ALNUM, Sent, WordHasher, cut, joined, shingle_hashes, text_groups
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_WORDS = 1_000_000
+BLOCK_BYTES = 4 << 20
+#: Blocks that one task looks up in a row.
+CHAIN = 4
 
-#: Kernel output: row key, number of words, hit word ranges [start, end), item ids.
+#: Per input row: number of words, hit word ranges [start, end), item ids.
 FOUND = "doc_id bigint, n_words bigint, spans array<struct<s:bigint,e:bigint>>, items array<string>"
+_CARRIED = "doc_id bigint, text string, n_words bigint, spans array<struct<s:bigint,e:bigint>>, items array<string>"
 
 
 class Index:
-    """Windows of one benchmark block and, once ranked, their prefix shingles."""
+    """Windows of one benchmark block and, once ranked, their prefix shingles.
+
+    ``items``: (item id, normalised words joined by single blanks). A window is a
+    word position and a size; equal windows are held once, with all their items.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
-        hasher, ids = WordHasher(), {}
-        for item, text in items:
-            buf, _ = joined([text], ALNUM)
-            words, (_, _, hashes) = buf.split(), hasher(buf)
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                key = tuple(words[i : i + size])
-                ids.setdefault(key, (hashes[i : i + size], set()))[1].add(item)
-        self.windows = sorted(ids)
-        self.hashes = [ids[w][0] for w in self.windows]
-        self.items = [sorted(ids[w][1]) for w in self.windows]
+        self.names = sorted({name for name, _ in items})
+        place = {name: i for i, name in enumerate(self.names)}
+        self.buf, offsets = joined([text for _, text in items], ALNUM)
+        self.starts, self.ends, self.hashes = WordHasher()(self.buf)
+        bounds = np.append(np.searchsorted(self.starts, offsets), len(self.starts)).astype(np.int64)
+        n = np.diff(bounds)
+        size = np.minimum(window, n)
+        counts = np.where(n > 0, n - size + 1, 0)
+        item = np.repeat(np.arange(len(items)), counts)
+        first = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + bounds[item]
+        owner = np.array([place[name] for name, _ in items], dtype=np.int64)[item]
+        size, key = size[item], np.zeros(len(item), dtype=np.uint64)
+        for k in np.unique(size).tolist():
+            own = size == k
+            key[own] = shingle_hashes(self.hashes, k)[first[own]]
+        self._group(first, size, key, owner)
+        # The shingles of each window, all of one length k; shorter windows are one shingle.
+        self.k = np.minimum(SHINGLE, self.size)
         self.vocab = {}
-        for k in sorted({min(SHINGLE, len(w)) for w in self.windows}):
-            own = [shingle_hashes(h, k) for h in self.hashes if min(SHINGLE, len(h)) == k]
-            self.vocab[k] = np.unique(np.concatenate(own))
+        for k in np.unique(self.k).tolist():
+            own = np.flatnonzero(self.k == k)
+            self.vocab[k] = np.unique(np.concatenate([self._own(w, k) for w in own]))
+
+    def _own(self, w: int, k: int) -> np.ndarray:
+        return shingle_hashes(self.hashes[self.first[w] : self.first[w] + self.size[w]], k)
+
+    def text(self, w: int) -> bytes:
+        first = self.first[w]
+        return self.buf[self.starts[first] : self.ends[first + self.size[w] - 1]]
+
+    def _group(self, first, size, key, owner) -> None:
+        """Equal windows become one; windows of equal hash are compared byte by byte."""
+        order = np.lexsort((first, key, size))
+        first, size, key, owner = first[order], size[order], key[order], owner[order]
+        self.first, self.size = first, size
+        group, heads = np.zeros(len(first), dtype=np.int64), []
+        fresh = np.append(True, (key[1:] != key[:-1]) | (size[1:] != size[:-1])) if len(first) else np.empty(0, dtype=bool)
+        known: dict[bytes, int] = {}
+        for w, new in enumerate(fresh.tolist()):
+            alone = new and (w + 1 == len(fresh) or fresh[w + 1])
+            if new:
+                known = {}
+            text = b"" if alone else self.text(w)
+            if text not in known:
+                known[text] = len(heads)
+                heads.append(w)
+            group[w] = known[text]
+        pairs = np.unique(np.stack([group, owner], axis=1), axis=0) if len(group) else np.empty((0, 2), dtype=np.int64)
+        self.item_at, self.item = np.searchsorted(pairs[:, 0], np.arange(len(heads) + 1)), pairs[:, 1]
+        self.first, self.size = first[heads], size[heads]
+
+    def items_of(self, w: int) -> list[str]:
+        return [self.names[i] for i in self.item[self.item_at[w] : self.item_at[w + 1]]]
 
     def count(self, words: np.ndarray, bounds: np.ndarray) -> dict[int, np.ndarray]:
         """Occurrences of each vocabulary shingle in a run of documents."""
@@ -65,15 +114,14 @@ class Index:
 
     def rank(self, counts: dict[int, np.ndarray]) -> None:
         """Keep each window's rarest shingle: its hash, position and window."""
-        found: dict[int, list] = {k: [] for k in self.vocab}
-        for w, h in enumerate(self.hashes):
-            k = min(SHINGLE, len(h))
-            own = shingle_hashes(h, k)
-            rarity = counts[k][np.searchsorted(self.vocab[k], own)]
-            best = min(range(len(own)), key=lambda i: (rarity[i], own[i]))
-            found[k].append((own[best], best, w))
         self.prefix = {}
-        for k, rows in found.items():
+        for k in self.vocab:
+            rows = []
+            for w in np.flatnonzero(self.k == k).tolist():
+                own = self._own(w, k)
+                rarity = counts[k][np.searchsorted(self.vocab[k], own)]
+                best = int(np.lexsort((own, rarity))[0])
+                rows.append((own[best], best, w))
             rows.sort(key=lambda r: r[0])
             keys = np.array([r[0] for r in rows], dtype=np.uint64)
             self.prefix[k] = keys, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
@@ -90,15 +138,15 @@ class Index:
             pick = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(where[near], n)
             for first, w in zip((at - offset[pick]).tolist(), window[pick].tolist()):
-                size = len(self.hashes[w])
+                size = int(self.size[w])
                 doc = np.searchsorted(bounds, first, "right") - 1
                 if first < 0 or doc < 0 or first + size > len(words) or first < bounds[doc]:
                     continue  # positional bound: begins before the document
                 if doc + 1 < len(bounds) and first + size > bounds[doc + 1]:
                     continue  # length bound: ends after it
-                if (words[first : first + size] != self.hashes[w]).any():
+                if (words[first : first + size] != self.hashes[self.first[w] : self.first[w] + size]).any():
                     continue
-                if buf[starts[first] : ends[first + size - 1]].split() == list(self.windows[w]):
+                if b" ".join(buf[starts[first] : ends[first + size - 1]].split()) == self.text(w):
                     out.append((first, size, w))
         return out
 
@@ -145,39 +193,46 @@ def _counter(index):
 
 
 def _scan(index, texts, hasher):
-    """For each text: number of words, merged hit spans, item ids."""
+    """For each text: number of words, hit ranges (not merged), item ids."""
     buf, starts, ends, words, bounds = _split(texts, hasher)
-    sizes = np.diff(np.append(bounds, len(words)))
-    hit: dict[int, list] = {}
+    sizes = np.diff(np.append(bounds, len(words))).tolist()
+    spans: list[list] = [[] for _ in texts]
+    items: list[set] = [set() for _ in texts]
     for first, size, w in index.hits(buf, starts, ends, words, bounds):
         # Empty documents share a bound with their successor; the last one owns the word.
-        hit.setdefault(int(np.searchsorted(bounds, first, "right") - 1), []).append((first, size, w))
-    out = []
-    for doc, n in enumerate(sizes.tolist()):
-        spans, items = [], set()
-        for first, size, w in sorted(hit.get(doc, ())):
-            s = first - int(bounds[doc])
-            if spans and s <= spans[-1]["e"]:
-                spans[-1]["e"] = max(spans[-1]["e"], s + size)
-            else:
-                spans.append({"s": s, "e": s + size})
-            items.update(index.items[w])
-        out.append((n, spans, sorted(items)))
+        doc = int(np.searchsorted(bounds, first, "right") - 1)
+        spans[doc].append((first - int(bounds[doc]), first - int(bounds[doc]) + size))
+        items[doc].update(index.items_of(w))
+    return sizes, spans, items
+
+
+def _merged(spans) -> list[dict]:
+    """Ranges in order, touching ones joined."""
+    out: list[dict] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1]["e"]:
+            out[-1]["e"] = max(out[-1]["e"], e)
+        else:
+            out.append({"s": s, "e": e})
     return out
 
 
-def _finder(index):
-    kind = pa.struct([("s", pa.int64()), ("e", pa.int64())])
+def _finder(index, *, known: bool, last: bool):
+    """Look up one block; rows bring earlier findings if ``known``, and lose their text if ``last``."""
+    kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             for first, texts in text_groups(batch.column(1)):
-                n, spans, items = zip(*_scan(index.value, texts, hasher))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(spans, pa.list_(kind)), pa.array(items, pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "spans", "items"],
-                )
+                part = batch.slice(first, len(texts))
+                n, spans, items = _scan(index.value, texts, hasher)
+                if known:
+                    spans = [own + [(x["s"], x["e"]) for x in old] for own, old in zip(spans, part.column(3).to_pylist())]
+                    items = [own.union(old) for own, old in zip(items, part.column(4).to_pylist())]
+                out = [pa.array(n, pa.int64()), pa.array([_merged(x) for x in spans], kind), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                before = [part.column(0)] if last else [part.column(0), part.column(1)]
+                yield pa.RecordBatch.from_arrays(before + out, (["doc_id"] if last else ["doc_id", "text"]) + ["n_words", "spans", "items"])
 
     return run
 
@@ -187,20 +242,37 @@ def _cleaner(index, at: int):
         hasher = WordHasher()
         for batch in batches:
             for first, texts in text_groups(batch.column(at)):
-                clean = [not items for _, _, items in _scan(index.value, texts, hasher)]
-                yield batch.slice(first, len(texts)).filter(pa.array(clean))
+                _, _, items = _scan(index.value, texts, hasher)
+                yield batch.slice(first, len(texts)).filter(pa.array([not x for x in items]))
 
     return run
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text"):
+def _pieces(words: bytes, window: int, most: int) -> Iterator[bytes]:
+    """An item's words (joined by single blanks), cut into pieces of about ``most``
+    bytes that overlap by ``window - 1`` words."""
+    low = 0
+    while len(words) - low > most:
+        end = low
+        for _ in range(window):  # a window's words at least
+            end = words.find(b" ", end + 1) if end >= 0 else end
+        end = words.find(b" ", max(end, low + most)) if end >= 0 else end
+        if end < 0:
+            break
+        yield words[low:end]
+        low = end
+        for _ in range(window - 1):
+            low = words.rfind(b" ", 0, low)
+        low += 1
+    yield words[low:]
+
+
+def indexes(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text"):
     """Broadcast indexes of the benchmark's blocks, ranked over ``docs``."""
     spark, block, size = docs.sparkSession, [], 0
 
     def ready(rows):
         index = Index(rows, window)
-        if not index.windows:
-            return None
         sent = Sent(spark, index)
         counts = {k: np.zeros(len(v), dtype=np.int64) for k, v in index.vocab.items()}
         counted = docs.select(F.col(text)).mapInArrow(_counter(sent), "k int, at bigint, n bigint").groupBy("k", "at").agg(F.sum("n").alias("n"))
@@ -212,47 +284,41 @@ def indexes(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
 
     rows = benchmark.select(F.col("item_id").cast("string"), F.col(text)).filter(F.col("item_id").isNotNull() & F.col(text).isNotNull())
     for item, value in rows.toLocalIterator():
-        value = value.encode()
-        block.append((item, value))
-        size += value.count(b" ") + 1
-        if size >= block_words:
-            yield ready(block)
-            block, size = [], 0
+        words = b" ".join(joined([value.encode()], ALNUM)[0].split())
+        # A piece is longer than a window's words unless it is the whole item.
+        for piece in _pieces(words, window, block_bytes) if words else ():
+            if block and size + len(piece) > block_bytes:
+                yield ready(block)
+                block, size = [], 0
+            block.append((item, piece))
+            size += len(piece)
     if block:
         yield ready(block)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Word ranges and benchmark items found in each document.
 
     Returns one row per input row: ``doc_id``, ``n_words``, ``spans`` (disjoint
     hit word ranges, end exclusive, ascending) and ``items`` (ids as strings,
     ascending). Null or empty text has no words; items that are null, empty or
     without an id have no windows; repeated items count once per id; an empty
-    benchmark finds nothing. Other columns of ``docs`` are ignored. With several
-    blocks, rows that agree in id and text are one row.
+    benchmark finds nothing; an empty table gives no rows. Rows that repeat an id
+    or a text stay rows of their own, however many blocks the benchmark fills.
+    Other columns of ``docs`` are ignored.
     """
-    docs = docs.select("doc_id", "text")
-    found = [docs.mapInArrow(_finder(i), FOUND) for i in indexes(docs, benchmark, window, block_words) if i is not None]
-    if not found:
-        found = [docs.mapInArrow(_finder(Sent(docs.sparkSession, _ranked_empty(window))), FOUND)]
-    if len(found) == 1:
-        return found[0]
-    # n_words tells rows of a repeated id apart unless they are equally long.
-    union = found[0].unionByName(found[1])
-    for more in found[2:]:
-        union = union.unionByName(more)
-    merged = union.groupBy("doc_id", "n_words").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-    )
-    return merged.withColumn("spans", F.expr(MERGE_SPANS))
-
-
-#: Join touching ranges of an ascending array.
-MERGE_SPANS = """aggregate(spans, cast(array() as array<struct<s:bigint,e:bigint>>), (a, x) ->
-    CASE WHEN size(a) > 0 AND x.s <= element_at(a, -1).e
-         THEN concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e))))
-         ELSE concat(a, array(x)) END)"""
+    now = docs.select("doc_id", "text")
+    blocks = indexes(now, benchmark, window, block_bytes)
+    index, done = next(blocks, None), 0
+    if index is None:
+        index = Sent(docs.sparkSession, _ranked_empty(window))
+    while index is not None:
+        more = next(blocks, None)
+        now = now.mapInArrow(_finder(index, known=done > 0, last=more is None), FOUND if more is None else _CARRIED)
+        index, done = more, done + 1
+        if more is not None and done % CHAIN == 0:
+            now = cut(now)
+    return now
 
 
 def _ranked_empty(window: int) -> Index:
@@ -261,12 +327,17 @@ def _ranked_empty(window: int) -> Index:
     return index
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark window; all columns stay."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window; all columns stay.
+
+    Rows of null or empty text hold none and stay; repeated rows go or stay alike;
+    an empty benchmark drops nothing; an empty table gives no rows.
+    """
     kept = docs
-    for index in indexes(docs, benchmark, window, block_words):
-        if index is not None:
-            kept = kept.mapInArrow(_cleaner(index, docs.columns.index("text")), docs.schema)
+    for done, index in enumerate(indexes(docs, benchmark, window, block_bytes)):
+        if done and done % CHAIN == 0:
+            kept = cut(kept)
+        kept = kept.mapInArrow(_cleaner(index, docs.columns.index("text")), docs.schema)
     return kept
 
 

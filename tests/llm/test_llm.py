@@ -99,20 +99,40 @@ def test_op1_oracle(spark, duck):
     assert any("True" in r for r in got)
 
 
-@pytest.mark.parametrize("block", [10**6, 12])
+@pytest.mark.parametrize("block", [10**6, 12, 40])
 def test_op1_brute_force(spark, block):
     rng = random.Random(1)
     vocabulary = [f"v{i}" for i in range(6)]
     texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 120))) for _ in range(80)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate((0, 1, 2, 3, 5, 9, 10, 11, 14))] + [(20, None), (None, "v1"), (5, "v1 v1 v1 v1")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = {r.doc_id: r for r in decontaminate.digest(decontaminate.find_contamination(table(spark, texts), bench, block_words=block)).collect()}
+    got = {r.doc_id: r for r in decontaminate.digest(decontaminate.find_contamination(table(spark, texts), bench, block_bytes=block)).collect()}
     for i, text in enumerate(texts):
         n, hit, found = contamination(text, [x for x in items if x[0] is not None and x[1]])
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].contaminated) == (n, hit, len(found), bool(found))
         assert got[i].items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("block", [10**6, 5])
+def test_op1_rows_stay_apart(spark, block):
+    """Rows that share an id and a number of words, however many blocks there are."""
+    texts = ["a b c d", "e f g h", "a b c d", "i j k l"]
+    df = spark.createDataFrame([(1, t, "en", "s", 0) for t in texts] + [(None, None, None, None, None)], DOCS)
+    bench = spark.createDataFrame([(1, "a b c"), (2, "f g"), (3, "c d"), (4, "zz"), (5, "y x w"), (6, "k l")], "item_id bigint, text string")
+    got = decontaminate.digest(decontaminate.find_contamination(df, bench, block_bytes=block)).collect()
+    assert sorted((r.n_words, r.n_hit, r.n_items) for r in got) == [(0, 0, 0), (4, 2, 1), (4, 2, 1), (4, 4, 2), (4, 4, 2)]
+    assert decontaminate.drop_contaminated(df, bench.filter("item_id > 1 AND item_id < 6"), block_bytes=block).count() == 2
+
+
+def test_op1_long_items_are_cut_without_loss():
+    words = [f"w{i % 37}x{i}" for i in range(500)]
+    for window in (1, 3, 10):
+        pieces = list(decontaminate._pieces(" ".join(words).encode(), window, 100))
+        assert len(pieces) > 20 and all(len(p.split()) >= window for p in pieces)
+        found = {tuple(w[i : i + window]) for w in (p.decode().split() for p in pieces) for i in range(len(w) - window + 1)}
+        assert found == {tuple(words[i : i + window]) for i in range(len(words) - window + 1)}
+
+
 def test_op1_odd(spark):
     bench = spark.createDataFrame([(1, "only four words here")], "item_id bigint, text string")
     got = decontaminate.find_contamination(odd(spark), bench).collect()
