@@ -1,16 +1,17 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample, every row is filed under its leaf, and
-leaves are cut into tiles of at most ``tile_rows`` rows (by hash), so neither a
-large nor a hot leaf is one task's. A query walks the tree best bin first: a
-priority queue holds the children of opened nodes by inner product, and leaves
-are visited in the order they leave the queue. How many is calibrated: for some
-queries the true neighbours are found by brute force, and the number of leaves
-is widened until the wanted share of them is reached.
-
-A query's k best vectors of the sample are candidates wherever they are filed;
-the k-th of them is a lower bound of its true k-th best, so tiles return only
-candidates at or above it: nothing is lost by that.
+The tree is fitted on a bounded sample and has about as many leaves as the root
+of the number of rows; every row is filed under its leaf. Leaves are packed into
+tiles of about ``tile_rows`` rows (a larger leaf fills several, by hash), so
+neither a large nor a hot leaf is one task's. A query walks the tree best bin
+first: a priority queue holds the children of opened nodes by inner product, and
+leaves are visited in the order they leave the queue. How many is calibrated:
+for some queries the true neighbours are found by brute force, and the number of
+leaves is widened until the wanted share of them is reached.
+
+Results come from visited leaves alone. The k-th best of the sampled rows filed
+under a query's visited leaves is a lower bound of its k-th best result, so tiles
+return only candidates at or above it: nothing is lost by that.
 """
 
 from __future__ import annotations
@@ -20,31 +21,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Sent, cut
+from .common import Sent, bounded, cut
 
 K = 20
-SAMPLE = 20_000
+#: Bounds of the sample: bytes of its vectors, rows a leaf, and a share of the table.
+SAMPLE_BYTES = 64 << 20
+SAMPLE_A_LEAF = 32
+SAMPLE_SHARE = 4
 BRANCHES = 8
-LEAVES = 64
-LEAF_ROWS = 16
+MOST_LEAVES = 16_384
+LEAF_ROWS = 4
 CALIBRATION = 200
 RECALL = 0.96
-TILE_ROWS = 8_192
+TILE_ROWS = 16_384
+
+FOUND = "query_id bigint, rank int, vec_id bigint, score double, visited int, leaves int, recall double"
 
 
 class Tree:
     """Hierarchical k-means over a sample; leaves are numbered from 0."""
 
-    def __init__(self, sample: np.ndarray, ids: np.ndarray, branches: int = BRANCHES, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS, seed: int = 3) -> None:
+    def __init__(self, sample: np.ndarray, ids: np.ndarray, branches: int = BRANCHES, leaves: int = 64, leaf_rows: int = LEAF_ROWS, seed: int = 3) -> None:
         self.sample, self.ids, self.rng = sample, ids, np.random.default_rng(seed)
         self.centres, self.children, self.leaf = [np.zeros(sample.shape[1])], [[]], [-1]
         open_ = [(-len(sample), 0, np.arange(len(sample)))]
-        n_leaves, smallest = 1, max(leaf_rows, len(sample) // (2 * leaves))
+        n_leaves = 1
         while open_ and n_leaves + branches - 1 <= leaves:  # split the largest node
             size, node, rows = heapq.heappop(open_)
-            if -size < 2 * smallest:
+            if -size < 2 * leaf_rows:
                 break
             parts = self._split(rows, branches)
             if len(parts) < 2:
@@ -56,13 +62,17 @@ class Tree:
                 self.children.append([])
                 self.leaf.append(-1)
             n_leaves += len(parts) - 1
-        self.n_leaves = 0
-        for node, below in enumerate(self.children):
-            if not below:
+        # Leaves are numbered depth first, so that near numbers are near places.
+        self.n_leaves, stack = 0, [0]
+        while stack:
+            node = stack.pop()
+            if not self.children[node]:
                 self.leaf[node] = self.n_leaves
                 self.n_leaves += 1
+            stack += self.children[node][::-1]
         self.centres = np.array(self.centres)
-        self.visits = self.n_leaves
+        self.filed = np.full(len(sample), -1)
+        self.visits, self.recall = self.n_leaves, 1.0
 
     def _split(self, rows: np.ndarray, k: int) -> list[np.ndarray]:
         points = self.sample[rows]
@@ -99,13 +109,13 @@ class Tree:
                 heapq.heappush(queue, (-product[child], child))
         return out
 
-    def near(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and products of the sample's ``k`` best other vectors."""
-        product = self.sample @ query
-        product[self.ids == own] = -np.inf
-        best = _best(self.ids, product, k)
-        best = best[self.ids[best] != own]
-        return self.ids[best], (self.sample[best] * query).sum(axis=1)
+    def floor(self, query: np.ndarray, own: int, leaves: list[int], k: int) -> float:
+        """The ``k``-th best product of the sampled rows filed under these leaves."""
+        known = np.zeros(self.n_leaves + 1, dtype=bool)
+        known[leaves] = True
+        known[-1] = False  # sampled rows that were not filed
+        product = self.sample[known[self.filed] & (self.ids != own)] @ query
+        return float(np.partition(product, len(product) - k)[len(product) - k]) if len(product) >= k else -np.inf
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -134,21 +144,30 @@ def _best(ids, scores, k):
     return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
-def build(rows: DataFrame, *, sample: int = SAMPLE, **options) -> Tree | None:
-    """Fit a tree to a sample of the rows, chosen by hash of the id.
+def _sampled(part: float) -> Column:
+    """Whether a row belongs to the sample of this share, by hash of its id."""
+    return F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30)) + 1
+
+
+def build(rows: DataFrame, *, leaves: int | None = None, sample: int | None = None, **options) -> tuple[Tree, float] | None:
+    """Fit a tree to a sample of the rows, chosen by hash of the id; (tree, share).
 
-    About a quarter of them, a thousand at least and ``sample`` at most.
+    By default about the root of the number of rows as leaves (8 to
+    ``MOST_LEAVES``), and ``SAMPLE_A_LEAF`` rows a leaf as sample, but at most one
+    row in ``SAMPLE_SHARE`` and ``SAMPLE_BYTES`` of vectors.
     """
     sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
         return None
     dimensions, n = sizes[0]
-    part = min(1.0, min(sample, max(1000, n // 4)) / n)
-    some = rows.filter((F.size("embedding") == dimensions) & (F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30)) + 1))
-    table = some.toArrow().sort_by("vec_id")
+    leaves = leaves or int(min(MOST_LEAVES, max(8, round(n**0.5))))
+    sample = sample or min(SAMPLE_A_LEAF * leaves, max(4 * leaves, n // SAMPLE_SHARE))
+    part = min(1.0, min(sample, max(1, SAMPLE_BYTES // (8 * dimensions))) / n)
+    own = rows.filter(F.size("embedding") == dimensions)
+    table = own.filter(_sampled(part)).toArrow().sort_by("vec_id")
     if not len(table):
-        table = rows.filter(F.size("embedding") == dimensions).orderBy("vec_id").limit(1).toArrow()
-    return Tree(_matrix(table["embedding"]), table["vec_id"].to_numpy(), **options)
+        table = own.orderBy("vec_id").limit(1).toArrow()
+    return Tree(_matrix(table["embedding"]), table["vec_id"].to_numpy(), leaves=leaves, **options), part
 
 
 def _filer(tree):
@@ -162,7 +181,7 @@ def _filer(tree):
 
 
 def _brute(queries):
-    """Per batch the best rows for each of a few queries (scores, no links kept)."""
+    """Per batch the best rows for each of a few queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, own, k = queries.value
@@ -179,13 +198,19 @@ def _brute(queries):
     return run
 
 
-def calibrate(tree: Tree, filed: DataFrame, *, queries: int = CALIBRATION, recall: float = RECALL, k: int = K) -> float:
+def calibrate(tree: Tree, filed: DataFrame, asked: DataFrame, *, queries: int = CALIBRATION, recall: float = RECALL, k: int = K) -> float:
     """Set ``tree.visits`` to the fewest leaves that reach ``recall``; return the recall.
 
-    True neighbours of ``queries`` sample vectors are found among all rows.
+    The true neighbours of up to ``queries`` rows of ``asked`` (by hash of the id)
+    are found among all rows. A recall of 1 visits every leaf, which is exact.
     """
-    at = np.random.default_rng(4).permutation(len(tree.ids))[:queries]
-    q, own = tree.sample[at], tree.ids[at]
+    if recall >= 1:
+        tree.visits, tree.recall = tree.n_leaves, 1.0
+        return 1.0
+    some = asked.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit(13)), "vec_id").limit(queries).toArrow()
+    if not len(some):
+        return 1.0
+    q, own = _matrix(some["embedding"]), some["vec_id"].to_numpy()
     sent = filed.sparkSession.sparkContext.broadcast((q, own, k))
     found = filed.mapInArrow(_brute(sent), "q int, vec_id bigint, leaf int, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
@@ -195,22 +220,51 @@ def calibrate(tree: Tree, filed: DataFrame, *, queries: int = CALIBRATION, recal
     place = [{leaf: i for i, leaf in enumerate(tree.walk(x, tree.n_leaves))} for x in q]
     needed = np.sort([place[i][leaf] + 1 for i, leaf in zip(true["q"], true["leaf"])])
     tree.visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
-    return float((needed <= tree.visits).mean())
+    tree.recall = float((needed <= tree.visits).mean())
+    return tree.recall
+
 
+def tiles(counts: dict[int, int], n_leaves: int, tile_rows: int) -> list[tuple[int, int, int]]:
+    """(leaf, first tile, number of tiles): neighbouring leaves share a tile of up to
+    ``tile_rows`` rows, a larger leaf has tiles of its own."""
+    out, tile, held = [], 0, 0
+    for leaf in range(n_leaves):
+        n = counts.get(leaf, 0)
+        if held and held + n > tile_rows:
+            tile, held = tile + 1, 0
+        parts = max(1, -(-n // tile_rows))
+        out.append((leaf, tile, parts))
+        tile, held = (tile + parts, 0) if parts > 1 else (tile, held + n)
+    return out
+
+
+VISIT = "query_id bigint, query array<double>, floor double, tile int, leaves array<int>"
+
+
+def _walker(tree, k, places):
+    """Rows (query, tile): the tiles that hold a query's leaves, with these leaves."""
 
-def _walker(tree, k):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tree.value
+        t, (first, parts) = tree.value, places.value
         for batch in batches:
-            for row in range(0, batch.num_rows, 64):
-                part = batch.slice(row, 64)
+            for row in range(0, batch.num_rows, 16):
+                part = batch.slice(row, 16)
                 points, ids = _matrix(part.column(1)), part.column(0).to_numpy()
-                leaves = [t.walk(x, t.visits) for x in points]
-                known, products = zip(*[t.near(x, i, k) for x, i in zip(points, ids)])
-                floors = [p.min() if len(p) >= k else -np.inf for p in products]
+                own, floors, tile, leaves = [], [], [], []
+                for i, (x, q) in enumerate(zip(points, ids.tolist())):
+                    visited = sorted(t.walk(x, t.visits))
+                    held: dict[int, list] = {}
+                    for leaf in visited:
+                        for at in range(first[leaf], first[leaf] + parts[leaf]):
+                            held.setdefault(at, []).append(leaf)
+                    own += [i] * len(held)
+                    floors += [t.floor(x, q, visited, k)] * len(held)
+                    tile += held
+                    leaves += held.values()
+                own = pa.array(own, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(floors, pa.float64()), pa.array(leaves, pa.list_(pa.int32())), pa.array(known, pa.list_(pa.int64())), pa.array(products, pa.list_(pa.float64()))],
-                    ["query_id", "query", "floor", "leaves", "known", "products"],
+                    [part.column(0).take(own), part.column(1).take(own), pa.array(floors, pa.float64()), pa.array(tile, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))],
+                    ["query_id", "query", "floor", "tile", "leaves"],
                 )
 
     return run
@@ -221,17 +275,21 @@ def _scorer(k):
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(queries) and len(vectors):
             ids, points = vectors["vec_id"].to_numpy(), _matrix(vectors["embedding"])
+            names, leaf = np.unique(vectors["leaf"].to_numpy(), return_inverse=True)
             own, floors, q = queries["query_id"].to_numpy(), queries["floor"].to_numpy(), _matrix(queries["query"])
+            leaves = queries["leaves"].to_pylist()
             for low in range(0, len(own), 256):
                 product = q[low : low + 256] @ points.T
                 for i, row in enumerate(product, low):
+                    visited = np.isin(names, leaves[i])[leaf]
                     # A hair below the floor, as products are summed in another order.
-                    near = np.flatnonzero((row >= floors[i] - 1e-9 * (1 + abs(floors[i]))) & (ids != own[i]))
-                    near = near[_best(ids[near], row[near], k)]
-                    out["query_id"].append(np.full(len(near), own[i]))
-                    out["vec_id"].append(ids[near])
+                    near = np.flatnonzero(visited & (row >= floors[i] - 1e-9 * (1 + abs(floors[i]))) & (ids != own[i]))
                     # Summed anew in one fixed order, whatever the tile.
-                    out["score"].append((points[near] * q[i]).sum(axis=1))
+                    score = (points[near] * q[i]).sum(axis=1)
+                    best = _best(ids[near], score, k)
+                    out["query_id"].append(np.full(len(best), own[i]))
+                    out["vec_id"].append(ids[near][best])
+                    out["score"].append(score[best])
         return pa.table({n: pa.array(np.concatenate(v) if v else np.empty(0), pa.float64() if n == "score" else pa.int64()) for n, v in out.items()})
 
     return run
@@ -242,43 +300,49 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = K, tile_rows: int =
 
     Nearness is the inner product in double precision; candidates are all rows
     but the query's own id. Returns ``query_id``, ``rank`` (from 1), ``vec_id``,
-    ``score``; equal scores by smaller id. Rows with a null id, and vectors that
-    are null, empty, zero, or hold null or non-finite components, or are of
-    another length than most, take no part; rows that repeat an id count once
-    (the smallest vector); fewer candidates than ``k`` are all returned; an empty
-    table gives no rows. Other columns are ignored.
+    ``score``, and how it was found: ``visited`` of ``leaves`` leaves and the
+    calibrated ``recall``; equal scores by smaller id. Rows with a null id, and
+    vectors that are null, empty, zero, or hold null or non-finite components, or
+    are of another length than most, take no part; rows that repeat an id count
+    once (the smallest vector); fewer candidates than ``k`` are all returned; an
+    empty table, or one without queries, gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = cut(usable(vectors))
-    tree = build(rows, **options)
-    if tree is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    built = build(rows, **options)
+    if built is None:
+        return spark.createDataFrame([], FOUND)
+    tree, part = built
     rows = rows.filter(F.size("embedding") == tree.sample.shape[1])
-    sent = Sent(spark, tree)
-    filed = cut(rows.mapInArrow(_filer(sent), "vec_id bigint, embedding array<double>, leaf int"))
-    calibrate(tree, filed, recall=recall, k=k)
-    sent = Sent(spark, tree)
-    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(_walker(sent, k), "query_id bigint, query array<double>, floor double, leaves array<int>, known array<bigint>, products array<double>")
-    queries = cut(queries)
-    visits = queries.select("query_id", "query", "floor", F.explode("leaves").alias("leaf"))
-    sampled = queries.select("query_id", F.explode(F.arrays_zip("known", "products")).alias("x")).select("query_id", F.col("x.known").alias("vec_id"), F.col("x.products").alias("score"))
-    # Tiles of both sides; the counts are one row a leaf, at most LEAVES.
-    tiles = {r["leaf"]: max(1, -(-r["n"] // tile_rows)) for r in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    asked = {r["leaf"]: max(1, -(-r["n"] // tile_rows)) for r in visits.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    if not asked:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-
-    def count(of: dict):
-        return F.coalesce(F.create_map(*[F.lit(x) for leaf, n in sorted(of.items()) for x in (int(leaf), int(n))])[F.col("leaf")], F.lit(1)).cast("long")
-
-    def dealt(df, own, mine, n_mine, other, n_other):
-        """Rows by hash into their own parts, and a copy for each part of the other side."""
-        return df.withColumn(mine, F.pmod(F.xxhash64(own), count(n_mine))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), count(n_other) - 1)))
-
-    left = dealt(visits, "query_id", "part", asked, "tile", tiles)
-    right = dealt(filed, "vec_id", "tile", tiles, "part", asked)
-    key = ["leaf", "tile", "part"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_scorer(k), "query_id bigint, vec_id bigint, score double")
-    found = found.unionByName(sampled).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    filed = cut(rows.mapInArrow(_filer(Sent(spark, tree)), "vec_id bigint, embedding array<double>, leaf int"))
+    asked = filed.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding")
+    counts = {r["leaf"]: r["n"] for r in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # at most MOST_LEAVES rows
+    if sum(counts.values()) <= k:
+        recall = 1.0  # everything is a result
+    calibrate(tree, filed, asked, recall=recall, k=k)
+    known = {r["vec_id"]: r["leaf"] for r in filed.filter(_sampled(part)).select("vec_id", "leaf").toLocalIterator()}  # the sample
+    tree.filed = np.array([known.get(i, -1) for i in tree.ids.tolist()])
+    places = tiles(counts, tree.n_leaves, tile_rows)
+    sent = spark.sparkContext.broadcast(([t for _, t, _ in places], [n for _, _, n in places]))
+    visits = cut(asked.mapInArrow(_walker(Sent(spark, tree), k, sent), VISIT))
+    # A tile that many queries visit meets them part by part; both sides of a part are bounded.
+    parts = visits.groupBy("tile").agg(F.ceil(F.count("*") / tile_rows).cast("long").alias("parts"))
+    parts = bounded(cut(parts))
+    left = visits.join(parts, "tile").withColumn("part", F.pmod(F.xxhash64("query_id"), "parts")).drop("parts")
+    at = F.broadcast(spark.createDataFrame(places, "leaf int, first int, n int"))  # at most MOST_LEAVES rows
+    right = filed.join(at, "leaf").withColumn("tile", (F.col("first") + F.pmod(F.xxhash64("vec_id"), "n")).cast("int")).drop("first", "n")
+    right = right.join(parts, "tile").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    found = left.groupBy("tile", "part").cogroup(right.groupBy("tile", "part")).applyInArrow(_scorer(k), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score", F.lit(tree.visits).alias("visited"), F.lit(tree.n_leaves).alias("leaves"), F.lit(tree.recall).alias("recall"))
+
+
+#: The exact search (every leaf visited, scores to nine digits) in DuckDB.
+EXACT_ORACLE = r"""
+WITH v AS (SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+           AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 9) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
+"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import ann, chat, decontaminate, jaccard, langid, linededup, mixing, pii, sharding, tokencount
 from .common import table
 
@@ -54,6 +56,12 @@ def op9_ann(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_exact(spark, sf_dir):
+    """The same search when every leaf is visited: what SQL can check."""
+    found = ann.search(table(spark, sf_dir, "embeddings"), recall=1.0)
+    return found.select("query_id", "rank", "vec_id", F.round("score", 9).alias("score"))
+
+
 def op10_chat(spark, sf_dir):
     return chat.digest(chat.records(table(spark, sf_dir, "conversations")))
 
@@ -70,6 +78,7 @@ QUERIES = {
     "op7_links": op7_links,
     "op8_tokencount": op8_tokencount,
     "op9_ann": op9_ann,
+    "op9_exact": op9_exact,
     "op10_chat": op10_chat,
 }
 
@@ -79,5 +88,6 @@ ORACLES = {
     "op5_linededup": linededup.ORACLE,
     "op7_jaccard": jaccard.ORACLE,
     "op7_links": jaccard.LINKS_ORACLE,
+    "op9_exact": ann.EXACT_ORACLE,
     "op10_chat": chat.ORACLE,
 }

@@ -690,16 +690,44 @@ def test_op9_recall(spark):
     assert hits >= 0.9 * total
 
 
-def test_op9_recall_with_a_small_sample(spark):
-    """The tree alone, with far fewer sampled rows than rows."""
+def test_op9_exact_oracle(spark, duck):
+    same(entry.op9_exact(spark, SF), duck, entry.ORACLES["op9_exact"])
+
+
+@pytest.mark.parametrize("n, clusters, every", [(500, 12, 20), (5_000, 60, 100), (50_000, 400, 1_000)])
+def test_op9_recall_of_the_tree_alone(spark, n, clusters, every):
+    """Clustered vectors at three sizes: the sample gives no results, few leaves are visited."""
     rng = np.random.default_rng(7)
-    x = rng.normal(size=(4000, 16)) + rng.normal(size=(20, 16))[rng.integers(0, 20, 4000)] * 2
+    x = rng.normal(size=(clusters, 32))[rng.integers(0, clusters, n)] * 2 + rng.normal(size=(n, 32))
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
-    got = defaultdict(set)
-    for r in ann.search(vectors, every=80, sample=1000, tile_rows=50).collect():
+    got, visited = defaultdict(set), set()
+    for r in ann.search(vectors, every=every, tile_rows=2_000).collect():
         got[r.query_id].add(r.vec_id)
-    hits = sum(len({i for i, _ in exact9(np.arange(4000), x, q)} & got[q]) for q in range(0, 4000, 80))
-    assert hits >= 0.9 * 20 * 50 and all(len(v) == 20 for v in got.values())
+        visited.add((r.visited, r.leaves))
+    asked = range(0, n, every)
+    hits = sum(len({i for i, _ in exact9(np.arange(n), x, q)} & got[q]) for q in asked)
+    assert hits >= 0.9 * 20 * len(asked) and all(len(got[q]) == 20 for q in asked)
+    ((some, all_),) = visited
+    assert 0.4 * n**0.5 <= all_ <= n**0.5 + 8 and (n < 5_000 or some <= 0.5 * all_), (some, all_)
+
+
+def test_op9_floor_loses_nothing(spark):
+    """With and without the lower bound, the results are the same rows."""
+    rng = np.random.default_rng(8)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 8)))], "vec_id bigint, embedding array<double>")
+    key = lambda rows_: sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rows_)
+    with_ = key(ann.search(vectors, recall=0.8, tile_rows=100).collect())
+    floor, ann.Tree.floor = ann.Tree.floor, lambda *a: -np.inf
+    try:
+        without = key(ann.search(vectors, recall=0.8, tile_rows=100).collect())
+    finally:
+        ann.Tree.floor = floor
+    assert with_ == without
+
+
+def test_op9_tiles():
+    places = ann.tiles({0: 3, 1: 4, 2: 50, 4: 9, 5: 2}, 6, 10)
+    assert places == [(0, 0, 1), (1, 0, 1), (2, 1, 5), (3, 6, 1), (4, 6, 1), (5, 7, 1)]
 
 
 def test_op9_odd(spark):
