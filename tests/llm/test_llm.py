@@ -769,6 +769,68 @@ def test_op10_schemas():
         assert not chat.valid(bad, schema)
 
 
+def test_op10_schema_keywords():
+    ok = lambda v, **s: chat.valid(v, chat.checked_schema(s))
+    assert ok(1.0, type="integer") and not ok(1.5, type="integer") and not ok(True, type="integer") and ok("x1", pattern="[0-9]$") and not ok("x", pattern="[0-9]$")
+    assert ok(3, oneOf=[{"minimum": 2}, {"maximum": 0}]) and not ok(3, oneOf=[{"minimum": 2}, {"minimum": 1}]) and not ok(3, allOf=[{"minimum": 4}, {}]) and ok("a", anyOf=[{"type": "null"}, {"type": "string"}])
+    assert not ok(1, **{"not": {"type": "number"}}) and not ok({}, minProperties=1) and not ok({"a": 1, "b": 2}, maxProperties=1) and not ok({"b": "x"}, additionalProperties={"type": "integer"})
+    tree = {"$defs": {"node": {"type": "object", "properties": {"next": {"$ref": "#/$defs/node"}}, "additionalProperties": False}}, "$ref": "#/$defs/node"}
+    assert chat.valid({"next": {"next": {}}}, chat.checked_schema(tree)) and not chat.valid({"next": {"nexd": {}}}, tree)
+    assert not ok(True, enum=[1]) and ok(1.0, enum=[1]) and not ok([1, 1.0], uniqueItems=True) and ok([1, True], uniqueItems=True) and not ok(5, exclusiveMaximum=5) and ok(0.3, multipleOf=0.1) and not ok([1], items=False)
+    for bad in ({"type": "text"}, {"patternProperties": {}}, {"$ref": "http://x"}, {"$ref": "#/none"}, {"items": {"dependentRequired": {}}}):
+        with pytest.raises(ValueError):
+            chat.checked_schema(bad)
+
+
+def test_op10_strange_json(spark):
+    """Lone surrogates, non-finite numbers and deep nesting neither fail nor leave JSON."""
+    deep = '{"tool_calls":[{"id":"d","name":"f","arguments":' + '{"a":' * 100_000 + "1" + "}" * 100_000 + "}]}"
+    rows_ = [
+        (1, 0, "assistant", '{"tool_calls":[{"id":"\\ud800","name":"f","arguments":{"x":"\\udc00"}}]}'), (1, 1, "tool", '{"tool_call_id":"\\ud800","content":"\\ud83d\\ude00"}'),
+        (1, 2, "tool", '{"tool_call_id":"a","content":NaN}'), (1, 3, "assistant", '{"tool_calls":[{"id":"e","name":"f","arguments":{"x":1e999}}]}'), (1, 4, "assistant", deep), (1, 5, "tool", '{"tool_call_id":"\\\\ud800"}'),
+        (1, 6, "assistant", '{"tool_calls":[{"id":"n","name":"f","arguments":"{}"}]}'),
+    ]
+    r = chat.records(spark.createDataFrame(rows_, TURNS)).first()
+    strict = json.loads(r.record, parse_constant=lambda _: pytest.fail("not JSON"))
+    assert (r.n_calls, r.n_linked, r.n_orphans, r.n_invalid) == (2, 1, 1, 0)
+    assert strict["messages"][1]["content"] == "\U0001f600" and strict["messages"][2]["content"] == rows_[2][3] and strict["messages"][4]["content"] == deep
+
+
+def test_op10_schemas_from_a_table(spark):
+    call = json.dumps({"tool_calls": [{"id": "c", "name": "find", "arguments": {"a": 5}}]})
+    tools = spark.createDataFrame([("find", '{"properties":{"a":{"type":"string"}}}'), ("find", '{"z":1}'), (None, "x")], "name string, schema string")
+    df = spark.createDataFrame([(1, 0, "assistant", call)], TURNS)
+    assert chat.records(df, tools).first().n_invalid == 1 and chat.records(df).first().n_invalid == 0
+    with pytest.raises(ValueError):
+        chat.records(df, {"find": {"type": "text"}})
+
+
+def test_op10_large_groups_are_cut(spark):
+    """Missing keys, missing turns and crowded turns: runs of bounded size, in order."""
+    rows_ = [(None, i, "user", f"n{i}") for i in range(95)] + [(1, None, "user", f"t{i:03}") for i in range(70)] + [(2, 4, "user", f"c{i:03}") for i in range(45)] + [(3, i, "user", "few") for i in range(9)]
+    got = chat.records(spark.createDataFrame(rows_, TURNS), record_messages=20).collect()
+    sizes = sorted((r.conv_id or 0, r.part, r.chunk, r.n_messages) for r in got)
+    assert sizes == [(0, 0, k, 20) for k in range(4)] + [(0, 0, 4, 15)] + [(1, -1, k, 20) for k in range(3)] + [(1, -1, 3, 10), (2, 0, 0, 20), (2, 0, 1, 20), (2, 0, 2, 5), (3, 0, 0, 9)]
+    for conv, expected in ((None, [f"n{i}" for i in range(95)]), (2, [f"c{i:03}" for i in range(45)])):
+        parts = sorted((r.chunk, r.record) for r in got if r.conv_id == conv)
+        assert [m["content"] for _, x in parts for m in json.loads(x)["messages"]] == expected
+
+
+def test_op10_oracle_with_calls(spark, tmp_path):
+    """The SQL form on rows that hold calls, results and orphans."""
+    import duckdb
+
+    call = lambda *ids: json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": {}} for i in ids]})
+    result = lambda i: json.dumps({"tool_call_id": i, "content": "ok"}, separators=(",", ":"))
+    rows_ = [(1, 0, "user", "hi"), (1, 1, "tool", result("a")), (1, 2, "assistant", call("a", "b")), (1, 3, "tool", result("b")), (1, 3, "tool", result("b")), (1, 4, "tool", result("x")), (2, 1, "tool", result("a")), (2, 300, "assistant", "{no")]
+    df = spark.createDataFrame(rows_, TURNS)
+    df.write.parquet(str(tmp_path / "c.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c.parquet/*.parquet'")
+    keep = [c for c in chat.digest(chat.records(df)).columns if c != "record_sha256"]
+    same(chat.digest(chat.records(df)).select(*keep), con, f"SELECT {', '.join(keep)} FROM ({chat.ORACLE})")
+
+
 def test_op10_odd(spark):
     long = [(5, i, "user", "x" * 1000) for i in range(600)]
     rows_ = [(None, None, None, None), (1, None, "user", None), (1, 0, None, ""), (1, 0, "user", "b"), (1, 0, "user", "a"), (2, 1, "assistant", '{"tool_calls": 3}'), (2, 2, "tool", "{broken"), (2, 3, "tool", "[1]"), *long]
