@@ -2,13 +2,15 @@
 
 The base patterns (e-mail, IP address, payment card, phone) are fixed and always
 kept. The CRF adds spans the patterns do not describe (a phone number without a
-country code, a card written with dots, ...): words get the labels of ``KINDS``
-or none, from shape features of the word and its neighbours, decoded by Viterbi
-in NumPy batches.
+country code, a card written with dots, ...): words are labelled none, or as the
+beginning or the inside of a span of one of ``KINDS``, from shape features of the
+whole word and its neighbours, decoded by Viterbi in NumPy batches. Labels that
+begin a span keep neighbouring spans of one kind apart.
 
 A word without a digit and without ``@`` can only be "none". A forced label cuts
 the chain exactly, so only runs of the other words are decoded, each with its
-neighbours' shapes as evidence and a forced "none" on both sides.
+neighbours' shapes as evidence and a forced "none" on both sides. A run of any
+length is decoded whole.
 
 The model is trained from a small labelled table (``LABELLED`` or the caller's):
 sentences in which ``[KIND text]`` marks personal data.
@@ -24,12 +26,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Sent
+from .common import Sent, text_groups
 from .crf import forward_backward, viterbi
 
 #: In the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone")
 _RANK = {k: i for i, k in enumerate(KINDS)}
+#: Label 0 is none; the others begin (odd) or continue (even) a span of a kind.
+LABELS = 1 + 2 * len(KINDS)
+
+
+def _begin(kind: str) -> int:
+    return 1 + 2 * _RANK[kind]
+
+
+def _kind(label: int) -> str:
+    return KINDS[(label - 1) // 2]
+
 
 _AT = re.compile("@")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -150,6 +163,13 @@ it cost $9,999,999 or 9,999.99
 @xxxxx said so
 see @xxxx_99 there
 @ 99 each
+numbers [phone 999-9999] [phone 999-9999] both ring
+call [phone 999-999-9999], [phone 999-999-9999] or [phone 999.999.9999] today
+lines [phone (999) 999-9999] [phone (999) 999-9999] are free
+phones [phone 0999 999999] [phone 0999 999999] at home
+cards [card 9999.9999.9999.9999] [card 9999.9999.9999.9999] lost
+mail [email xxx@xxxx] [email xxxx@xxxxx] both
+hosts [ip ####:###::####:#] [ip ####:###::####:#] answer
 the 9st 9nd 9rd and 99th of them
 route 99 and highway 9
 mp9 and h999 files
@@ -161,8 +181,11 @@ a99-999 and b9999-99
 _MARK = re.compile(r"\[(email|ip|card|phone) ([^\]]*)\]")
 
 
-def labelled_table(copies: int = 12, seed: int = 5) -> list[tuple[str, str]]:
-    """Rows (word, kind or ''), a sentence after another, ended by ('', '')."""
+def labelled_table(copies: int = 12, seed: int = 5, lines: str = LABELLED) -> list[tuple[str, str]]:
+    """Rows (word, kind or ''), a sentence after another, ended by ('', '').
+
+    A word that continues the span of the word before has ``+`` in front of its kind.
+    """
     rng, out = random.Random(seed), []
 
     def fill(pattern: str) -> str:
@@ -170,7 +193,7 @@ def labelled_table(copies: int = 12, seed: int = 5) -> list[tuple[str, str]]:
         made = {"9": digit, "x": letter, "X": lambda: letter().upper(), "#": lambda: rng.choice("0123456789abcdef")}
         return "".join(made[c]() if c in made else c for c in pattern)
 
-    for line in LABELLED.strip().split("\n"):
+    for line in lines.strip().split("\n"):
         for copy in range(copies):
             at = 0
             for m in [*_MARK.finditer(line), None]:
@@ -180,7 +203,7 @@ def labelled_table(copies: int = 12, seed: int = 5) -> list[tuple[str, str]]:
                     words = fill(m[2]).split()
                     if copy % 3 == 1:  # punctuation may follow
                         words[-1] += rng.choice(".,;")
-                    out += [(w, m[1]) for w in words]
+                    out += [(w, m[1] if i == 0 else "+" + m[1]) for i, w in enumerate(words)]
                     at = m.end()
             out.append(("", ""))
     return out
@@ -190,8 +213,9 @@ _SHAPES: dict[str, tuple[str, str]] = {}
 
 
 def shape(word: str) -> tuple[str, str]:
-    """(shape with run lengths, shape with runs collapsed), of 64 characters."""
-    word = word[:64]
+    """(shape with run lengths, shape with runs collapsed) of a whole word."""
+    if len(word) > 64:
+        return _shape(word)
     if word not in _SHAPES:
         if len(_SHAPES) >= 1 << 16:
             _SHAPES.clear()
@@ -241,7 +265,7 @@ def features(before: str, word: str, after: str) -> list[str]:
 
 
 class Model:
-    """CRF weights: label 0 is none, label k is ``KINDS[k - 1]``."""
+    """CRF weights of the labels (``LABELS``)."""
 
     def __init__(self, ids: dict[str, int], weights, trans) -> None:
         self.ids, self.weights, self.trans = ids, weights, trans
@@ -249,7 +273,7 @@ class Model:
 
     def emit(self, feats: list[str]) -> np.ndarray:
         rows = [self.ids[f] for f in feats if f in self.ids]
-        return self.weights[rows].sum(axis=0) if rows else np.zeros(len(KINDS) + 1)
+        return self.weights[rows].sum(axis=0) if rows else np.zeros(LABELS)
 
 
 def candidate(word: str) -> bool:
@@ -257,6 +281,12 @@ def candidate(word: str) -> bool:
     return _DIGITS.search(word) is not None
 
 
+def _label(kind: str, goes_on: bool) -> int:
+    if not kind:
+        return 0
+    return _begin(kind.lstrip("+")) + (kind.startswith("+") and goes_on)
+
+
 def train(rows: list[tuple[str, str]], *, epochs: int = 250, l2: float = 2e-3) -> Model:
     """Fit the CRF by full-batch AdaGrad on the conditional likelihood."""
     runs, gold, sentence = [], [], []
@@ -271,11 +301,11 @@ def train(rows: list[tuple[str, str]], *, epochs: int = 250, l2: float = 2e-3) -
                 j += 1
             if j > i:
                 runs.append([features(words[k - 1] if k else "", words[k], words[k + 1] if k + 1 < len(words) else "") for k in range(i, j)])
-                gold.append([_RANK[sentence[k][1]] + 1 if sentence[k][1] else 0 for k in range(i, j)])
+                gold.append([_label(sentence[k][1], k > i and sentence[k - 1][1].lstrip("+") == sentence[k][1][1:]) for k in range(i, j)])
             i = max(j, i + 1)
         sentence = []
     ids = {f: i for i, f in enumerate(sorted({f for run in runs for fs in run for f in fs}))}
-    labels = len(KINDS) + 1
+    labels = LABELS
     weights, trans = np.zeros((len(ids), labels)), np.zeros((labels, labels))
     if not runs:
         return Model(ids, weights, trans)
@@ -332,13 +362,25 @@ def _words(text: str) -> list[list[tuple[int, int]]]:
     return runs
 
 
+#: Blanks over which a neighbour is still looked for.
+_NEAR = 64
+
+
 def _neighbour(text: str, at: int, step: int) -> str:
-    """The word before (-1) or after (1) a position; at most 24 characters of it."""
+    """The whole word before (-1) or after (1) a position, over at most ``_NEAR`` blanks."""
     if step > 0:
-        part = text[at : at + 26].split(None, 1)
-        return part[0] if part else ""
-    part = text[max(0, at - 26) : at].rsplit(None, 1)
-    return part[-1] if part else ""
+        low = at
+        while low < len(text) and low - at < _NEAR and text[low].isspace():
+            low += 1
+        gap = _GAP.search(text, low)
+        return text[low : gap.start() if gap else len(text)]
+    high = at
+    while high > 0 and at - high < _NEAR and text[high - 1].isspace():
+        high -= 1
+    low = high
+    while low > 0 and not text[low - 1].isspace():
+        low -= 1
+    return text[low:high]
 
 
 _SHORT = 64
@@ -351,29 +393,37 @@ def added_spans(model: Model, texts: list[str]) -> list[list[tuple[int, int, str
     owner, runs, emits = [], [], []
     for k, text in enumerate(texts):
         for run in _words(text):
-            rows = []
-            for i, (s, e) in enumerate(run):
-                before = text[run[i - 1][0] : min(run[i - 1][1], run[i - 1][0] + 24)] if i else _neighbour(text, s, -1)
-                after = text[run[i + 1][0] : min(run[i + 1][1], run[i + 1][0] + 24)] if i + 1 < len(run) else _neighbour(text, e, 1)
-                rows.append(model.emit(features(before, text[s : min(e, s + 80)], after)))
+            words = [text[s:e] for s, e in run]
+            around = [_neighbour(text, run[0][0], -1), *words, _neighbour(text, run[-1][1], 1)]
             owner.append(k)
             runs.append(run)
-            emits.append(rows)
+            emits.append([model.emit(features(around[i], word, around[i + 2])) for i, word in enumerate(words)])
     out: list[list] = [[] for _ in texts]
     for k, run, path in zip(owner, runs, _paths(model, emits)):
-        text, i = texts[k], 0
-        while i < len(run):
-            j = i + 1
-            while j < len(run) and path[j] == path[i]:
+        text = texts[k]
+        for i, j in _stretches(path, len(run)):
+            kind = _kind(path[i])
+            part = text[run[i][0] : run[j - 1][1]]
+            s, e = _stripped(part)
+            if _plausible(kind, part[s:e]):
+                out[k].append((run[i][0] + s, run[i][0] + e, kind))
+            elif j > i + 1:
+                out[k] += [(a, b, kind) for a, b in _plausible_parts(kind, text, run[i:j])]
+    return out
+
+
+def _stretches(path: list[int], n: int) -> list[tuple[int, int]]:
+    """Word ranges of the labelled spans: from a label that begins one (or one that
+    continues nothing) up to the next word that does not continue it."""
+    out, i = [], 0
+    while i < n:
+        j = i + 1
+        if path[i]:
+            inside = _begin(_kind(path[i])) + 1
+            while j < n and path[j] == inside:
                 j += 1
-            if path[i]:
-                part = text[run[i][0] : run[j - 1][1]]
-                s, e = _stripped(part)
-                if _plausible(KINDS[path[i] - 1], part[s:e]):
-                    out[k].append((run[i][0] + s, run[i][0] + e, KINDS[path[i] - 1]))
-                elif j > i + 1:
-                    out[k] += [(a, b, KINDS[path[i] - 1]) for a, b in _plausible_parts(KINDS[path[i] - 1], text, run[i:j])]
-            i = j
+            out.append((i, j))
+        i = j
     return out
 
 
@@ -387,7 +437,7 @@ def _paths(model: Model, emits: list[list]) -> list[list[int]]:
     for held in batches.values():
         sizes = np.array([len(emits[i]) for i in held])
         valid = np.arange(sizes.max())[None] < sizes[:, None]
-        emit = np.zeros((*valid.shape, len(KINDS) + 1))
+        emit = np.zeros((*valid.shape, LABELS))
         emit[valid] = np.concatenate([np.array(emits[i]) for i in held])
         for i, path in zip(held, viterbi(emit, model.trans, model.start, valid).tolist()):
             out[i] = path
@@ -426,8 +476,10 @@ def _plausible(kind: str, part: str) -> bool:
         return 12 <= len(digits) <= 19 and not any(c.isalpha() for c in part) and luhn(digits)
     if kind == "phone":
         return 7 <= len(digits) <= 15 and not any(c.isalpha() for c in part)
+    if _GAP.search(part):
+        return False
     if kind == "email":
-        return 0 < part.find("@") < len(part) - 1
+        return 0 < part.find("@") < len(part) - 1 and part.count("@") == 1
     return part.count(":") >= 2 or part.count(".") == 3
 
 
@@ -453,9 +505,9 @@ FOUND = "doc_id bigint, base array<struct<kind:string,s:bigint,e:bigint>>, spans
 def _finder(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                found = find_spans(model.value, [t or "" for t in part.column(1).to_pylist()])
+            for first, texts in text_groups(batch.column(1)):
+                part = batch.slice(first, len(texts))
+                found = find_spans(model.value, [t.decode() for t in texts])
                 columns = [[[{"kind": k, "s": s, "e": e} for s, e, k in spans[which]] for spans in found] for which in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(columns[0], _SPAN), pa.array(columns[1], _SPAN)], ["doc_id", "base", "spans"])
 
@@ -467,8 +519,10 @@ def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     Spans are (kind, start, end) in code points, end exclusive, by start and then
     by kind as in ``KINDS``. One row per input row; null text counts as empty and
-    has none; a text of any length is scanned whole, in linear time; an empty
-    table gives no rows. Other columns are ignored.
+    has none; a text and a word of any length are scanned whole, and a run of
+    neighbouring number words of any length is decoded whole, in linear time
+    (evidence of a neighbour is looked for over at most 64 blanks); repeated rows
+    are rows of their own; an empty table gives no rows. Other columns are ignored.
     """
     model = model or train(labelled_table())
     sent = Sent(docs.sparkSession, model)
@@ -476,22 +530,27 @@ def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def masked(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by ``<KIND>``."""
+    """``docs`` with every span of ``text`` replaced by ``<KIND>``; all columns stay.
+
+    Null text stays null, empty text empty; an empty table gives no rows.
+    """
     model, at = model or train(labelled_table()), docs.columns.index("text")
     sent = Sent(docs.sparkSession, model)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            out = []
-            for text, (_, spans) in zip(texts, find_spans(sent.value, [t or "" for t in texts])):
-                parts, last = [], 0
-                for s, e, kind in spans:
-                    if s >= last:
-                        parts += [text[last:s], f"<{kind.upper()}>"]
-                    last = max(last, e)
-                out.append(text if text is None else "".join(parts) + text[last:])
-            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+            for first, held in text_groups(batch.column(at)):
+                part = batch.slice(first, len(held))
+                texts = part.column(at).to_pylist()
+                out = []
+                for text, (_, spans) in zip(texts, find_spans(sent.value, [t or "" for t in texts])):
+                    parts, last = [], 0
+                    for s, e, kind in spans:
+                        if s >= last:
+                            parts += [text[last:s], f"<{kind.upper()}>"]
+                        last = max(last, e)
+                    out.append(text if text is None else "".join(parts) + text[last:])
+                yield part.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
 

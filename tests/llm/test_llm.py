@@ -234,22 +234,145 @@ def luhn_samples():
     return pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+#: Sentences of other wording and other forms than the training ones.
+HELD_OUT = """
+Please phone our front desk on [phone 999-999-9999] before noon
+her cell is [phone (999) 999-9999], leave a message
+Tel.: [phone 999.999.9999]
+you can text [phone 999-9999] any time
+the new landline, [phone 0999 999999], is active
+kontakt [phone +99 999 9999999] oder per Brief
+home [phone 999-999-9999] work [phone 999-999-9999]
+either [phone 999-9999] or [phone 999-9999] will do
+support hotline [phone 9-999-999-9999] open daily
+drop a line to [email xxxxx.xxx@xxxxx.xxx] whenever
+his address [email xxxxx99@xxxx.xx.xx] bounced
+internal account [email xxxx@xxxxxx] was locked
+both [email xxx@xxxxx] [email xxxxx@xxx] got it
+login attempt from [ip 99.99.999.9] blocked
+gateway at [ip ####:####:####:####:####:####:####:####] replied
+route to [ip ####:##::####:##] lost
+nodes [ip 999.99.9.99] and [ip 99.9.9.99] joined
+charged to [card 9999-9999-9999-9999] on Monday
+Visa [card 9999 9999 9999 9999] was declined
+stored as [card 9999.9999.9999.9999] in the file
+it weighed 99.9 kg and took 99 minutes
+founded in 9999, sold in 9999 for 9,999,999 dollars
+see section 9.9 and figure 99
+the meeting of 99.99.9999 began at 99:99
+flight xx999 from gate 99 at 99:99
+build 9.99.999 fixed 99 bugs
+batch 99999999 of serial 9999-9999
+ratio 9:9 with 99.9% confidence
+pages 99-999 and 999-9999 of volume 9
+the score was 99-99 after 9 rounds
+mention @xxxxxx in room 99
+model x99-999 sold 9999 times
+"""
+
+
+def spans_of(rows_):
+    """Sentences of a labelled table with their spans."""
+    text, spans, out = "", [], []
+    for word, kind in rows_:
+        if not word:
+            out.append((text, [(s, e, k) for s, e, k in spans]))
+            text, spans = "", []
+            continue
+        s = len(text) + bool(text)
+        text += (" " if text else "") + word
+        if kind.startswith("+"):
+            spans[-1] = (spans[-1][0], len(text), spans[-1][2])
+        elif kind:
+            spans.append((s, len(text), kind))
+    return [(t, [(s, e, k) for s, e, k in sp]) for t, sp in out]
+
+
+def card(text, spans):
+    """Cards get a last digit that passes the checksum, so that they can be real ones."""
+    for s, e, k in spans:
+        if k == "card":
+            at = max(i for i in range(s, e) if text[i].isdigit())
+            digits = [c for c in text[s:at] if c.isdigit()]
+            last = next(d for d in "0123456789" if pii.luhn("".join(digits) + d))
+            text = text[:at] + last + text[at + 1 :]
+    return text
+
+
 def test_op3_held_out_sentences():
-    """The model labels sentences drawn anew with few mistakes."""
-    model, wrong, n = pii.train(pii.labelled_table()), 0, 0
-    sentence, kinds = [], []
-    for word, kind in pii.labelled_table(copies=2, seed=99):
-        if word:
-            sentence.append(word)
-            kinds.append(kind)
+    """Precision and recall of whole spans in sentences of other templates."""
+    model, right, found, wanted = pii.train(pii.labelled_table()), 0, 0, 0
+    for text, spans in spans_of(pii.labelled_table(copies=30, seed=99, lines=HELD_OUT)):
+        text = card(text, spans)
+        trimmed = {(s, s + len(text[s:e].rstrip(".,;")), k) for s, e, k in spans}
+        got = set(pii.find_spans(model, [text])[0][1])
+        # A random address may hold a part above 255, which is then no address.
+        trimmed = {x for x in trimmed if x[2] != "ip" or ":" in text[x[0] : x[1]] or all(int(p) <= 255 for p in text[x[0] : x[1]].split("."))}
+        got = {x for x in got if x[2] != "ip" or ":" in text[x[0] : x[1]] or all(int(p) <= 255 for p in text[x[0] : x[1]].split("."))}
+        right, found, wanted = right + len(got & trimmed), found + len(got), wanted + len(trimmed)
+    print("precision", right / found, "recall", right / wanted)
+    assert right >= 0.9 * found and right >= 0.9 * wanted
+
+
+def naive_spans(model, text):
+    """Base spans, and those of a plain Viterbi over whole lines with impossible labels ruled out."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    out = []
+    for k in range(len(words)):
+        if not re.search("[0-9@]", text[slice(*words[k])]):
             continue
-        text = " ".join(sentence)
-        expected = {k for k in kinds if k}
-        found = {k for _, _, k in pii.find_spans(model, [text])[0][1]}
-        n += 1
-        wrong += not found <= expected
-        sentence, kinds = [], []
-    assert wrong <= 0.03 * n
+        joined_ = k and re.search("[0-9@]", text[slice(*words[k - 1])]) and words[k][0] - words[k - 1][1] <= 2 and "\n" not in text[words[k - 1][1] : words[k][0]]
+        if joined_:
+            out[-1].append(k)
+        else:
+            out.append([k])
+    added = []
+    for run in out:
+        near = lambda k, step: text[slice(*words[k + step])] if 0 <= k + step < len(words) and abs(words[k + step][step < 0] - words[k][step > 0]) < 64 else ""
+        best = {0: (0.0, [])}
+        for k in run:
+            emit = model.emit(pii.features(near(k, -1), text[slice(*words[k])], near(k, 1)))
+            first = k == run[0]
+            new = {}
+            for y in range(pii.LABELS):
+                options = [(best[x][0] + (model.start[y] if first else model.trans[x, y]) + emit[y], -x, best[x][1] + [y]) for x in best]
+                top = max(options, key=lambda o: (o[0], o[1]))
+                new[y] = (top[0], top[2])
+            best = new
+        path = max(best.items(), key=lambda x: (x[1][0], -x[0]))[1][1]
+        at = 0
+        while at < len(run):
+            end = at + 1
+            if path[at]:
+                kind = pii.KINDS[(path[at] - 1) // 2]
+                while end < len(run) and path[end] == 2 * pii.KINDS.index(kind) + 2:
+                    end += 1
+                part = text[words[run[at]][0] : words[run[end - 1]][1]]
+                s, e = pii._stripped(part)
+                if pii._plausible(kind, part[s:e]):
+                    added.append((words[run[at]][0] + s, words[run[at]][0] + e, kind))
+                elif end > at + 1:
+                    added += [(x, y, kind) for x, y in pii._plausible_parts(kind, text, [words[k] for k in run[at:end]])]
+            at = end
+    own = base(text)
+    return sorted(own + [x for x in added if all(x[1] <= s or e <= x[0] for s, e, _ in own)], key=lambda x: (x[0], pii.KINDS.index(x[2])))
+
+
+def test_op3_spans_equal_a_plain_decoder(rows):
+    model = pii.train(pii.labelled_table())
+    texts = [r.text for r in rows if r.text and re.search("[0-9@]", r.text)] + [t for t, _ in spans_of(pii.labelled_table(copies=3, seed=4, lines=HELD_OUT))]
+    texts += ["  12  34\n56\t78 @ a@b c@d  1" + " " * 80 + "555-1234", "555-1234 " * 90]
+    assert [x for _, x in pii.find_spans(model, texts)] == [naive_spans(model, t) for t in texts]
+
+
+def test_op3_neighbours_of_one_kind_stay_apart():
+    model = pii.train(pii.labelled_table())
+    for text, expected in (
+        ("call 555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"]), ("call 555-123-4567, 555-987-6543", ["555-123-4567", "555-987-6543"]),
+        ("4111.1111.1111.1111 5500.0000.0000.0004", ["4111.1111.1111.1111", "5500.0000.0000.0004"]), ("a@b c@d", ["a@b", "c@d"]), ("ring 555-1234 555-9876 now", ["555-1234", "555-9876"]),
+        ("mail " + "a" * 90 + "@localhost please", ["a" * 90 + "@localhost"]), ("write to " + "a" * 200 + "_99@host today", ["a" * 200 + "_99@host"]),
+    ):
+        assert [text[s:e] for s, e, _ in pii.find_spans(model, [text])[0][1]] == expected
 
 
 def test_op3_adds_but_never_replaces():
@@ -264,9 +387,12 @@ def test_op3_adds_but_never_replaces():
 
 def numbers(*lengths):
     """A model that takes words of so many digits for phones."""
-    weights = np.zeros((len(lengths), len(pii.KINDS) + 1))
-    weights[:, pii.KINDS.index("phone") + 1] = 1
-    return pii.Model({f"d{n}": i for i, n in enumerate(lengths)}, weights, np.zeros((len(pii.KINDS) + 1,) * 2))
+    weights = np.zeros((len(lengths), pii.LABELS))
+    weights[:, pii._begin("phone") : pii._begin("phone") + 2] = 1
+    trans = np.zeros((pii.LABELS, pii.LABELS))
+    trans[pii._begin("phone") :, pii._begin("phone")] = -0.5  # rather goes on
+    trans[0, pii._begin("phone") + 1] = -0.5
+    return pii.Model({f"d{n}": i for i, n in enumerate(lengths)}, weights, trans)
 
 
 @pytest.mark.parametrize("before", [0, 62, 63, 64, 127, 1000])
@@ -279,8 +405,8 @@ def test_op3_long_runs_have_the_best_path():
     from skein.llm.crf import viterbi
 
     rng = np.random.default_rng(3)
-    model = pii.Model({}, None, rng.normal(size=(5, 5)))
-    emits = [list(rng.normal(size=(n, 5))) for n in (1, 5, 64, 65, 130, 300)]
+    model = pii.Model({}, None, rng.normal(size=(pii.LABELS, pii.LABELS)))
+    emits = [list(rng.normal(size=(n, pii.LABELS))) for n in (1, 5, 64, 65, 130, 300)]
     for rows_, path in zip(emits, pii._paths(model, emits)):
         alone = viterbi(np.array(rows_)[None], model.trans, model.start, np.ones((1, len(rows_)), dtype=bool))[0]
         assert path[: len(rows_)] == alone.tolist()
