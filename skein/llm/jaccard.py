@@ -12,20 +12,32 @@ documents link when the sets' Jaccard similarity reaches ``threshold``.
    The global order is by frequency class, rarest first, then hash. A class of
    which less than the needed share occurs elsewhere is out; the others post
    their prefix.
-4. Candidates: holders of the same prefix n-gram form a star round the one with
-   the smallest share of n-grams of its own; each holder keeps its most frequent
-   centre. Stars are verified by a trie: the member sets, most frequent n-gram first, share the
-   path of what they have in common, the centre's set descends once with partial
-   overlaps, and subtrees whose remaining length cannot reach the needed overlap
-   are pruned.
-5. Links give components. Where holders of an n-gram are still in different
-   components, all their pairs across components are verified the same way that
-   lengths and positions allow (nothing before the first common n-gram is common,
-   which bounds the overlap by what follows it). Pairs within a component need no check for the groups: they cannot
-   change them. So no link that connects is lost and ``groups`` expands no group into all its pairs.
-6. ``links`` returns each document's number of links, for which all linked pairs are found. They lie within
-   components. A component's sets are dealt to blocks; where two blocks hold the same prefix n-gram, its holders
-   meet in a tile, and a trie of the one block's is probed with the other's. The work grows with the number of links.
+4. The join itself runs in tiles. A tile is a trie of some sets, most frequent
+   n-gram first, so that sets share the path of what they have in common; other
+   sets are probed through it: a probe descends once with partial overlaps, and
+   subtrees whose remaining length cannot reach the needed overlap are pruned. What
+   comes out of a tile are the linked pairs; nobody lists pairs before. The first
+   tiles are stars: holders of the same prefix n-gram are put round the one with the
+   smallest share of n-grams of its own (each holder joins its most frequent
+   centre), and the centre is probed through the trie of its members.
+5. Links give components. Holders of a prefix n-gram that are still in different
+   components meet in tiles too. N-grams with the same holders make one tile, so do
+   only holders of lengths that can link, and a tile of more than ``BLOCK`` sets is
+   cut into blocks that meet two by two; positions leave holders out before (nothing
+   before the first common n-gram is common, which bounds the overlap by what
+   follows it). Pairs within a component need no check for the groups: they cannot
+   change them. So no link that connects is lost and ``groups`` expands no group into
+   all its pairs.
+6. ``links`` returns each document's number of links, for which all linked pairs are
+   found. They lie within components. A component's sets are dealt to blocks; where
+   two blocks hold the same prefix n-gram, its holders meet in a tile. The work grows
+   with the number of links.
+
+N-grams are compared by 64-bit hashes and equal sets by 128-bit sums of them. Two
+sets of 1 000 n-grams each share a false n-gram with a chance of 1e6 / 2^64 = 5e-14;
+a link would need as many as the threshold asks. Postings are dealt to parts whose
+number grows with the n-grams counted (``PART_GRAMS`` a part); postings of one n-gram
+lie in one part.
 """
 
 from __future__ import annotations
@@ -38,7 +50,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skein.operators.components import connected_components
 
-from .common import NONBLANK, WordHasher, cut, joined, mix64, shingle_hashes, text_groups
+from .common import NONBLANK, WordHasher, bounded, cut, joined, mix64, shingle_hashes, text_groups
 
 N = 5
 #: The threshold as a fraction, so that bounds are exact integers.
@@ -47,8 +59,10 @@ THRESHOLD = (75, 100)
 SLACK = 16
 #: Prefix n-grams of a set that look for a star's centre; step 5 uses all.
 STARS = 16
-#: Sets and n-grams of a block of step 6.
-BLOCK, BLOCK_GRAMS = 64, 1 << 19
+#: Sets and n-grams of a block of steps 5 and 6; members of a star's tile.
+BLOCK, BLOCK_GRAMS, STAR = 64, 1 << 19, 4_096
+#: N-grams whose postings make one part of the hash range.
+PART_GRAMS = 1 << 22
 
 
 def shingle_sets(texts: list[bytes], hasher: WordHasher, n: int = N) -> list[np.ndarray]:
@@ -360,46 +374,83 @@ class _Node:
         self.grams, self.below, self.keys = self.grams[:k], {int(rest.grams[0]): rest}, []
 
 
-def _verify(t):
-    """Rows (a, b, left, right): probe a trie of the right sets of each left one."""
+#: Rows of tiles. Sets of side 1 are put into the tile's trie, those of side 0 are
+#: probed through it, those of side 2 are both (each pair once).
+TILE = "tile bigint, x bigint, y bigint, side int, id bigint, grams binary, copies bigint"
+_PROBE, _HELD, _BOTH = 0, 1, 2
 
-    def links(a, left, held):
-        trie = Trie()
-        for b, right in held:
-            trie.insert(np.frombuffer(right, dtype=np.uint64), b)
-        return [(a, b) for _, _, b in trie.search(np.frombuffer(left, dtype=np.uint64), t)]
+
+def _join(t, *, summed: bool = False):
+    """The linked pairs of tiles whose rows come one tile after the other; if
+    ``summed``, each set's copies of its partners instead."""
+
+    def one(rows):
+        trie, out = Trie(), []
+        for side, i, grams, _ in rows:
+            if side != _PROBE:
+                trie.insert(grams, (i, side))
+        for side, i, grams, _ in rows:
+            if side != _HELD:
+                out += [(i, j) for _, _, (j, other) in trie.search(grams, t) if side == _PROBE or other == _HELD or i < j]
+        if not summed:
+            return out
+        copies, more = {i: c for _, i, _, c in rows}, {}
+        for i, j in out:
+            more[i] = more.get(i, 0) + copies[j]
+            more[j] = more.get(j, 0) + copies[i]
+        return list(more.items())
+
+    names = ["id", "more"] if summed else ["a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
         for batch in batches:
-            out, held, last, size = [], [], None, 0
-            a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
-            for row in sorted(range(len(a)), key=lambda i: (a[i], b[i])):
-                if last is not None and ((a[row], left[row]) != last or size > 1 << 24):
-                    out += links(*last, held)
-                    held, size = [], 0
-                last = (a[row], left[row])
-                held.append((b[row], right[row]))
-                size += len(right[row])
-            if held:
-                out += links(*last, held)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            for now, side, i, grams, copies in zip(keys, *(batch.column(i).to_pylist() for i in range(3, 7))):
+                if now != key:
+                    out += one(rows)
+                    key, rows = now, []
+                rows.append((side, i, np.frombuffer(grams, dtype=np.uint64), copies))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+                out = []
+        out += one(rows)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("right"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    return rows.mapInArrow(_verify(t), "a bigint, b bigint")
+def _joined(members: DataFrame, sets: DataFrame, t, *, summed: bool = False) -> DataFrame:
+    """Links (a, b) found in tiles; ``members``: (tile, x, y, side, id)."""
+    rows = members.join(sets, "id").select("tile", "x", "y", F.col("side").cast("int").alias("side"), "id", "grams", "copies")
+    rows = rows.repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y")
+    return rows.mapInArrow(_join(t, summed=summed), "id bigint, more bigint" if summed else "a bigint, b bigint")
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Tiles of stars from (a, b), b a member round a; a large star is several tiles."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("long").alias("_x")).filter("_x > 1")
+    dealt = pairs.join(bounded(cut(many)), "a", "left").withColumn("x", F.coalesce(F.pmod(F.xxhash64("b"), "_x"), F.lit(0).cast("long")))
+    members = dealt.select(F.col("a").alias("tile"), "x", F.lit(0).cast("long").alias("y"), F.lit(_HELD).alias("side"), F.col("b").alias("id"))
+    centres = members.select("tile", "x", "y", F.lit(_PROBE).alias("side"), F.col("tile").alias("id")).distinct()
+    return members.unionByName(centres)
+
+
+def _blocked(members: DataFrame, group: list[str], sizes: DataFrame) -> DataFrame:
+    """Tiles in which the members (group, id) of each group meet block by block;
+    ``sizes``: (group, blocks)."""
+    key = F.xxhash64(*group).alias("tile")
+    dealt = members.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = dealt.select(key, "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("block") == F.col("other"), _BOTH).when(F.col("block") < F.col("other"), _PROBE).otherwise(_HELD)
+    return dealt.select("tile", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "id")
 
 
 def _ordered_sets(docs: DataFrame, classes: DataFrame, n: int, t) -> DataFrame:
     """Steps 2 and 3: the classes that may link, as ``ORDERED``."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_GRAMS))
     dealt = lambda df: df.repartitionById(parts, F.col("pid"))
     counts = dealt(docs.select("text").mapInArrow(_post_support(n, t, parts), POSTED)).mapInArrow(_count_support(parts), COUNTED)
     counts = dealt(counts).mapInArrow(_sum_support, "class_id bigint, shared bigint")
@@ -423,14 +474,14 @@ def class_links(docs: DataFrame, classes: DataFrame, *, n: int = N, t=THRESHOLD)
 
 def _connecting(ordered: DataFrame, t) -> DataFrame:
     """Steps 4 and 5."""
-    sets = ordered.select("id", "grams")
+    sets = ordered.select("id", "grams", F.lit(1).cast("long").alias("copies"))
     # Step 4. The centre has the smallest share of n-grams of its own.
     held = cut(ordered.select("id", "n", "alone", "prefix", "at").mapInArrow(_postings(STARS), POSTINGS))
     centres = held.groupBy("gram").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"))).alias("c"))
     reach = F.least("reach", "c.ra") * (t[0] + t[1]) >= (F.col("n") + F.col("c.na")) * t[0]
     pairs = held.join(centres, "gram").filter((F.col("id") != F.col("c.a")) & reach).groupBy(F.col("id").alias("b"), F.col("c.a").alias("a")).agg(F.count("*").alias("count"))
-    pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
-    links = cut(_verified(pairs, sets, t))
+    pairs = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")))
+    links = cut(_joined(_stars(pairs), sets, t))
     # Step 5: holders of a prefix n-gram that are still apart and could link.
     found = cut(connected_components(links))
     sizes = ordered.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
@@ -439,46 +490,24 @@ def _connecting(ordered: DataFrame, t) -> DataFrame:
     held = held.withColumn("most", F.floor(F.lit(t[0] + t[1]) * F.col("reach") / t[0]) - F.col("n"))
     smallest = held.groupBy("gram").agg(F.min("n").alias("smallest"))
     held = cut(held.join(smallest, "gram").filter("most >= smallest").drop("smallest"))
-    apart = held.groupBy("gram").agg((F.min("component") != F.max("component")).alias("apart")).filter("apart").select("gram")
-    held = cut(held.join(apart, "gram", "left_semi"))
-    other = held.select("gram", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "most")])
-    near = (F.col("n") * t[1] >= F.col("n2") * t[0]) & (F.col("n2") * t[1] >= F.col("n") * t[0]) & (F.col("n2") <= F.col("most")) & (F.col("n") <= F.col("most2"))
-    across = held.join(other, (held["gram"] == other["gram"]) & (F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & near)
-    rest = cut(across.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
-    return links.unionByName(_verified(rest, sets, t))
-
-
-def _tile_links(t, *, summed: bool = False):
-    """Step 6: the linked pairs of one tile (rows ``x, y, id, block, grams, copies``);
-    if ``summed``, each set's copies of its partners instead."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
-        held = [(i, b, np.frombuffer(g, dtype=np.uint64)) for i, b, g in zip(*(rows.column(c).to_pylist() for c in ("id", "block", "grams")))]
-        trie = Trie()
-        for i, b, grams in held:
-            if b == y:
-                trie.insert(grams, i)
-        found = [(i, j) for i, b, grams in held if b == x for _, _, j in trie.search(grams, t) if x != y or i < j]
-        if summed:
-            copies, more = dict(zip(rows.column("id").to_pylist(), rows.column("copies").to_pylist())), {}
-            for i, j in found:
-                more[i] = more.get(i, 0) + copies[j]
-                more[j] = more.get(j, 0) + copies[i]
-            return pa.table({"id": pa.array(more.keys(), pa.int64()), "more": pa.array(more.values(), pa.int64())})
-        a, b = zip(*found) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
+    apart = F.min("component") != F.max("component")
+    holders = held.groupBy("gram").agg(F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"), apart.alias("apart")).filter("apart").drop("apart")
+    tiles = held.join(holders, "gram").select("h1", "h2", "id", "n", "component").distinct()
+    # Lengths: linked sets differ by t1 / t0 at most, so they share one of these steps of two.
+    step = F.ln("n") / float(np.log(t[1] / t[0]))
+    tiles = cut(tiles.select("h1", "h2", "id", "component", F.explode(F.sequence(F.ceil(step - 2 - 1e-6), F.floor(step + 1e-6))).alias("step")))
+    group = ["h1", "h2", "step"]
+    sizes = tiles.groupBy(*group).agg(apart.alias("apart"), F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).filter("apart").drop("apart")
+    return links.unionByName(_joined(_blocked(tiles, group, sizes), sets, t))
 
 
 def all_links(docs: DataFrame, classes: DataFrame, *, n: int = N, t=THRESHOLD) -> DataFrame:
     """All links (a, b) between ``classes``, as in ``class_links``; each pair once."""
-    return _tiles(docs, classes, n, t).applyInArrow(_tile_links(t), "a bigint, b bigint")
+    return _every_link(docs, classes, n, t)
 
 
-def _tiles(docs: DataFrame, classes: DataFrame, n: int, t):
-    """Step 6: sets grouped by the tiles in which they meet others."""
+def _every_link(docs: DataFrame, classes: DataFrame, n: int, t, *, summed: bool = False) -> DataFrame:
+    """Step 6."""
     ordered = _ordered_sets(docs, classes, n, t)
     found = connected_components(_connecting(ordered, t))
     members = ordered.select("id", "n").join(found, "id")
@@ -489,9 +518,9 @@ def _tiles(docs: DataFrame, classes: DataFrame, n: int, t):
     here = held.groupBy("gram", "component", F.col("block").alias("other")).agg(F.count("*").alias("holders"))
     # A holder meets those of the other blocks, and of its own if there are any.
     meets = held.join(here, ["gram", "component"]).filter((F.col("block") != F.col("other")) | (F.col("holders") > 1))
-    meets = meets.select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block").distinct()
-    sets = ordered.select("id", "grams").join(classes.select("id", "copies"), "id")
-    return meets.join(sets, "id").groupBy("component", "x", "y")
+    side = F.when(F.col("block") == F.col("other"), _BOTH).when(F.col("block") < F.col("other"), _PROBE).otherwise(_HELD)
+    meets = meets.select(F.col("component").alias("tile"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "id").distinct()
+    return _joined(meets, ordered.select("id", "grams").join(classes.select("id", "copies"), "id"), t, summed=summed)
 
 
 POSTINGS = "id bigint, n bigint, alone bigint, gram bigint, reach bigint"
@@ -534,7 +563,7 @@ def links(docs: DataFrame, *, n: int = N, t=THRESHOLD) -> DataFrame:
     """
     docs, described, classes = _classes(docs, n)
     # Summed in the tiles, so that no pair becomes a row.
-    more = _tiles(docs, classes, n, t).applyInArrow(_tile_links(t, summed=True), "id bigint, more bigint").groupBy("id").agg(F.sum("more").alias("more"))
+    more = _every_link(docs, classes, n, t, summed=True).groupBy("id").agg(F.sum("more").alias("more"))
     counted = classes.join(more, "id", "left").select("digest", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("_links"))
     out = described.join(counted, "digest", "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
@@ -561,14 +590,36 @@ def groups(docs: DataFrame, *, n: int = N, t=THRESHOLD) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.
+#: Stands for a missing id, behind all others.
+_LAST = (1 << 63) - 1
+
+
+def keep_one(docs: DataFrame, *, n: int = N, t=THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each group; all columns stay.
 
-    Documents without n-grams or id all stay; all columns stay.
+    Groups are those of rows: rows that repeat an id are told apart by their text,
+    rows without an id are grouped like others and come behind them. The row with
+    the smallest id stays, of rows that share it the one of the smallest text hash,
+    of rows that agree in both one. Rows without n-grams all stay. An empty table
+    gives no rows.
     """
-    found = groups(docs, **options)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    # Only ids and hashes until it is known which rows go.
+    named, described, classes = _classes(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text"), n)
+    found = connected_components(class_links(named, classes, n=n, t=t))
+    labelled = classes.select("digest", "id", "first", "th").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    best = labelled.groupBy("component").agg(F.min(F.struct("first", "th")).alias("best"))
+    best = labelled.join(best, "component").select("digest", "best")
+    rows = described.filter("n_shingles > 0").groupBy("doc_id", "th", "digest").agg(F.count("*").alias("rows")).join(best, "digest")
+    rows = cut(rows.select("doc_id", "th", "rows", (F.struct("doc_id", "th") == F.struct("best.first", "best.th")).alias("stays")))
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64("text").alias("th"))
+    keyed = docs.select(F.struct("*").alias("_doc"), key.alias("_key"))
+    named_ = lambda df: df.select(F.struct("doc_id", "th").alias("_key")).distinct()
+    kept = keyed.join(named_(rows.filter("NOT stays")), "_key", "left_anti")
+    repeated = named_(rows.filter("stays AND rows > 1"))
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+        kept = kept.join(repeated, "_key", "left_anti").unionByName(once)
+    return kept.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 #: Words, sets, links and the closure in DuckDB.

@@ -723,6 +723,41 @@ def test_op7_trie():
         assert {k for _, _, k in trie.search(s)} == expected
 
 
+def test_op7_tiles():
+    """A tile's rows in any mix of sides give the linked pairs, each once."""
+    import pyarrow as pa
+
+    rng, rows_ = np.random.default_rng(1), []
+    base_ = np.arange(40, dtype=np.uint64)
+    sets = {i: np.unique(np.where(rng.random(40) < 0.08, rng.integers(100, 10_000, 40).astype(np.uint64), base_)) for i in range(30)}
+    for tile, sides in ((1, lambda i: 2), (2, lambda i: i % 2)):
+        rows_ += [(tile, 0, tile, sides(i), i, g[::-1].tobytes(), 2) for i, g in sets.items()]
+    names = [x.split(" ")[0] for x in jaccard.TILE.split(", ")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows_[k : k + 7])], names) for k in range(0, len(rows_), 7)]
+    got = [tuple(r.values()) for b in jaccard._join((75, 100))(iter(batches)) for r in b.to_pylist()]
+    near = {(i, j) for i in sets for j in sets if i != j and jaccard.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+    both, across = {p for p in near if p[0] < p[1]}, {p for p in near if p[0] % 2 == 0 and p[1] % 2 == 1}
+    assert sorted(got) == sorted([*both, *across]) and len(both) > 20
+    more = Counter()
+    for b in jaccard._join((75, 100), summed=True)(iter(batches)):
+        for r in b.to_pylist():
+            more[r["id"]] += r["more"]
+    assert more == Counter({i: 2 * (sum(i in p for p in both) + sum(i in p for p in across)) for i in sets} | {}) - Counter({i: 0 for i in sets})
+
+
+@pytest.mark.parametrize("block", [64, 3])
+def test_op7_common_passages(spark, monkeypatch, block):
+    """One passage in many texts that do not link with most others, and small blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "STAR", 4 * block)
+    rng = random.Random(9)
+    passage, texts = [f"p{i}" for i in range(30)], []
+    for i in range(60):
+        own = [f"o{i}x{k}" for k in range(rng.randint(2, 14))]
+        texts.append(" ".join(passage + own if i % 2 else own + passage))
+    assert [r.component_id for r in sorted(jaccard.groups(table(spark, texts)).collect(), key=lambda r: r.doc_id)] == [c for _, c in groups7(texts)]
+
+
 def test_op7_odd(spark):
     got = jaccard.groups(odd(spark)).collect()
     assert len(got) == 9
@@ -731,12 +766,20 @@ def test_op7_odd(spark):
         by[r.doc_id].append((r.n_shingles, r.component_id))
     assert by[1] == [(0, 1)] and by[4] == [(1, 4), (1, 4)] and by[None][0][1] is None
     assert jaccard.groups(empty(spark)).count() == 0
-    kept = jaccard.keep_one(odd(spark))
-    assert kept.columns == odd(spark).columns
     repeated = spark.createDataFrame([(5, "a b c d e f g"), (5, "h i j k l m n"), (3, "h i j k l m n"), (9, "a b c d e f g")], "doc_id bigint, text string")
     assert sorted(r.component_id for r in jaccard.groups(repeated).collect()) == [3, 3, 5, 5]
 
 
+def test_op7_keep_one(spark):
+    """One row of each group stays, whatever ids repeat or are missing."""
+    kept = jaccard.keep_one(odd(spark))
+    assert kept.columns == odd(spark).columns and kept.count() == 8
+    assert jaccard.keep_one(empty(spark)).count() == 0
+    rows_ = [(5, "a b c d e f g"), (5, "h i j k l m n"), (3, "h i j k l m n"), (9, "a b c d e f g"), (3, "h i j k l m n"), (None, "q r s t u v"), (None, "q r s t u v"), (None, "x y"), (4, "x y"), (None, None), (7, ""), (7, "")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows_, "doc_id bigint, text string"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(5, "a b c d e f g"), (3, "h i j k l m n"), (None, "q r s t u v"), (4, "x y"), (None, None), (7, ""), (7, "")], key=repr)
+
+
 # 8 ---------------------------------------------------------------------------------------------------
 
 
