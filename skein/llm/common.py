@@ -72,6 +72,30 @@ def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Keys that are met by a broadcast at most; every other key has fewer than a
+#: ``HOT``-th of the rows.
+HOT = 100_000
+
+
+def by_key(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join with a stored ``table`` of one row a key.
+
+    ``count`` is the number of ``rows`` of the key, ``total`` that of all; both only
+    choose the plan. Up to ``HOT`` keys are broadcast. Of more, the frequent ones
+    are (at most ``HOT`` can have a ``HOT``-th of the rows each), and only the
+    others, of which none is large, are joined by a shuffle.
+    """
+    others = [c for c in table.columns if c not in (key, count)]
+    if table.count() <= HOT:
+        return rows.join(F.broadcast(table.drop(count)), key).select(*rows.columns, *others)
+    frequent = F.col(count) * HOT >= total
+    hot = table.filter(frequent).select(key, F.struct(*others).alias("_known"))
+    both = rows.join(F.broadcast(hot), key, "left")
+    first = both.filter("_known IS NOT NULL").select(*rows.columns, "_known.*")
+    rest = both.filter("_known IS NULL").select(*rows.columns).join(table.filter(~frequent).drop(count), key)
+    return first.unionByName(rest.select(*rows.columns, *others))
+
+
 def _byte_table(is_word) -> bytes:
     out = bytearray()
     for b in range(256):

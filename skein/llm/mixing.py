@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import bounded, cut
+from .common import bounded, by_key, cut
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -42,45 +42,68 @@ def seeded(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(SEED), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 15), 16, 10).cast("long")
 
 
+def accumulated(df: DataFrame, order: list[str], **values: Column) -> DataFrame:
+    """Add for each name the sum of a value over all rows before, in a total order,
+    and ``_at``, the row's position from 0.
+
+    Rows are range-partitioned and sorted; a partition adds up its own rows and what
+    the partitions before it hold (one row a partition), so no task sees them all.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut(ranged.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()], F.lit(1).cast("long").alias("_v__at"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")))
+    names = [*values, "_at"]
+    parts = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_part").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in names])
+    sums = sums.select("_part", *[F.coalesce(F.sum(f"_s_{k}").over(parts), F.lit(0)).alias(f"_b_{k}") for k in names])
+    own = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(sums), "_part")
+    return out.select(*df.columns, *[(F.col(f"_b_{k}") + F.coalesce(F.sum(f"_v_{k}").over(own), F.lit(0))).alias(k) for k in names])
+
+
 def sainte_lague(df: DataFrame, group: list[str], key: str, votes: str, seats: str, out: str) -> DataFrame:
     """Add ``out``: the seats of each row, by highest quotients votes / (2k + 1).
 
     ``seats`` is constant within a group. With n rows, V votes and S seats, a
     row's seats lie between those of the divisors V / (S - n/2) and
-    V / (S + n/2), so only about two quotients a row are ranked. Equal quotients
-    go to the smaller ``key``; rows without votes get none.
+    V / (S + n/2), so only about two quotients a row are ranked. All groups are
+    ranked in one distributed sort, so that a group of any size is not one task's.
+    Equal quotients go to the smaller ``key``; rows without votes get none.
     """
-    own = Window.partitionBy(*[F.col(g) for g in group]) if group else Window.partitionBy(F.lit(0))
     v, s = F.col(votes).cast("double"), F.col(seats)
-    df = df.withColumn("_v", F.sum(v).over(own)).withColumn("_n", F.sum((v > 0).cast("int")).over(own))
+    totals = df.groupBy(*group).agg(F.sum(v).alias("_v"), F.sum((v > 0).cast("int")).alias("_n"))
+    df = df.join(bounded(cut(totals)), group) if group else df.crossJoin(F.broadcast(totals))  # one row
     low = F.greatest(F.lit(0), F.floor(v * (s - F.col("_n") / 2) / F.col("_v") - 0.5) - 1)
     high = F.floor(v * (s + F.col("_n") / 2) / F.col("_v") + 0.5) + 1
     has = (v > 0) & (s > 0)
-    df = df.withColumn("_low", F.when(has, low).otherwise(F.lit(0)).cast("long")).withColumn("_high", F.when(has, high).otherwise(F.lit(0)).cast("long"))
-    df = df.withColumn("_rest", s - F.sum("_low").over(own))
-    quotients = df.filter("_high > _low").select(*group, key, "_rest", F.col(votes).alias("_votes"), F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_k"))
-    quotients = quotients.withColumn("_q", F.col("_votes") / (2 * F.col("_k") + 1))
-    order = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(F.desc("_q"), key, "_k")
-    won = quotients.withColumn("_r", F.row_number().over(order)).filter("_r <= _rest").groupBy(*group, key).agg(F.count("*").alias("_won"))
-    return df.join(won, [*group, key], "left").withColumn(out, F.col("_low") + F.coalesce("_won", F.lit(0))).drop("_v", "_n", "_low", "_high", "_rest", "_won")
+    df = cut(df.withColumn("_low", F.when(has, low).otherwise(F.lit(0)).cast("long")).withColumn("_high", F.when(has, high).otherwise(F.lit(0)).cast("long")).drop("_v", "_n"))
+    quotients = df.filter("_high > _low").select(*group, key, F.col(votes).alias("_votes"), F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_k"))
+    quotients = quotients.withColumn("_q", -F.col("_votes") / (2 * F.col("_k") + 1))
+    ranked = accumulated(quotients, [*group, "_q", key, "_k"])
+    bounds = df.groupBy(*group).agg((F.max(s) - F.sum("_low")).alias("_rest")) if group else df.agg((F.max(s) - F.sum("_low")).alias("_rest"))
+    if group:
+        first = ranked.groupBy(*group).agg(F.min("_at").alias("_first"))
+        ranked = ranked.join(bounded(cut(first.join(bounds, group))), group)
+    else:
+        ranked = ranked.crossJoin(F.broadcast(bounds)).withColumn("_first", F.lit(0))
+    won = ranked.filter(F.col("_at") - F.col("_first") < F.col("_rest")).groupBy(*group, key).agg(F.count("*").alias("_won"))
+    return df.join(won, [*group, key], "left").withColumn(out, F.col("_low") + F.coalesce("_won", F.lit(0))).drop("_low", "_high", "_won")
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """Add ``weight`` and ``target`` to rows (source, source_size)."""
-    everything = Window.partitionBy(F.lit(0))
-    at = F.row_number().over(everything.orderBy(F.asc_nulls_last("source"))) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (at % len(weights) + 1).cast("int"))
+    """Add ``weight`` and ``target`` to rows (source, source_size); any number of sources."""
+    placed = accumulated(sources.withColumn("_null", F.col("source").isNull()), ["_null", "source"]).drop("_null")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_at") % len(weights) + 1).cast("int"))
     cap = F.col("source_size") * float(repeats)
-    full = everything.orderBy(F.col("source_size") / F.col("weight"), F.asc_nulls_last("source"))
-    df = sources.withColumn("weight", weight)
-    df = df.withColumn("_all", F.sum("source_size").over(everything) * F.lit(float(share)))
+    df = placed.withColumn("weight", weight).drop("_at").withColumn("_ratio", F.col("source_size") / F.col("weight")).withColumn("_null", F.col("source").isNull())
+    df = accumulated(df, ["_ratio", "_null", "source"], _capped=cap, _before=F.col("weight"))
+    whole = df.agg(F.sum("source_size").alias("_all"), F.sum("weight").alias("_weights"))
+    df = df.crossJoin(F.broadcast(whole))  # one row
     # Were this source the first below its cap, the level per unit of weight would be:
-    capped = F.coalesce(F.sum(cap).over(full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    df = df.withColumn("_level", (F.col("_all") - capped) / F.sum("weight").over(full.rowsBetween(0, Window.unboundedFollowing)))
-    df = df.withColumn("_at", F.row_number().over(full))
-    below = F.col("_level") * F.col("weight") <= cap
-    df = df.withColumn("_level", F.min_by(F.when(below, F.col("_level")), F.when(below, F.col("_at"))).over(everything))
-    return df.withColumn("target", F.least(cap, F.coalesce(F.col("_level") * F.col("weight"), cap))).drop("_all", "_level", "_at")
+    level = (F.col("_all") * F.lit(float(share)) - F.col("_capped")) / (F.col("_weights") - F.col("_before"))
+    df = cut(df.withColumn("_level", level))
+    reached = df.filter(F.col("_level") * F.col("weight") <= cap).agg(F.min_by("_level", "_at").alias("_reached"))
+    df = df.crossJoin(F.broadcast(reached))  # one row
+    return df.withColumn("target", F.least(cap, F.coalesce(F.col("_reached") * F.col("weight"), cap))).select(*sources.columns, "weight", "target")
 
 
 def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block_words: int = BLOCK_WORDS, cell_words: int = CELL_WORDS) -> DataFrame:
@@ -89,23 +112,27 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, repeats: int
     Returns one row per input row: ``doc_id``, ``source``, ``size``,
     ``source_size``, ``target`` (its source's) and ``taken`` (repeats counted, at
     most ``repeats`` times the size). Null and blank texts have size 0 and none
-    taken; a null source is a source of its own, last in order; repeated rows
-    are rows of their own; an empty table gives no rows. Other columns are
+    taken; a null source is a source of its own, last in order; rows without an id
+    are dealt by their texts; repeated rows are rows of their own; an empty table
+    gives no rows. Other columns are
     ignored.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")).withColumn("_key", key))
-    sources = sized.groupBy("_key", "source").agg(F.sum("size").alias("source_size"))
+    # Rows without an id are told apart by their texts, or they would all fall into one cell.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("n"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), name.alias("_name")).withColumn("_key", key)
+    sized = cut(sized.withColumn("_h", seeded(F.col("_name"), F.col("_key"))).drop("_name"))
+    sources = cut(sized.groupBy("_key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")))
+    total = sources.agg(F.sum("_rows")).first()[0] or 0
     sources = targets(sources, weights, share, repeats)
-    every = Window.partitionBy(F.lit(0))
-    sources = sources.withColumn("_seats", F.round(F.sum("target").over(every) / block_words).cast("long"))
+    seats = sources.agg(F.round(F.sum("target") / block_words).cast("long").alias("_seats"))
+    sources = sources.crossJoin(F.broadcast(seats))  # one row
     sources = sainte_lague(sources, [], "_key", "target", "_seats", "_blocks")
     sources = sources.withColumn("_cells", F.ceil(F.col("source_size") / F.lit(cell_words)).cast("long"))
-    sources = cut(sources.select("_key", "source_size", "target", "_blocks", F.greatest(F.lit(1), "_cells").alias("_cells")))
+    sources = cut(sources.select("_key", "source_size", "target", "_blocks", F.greatest(F.lit(1), "_cells").alias("_cells"), "_rows"))
 
     # A hot source would be one key of a shuffled join.
-    dealt = sized.join(bounded(sources, 100_000), "_key").withColumn("_h", seeded(F.col("doc_id"), F.col("_key")))
-    dealt = dealt.withColumn("_cell", F.pmod("_h", "_cells"))
+    dealt = by_key(sized, sources, "_key", "_rows", total).withColumn("_cell", F.pmod("_h", "_cells"))
     cells = dealt.groupBy("_key", "_cell").agg(F.sum("size").alias("_cell_size"), F.first("_blocks").alias("_blocks"))
     cells = sainte_lague(cells, ["_key"], "_cell", "_cell_size", "_blocks", "_quota")
     first = F.pmod(seeded(F.lit("cell"), F.col("_key"), F.col("_cell")), F.greatest(F.lit(1), F.ceil(F.col("_cell_size") / F.lit(block_words)).cast("long")))
@@ -138,7 +165,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 #: The same mix in DuckDB.
 ORACLE = r"""
-WITH RECURSIVE z AS (SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS k,
+WITH RECURSIVE z AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'n' || md5(coalesce(text, ''))) AS name, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS k,
        CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s0 AS (SELECT k, source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY ALL),
 s1 AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s0),
@@ -153,7 +180,7 @@ s6 AS (SELECT *, greatest(0, CAST(floor(target * (seats - (SELECT count(*) FROM
 s7 AS (SELECT k, low, target, seats - (SELECT CAST(sum(low) AS BIGINT) FROM s6) AS rest, unnest(range(low, low + 60)) AS i FROM s6 WHERE target > 0),
 s8 AS (SELECT k, count(*) AS won FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, k, i) AS r FROM s7) WHERE r <= rest GROUP BY k),
 src AS (SELECT s6.k, source_size, target, low + coalesce(won, 0) AS blocks, greatest(1, CAST(ceil(source_size / 1000000.0::DOUBLE) AS BIGINT)) AS cells FROM s6 LEFT JOIN s8 USING (k)),
-d AS (SELECT z.*, src.source_size, target, blocks, CAST('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || k), 1, 15) AS BIGINT) AS h, cells FROM z JOIN src USING (k)),
+d AS (SELECT z.*, src.source_size, target, blocks, CAST('0x' || substr(md5('mix-1|' || name || '|' || k), 1, 15) AS BIGINT) AS h, cells FROM z JOIN src USING (k)),
 d1 AS (SELECT *, h % cells AS cell FROM d),
 c0 AS (SELECT k, cell, CAST(sum(size) AS BIGINT) AS c, any_value(blocks) AS blocks FROM d1 GROUP BY ALL),
 c1 AS (SELECT *, greatest(0, CAST(floor(c * (blocks - (count(*) FILTER (WHERE c > 0) OVER w) / 2.0::DOUBLE) / greatest(1, sum(c) OVER w)) AS BIGINT) - 2) AS low FROM c0 WINDOW w AS (PARTITION BY k)),

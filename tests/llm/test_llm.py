@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF, same
 from skein.llm import ann, chat, decontaminate, entry, jaccard, langid, linededup, mixing, pii, sharding, tokencount
-from skein.llm.common import ALNUM, NONBLANK, WordHasher, joined
+from skein.llm.common import ALNUM, NONBLANK, WordHasher, cut, joined
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -74,6 +74,19 @@ def test_word_hashes_do_not_depend_on_place():
     assert len(set(hashes.tolist())) == 3 and hashes[0] == hashes[-1] and len(hashes) == 400_002
 
 
+@pytest.mark.parametrize("hot", [100_000, 4])
+def test_join_by_key(spark, monkeypatch, hot):
+    """The same rows whether keys are broadcast or only the frequent ones are."""
+    from skein.llm import common
+
+    monkeypatch.setattr(common, "HOT", hot)
+    keys = [1] * 50 + [2] * 30 + list(range(3, 20)) + [None]
+    rows_ = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k int")
+    table_ = spark.createDataFrame([(k, 10 * k, n) for k, n in Counter(k for k in keys if k).items() if k != 7], "k int, v int, n bigint")
+    got = common.by_key(rows_, table_, "k", "n", len(keys))
+    assert got.columns == ["i", "k", "v"] and sorted(map(tuple, got.collect())) == [(i, k, 10 * k) for i, k in enumerate(keys) if k and k != 7]
+
+
 # 1 ----------------------------------------------------------------------------------
 
 
@@ -196,6 +209,33 @@ def test_op2_seats(spark):
         assert [got[i] for i in range(n)] == expected
 
 
+def test_op2_many_sources(spark):
+    """Targets of many sources against water filling step by step, with ties and empty sources."""
+    rng = random.Random(11)
+    sizes = [(f"s{i:03}", rng.choice([0, 5, 5, 1000, rng.randint(1, 3000)])) for i in range(200)] + [(None, 77)]
+    got = {r.source: (r.weight, r.target) for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size bigint")).collect()}
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, (s, _) in enumerate(sizes)}
+    target, free, left = {}, dict(sizes), 1.5 * sum(n for _, n in sizes)
+    while True:
+        level = left / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] > 2 * free[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 2.0 * free.pop(s)
+            left -= target[s]
+    target |= {s: level * weight[s] for s in free}
+    assert {s: w for s, (w, _) in got.items()} == weight and all(abs(got[s][1] - target[s]) < 1e-6 for s in target)
+
+
+def test_op2_rows_without_ids(spark):
+    """They are dealt over the cells, and the mix stays near its target."""
+    rng = random.Random(12)
+    df = spark.createDataFrame([(None, " ".join(f"w{rng.randint(0, 999)}" for _ in range(40)), "en", "s", 0) for _ in range(300)], DOCS)
+    rows_ = mixing.mix(df, cell_words=1000).collect()
+    assert len(rows_) == 300 and abs(sum(r.taken for r in rows_) - rows_[0].target) <= 16 + 0.01 * rows_[0].target
+
+
 def test_op2_odd(spark):
     got = mixing.mix(odd(spark)).collect()
     assert len(got) == 9 and all(r.taken <= 2 * r.size for r in got)
@@ -510,7 +550,7 @@ def test_op5_counts_documents(spark):
     assert not any(r.n_dropped for r in four)
     # A constant needs five documents as well: "late" stands at its place in two only.
     parallel = "\n".join(f"We sold all of it {a} late" for a in ("oak", "elm", "fir"))
-    placed = linededup.placed_lines(table(spark, [parallel] * 2 + ["We sold all of it oak soon"] * 3)).localCheckpoint()
+    placed = cut(linededup.placed_lines(table(spark, [parallel] * 2 + ["We sold all of it oak soon"] * 3)))
     found = linededup.templates(table(spark, [parallel] * 2 + ["We sold all of it oak soon"] * 3), placed).collect()
     assert {(r.template, r.n_docs) for r in found} == {("We sold all of it oak <*>", 5)}
     # Rows that repeat an id and text are documents of their own.
