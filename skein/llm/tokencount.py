@@ -15,7 +15,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Sent, cut, scratch
+from .common import Sent, by_key, cut, scratch
 
 LIMIT = 4096
 CACHE = "digest binary, version string, n_tokens bigint"
@@ -106,11 +106,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     digest = F.unhex(F.sha2(text, 256)).alias("digest")
     keyed = cut(docs.select("doc_id", digest, F.octet_length(text).cast("long").alias("n_bytes")))
     known = spark.read.parquet(cache).filter(F.col("version") == tokenizer.version)
-    missing = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known.select("digest"), "digest", "left_anti")
+    contents = cut(keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")))
+    missing = contents.join(known.select("digest"), "digest", "left_anti")
     texts = docs.select("doc_id", digest, text.alias("text"))
     wanted = texts.join(missing, (texts["digest"] == missing["digest"]) & texts["doc_id"].eqNullSafe(missing["doc_id"]), "left_semi").select("digest", "text")
     sent = Sent(spark, tokenizer)
     counted = wanted.mapInArrow(_encoder(sent), "digest binary, n_tokens bigint")
     counted.select("digest", F.lit(tokenizer.version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     known = spark.read.parquet(cache).filter(F.col("version") == tokenizer.version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # A text of many copies would be one key of a shuffled join.
+    counts = cut(contents.select("digest", "rows").join(known, "digest"))
+    total = contents.agg(F.sum("rows")).first()[0] or 0
+    return by_key(keyed, counts, "digest", "rows", total).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
