@@ -29,10 +29,6 @@ def op5_linededup(spark, sf_dir):
     return linededup.digest(linededup.drop_templates(table(spark, sf_dir, "documents")))
 
 
-def op5_whole(spark, sf_dir):
-    return linededup.digest(linededup.drop_templates(table(spark, sf_dir, "documents"), whole=True))
-
-
 def op6_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -72,7 +68,6 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_sharding": op4_sharding,
     "op5_linededup": op5_linededup,
-    "op5_whole": op5_whole,
     "op6_langid": op6_langid,
     "op7_jaccard": op7_jaccard,
     "op7_links": op7_links,

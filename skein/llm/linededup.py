@@ -1,19 +1,18 @@
 """Line dedup by a log-template tree (DataFrame functions only).
 
-A line's tokens are its blank-separated parts; tokens with a digit are variable
-at once (``<*>``). The tree has fixed depth: token count, then the first
-``depth`` tokens; a leaf holds all lines that agree in these. In a leaf, a token
-that stands at the same position in at least ``min_docs`` document lines is a
-constant, every other one is generalised to ``<*>``. What remains is the line's
-template. A template that recurs in at least ``min_docs`` documents and whose
-tokens are constants to at least ``min_constant`` is boilerplate: its lines are
-dropped from every document. Everywhere, documents are counted, not their lines:
-many lines of one document count once.
-
-With ``whole``, every line that is not blank is looked at, and one whose masked
-form recurs in at least ``min_docs`` documents is its own template, whatever its
-share of constants (so lines of numbers only go too); the share is asked only
-where different lines make a template.
+Every line that is not blank is looked at. Its tokens are its blank-separated
+parts; tokens that look like a field with a digit are variable at once (``<*>``):
+at most 63 characters before the first digit and 64 after it, so that a passage
+without blanks is never taken for a field. The tree has fixed depth: token count,
+then the first ``depth`` tokens; a leaf holds all lines that agree in these. In a
+leaf, a token that stands at the same position in at least ``min_docs`` documents
+is a constant, every other one is generalised to ``<*>``. What remains is the
+line's template. A template that recurs in at least ``min_docs`` documents is
+boilerplate, and its lines are dropped from every document: those whose masked
+form recurs by itself, whatever its share of constants, and where different lines
+make a template those whose tokens are constants to at least ``min_constant``.
+Everywhere, documents are counted, not their lines: many lines of one document
+count once.
 
 Counts are pre-aggregated by hash before each shuffle, and lines of leaves too
 rare to hold a recurring template never reach the token step.
@@ -30,11 +29,10 @@ from .common import bounded, cut
 DEPTH = 3
 MIN_DOCS = 5
 MIN_CONSTANT = 0.7
-MIN_TOKENS = 3
 VARIABLE = "<*>"
 
-#: A token with a digit, begun only where a token begins.
-_BLANK, _DIGIT = r"[ \t\r\f\x0b]", r"(?<![^ \t\r\f\x0b\n])[^ \t\r\f\x0b\n0-9]*+[0-9][^ \t\r\f\x0b\n]*+"
+#: A field with a digit, begun only where a token begins and ended where it ends.
+_BLANK, _DIGIT = r"[ \t\r\f\x0b]", r"(?<![^ \t\r\f\x0b\n])[^ \t\r\f\x0b\n0-9]{0,63}+[0-9][^ \t\r\f\x0b\n]{0,64}+(?![^ \t\r\f\x0b\n])"
 
 
 def masked_lines(text: Column) -> Column:
@@ -58,22 +56,22 @@ def _with_leaf(lines: DataFrame, depth: int) -> DataFrame:
     return lines.withColumn("_leaf", F.xxhash64("_n", F.substring_index("_line", " ", depth)))
 
 
-def placed_lines(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def placed_lines(docs: DataFrame, *, depth: int = DEPTH) -> DataFrame:
     """Where each line stands: (doc_id, row number, text hash, position, leaf, line hash);
     to be stored before use, as rows are numbered anew each time."""
     # Rows that repeat an id and text are documents of their own.
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
     lines = rows.select("doc_id", "_row", F.xxhash64("text").alias("_t"), F.posexplode(masked_lines(F.col("text"))).alias("_pos", "_line"))
-    lines = _with_leaf(lines, depth).filter(F.col("_n") >= min_tokens)
+    lines = _with_leaf(lines, depth).filter("_n > 0")
     return lines.select("doc_id", "_row", "_t", "_pos", "_leaf", F.xxhash64("_line").alias("_h"))
 
 
-def templates(docs: DataFrame, placed: DataFrame, *, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, min_tokens: int = MIN_TOKENS, whole: bool = False) -> DataFrame:
+def templates(docs: DataFrame, placed: DataFrame, *, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
     """Masked lines (``_line``) whose template recurs, with ``template`` and ``n_docs``."""
     # A leaf of fewer lines cannot hold a template of so many documents.
     leaves = cut(placed.groupBy("_leaf").agg(F.count("*").alias("_c")).filter(F.col("_c") >= min_docs).select("_leaf"))
     # Distinct lines of a document, so that counts are of documents.
-    each = _with_leaf(docs.select(F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("_line")), depth).filter(F.col("_n") >= min_tokens)
+    each = _with_leaf(docs.select(F.explode(F.array_distinct(masked_lines(F.col("text")))).alias("_line")), depth).filter("_n > 0")
     lines = cut(each.join(bounded(leaves), "_leaf", "left_semi").groupBy("_leaf", "_n", "_line").agg(F.count("*").alias("_docs")))
     tokens = lines.select("_leaf", F.xxhash64("_line").alias("_id"), "_docs", F.posexplode(F.split("_line", " ")).alias("_pos", "_token"))
     place = ["_leaf", "_pos", "_token"]
@@ -84,13 +82,14 @@ def templates(docs: DataFrame, placed: DataFrame, *, depth: int = DEPTH, min_doc
     held = placed.join(bounded(cut(doubtful.select("_h").distinct())), "_h", "left_semi").select("_h", "_row").distinct()
     settled = doubtful.join(held, "_h").select(*place, "_row").distinct().groupBy(place).count().filter(F.col("count") >= min_docs)
     constants = often.filter(F.col("_least") >= min_docs).select(place).unionByName(settled.select(place))
-    kept = tokens.join(constants, ["_leaf", "_pos", "_token"], "left_semi")
+    # The lines of a leaf share their first tokens: without a broadcast these are large keys.
+    kept = tokens.join(bounded(cut(constants)), place, "left_semi")
     shape = kept.groupBy("_leaf", "_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "_token"))).alias("_kept"))  # at most a line's tokens
-    shaped = lines.withColumn("_id", F.xxhash64("_line")).join(shape, ["_leaf", "_id"], "left" if whole else "inner")
+    shaped = lines.withColumn("_id", F.xxhash64("_line")).join(shape, ["_leaf", "_id"], "left")
     shaped = shaped.withColumn("_kept", F.coalesce("_kept", F.array().cast(shape.schema["_kept"].dataType)))
     # All tokens of a line that recurs are constants or variable: it is its own template.
     fixed = F.size("_kept") >= F.col("_n") * min_constant
-    shaped = shaped.filter(fixed | (F.col("_docs") >= min_docs) if whole else fixed)
+    shaped = shaped.filter(fixed | (F.col("_docs") >= min_docs))
     known = F.map_from_entries("_kept")
     template = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: F.coalesce(F.try_element_at(known, i), F.lit(VARIABLE))), " ")
     shaped = cut(shaped.select("_line", "_docs", template.alias("template")))
@@ -102,19 +101,17 @@ def templates(docs: DataFrame, placed: DataFrame, *, depth: int = DEPTH, min_doc
     return shaped.join(recurring, "_t").select("_line", "template", "n_docs")
 
 
-def drop_templates(docs: DataFrame, *, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, whole: bool = False, **options) -> DataFrame:
+def drop_templates(docs: DataFrame, *, depth: int = DEPTH, **options) -> DataFrame:
     """Documents without lines of recurring templates.
 
     Returns ``docs`` with ``text`` rewritten (kept lines, joined by line feeds)
-    and ``n_lines`` and ``n_dropped`` added or replaced. Blank lines and lines of
-    fewer than ``min_tokens`` tokens (if not ``whole``) always stay; null text has no lines and
-    stays null; repeated rows count as documents of their own and are treated
-    alike; an empty table gives no rows.
+    and ``n_lines`` and ``n_dropped`` added or replaced. Blank lines always stay;
+    null text has no lines and stays null; repeated rows count as documents of
+    their own and are treated alike; an empty table gives no rows.
     """
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    min_tokens = 1 if whole else min_tokens
-    placed = cut(placed_lines(docs, depth=depth, min_tokens=min_tokens))
-    dropped = cut(templates(docs, placed, depth=depth, min_tokens=min_tokens, whole=whole, **options).select(F.xxhash64("_line").alias("_h")).distinct())
+    placed = cut(placed_lines(docs, depth=depth))
+    dropped = cut(templates(docs, placed, depth=depth, **options).select(F.xxhash64("_line").alias("_h")).distinct())
     gone = placed.join(bounded(dropped), "_h", "left_semi").groupBy("doc_id", "_t").agg(F.collect_set("_pos").alias("_gone"))  # at most a document's lines
     gone = gone.select(F.struct("doc_id", "_t").alias("_key"), "_gone")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_doc"), F.struct("doc_id", F.xxhash64("text").alias("_t")).alias("_key"))
@@ -133,22 +130,21 @@ def digest(cleaned: DataFrame) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: The same templates in DuckDB.
+#: The same templates in DuckDB, line by line and token by token.
 ORACLE = r"""
-WITH m AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw,
-       string_split(regexp_replace(regexp_replace(regexp_replace(text, '[ \t\r\f\x0b]+', ' ', 'g'), '[^ \t\r\f\x0b\n]*[0-9][^ \t\r\f\x0b\n]*', '<*>', 'g'), '(?m)^ | $', '', 'g'), chr(10)) AS lines FROM documents),
-e AS (SELECT line, string_split(line, ' ') AS tok FROM (SELECT unnest(list_distinct(lines)) AS line FROM m)),
-f AS (SELECT line, tok, len(tok) AS n, array_to_string(tok[1:3], ' ') AS head FROM e WHERE line <> '' AND len(tok) >= 3),
-lf AS (SELECT n, head FROM f GROUP BY ALL HAVING count(*) >= 5),
-l AS (SELECT n, head, line, any_value(tok) AS tok, count(*) AS docs FROM f JOIN lf USING (n, head) GROUP BY n, head, line),
-t AS (SELECT n, head, line, docs, unnest(tok) AS token, unnest(range(len(tok))) AS pos FROM l),
-c AS (SELECT n, head, pos, token FROM t WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 5),
-s AS (SELECT t.n, t.head, line, any_value(docs) AS docs, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY t.pos) AS template, count(c.token) AS kept
-      FROM t LEFT JOIN c ON t.n = c.n AND t.head = c.head AND t.pos = c.pos AND t.token = c.token GROUP BY t.n, t.head, line),
-r AS (SELECT template FROM s WHERE kept >= n * 0.7::DOUBLE GROUP BY template HAVING sum(docs) >= 5),
-g AS (SELECT DISTINCT line FROM s JOIN r USING (template) WHERE kept >= n * 0.7::DOUBLE),
-x AS (SELECT doc_id, list(pos ORDER BY pos) AS gone FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM m) JOIN g USING (line) GROUP BY doc_id)
-SELECT m.doc_id, CAST(coalesce(len(raw), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
+WITH m AS (SELECT doc_id, text, row_number() OVER () AS rid, string_split(text, chr(10)) AS raw FROM documents),
+p AS (SELECT rid, unnest(raw) AS line, unnest(range(len(raw))) AS pos FROM m),
+q AS (SELECT rid, pos, [CASE WHEN regexp_matches(x, '^[^0-9]{0,63}[0-9].{0,64}$') THEN '<*>' ELSE x END FOR x IN regexp_split_to_array(line, '[ \t\r\f\x0b]+') IF x <> ''] AS tok FROM p),
+f AS (SELECT DISTINCT rid, tok, len(tok) AS n, array_to_string(tok[1:3], ' ') AS head FROM q WHERE len(tok) > 0),
+l AS (SELECT n, head, tok, count(*) AS docs FROM f GROUP BY ALL),
+c AS (SELECT n, head, i, tok[i] AS token FROM (SELECT rid, n, head, tok, unnest(range(1, n + 1)) AS i FROM f) WHERE tok[i] <> '<*>' GROUP BY ALL HAVING count(DISTINCT rid) >= 5),
+t AS (SELECT n, head, tok, docs, unnest(range(1, n + 1)) AS i FROM l),
+s AS (SELECT t.n, t.head, tok, any_value(docs) AS docs, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY t.i) AS template, count(c.token) AS kept
+      FROM t LEFT JOIN c ON t.n = c.n AND t.head = c.head AND t.i = c.i AND t.tok[t.i] = c.token GROUP BY t.n, t.head, tok),
+k AS (SELECT tok, template FROM s WHERE kept >= n * 0.7::DOUBLE OR docs >= 5),
+r AS (SELECT template FROM k JOIN f USING (tok) GROUP BY template HAVING count(DISTINCT rid) >= 5),
+x AS (SELECT rid, list(pos) AS gone FROM q JOIN (SELECT DISTINCT tok FROM k JOIN r USING (template)) g USING (tok) GROUP BY rid)
+SELECT doc_id, CAST(coalesce(len(raw), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
        sha256(coalesce(array_to_string([raw[i] FOR i IN range(1, len(raw) + 1) IF NOT list_contains(coalesce(gone, []), i - 1)], chr(10)), '')) AS kept_sha256
-FROM m LEFT JOIN x USING (doc_id)
+FROM m LEFT JOIN x USING (rid)
 """

@@ -558,18 +558,26 @@ def test_op5_counts_documents(spark):
     assert [r.n_dropped for r in linededup.drop_templates(same_).collect()] == [1] * 5
 
 
+def test_op5_fields_and_passages(spark):
+    """Fields are masked, passages without blanks are not, however many digits they hold."""
+    passages = [f"{'長' * 70}{i}文" for i in range(6)]
+    texts = ["\n".join([p, f"id=a{i}", f"{'x' * 63}{i}", f"9{'y' * 65}{i}"]) for i, p in enumerate(passages)]
+    got = sorted(linededup.drop_templates(table(spark, texts)).collect(), key=lambda r: r.doc_id)
+    assert [r.text for r in got] == [f"{p}\n9{'y' * 65}{i}" for i, p in enumerate(passages)]
+
+
 def test_op5_whole(spark):
     """Short lines, lines without blanks and lines of variable fields that recur."""
     often = ["Les.", "And ornd.", "日本語の長い文がすべての文書に現れます。", "2024-01-01 12:00:01 10.0.0.7 GET ok", "12 13"]
     texts = ["\n".join([*often, "", f"own {chr(97 + i) * 4}", f"x{chr(97 + i)}"]) for i in range(5)]
     rare = "\n".join(["only here", "four", "", *["Sold to Ann"] * 5])
     texts += ["\n".join(["four"])] * 3 + [rare, "", None]
-    got = sorted(linededup.drop_templates(table(spark, texts), whole=True).collect(), key=lambda r: r.doc_id)
+    got = sorted(linededup.drop_templates(table(spark, texts)).collect(), key=lambda r: r.doc_id)
     for i in range(5):
         assert (got[i].text, got[i].n_dropped) == (f"\nown {chr(97 + i) * 4}\nx{chr(97 + i)}", len(often))
     assert [r.text for r in got[5:]] == texts[5:]
-    assert not any(r.n_dropped for r in linededup.drop_templates(table(spark, [t for t in texts[:4]]), whole=True).collect())
-    assert linededup.drop_templates(empty(spark), whole=True).count() == 0
+    assert not any(r.n_dropped for r in linededup.drop_templates(table(spark, [t for t in texts[:4]])).collect())
+    assert linededup.drop_templates(empty(spark)).count() == 0
 
 
 def test_op5_odd(spark):
