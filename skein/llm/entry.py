@@ -21,10 +21,20 @@ def op3_pii(spark, sf_dir):
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op3_base(spark, sf_dir):
+    """The columns of ``op3_pii`` that SQL can check."""
+    return op3_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op4_slots(spark, sf_dir):
+    """The columns of ``op4_sharding`` that SQL can check."""
+    return op4_sharding(spark, sf_dir).select("doc_id", "slot")
+
+
 def op5_linededup(spark, sf_dir):
     return linededup.digest(linededup.drop_templates(table(spark, sf_dir, "documents")))
 
@@ -66,7 +76,9 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
+    "op3_base": op3_base,
     "op4_sharding": op4_sharding,
+    "op4_slots": op4_slots,
     "op5_linededup": op5_linededup,
     "op6_langid": op6_langid,
     "op7_jaccard": op7_jaccard,
@@ -80,6 +92,8 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_mixing": mixing.ORACLE,
+    "op3_base": pii.BASE_ORACLE,
+    "op4_slots": sharding.SLOTS_ORACLE,
     "op5_linededup": linededup.ORACLE,
     "op7_jaccard": jaccard.ORACLE,
     "op7_links": jaccard.LINKS_ORACLE,

@@ -5,9 +5,13 @@ byte n-grams with its blanks (so the outer ones are prefixes and suffixes) and
 of lexicon entries; transitions are learned from training windows half of which
 switch language. Forward-backward gives each word's label marginals; a
 document's language has the largest sum of marginals over all its words, and its
-score is the mean marginal of that language.
+score is the mean marginal of that language. ``identify`` also counts the words of
+each language, ``label_words`` gives the stretches of code-switched text.
 
-Chains are windows of ``WINDOW`` words, which bounds memory for any text.
+Chains are windows of ``WINDOW`` words, which bounds memory for any text. Each is
+decoded with ``CONTEXT`` words of its neighbours on both sides, whose marginals are
+not used, so that the learned transitions act across windows.
+The model has about 0.8 MB a language, and ``MOST_LANGUAGES`` languages at most.
 Training uses at most ``TRAIN_DOCS`` documents of each language, a stretch of at
 most ``TRAIN_CHARS`` characters of each, and ``TRAIN_WINDOWS`` windows of them.
 """
@@ -24,10 +28,13 @@ from .common import Sent, WordHasher, _byte_table, joined, text_groups
 from .crf import forward_backward
 
 WINDOW = 32
+CONTEXT = 4
 TRAIN_DOCS = 200
 TRAIN_CHARS = 20_000
 TRAIN_WINDOWS = 1_500
 MIN_SCORE = 0.35
+#: Values of ``lang`` that are learned: the most frequent ones.
+MOST_LANGUAGES = 400
 UNKNOWN = "und"
 
 _ORDERS, _BITS, _LEXICON = (2, 3, 4), 16, 300
@@ -71,37 +78,64 @@ class Model:
             out[known] += self.words[at[known]]
         return out
 
-    def predict(self, texts: list[bytes], hasher: WordHasher) -> list[tuple[str, float]]:
-        """(language, score) of each text."""
-        if not self.languages:
-            return [(UNKNOWN, 0.0)] * len(texts)
+    def marginals(self, buf: bytes, starts, ends, hashes, bounds) -> np.ndarray:
+        """Label marginals (words, languages); document k has the words ``bounds[k]`` to ``bounds[k + 1]``."""
+        counts = -(-np.diff(bounds) // WINDOW)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        first = bounds[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * WINDOW
+        low, high = np.maximum(bounds[doc], first - CONTEXT), np.minimum(bounds[doc + 1], first + WINDOW + CONTEXT)
+        last = np.minimum(bounds[doc + 1], first + WINDOW)
+        out = np.zeros((len(starts), len(self.languages)), dtype=np.float32)
+        # Whole documents need not fit one batch of windows: cut by windows, not by documents.
+        for w in range(0, len(doc), 4_096):
+            own = slice(w, w + 4_096)
+            a, b = int(low[own][0]), int(high[own][-1])
+            scores = self.emissions(buf, starts[a:b], ends[a:b], hashes[a:b])
+            at = low[own, None] + np.arange(WINDOW + 2 * CONTEXT)
+            valid = at < high[own, None]
+            marginal = forward_backward(scores[np.minimum(at, b - 1) - a], self.trans, self.start, valid)
+            core = (at >= first[own, None]) & (at < last[own, None])
+            out[at[core]] = marginal[core]
+        return out
+
+    def _words(self, texts: list[bytes], hasher: WordHasher):
+        """The words of texts: places in one buffer, document bounds, where each text begins, marginals."""
         buf, offsets = joined([b" " + t for t in texts], LETTERS)
         buf += b" "
         starts, ends, hashes = hasher(buf)
-        bounds = np.append(np.searchsorted(starts, offsets), len(starts))
-        sums = np.zeros((len(texts), len(self.languages)))
-        sizes = np.diff(bounds)
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        # Whole documents need not fit one batch of windows: cut by windows, not by documents.
-        within = np.arange(len(starts)) - bounds[doc]
-        first = np.append(0, np.cumsum(-(-sizes // WINDOW)))
-        window, column = first[doc] + within // WINDOW, within % WINDOW
-        for low in range(0, int(first[-1]), 4_096):
-            a, b = np.searchsorted(window, [low, low + 4_096])
-            rows = int(min(4_096, first[-1] - low))
-            emit = np.zeros((rows, WINDOW, len(self.languages)))
-            valid = np.zeros((rows, WINDOW), dtype=bool)
-            emit[window[a:b] - low, column[a:b]] = self.emissions(buf, starts[a:b], ends[a:b], hashes[a:b])
-            valid[window[a:b] - low, column[a:b]] = True
-            marginal = forward_backward(emit, self.trans, self.start, valid)
-            np.add.at(sums, doc[np.searchsorted(window, np.arange(low, low + rows))], (marginal * valid[:, :, None]).sum(axis=1))
-        out = []
-        for text, n, total in zip(texts, sizes.tolist(), sums):
-            if n == 0 or not _has_letter(text):
-                out.append((UNKNOWN, 0.0))
+        bounds = np.append(np.searchsorted(starts, offsets), len(starts)).astype(np.int64)
+        return starts, ends, bounds, offsets + 1, self.marginals(buf, starts, ends, hashes, bounds)
+
+    def predict(self, texts: list[bytes], hasher: WordHasher) -> list[tuple[str, float, list[int]]]:
+        """(language, score, words of each language) of each text."""
+        if not self.languages:
+            return [(UNKNOWN, 0.0, [])] * len(texts)
+        _, _, bounds, _, marginal = self._words(texts, hasher)
+        label, out = marginal.argmax(axis=1), []
+        for text, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist()):
+            if a == b or not _has_letter(text):
+                out.append((UNKNOWN, 0.0, []))
             else:
+                total = marginal[a:b].sum(axis=0, dtype=np.float64)
                 best = int(total.argmax())
-                out.append((self.languages[best], min(1.0, float(total[best] / n))))
+                counts = np.bincount(label[a:b], minlength=len(self.languages)).tolist()
+                out.append((self.languages[best], min(1.0, float(total[best] / (b - a))), counts))
+        return out
+
+    def stretches(self, texts: list[bytes], hasher: WordHasher) -> list[list[tuple[int, int, str]]]:
+        """Per text: (start, end, language) of runs of words with the same most likely label, in code points."""
+        if not self.languages:
+            return [[] for _ in texts]
+        starts, ends, bounds, offsets, marginal = self._words(texts, hasher)
+        label, out = marginal.argmax(axis=1), []
+        for text, at, a, b in zip(texts, offsets.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+            if a == b or not _has_letter(text):
+                out.append([])
+                continue
+            # Bytes that begin a code point, up to each place.
+            points = np.append(0, np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80))
+            edge = np.append(np.flatnonzero(np.append(True, label[a + 1 : b] != label[a : b - 1])), b - a) + a
+            out.append([(int(points[starts[x] - at]), int(points[ends[y - 1] - at]), self.languages[label[x]]) for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())])
         return out
 
 
@@ -174,7 +208,7 @@ def train(rows: list[tuple[str, str]], *, epochs: int = 6, seed: int = 1) -> Mod
     weights[:base][~seen[:base]] = 0
 
     trans, start = np.full((n, n), -3.0) + 3.0 * np.eye(n), np.zeros(n)
-    step_w, step_t = np.full(weights.shape, 1e-2), np.full((n, n), 1e-2)
+    step_w, step_t, step_s = np.full(weights.shape, 1e-2), np.full((n, n), 1e-2), np.full(n, 1e-2)
     for _ in range(epochs if n > 1 and pool else 0):
         order = rng.permutation(len(pool))
         sequences = []
@@ -212,6 +246,9 @@ def train(rows: list[tuple[str, str]], *, epochs: int = 6, seed: int = 1) -> Mod
             grad = (expected - seen_t) / m
             step_t += grad**2
             trans -= 0.1 * grad / np.sqrt(step_t)
+            grad = (marginal[:, 0].sum(axis=0) - np.bincount(labels[:, 0], minlength=n)) / m
+            step_s += grad**2
+            start -= 0.1 * grad / np.sqrt(step_s)
     model.grams = weights[:base].reshape(len(_ORDERS), 1 << _BITS, n).astype(np.float32)
     model.words, model.trans, model.start = weights[base:].astype(np.float32), trans, start
     return model
@@ -228,7 +265,7 @@ def training_rows(docs: DataFrame, *, per_language: int = TRAIN_DOCS, chars: int
     Chosen by hash of the id; more than 40 languages share 40 times the bound.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).toLocalIterator()}
     if not counts:
         return []
     most = max(1, min(per_language, 40 * per_language // len(counts)))
@@ -250,31 +287,59 @@ def fit(docs: DataFrame, **options) -> Model:
     return train(training_rows(docs, **options))
 
 
+IDENTIFIED = "doc_id bigint, held_out boolean, lang_pred string, score double, lang_words string"
+
+
 def _predictor(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             for first, texts in text_groups(batch.column(2), 1 << 19):
-                langs, scores = zip(*model.value.predict(texts, hasher))
+                langs, scores, counts = zip(*model.value.predict(texts, hasher))
+                words = [",".join(f"{lang}:{n}" for lang, n in zip(model.value.languages, own) if n) for own in counts]
                 part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(words, pa.string())], ["doc_id", "held_out", "lang_pred", "score", "lang_words"])
 
     return run
 
 
+LABELLED = "doc_id bigint, spans array<struct<s:bigint,e:bigint,lang:string>>"
+
+
+def label_words(docs: DataFrame, model: Model) -> DataFrame:
+    """Stretches of one language in each text: ``doc_id``, ``spans`` (code points, end exclusive).
+
+    Runs of neighbouring words whose most likely label is the same; one row per
+    input row. Null, empty and letterless texts have none, nor has any under a model
+    without languages; an empty table gives no rows. Other columns are ignored.
+    """
+    sent, kind = Sent(docs.sparkSession, model), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64()), ("lang", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for first, texts in text_groups(batch.column(1), 1 << 19):
+                found = [[{"s": s, "e": e, "lang": lang} for s, e, lang in own] for own in sent.value.stretches(texts, hasher)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(found, kind)], ["doc_id", "spans"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, LABELLED)
+
+
 def _keeper(model, at: int, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             for first, texts in text_groups(batch.column(at), 1 << 19):
-                keep = [lang != UNKNOWN and score >= min_score for lang, score in model.value.predict(texts, hasher)]
+                keep = [lang != UNKNOWN and score >= min_score for lang, score, _ in model.value.predict(texts, hasher)]
                 yield batch.slice(first, len(texts)).filter(pa.array(keep))
 
     return run
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per input row: ``doc_id``, ``held_out``, ``lang_pred``, ``score``.
+    """One row per input row: ``doc_id``, ``held_out``, ``lang_pred``, ``score``, ``lang_words``.
+
+    ``lang_words`` lists the words whose most likely label is a language (``de:3,en:40``).
 
     Null, empty or letterless text is ``und`` with score 0, as is every text
     under a model without languages. Only the text enters a prediction; equal
@@ -282,10 +347,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     an empty table gives no rows. Other columns are ignored.
     """
     sent = Sent(docs.sparkSession, model)
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_predictor(sent), "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_predictor(sent), IDENTIFIED)
 
 
 def drop_unidentified(docs: DataFrame, model: Model, *, min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` without rows of no language or a score below ``min_score``; all columns stay."""
+    """``docs`` without rows of no language or a score below ``min_score``; all columns stay.
+
+    Null, empty and letterless texts go; repeated rows go or stay alike; an empty
+    table gives no rows.
+    """
     sent = Sent(docs.sparkSession, model)
     return docs.mapInArrow(_keeper(sent, docs.columns.index("text"), min_score), docs.schema)

@@ -560,3 +560,17 @@ def digest(found: DataFrame) -> DataFrame:
     joined = lambda c: f"concat_ws(',', transform({c}, x -> concat(x.kind, ':', x.s, ':', x.e)))"
     counts = [F.expr(f"size(filter(base, x -> x.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(F.expr(joined("base")), 256).alias("base_sha256"), F.expr(joined("spans")).alias("spans"))
+
+
+#: The numbers of base spans in DuckDB; positions have no plain SQL form.
+BASE_ORACLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email,
+      list_filter(regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0) AS ip,
+      list_transform(regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS digits,
+      list_filter(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: len(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15) AS phone FROM t),
+d AS (SELECT doc_id, unnest(digits) AS d FROM m),
+v AS (SELECT doc_id, list_sum([CASE WHEN i % 2 = 1 THEN CAST(reverse(d)[i] AS INTEGER) WHEN CAST(reverse(d)[i] AS INTEGER) > 4 THEN 2 * CAST(reverse(d)[i] AS INTEGER) - 9 ELSE 2 * CAST(reverse(d)[i] AS INTEGER) END FOR i IN range(1, len(d) + 1)]) AS total FROM d WHERE len(d) BETWEEN 12 AND 19),
+k AS (SELECT doc_id, count(*) AS n FROM v WHERE total % 10 = 0 GROUP BY doc_id)
+SELECT m.doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len(ip) AS BIGINT) AS n_ip, CAST(coalesce(k.n, 0) AS BIGINT) AS n_card, CAST(len(phone) AS BIGINT) AS n_phone FROM m LEFT JOIN k USING (doc_id)
+"""

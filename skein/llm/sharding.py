@@ -75,3 +75,7 @@ def write_shards(placed: DataFrame, path: str, files: int = 1) -> None:
     """One folder a shard, each of ``files`` files (Parquet)."""
     part = F.pmod(F.xxhash64("slot"), F.lit(files))
     placed.repartition(F.col("shard"), part).write.partitionBy("shard").parquet(path)
+
+
+#: The slots in DuckDB; the table itself is filled turn by turn and has no plain SQL form.
+SLOTS_ORACLE = "SELECT doc_id, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % 65537 AS INTEGER) AS slot FROM documents"

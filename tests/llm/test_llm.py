@@ -467,6 +467,10 @@ def test_op3_rows(spark, docs, rows):
         assert got[r.doc_id].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
 
 
+def test_op3_base_oracle(spark, duck):
+    same(entry.op3_base(spark, SF), duck, entry.ORACLES["op3_base"])
+
+
 def test_op3_odd(spark):
     assert pii.digest(pii.find_pii(odd(spark))).count() == 9
     assert pii.find_pii(empty(spark)).count() == 0
@@ -513,6 +517,10 @@ def test_op4_rows(spark, rows):
         assert r.slot == slot and r.shard == f"shard-{full[slot]:05d}"
 
 
+def test_op4_slots_oracle(spark, duck):
+    same(entry.op4_slots(spark, SF), duck, entry.ORACLES["op4_slots"])
+
+
 def test_op4_odd(spark, tmp_path):
     out = sharding.place(odd(spark), 5)
     assert out.count() == 9 and out.columns == [c for c in odd(spark).columns if c not in ("slot", "shard")] + ["slot", "shard"]
@@ -611,9 +619,66 @@ def test_op6_labels_code_switched_text():
     rows_ = [(lang, " ".join(rng.choice(v) for _ in range(60))) for lang, v in (("a", a), ("b", b)) for _ in range(20)]
     model = langid.train(rows_)
     mixed = " ".join([rng.choice(a) for _ in range(30)] + [rng.choice(b) for _ in range(10)])
-    (lang, score), = model.predict([mixed.encode()], WordHasher())
-    assert lang == "a" and 0.6 < score < 0.9
-    assert model.predict([b"", b"12 ..", "—".encode()], WordHasher()) == [("und", 0.0)] * 3
+    ((lang, score, counts),) = model.predict([mixed.encode()], WordHasher())
+    assert lang == "a" and 0.6 < score < 0.9 and counts == [30, 10]
+    assert model.predict([b"", b"12 ..", "—".encode()], WordHasher()) == [("und", 0.0, [])] * 3
+    words_a, words_b = " ".join(["aba", "bab"] * 9), " ".join(["xyx", "yxy", "xyyx"] * 6)
+    text = f"é {words_a} {words_b}! 12 {words_a}".replace("é ", "— ")
+    (spans,) = model.stretches([text.encode()], WordHasher())
+    assert [lang for _, _, lang in spans][-3:] == ["a", "b", "a"]
+    assert text[spans[-2][0] : spans[-2][1]] == words_b and text[spans[-1][0] : spans[-1][1]] == words_a
+
+
+def plain_marginals(model, words, whole=False):
+    """Label marginals word by word, from weights looked up one at a time."""
+    from skein.llm.crf import forward_backward
+
+    hasher, scores = WordHasher(), np.zeros((len(words), len(model.languages)))
+    for i, w in enumerate(words):
+        padded = b" " + w + b" "
+        for k, order in enumerate((2, 3, 4)):
+            for at in range(len(padded) - order + 1):
+                code = 0
+                for c in padded[at : at + order]:
+                    code = (code * 0x01000193 + c) % (1 << 32)
+                scores[i] += model.grams[k][((code * 0x9E3779B1) % (1 << 32)) >> 16]
+        known = np.flatnonzero(model.lexicon == hasher(w)[2][0])
+        if len(known):
+            scores[i] += model.words[known[0]]
+    out = np.zeros_like(scores)
+    step = len(words) if whole else 32
+    for first in range(0, len(words), max(1, step)):
+        low, high = (0, len(words)) if whole else (max(0, first - 4), min(len(words), first + 36))
+        one = forward_backward(scores[None, low:high], model.trans, model.start, np.ones((1, high - low), dtype=bool))[0]
+        out[first : first + step] = one[first - low : first - low + step]
+    return out
+
+
+def test_op6_equals_a_plain_model(spark, docs, rows):
+    """Predictions against features looked up one by one; windows against whole chains."""
+    model, far = langid.fit(docs), []
+    some = [r.text for r in rows if r.text][::7] + ["12 34", "é", "x" * 300, "one word and 日本語 text"]
+    for text, (lang, score, counts) in zip(some, model.predict([t.encode() for t in some], WordHasher())):
+        words = joined([text.encode()], langid.LETTERS)[0].split()
+        if not words or not any(map(str.isalpha, text)):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        m = plain_marginals(model, words)
+        total = m.sum(axis=0)
+        assert abs(total.max() / len(words) - score) < 1e-4 and lang == model.languages[int(total.argmax())]
+        assert sum(counts) == len(words)
+        far.append(np.abs(plain_marginals(model, words, whole=True).sum(axis=0).max() / len(words) - score))
+    assert max(far) < 0.02
+
+
+def test_op6_labels_words(spark):
+    model = langid.train([("a", "aba bab abba " * 20), ("b", "xyx yxy xyyx " * 20)])
+    got = {r.doc_id: r.spans for r in langid.label_words(odd(spark), model).collect()}
+    assert got[1] == got[2] == got[3] == [] and got[5]
+    assert langid.label_words(empty(spark), model).count() == 0
+    df = table(spark, ["aba bab xyx yxy xyyx", "1 2"])
+    assert [(s.s, s.e, s.lang) for s in langid.label_words(df, model).orderBy("doc_id").first().spans] == [(0, 7, "a"), (8, 20, "b")]
+    assert [r.lang_words for r in langid.identify(df, model).orderBy("doc_id").collect()] == ["a:2,b:3", ""]
 
 
 def test_op6_odd(spark):

@@ -36,7 +36,7 @@ def test_language_id(stages):
     _, before, after = stages[0]
     rows = before.collect()
     predicted = langid.fit(before).predict([(r.text or "").encode() for r in rows], WordHasher())
-    keep = {r.doc_id for r, (lang, score) in zip(rows, predicted) if lang != "und" and score >= langid.MIN_SCORE}
+    keep = {r.doc_id for r, (lang, score, _) in zip(rows, predicted) if lang != "und" and score >= langid.MIN_SCORE}
     assert {r.doc_id for r in after.collect()} == keep
 
 
