@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent (local tests) a temporary folder is set.
+    Without the setting a local session gets a temporary folder; on a cluster, where
+    such a folder would be one machine's, that is an error.
     """
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
-        path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            path = tempfile.mkdtemp(prefix="skein-")
+        if not path:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(path)
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
