@@ -23,11 +23,12 @@ documents link when the sets' Jaccard similarity reaches ``threshold``.
 5. Links give components. Holders of a prefix n-gram that are still in different
    components meet in tiles too. N-grams with the same holders make one tile, so do
    only holders of lengths that can link, and a tile of more than ``BLOCK`` sets is
-   cut into blocks that meet two by two; positions leave holders out before (nothing
-   before the first common n-gram is common, which bounds the overlap by what
-   follows it). Pairs within a component need no check for the groups: they cannot
-   change them. So no link that connects is lost and ``groups`` expands no group into
-   all its pairs.
+   cut into blocks that meet two by two, unless they are of one component; positions
+   leave holders out before (nothing before the first common n-gram is common, which
+   bounds the overlap by what follows it). Pairs within a component need no check for
+   the groups: they cannot change them, and a tile passes over subtrees of the probe's
+   own component. So no link that connects is lost and ``groups`` expands no group
+   into all its pairs.
 6. ``links`` returns each document's number of links, for which all linked pairs are
    found. They lie within components. A component's sets are dealt to blocks; where
    two blocks hold the same prefix n-gram, its holders meet in a tile. The work grows
@@ -319,9 +320,9 @@ class Trie:
     def __init__(self) -> None:
         self.root = _Node(np.empty(0, dtype=np.uint64))
 
-    def insert(self, grams: np.ndarray, key) -> None:
+    def insert(self, grams: np.ndarray, key, mark=None) -> None:
         node, at, n = self.root, 0, len(grams)
-        node.see(n)
+        node.see(n, mark)
         while True:
             if at == n:
                 node.keys.append(key)
@@ -329,7 +330,7 @@ class Trie:
             below = node.below.get(int(grams[at]))
             if below is None:
                 leaf = _Node(grams[at:])
-                leaf.see(n)
+                leaf.see(n, mark)
                 leaf.keys.append(key)
                 node.below[int(grams[at])] = leaf
                 return
@@ -338,15 +339,18 @@ class Trie:
             k = int(differ[0]) if len(differ) else k
             if k < len(below.grams):
                 below.split(k)
-            below.see(n)
+            below.see(n, mark)
             node, at = below, at + k
 
-    def search(self, grams: np.ndarray, t=THRESHOLD) -> Iterator[tuple[int, int, object]]:
-        """(overlap, size, key) of the sets that link with ``grams``."""
+    def search(self, grams: np.ndarray, t=THRESHOLD, skip=None) -> Iterator[tuple[int, int, object]]:
+        """(overlap, size, key) of the sets that link with ``grams``; subtrees whose
+        sets all have one mark are left out if ``skip(mark)``."""
         probe, n = np.sort(grams), len(grams)
         stack = [(self.root, 0, 0)]
         while stack:
             node, overlap, depth = stack.pop()
+            if skip is not None and not node.mixed and node.mark is not None and skip(node.mark):
+                continue
             if len(node.grams):
                 at = np.minimum(np.searchsorted(probe, node.grams), n - 1)
                 overlap += int(np.count_nonzero(probe[at] == node.grams))
@@ -364,68 +368,99 @@ class _Node:
     def __init__(self, grams) -> None:
         self.grams, self.below, self.keys = grams, {}, []
         self.shortest, self.longest = 1 << 62, 0
+        self.mark, self.mixed = None, False
 
-    def see(self, n: int) -> None:
+    def see(self, n: int, mark) -> None:
+        self.mixed = self.mixed or (self.longest > 0 and mark != self.mark)
+        self.mark = mark
         self.shortest, self.longest = min(self.shortest, n), max(self.longest, n)
 
     def split(self, k: int) -> None:
         rest = _Node(self.grams[k:])
         rest.below, rest.keys, rest.shortest, rest.longest = self.below, self.keys, self.shortest, self.longest
+        rest.mark, rest.mixed = self.mark, self.mixed
         self.grams, self.below, self.keys = self.grams[:k], {int(rest.grams[0]): rest}, []
 
 
 #: Rows of tiles. Sets of side 1 are put into the tile's trie, those of side 0 are
-#: probed through it, those of side 2 are both (each pair once).
-TILE = "tile bigint, x bigint, y bigint, side int, id bigint, grams binary, copies bigint"
+#: probed through it, those of side 2 are both (each pair once). ``mark`` is a set's
+#: component, or its number of copies where links are summed.
+TILE = "tile bigint, x bigint, y bigint, side int, id bigint, grams binary, mark bigint"
 _PROBE, _HELD, _BOTH = 0, 1, 2
 
 
-def _join(t, *, summed: bool = False):
-    """The linked pairs of tiles whose rows come one tile after the other; if
-    ``summed``, each set's copies of its partners instead."""
-
-    def one(rows):
-        trie, out = Trie(), []
-        for side, i, grams, _ in rows:
-            if side != _PROBE:
-                trie.insert(grams, (i, side))
-        for side, i, grams, _ in rows:
-            if side != _HELD:
-                out += [(i, j) for _, _, (j, other) in trie.search(grams, t) if side == _PROBE or other == _HELD or i < j]
-        if not summed:
-            return out
-        copies, more = {i: c for _, i, _, c in rows}, {}
-        for i, j in out:
-            more[i] = more.get(i, 0) + copies[j]
-            more[j] = more.get(j, 0) + copies[i]
-        return list(more.items())
-
-    names = ["id", "more"] if summed else ["a", "b"]
+def _linked(rows, t) -> list[tuple[int, int]]:
+    """All linked pairs of a tile's rows (side, id, grams, mark)."""
+    trie = Trie()
+    for side, i, grams, _ in rows:
+        if side != _PROBE:
+            trie.insert(grams, (i, side))
+    return [(i, j) for side, i, grams, _ in rows if side != _HELD for _, _, (j, other) in trie.search(grams, t) if side == _PROBE or other == _HELD or i < j]
+
+
+def _connected(rows, t) -> list[tuple[int, int]]:
+    """Linked pairs of a tile that join its components: none within one, and no more
+    than it takes."""
+    trie, parent, out = Trie(), {}, []
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    marks = {i: mark for _, i, _, mark in rows}
+    for side, i, grams, mark in rows:
+        if side != _PROBE:
+            trie.insert(grams, i, mark)
+    for side, i, grams, mark in rows:
+        if side != _HELD:
+            for _, _, j in trie.search(grams, t, lambda other, own=mark: root(other) == root(own)):
+                if root(marks[j]) != root(mark):
+                    parent[root(marks[j])] = root(mark)
+                    out.append((i, j))
+    return out
+
+
+def _summed(rows, t) -> list[tuple[int, int]]:
+    """Each set's copies of its partners."""
+    copies, more = {i: c for _, i, _, c in rows}, {}
+    for i, j in _linked(rows, t):
+        more[i] = more.get(i, 0) + copies[j]
+        more[j] = more.get(j, 0) + copies[i]
+    return list(more.items())
+
+
+def _join(t, find=_linked):
+    """What ``find`` gets from tiles whose rows come one tile after the other."""
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
-        for batch in batches:
-            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
-            for now, side, i, grams, copies in zip(keys, *(batch.column(i).to_pylist() for i in range(3, 7))):
+        for rows_ in batches:
+            keys = zip(*(rows_.column(i).to_pylist() for i in range(3)))
+            for now, side, i, grams, mark in zip(keys, *(rows_.column(i).to_pylist() for i in range(3, 7))):
                 if now != key:
-                    out += one(rows)
+                    out += find(rows, t)
                     key, rows = now, []
-                rows.append((side, i, np.frombuffer(grams, dtype=np.uint64), copies))
+                rows.append((side, i, np.frombuffer(grams, dtype=np.uint64), mark))
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+                yield batch(out)
                 out = []
-        out += one(rows)
+        out += find(rows, t)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+            yield batch(out)
 
     return run
 
 
-def _joined(members: DataFrame, sets: DataFrame, t, *, summed: bool = False) -> DataFrame:
-    """Links (a, b) found in tiles; ``members``: (tile, x, y, side, id)."""
-    rows = members.join(sets, "id").select("tile", "x", "y", F.col("side").cast("int").alias("side"), "id", "grams", "copies")
+def _joined(members: DataFrame, sets: DataFrame, t, find=_linked) -> DataFrame:
+    """Pairs (a, b) found in tiles; ``members``: (tile, x, y, side, id, mark), ``sets``: (id, grams)."""
+    rows = members.join(sets, "id").select("tile", "x", "y", F.col("side").cast("int").alias("side"), "id", "grams", "mark")
     rows = rows.repartition("tile", "x", "y").sortWithinPartitions("tile", "x", "y")
-    return rows.mapInArrow(_join(t, summed=summed), "id bigint, more bigint" if summed else "a bigint, b bigint")
+    return rows.mapInArrow(_join(t, find), "a bigint, b bigint")
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -434,17 +469,28 @@ def _stars(pairs: DataFrame) -> DataFrame:
     dealt = pairs.join(bounded(cut(many)), "a", "left").withColumn("x", F.coalesce(F.pmod(F.xxhash64("b"), "_x"), F.lit(0).cast("long")))
     members = dealt.select(F.col("a").alias("tile"), "x", F.lit(0).cast("long").alias("y"), F.lit(_HELD).alias("side"), F.col("b").alias("id"))
     centres = members.select("tile", "x", "y", F.lit(_PROBE).alias("side"), F.col("tile").alias("id")).distinct()
-    return members.unionByName(centres)
+    return members.unionByName(centres).withColumn("mark", F.col("id"))
 
 
-def _blocked(members: DataFrame, group: list[str], sizes: DataFrame) -> DataFrame:
-    """Tiles in which the members (group, id) of each group meet block by block;
-    ``sizes``: (group, blocks)."""
-    key = F.xxhash64(*group).alias("tile")
-    dealt = members.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    dealt = dealt.select(key, "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+def _blocked(members: DataFrame, group: list[str]) -> DataFrame:
+    """Tiles in which the members (group, id, component) of each group meet the others
+    of other components, block by block.
+
+    A component of more than ``BLOCK`` members of a group fills blocks of its own,
+    which do not meet each other; the members of all others share mixed blocks.
+    """
+    own = members.groupBy(*group, "component").agg(F.count("*").alias("n"))
+    own = own.withColumn("kind", F.when(F.col("n") > BLOCK, F.col("component")).otherwise(F.lit(-1)))
+    kinds = own.groupBy(*group, "kind").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks"), F.count("*").alias("components"))
+    several = kinds.groupBy(*group).agg(F.count("*").alias("kinds"), F.max("components").alias("most")).filter("kinds > 1 OR most > 1").select(*group)
+    kinds = cut(kinds.join(several, group))
+    placed = members.join(own.drop("n"), [*group, "component"]).join(kinds.drop("components"), [*group, "kind"])
+    placed = placed.withColumn("block", F.xxhash64("kind", F.pmod(F.xxhash64("id"), "blocks"))).drop("blocks")
+    blocks = kinds.select(*group, F.col("kind").alias("kind2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("_b"))
+    blocks = blocks.select(*group, "kind2", F.xxhash64(F.col("kind2"), F.col("_b")).alias("other"))
+    meets = placed.join(blocks, group).filter("kind <> kind2 OR kind = -1")
     side = F.when(F.col("block") == F.col("other"), _BOTH).when(F.col("block") < F.col("other"), _PROBE).otherwise(_HELD)
-    return dealt.select("tile", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "id")
+    return meets.select(F.xxhash64(*group).alias("tile"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "id", F.col("component").alias("mark"))
 
 
 def _ordered_sets(docs: DataFrame, classes: DataFrame, n: int, t) -> DataFrame:
@@ -474,14 +520,14 @@ def class_links(docs: DataFrame, classes: DataFrame, *, n: int = N, t=THRESHOLD)
 
 def _connecting(ordered: DataFrame, t) -> DataFrame:
     """Steps 4 and 5."""
-    sets = ordered.select("id", "grams", F.lit(1).cast("long").alias("copies"))
+    sets = ordered.select("id", "grams")
     # Step 4. The centre has the smallest share of n-grams of its own.
     held = cut(ordered.select("id", "n", "alone", "prefix", "at").mapInArrow(_postings(STARS), POSTINGS))
     centres = held.groupBy("gram").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"))).alias("c"))
     reach = F.least("reach", "c.ra") * (t[0] + t[1]) >= (F.col("n") + F.col("c.na")) * t[0]
     pairs = held.join(centres, "gram").filter((F.col("id") != F.col("c.a")) & reach).groupBy(F.col("id").alias("b"), F.col("c.a").alias("a")).agg(F.count("*").alias("count"))
     pairs = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")))
-    links = cut(_joined(_stars(pairs), sets, t))
+    links = cut(_joined(_stars(pairs), sets, t, _connected))
     # Step 5: holders of a prefix n-gram that are still apart and could link.
     found = cut(connected_components(links))
     sizes = ordered.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
@@ -496,9 +542,7 @@ def _connecting(ordered: DataFrame, t) -> DataFrame:
     # Lengths: linked sets differ by t1 / t0 at most, so they share one of these steps of two.
     step = F.ln("n") / float(np.log(t[1] / t[0]))
     tiles = cut(tiles.select("h1", "h2", "id", "component", F.explode(F.sequence(F.ceil(step - 2 - 1e-6), F.floor(step + 1e-6))).alias("step")))
-    group = ["h1", "h2", "step"]
-    sizes = tiles.groupBy(*group).agg(apart.alias("apart"), F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).filter("apart").drop("apart")
-    return links.unionByName(_joined(_blocked(tiles, group, sizes), sets, t))
+    return links.unionByName(_joined(_blocked(tiles, ["h1", "h2", "step"]), sets, t, _connected))
 
 
 def all_links(docs: DataFrame, classes: DataFrame, *, n: int = N, t=THRESHOLD) -> DataFrame:
@@ -506,7 +550,7 @@ def all_links(docs: DataFrame, classes: DataFrame, *, n: int = N, t=THRESHOLD) -
     return _every_link(docs, classes, n, t)
 
 
-def _every_link(docs: DataFrame, classes: DataFrame, n: int, t, *, summed: bool = False) -> DataFrame:
+def _every_link(docs: DataFrame, classes: DataFrame, n: int, t, find=_linked) -> DataFrame:
     """Step 6."""
     ordered = _ordered_sets(docs, classes, n, t)
     found = connected_components(_connecting(ordered, t))
@@ -520,7 +564,8 @@ def _every_link(docs: DataFrame, classes: DataFrame, n: int, t, *, summed: bool
     meets = held.join(here, ["gram", "component"]).filter((F.col("block") != F.col("other")) | (F.col("holders") > 1))
     side = F.when(F.col("block") == F.col("other"), _BOTH).when(F.col("block") < F.col("other"), _PROBE).otherwise(_HELD)
     meets = meets.select(F.col("component").alias("tile"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "id").distinct()
-    return _joined(meets, ordered.select("id", "grams").join(classes.select("id", "copies"), "id"), t, summed=summed)
+    meets = meets.join(classes.select("id", F.col("copies").alias("mark")), "id")
+    return _joined(meets, ordered.select("id", "grams"), t, find)
 
 
 POSTINGS = "id bigint, n bigint, alone bigint, gram bigint, reach bigint"
@@ -563,7 +608,7 @@ def links(docs: DataFrame, *, n: int = N, t=THRESHOLD) -> DataFrame:
     """
     docs, described, classes = _classes(docs, n)
     # Summed in the tiles, so that no pair becomes a row.
-    more = _every_link(docs, classes, n, t, summed=True).groupBy("id").agg(F.sum("more").alias("more"))
+    more = _every_link(docs, classes, n, t, _summed).groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("more"))
     counted = classes.join(more, "id", "left").select("digest", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("_links"))
     out = described.join(counted, "digest", "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()

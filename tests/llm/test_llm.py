@@ -852,10 +852,25 @@ def test_op7_tiles():
     both, across = {p for p in near if p[0] < p[1]}, {p for p in near if p[0] % 2 == 0 and p[1] % 2 == 1}
     assert sorted(got) == sorted([*both, *across]) and len(both) > 20
     more = Counter()
-    for b in jaccard._join((75, 100), summed=True)(iter(batches)):
+    for b in jaccard._join((75, 100), jaccard._summed)(iter(batches)):
         for r in b.to_pylist():
-            more[r["id"]] += r["more"]
-    assert more == Counter({i: 2 * (sum(i in p for p in both) + sum(i in p for p in across)) for i in sets} | {}) - Counter({i: 0 for i in sets})
+            more[r["a"]] += r["b"]
+    assert more == Counter({i: n for i in sets if (n := 2 * (sum(i in p for p in both) + sum(i in p for p in across)))})
+    # Marks are components now: as many links as join what is apart, none within.
+    for mark in (lambda i: i, lambda i: i % 5, lambda i: 0):
+        marked = [(*r[:6], mark(r[4])) for r in rows_ if r[0] == 1]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*marked)], names)
+        found = [tuple(r.values()) for b in jaccard._join((75, 100), jaccard._connected)(iter([batch])) for r in b.to_pylist()]
+        assert set(found) <= near and all(mark(a) != mark(b) for a, b in found)
+
+        def labels(pairs):
+            label = {mark(i): mark(i) for i in sets}
+            for _ in label:
+                for a, b in pairs:
+                    label = {k: min(label[mark(a)], label[mark(b)]) if v in (label[mark(a)], label[mark(b)]) else v for k, v in label.items()}
+            return label
+
+        assert labels(found) == labels(both) and len(found) == len(set(map(mark, sets))) - len(set(labels(both).values()))
 
 
 @pytest.mark.parametrize("block", [64, 3])
