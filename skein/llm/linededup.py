@@ -82,8 +82,8 @@ def templates(docs: DataFrame, placed: DataFrame, *, depth: int = DEPTH, min_doc
     held = placed.join(bounded(cut(doubtful.select("_h").distinct())), "_h", "left_semi").select("_h", "_row").distinct()
     settled = doubtful.join(held, "_h").select(*place, "_row").distinct().groupBy(place).count().filter(F.col("count") >= min_docs)
     constants = often.filter(F.col("_least") >= min_docs).select(place).unionByName(settled.select(place))
-    # The lines of a leaf share their first tokens: without a broadcast these are large keys.
-    kept = tokens.join(bounded(cut(constants)), place, "left_semi")
+    # The lines of a leaf share their first tokens: large keys, which adaptive execution splits.
+    kept = tokens.join(constants, place, "left_semi")
     shape = kept.groupBy("_leaf", "_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "_token"))).alias("_kept"))  # at most a line's tokens
     shaped = lines.withColumn("_id", F.xxhash64("_line")).join(shape, ["_leaf", "_id"], "left")
     shaped = shaped.withColumn("_kept", F.coalesce("_kept", F.array().cast(shape.schema["_kept"].dataType)))
