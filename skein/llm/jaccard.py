@@ -21,14 +21,13 @@ documents link when the sets' Jaccard similarity reaches ``threshold``.
    smallest share of n-grams of its own (each holder joins its most frequent
    centre), and the centre is probed through the trie of its members.
 5. Links give components. Holders of a prefix n-gram that are still in different
-   components meet in tiles too. N-grams with the same holders make one tile, so do
-   only holders of lengths that can link, and a tile of more than ``BLOCK`` sets is
-   cut into blocks that meet two by two, unless they are of one component; positions
-   leave holders out before (nothing before the first common n-gram is common, which
-   bounds the overlap by what follows it). Pairs within a component need no check for
-   the groups: they cannot change them, and a tile passes over subtrees of the probe's
-   own component. So no link that connects is lost and ``groups`` expands no group
-   into all its pairs.
+   components meet in tiles too: sets are dealt to blocks, and two blocks make a tile
+   of those of their sets that hold a common n-gram, unless they are of one component.
+   Lengths and positions leave holders out before (nothing before the first common
+   n-gram is common, which bounds the overlap by what follows it). Pairs within a
+   component need no check for the groups: they cannot change them, and a tile passes
+   over subtrees of the probe's own component. So no link that connects is lost and
+   ``groups`` expands no group into all its pairs.
 6. ``links`` returns each document's number of links, for which all linked pairs are
    found. They lie within components. A component's sets are dealt to blocks; where
    two blocks hold the same prefix n-gram, its holders meet in a tile. The work grows
@@ -472,25 +471,30 @@ def _stars(pairs: DataFrame) -> DataFrame:
     return members.unionByName(centres).withColumn("mark", F.col("id"))
 
 
-def _blocked(members: DataFrame, group: list[str]) -> DataFrame:
-    """Tiles in which the members (group, id, component) of each group meet the others
-    of other components, block by block.
+def _blocked(held: DataFrame, t) -> DataFrame:
+    """Tiles in which holders of the same n-gram meet, if they are of different
+    components; ``held``: (id, n, gram, component, most).
 
-    A component of more than ``BLOCK`` members of a group fills blocks of its own,
-    which do not meet each other; the members of all others share mixed blocks.
+    A component of more than ``BLOCK`` sets fills blocks of its own, which do not meet
+    each other; the sets of all others share mixed blocks. A set enters the tile of its
+    block and another one once, however many n-grams lead there, and only if some
+    holder there has a length and a position that allow a link.
     """
-    own = members.groupBy(*group, "component").agg(F.count("*").alias("n"))
-    own = own.withColumn("kind", F.when(F.col("n") > BLOCK, F.col("component")).otherwise(F.lit(-1)))
-    kinds = own.groupBy(*group, "kind").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks"), F.count("*").alias("components"))
-    several = kinds.groupBy(*group).agg(F.count("*").alias("kinds"), F.max("components").alias("most")).filter("kinds > 1 OR most > 1").select(*group)
-    kinds = cut(kinds.join(several, group))
-    placed = members.join(own.drop("n"), [*group, "component"]).join(kinds.drop("components"), [*group, "kind"])
-    placed = placed.withColumn("block", F.xxhash64("kind", F.pmod(F.xxhash64("id"), "blocks"))).drop("blocks")
-    blocks = kinds.select(*group, F.col("kind").alias("kind2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("_b"))
-    blocks = blocks.select(*group, "kind2", F.xxhash64(F.col("kind2"), F.col("_b")).alias("other"))
-    meets = placed.join(blocks, group).filter("kind <> kind2 OR kind = -1")
+    sizes = cut(held.select("id", "component").distinct().groupBy("component").agg(F.count("*").alias("_n")))
+    large = sizes.filter(F.col("_n") > BLOCK).select("component", F.ceil(F.col("_n") / BLOCK).cast("long").alias("_blocks"))
+    mixed = max(1, -(-(sizes.filter(F.col("_n") <= BLOCK).agg(F.sum("_n")).first()[0] or 0) // BLOCK))
+    held = held.join(bounded(cut(large)), "component", "left").withColumn("kind", F.when(F.col("_blocks").isNotNull(), F.col("component")).otherwise(F.lit(-1)))
+    place = F.when(F.col("kind") < 0, F.pmod(F.xxhash64("component"), F.lit(mixed))).otherwise(F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    held = held.withColumn("block", F.xxhash64("kind", place)).drop("_blocks")
+    there = held.groupBy("gram", F.col("block").alias("other"), F.col("kind").alias("kind2")).agg(
+        F.min("n").alias("least2"), F.max("n").alias("n2"), F.max("most").alias("most2"), (F.min("component") != F.max("component")).alias("several")
+    )
+    met = held.join(there, "gram")
+    apart = F.when(F.col("block") == F.col("other"), F.col("several")).otherwise((F.col("kind") != F.col("kind2")) | (F.col("kind") < 0))
+    near = (F.col("n") * t[1] >= F.col("least2") * t[0]) & (F.col("n2") * t[1] >= F.col("n") * t[0]) & (F.col("least2") <= F.col("most")) & (F.col("n") <= F.col("most2"))
     side = F.when(F.col("block") == F.col("other"), _BOTH).when(F.col("block") < F.col("other"), _PROBE).otherwise(_HELD)
-    return meets.select(F.xxhash64(*group).alias("tile"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "id", F.col("component").alias("mark"))
+    met = met.filter(apart & near).select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "id", F.col("component").alias("mark"))
+    return met.distinct().withColumn("tile", F.col("x"))
 
 
 def _ordered_sets(docs: DataFrame, classes: DataFrame, n: int, t) -> DataFrame:
@@ -536,13 +540,9 @@ def _connecting(ordered: DataFrame, t) -> DataFrame:
     held = held.withColumn("most", F.floor(F.lit(t[0] + t[1]) * F.col("reach") / t[0]) - F.col("n"))
     smallest = held.groupBy("gram").agg(F.min("n").alias("smallest"))
     held = cut(held.join(smallest, "gram").filter("most >= smallest").drop("smallest"))
-    apart = F.min("component") != F.max("component")
-    holders = held.groupBy("gram").agg(F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"), apart.alias("apart")).filter("apart").drop("apart")
-    tiles = held.join(holders, "gram").select("h1", "h2", "id", "n", "component").distinct()
-    # Lengths: linked sets differ by t1 / t0 at most, so they share one of these steps of two.
-    step = F.ln("n") / float(np.log(t[1] / t[0]))
-    tiles = cut(tiles.select("h1", "h2", "id", "component", F.explode(F.sequence(F.ceil(step - 2 - 1e-6), F.floor(step + 1e-6))).alias("step")))
-    return links.unionByName(_joined(_blocked(tiles, ["h1", "h2", "step"]), sets, t, _connected))
+    apart = held.groupBy("gram").agg((F.min("component") != F.max("component")).alias("apart")).filter("apart").select("gram")
+    held = cut(held.join(apart, "gram", "left_semi"))
+    return links.unionByName(_joined(_blocked(held, t), sets, t, _connected))
 
 
 def all_links(docs: DataFrame, classes: DataFrame, *, n: int = N, t=THRESHOLD) -> DataFrame:
