@@ -21,9 +21,11 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 # Edits -----------------------------------------------------------------------
 
 
-def add_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
-    """Edges that are not there yet; the first of a repeated one stays."""
-    fresh = more.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+def add_edges(edges: DataFrame, more: DataFrame, order: str | None = None) -> DataFrame:
+    """Edges that are not there yet; of a repeated one the first stays, by the column
+    ``order`` or else as the rows of ``more`` stand."""
+    rows = more.select("src", "dst", "weight", (F.col(order) if order else F.monotonically_increasing_id()).alias("_order"))
+    fresh = rows.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min_by("weight", F.struct("_order", "weight")).alias("weight"))
     return edges.unionByName(fresh)
 
 
@@ -38,7 +40,7 @@ def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def delete_nodes(nodes: DataFrame, gone: DataFrame) -> DataFrame:
-    """Nodes only; their edges stay, as in the reference semantics."""
+    """Nodes only; their edges stay."""
     return nodes.join(gone.select("id"), "id", "left_anti")
 
 
@@ -174,22 +176,31 @@ def spanning_forest(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("too many rounds")
 
 
-def distances(edges: DataFrame, source: int, most: int = 1_000) -> DataFrame:
+def distances(edges: DataFrame, source: int, most: int | None = None) -> DataFrame:
     """Edges on the shortest path from a node to each reachable one, and the
-    smallest predecessor on such a path."""
+    smallest predecessor on such a path; with ``most`` only so many edges far.
+
+    Each round stores its frontier only; what was seen is the union of the rounds,
+    which is written as one table every ``_ROUNDS`` rounds.
+    """
     both = cut(undirected(edges))
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(source, 0, None)], "id bigint, distance int, previous bigint")
-    front = seen
-    for k in range(1, most + 1):
+    seen = edges.sparkSession.createDataFrame([(source, 0, None)], "id bigint, distance int, previous bigint")
+    front, k = seen, 0
+    while most is None or k < most:
+        k += 1
         step = front.select(F.col("id").alias("src")).join(both, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("previous"))
         front = cut(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("distance"), "previous"))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
+        seen = seen.unionByName(front)
+        seen = cut(seen) if k % _ROUNDS == 0 else seen
     return seen
 
 
+#: Rounds of a search after which its tables become one.
+_ROUNDS = 16
+
+
 def shortest_path(edges: DataFrame, source: int, target: int) -> DataFrame:
     """Nodes of a shortest path: (step, id); no rows if there is none."""
     found = cut(distances(edges, source))
@@ -203,21 +214,50 @@ def shortest_path(edges: DataFrame, source: int, target: int) -> DataFrame:
     return edges.sparkSession.createDataFrame(rows, "step int, id bigint")
 
 
-def anchor(edges: DataFrame) -> int | None:
-    """The node left when leaves are peeled off a tree, round by round; of two
-    left the smaller."""
+def anchors(edges: DataFrame) -> DataFrame:
+    """(component, id): for each tree of a forest the node left when leaves are peeled
+    off, round by round, all trees at once; of two left the smaller."""
     now = cut(edges.select("src", "dst"))
-    last = nodes_of(now)
+    labels = cut(components(nodes_of(now), now))
+    left = cut(labels.select("id"))
     while not now.isEmpty():
         gone = leaves(now)
-        last = cut(nodes_of(now))
-        kept = now.join(gone, now["src"] == gone["id"], "left_anti").join(gone, now["dst"] == gone["id"], "left_anti")
-        inner = last.join(gone, "id", "left_anti")
-        if not inner.isEmpty():
-            last = cut(inner)
-        now = cut(kept)
-    row = last.agg(F.min("id")).first()
-    return row[0] if row else None
+        kept = cut(now.join(gone, now["src"] == gone["id"], "left_anti").join(gone, now["dst"] == gone["id"], "left_anti"))
+        # Of a tree whose last edge goes, both ends stay for the choice.
+        inner = left.join(gone, "id", "left_anti")
+        last = now.join(gone.withColumnRenamed("id", "src"), "src", "left_semi").join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        left = cut(inner.unionByName(nodes_of(last)))
+        now = kept
+    return left.join(labels, "id").groupBy("component").agg(F.min("id").alias("id"))
+
+
+def anchor(edges: DataFrame) -> int | None:
+    """The anchor of one tree (of several trees the first one's)."""
+    row = anchors(edges).orderBy("component").first()
+    return row["id"] if row else None
+
+
+def composed(edges: DataFrame, roots: DataFrame, value: str, compose, invert, start: Column) -> DataFrame:
+    """(id, root, distance, value): a value carried along the trees of a forest.
+
+    ``edges``: (src, dst, value), the value leads from dst to src; ``compose(a, b)``
+    continues the value ``a`` at a node with the value ``b`` of the next edge,
+    ``invert(b)`` is an edge's value the other way. ``roots``: (id), which get
+    ``start``. A round a level, all trees at once.
+    """
+    there = edges.select("src", "dst", F.col(value).alias("_step"))
+    near = cut(there.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), invert(F.col(value)).alias("_step"))))
+    seen = roots.select("id", F.col("id").alias("root"), F.lit(0).alias("distance"), start.alias(value))
+    front, k = cut(seen), 0
+    seen = front
+    while True:
+        k += 1
+        ahead = front.withColumnRenamed("id", "src").join(near, "src").select(F.col("dst").alias("id"), "root", F.lit(k).alias("distance"), compose(F.col(value), F.col("_step")).alias(value))
+        front = cut(ahead.join(seen.select("id"), "id", "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+        seen = cut(seen) if k % _ROUNDS == 0 else seen
 
 
 def paths_to(edges: DataFrame, root: int) -> DataFrame:
@@ -258,7 +298,8 @@ def _sides(p: str, q: str) -> Column:
 def triangle_groups(found: DataFrame) -> DataFrame:
     """Triangles connected through shared edges: (a, b, c, group, size).
 
-    Group labels are the smallest edge number of the group.
+    A group is named by its smallest triangle. Triangles are told apart by 64-bit
+    hashes of their nodes while they are connected.
     """
     key = F.xxhash64("a", "b", "c")
     rows = cut(found.select("a", "b", "c"))
@@ -267,10 +308,9 @@ def triangle_groups(found: DataFrame) -> DataFrame:
     least = sides.groupBy("p", "q").agg(F.min("t").alias("m"))
     links = sides.join(least, ["p", "q"]).select(F.col("t").alias("a"), F.col("m").alias("b"))
     labels = connected_components(links).withColumnRenamed("id", "t")
-    rows = rows.withColumn("t", key).join(labels, "t")
-    own = Window.partitionBy("component")
-    first = F.min(F.struct("a", "b", "c")).over(own)
-    return rows.select("a", "b", "c", first.alias("first"), F.count("*").over(own).alias("size")).select("a", "b", "c", F.concat_ws("-", "first.a", "first.b", "first.c").alias("group"), "size")
+    rows = cut(rows.withColumn("t", key).join(labels, "t"))
+    groups = rows.groupBy("component").agg(F.min(F.struct("a", "b", "c")).alias("first"), F.count("*").alias("size"))
+    return rows.join(groups, "component").select("a", "b", "c", F.concat_ws("-", "first.a", "first.b", "first.c").alias("group"), "size")
 
 
 def open_wedges(edges: DataFrame) -> DataFrame:
@@ -280,6 +320,76 @@ def open_wedges(edges: DataFrame) -> DataFrame:
     return ends.join(both.select(F.col("src").alias("a"), F.col("dst").alias("b")), ["a", "b"], "left_anti")
 
 
+def closing_edges(edges: DataFrame, candidates: DataFrame, error: Column, most: float) -> DataFrame:
+    """Candidate edges that close an open wedge with a loop error below ``most``.
+
+    ``edges`` and ``candidates`` have src < dst and the same columns; ``error`` is an
+    expression over structs ab, ac and bc, as in ``cycle_filter``. A candidate must be
+    consistent with at least one pair of edges that it closes.
+    """
+    values = [c for c in edges.columns if c not in ("src", "dst")]
+    fresh = candidates.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").dropDuplicates(["src", "dst"])
+    marked = edges.withColumn("_new", F.lit(False)).unionByName(fresh.select(*edges.columns).withColumn("_new", F.lit(True)))
+    found = triangles(marked.select("src", "dst", *values, "_new"))
+    one = [F.col(f"{k}._new").cast("int") for k in ("ab", "ac", "bc")]
+    good = found.filter((one[0] + one[1] + one[2] == 1) & (error < most))
+    side = F.when(F.col("ab._new"), F.struct(F.col("a").alias("src"), F.col("b").alias("dst"))).when(F.col("ac._new"), F.struct(F.col("a").alias("src"), F.col("c").alias("dst")))
+    side = side.otherwise(F.struct(F.col("b").alias("src"), F.col("c").alias("dst")))
+    return fresh.join(good.select(side.alias("s")).select("s.*").distinct(), ["src", "dst"], "left_semi")
+
+
+def component_pairs(edges: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """The heaviest ``most`` edges between each two components: (c1, c2, src, dst, weight, rank)."""
+    at = lambda end, c: labels.select(F.col("id").alias(end), F.col("component").alias(c))
+    rows = edges.select("src", "dst", "weight").join(at("src", "_a"), "src").join(at("dst", "_b"), "dst").filter("_a <> _b")
+    rows = rows.select(F.least("_a", "_b").alias("c1"), F.greatest("_a", "_b").alias("c2"), "src", "dst", "weight")
+    order = Window.partitionBy("c1", "c2").orderBy(F.desc("weight"), "src", "dst")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
+def verified_forest(edges: DataFrame, verify, budget: int = 3) -> DataFrame:
+    """A maximum spanning forest of edges that pass ``verify`` (edges -> those that pass).
+
+    Rounds: every component proposes its heaviest untried outgoing edge, proposals are
+    verified together, and those that pass join components. Edges that fail are not
+    tried again; a component that has had ``budget`` failures in a row proposes no
+    more until it is joined by another.
+    """
+    left = cut(edges.select("src", "dst", "weight").filter("src <> dst"))
+    state = cut(nodes_of(left).select("id", F.col("id").alias("component"), F.lit(0).cast("long").alias("failed")))
+    chosen = left.limit(0)
+    while True:
+        at = lambda end, c, f: state.select(F.col("id").alias(end), F.col("component").alias(c), F.col("failed").alias(f))  # noqa: B023, E731
+        across = left.join(at("src", "cs", "fs"), "src").join(at("dst", "cd", "fd"), "dst").filter("cs <> cd")
+        key = F.struct((-F.col("weight")).alias("w"), "src", "dst")
+        asks = across.filter(F.col("fs") < budget).select(F.col("cs").alias("c"), key.alias("e")).unionByName(across.filter(F.col("fd") < budget).select(F.col("cd").alias("c"), key.alias("e")))
+        least = cut(asks.groupBy("c").agg(F.min("e").alias("e")))
+        if least.isEmpty():
+            return chosen
+        asked = cut(least.select("e.src", "e.dst", (-F.col("e.w")).alias("weight")).distinct())
+        passed = cut(verify(asked).select("src", "dst", "weight"))
+        chosen = cut(chosen.unionByName(passed))
+        left = cut(left.join(asked.select("src", "dst"), ["src", "dst"], "left_anti"))
+        joined = connected_components(chosen.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("component", "now")
+        failed = least.join(passed.select(F.struct((-F.col("weight")).alias("w"), "src", "dst").alias("e"), F.lit(0).alias("good")), "e", "left")
+        failed = failed.select(F.col("c").alias("component"), F.col("good").isNull().cast("long").alias("more"))
+        fresh = state.join(joined, "id", "left").withColumn("now", F.coalesce("now", "id")).join(failed, "component", "left")
+        # Joined components begin anew.
+        state = cut(fresh.select("id", F.col("now").alias("component"), F.when(F.col("now") != F.col("component"), F.lit(0)).otherwise(F.col("failed") + F.coalesce("more", F.lit(0))).cast("long").alias("failed")))
+
+
+def reinforced(edges: DataFrame, candidates: DataFrame, turns: DataFrame, labels: DataFrame, most: int, most_degrees: float) -> DataFrame:
+    """``edges`` and the candidates that agree with them: of those inside a component
+    the ones whose turn agrees with the path through the tree (``turns``: id, turn),
+    of those between components the ``most`` heaviest of each two."""
+    fresh = candidates.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    at = lambda end, c: labels.select(F.col("id").alias(end), F.col("component").alias(c))
+    inside = fresh.join(at("src", "_a"), "src").join(at("dst", "_b"), "dst").filter("_a = _b").select(*fresh.columns)
+    agreeing = orientation_filter(inside, turns, most_degrees)
+    bridges = fresh.join(component_pairs(fresh, labels, most).select("src", "dst"), ["src", "dst"], "left_semi")
+    return edges.unionByName(agreeing.select(*edges.columns)).unionByName(bridges.select(*edges.columns))
+
+
 def cycle_filter(edges: DataFrame, found: DataFrame, error: Column, most: float) -> DataFrame:
     """Edges in at least one triangle whose loop error is below ``most``.
 

@@ -166,7 +166,7 @@ def track_statistics(seen: DataFrame, most: int = 10) -> DataFrame:
 def grid_best(seen: DataFrame, tracks: DataFrame, cell: float = 100.0, *, prefer_long: bool = False) -> DataFrame:
     """The best track of each image and grid cell: by length, then error, then id.
 
-    By default short tracks come first, as the reference behaviour has it.
+    By default short tracks come first.
     """
     place = [F.col(c).try_cast("double") / cell for c in ("x", "y")]
     rows = seen.select("image_id", "point_id", *[p.cast("int").alias(c) for p, c in zip(place, ("cx", "cy"))]).join(tracks, "point_id")
@@ -329,11 +329,46 @@ def bundle_residuals(obs: DataFrame, images: DataFrame) -> DataFrame:
     return own.select("point_id").unionByName(elsewhere.select("point_id")).agg((2 * F.count("*")).alias("residuals"))
 
 
-def local_bundle(pairs: DataFrame, image: int, size: int = 6) -> DataFrame:
-    """The images to refine with one image: most shared points first."""
-    rows = both_ways(pairs, "shared").filter(F.col("image_id") == image)
-    order = Window.partitionBy("image_id").orderBy(F.desc("shared"), "other")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") < size)
+#: Steps by which the local bundle's gates are relaxed: what the angle is divided by,
+#: and the share of the image's points that must be shared (fixed values).
+BUNDLE_STEPS = ((1.0, 0.6), (1.5, 0.6), (2.0, 0.5), (2.5, 0.4), (3.0, 0.3), (4.0, 0.2), (5.0, 0.1), (6.0, 0.1))
+
+
+def local_bundle(pairs: DataFrame, counts: DataFrame, size: int = 6, min_degrees: float = 6.0) -> DataFrame:
+    """The images to refine with each image: (image_id, other, shared, step, rank).
+
+    ``pairs``: (image_id1, image_id2, shared, angle in radians); ``counts``: (image_id,
+    points). Neighbours that pass the first step's gates of angle and overlap come
+    first, then those of the next step, and so on; those that pass none fill up. In a
+    step most shared points come first. An image has ``size - 1`` neighbours at most.
+    """
+    rows = both_ways(pairs, "shared", "angle").join(counts.select("image_id", "points"), "image_id")
+    step = F.lit(len(BUNDLE_STEPS))
+    for k in range(len(BUNDLE_STEPS) - 1, -1, -1):
+        below, share = BUNDLE_STEPS[k]
+        step = F.when((F.col("shared") >= share * F.col("points")) & (F.col("angle") >= F.radians(F.lit(min_degrees)) / below), F.lit(k)).otherwise(step)
+    order = Window.partitionBy("image_id").orderBy("step", F.desc("shared"), "other")
+    return rows.withColumn("step", step).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") < size).select("image_id", "other", "shared", "step", "rank")
+
+
+def best_candidate(candidates: DataFrame, most: float) -> DataFrame:
+    """For each feature the point of least angular error, if that is at most ``most``:
+    (image_id, idx, point_id, error); ties to the smaller point."""
+    best = candidates.groupBy("image_id", "idx").agg(F.min(F.struct("error", "point_id")).alias("m"))
+    return best.select("image_id", "idx", "m.point_id", "m.error").filter(F.col("error") <= most)
+
+
+def correspondences_between(corr: DataFrame, a: int, b: int) -> DataFrame:
+    """(idx, other_idx) of the correspondences from one image to another."""
+    return corr.filter((F.col("image_id") == a) & (F.col("other") == b)).select("idx", "other_idx")
+
+
+def filter_in(seen: DataFrame, ids: DataFrame, column: str, most_error: float, least_degrees: float) -> DataFrame:
+    """``filter_points`` for some points only: those whose ``column`` (point_id, or
+    image_id for the points of some images) is listed; the others stay as they are."""
+    chosen = seen.join(ids.select(column).distinct(), column, "left_semi").select("point_id").distinct()
+    inside, outside = seen.join(chosen, "point_id", "left_semi"), seen.join(chosen, "point_id", "left_anti")
+    return filter_points(inside, most_error, least_degrees).select(*seen.columns).unionByName(outside.select(*seen.columns))
 
 
 def under_reconstructed(pair_stats: DataFrame, registered: DataFrame, least: float = 0.2) -> DataFrame:

@@ -23,27 +23,80 @@ def norms(postings: DataFrame, weights: DataFrame) -> DataFrame:
     return own.select("doc_id", "self", F.when(F.col("self") > 0, 1 / F.sqrt("self")).otherwise(F.lit(1.0)).alias("norm"))
 
 
-def search(queries: DataFrame, postings: DataFrame, k: int = 10, salt: int = 8) -> DataFrame:
+def search(queries: DataFrame, postings: DataFrame, k: int = 10, part_rows: int = 4_096) -> DataFrame:
     """The ``k`` best documents of each query by shared words.
 
     A word adds its squared idf times the root of its count in the document for
-    each time the query has it. Scores are multiplied by both norms. A word's
-    posting list is dealt by document into ``salt`` parts, so that frequent words
-    are not one task's; words in every document weigh nothing and are left out.
+    each time the query has it. Scores are multiplied by both norms. The weight of a
+    word is joined to the postings once; words of many documents are dealt by document
+    into parts of about ``part_rows`` postings, so that no word is one task's. Words in
+    every document weigh nothing and are left out.
     """
-    postings = cut(postings)  # used four times
-    weights = cut(idf(postings).filter("idf > 0"))
-    there = postings.join(weights.select("word", "idf"), "word").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(salt)))
-    asked = queries.join(weights.select("word", F.col("idf").alias("qidf")), "word").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    postings = cut(postings)
+    weights = cut(idf(postings).filter("idf > 0").withColumn("parts", F.ceil(F.col("df") / part_rows).cast("long")))
+    # Postings meet the weights by word and part too: a weight is copied for each part.
+    frequent = F.broadcast(weights.filter("parts > 1").select("word", "parts")) if weights.filter("parts > 1").limit(1_000_001).count() <= 1_000_000 else weights.filter("parts > 1").select("word", "parts")
+    dealt = postings.join(frequent, "word", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), "parts"), F.lit(0).cast("long"))).drop("parts")
+    each = weights.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    there = cut(dealt.join(each.select("word", "part", "idf"), ["word", "part"]))
+    asked = queries.join(each.select("word", "part", F.col("idf").alias("qidf")), "word")
     value = F.col("qtf") * F.col("idf") * F.col("idf") * F.sqrt("tf")
     hits = asked.join(there, ["word", "part"]).groupBy("query_id", "doc_id").agg(F.sum(value).alias("score"))
-    own = queries.join(weights.select("word", "idf"), "word").groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("idf")).alias("qself"))
-    scored = hits.join(norms(postings, weights).select("doc_id", "norm"), "doc_id").join(own, "query_id")
-    scored = scored.withColumn("score", F.round(F.col("score") * F.col("norm") / F.sqrt("qself"), 6))
+    self_ = there.groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("idf")).alias("self"))
+    own = asked.filter("part = 0").groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("qidf") * F.col("qidf")).alias("qself"))
+    scored = hits.join(self_, "doc_id").join(own, "query_id")
+    scored = scored.withColumn("score", F.round(F.col("score") * (1 / F.sqrt("self")) / F.sqrt("qself"), 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
 
 
+def similarity_graph(postings: DataFrame, k: int = 100) -> DataFrame:
+    """Every document asked for its ``k`` best others: (src < dst, weight), the weight
+    being the score times 1000, cut to an integer. Each document finds itself first,
+    which is why one more is asked for."""
+    queries = postings.select(F.col("doc_id").alias("query_id"), "word", F.col("tf").alias("qtf"))
+    found = search(queries, postings, k + 1).filter("query_id < doc_id")
+    return found.select(F.col("query_id").alias("src"), F.col("doc_id").alias("dst"), F.floor(F.col("score") * 1000).cast("int").alias("weight"))
+
+
+def loop_pairs(samples: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """Pairs of sampled images (image_id) with their ``k`` most similar ones."""
+    from .pairs import distinct_pairs
+
+    queries = postings.join(samples.select(F.col("image_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "word", F.col("tf").alias("qtf"))
+    found = search(queries, postings, k + 1)
+    return distinct_pairs(found.select(F.col("query_id").alias("image_id1"), F.col("doc_id").alias("image_id2")))
+
+
+def rerank(found: DataFrame, verified: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of (query_id, vec_id, score) after verification: scores plus the
+    verified ones' ``inliers``; candidates that were not verified keep their score."""
+    rows = found.select("query_id", "vec_id", "score").join(verified.select("query_id", "vec_id", "inliers"), ["query_id", "vec_id"], "left")
+    rows = rows.withColumn("score", F.round(F.col("score") + F.coalesce("inliers", F.lit(0)), 6))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "vec_id", "rank", "score")
+
+
+INDEX = ("words", "postings", "signatures")
+
+
+def write_index(path: str, **tables: DataFrame) -> None:
+    """A visual index: ``words`` (word, centre), ``postings`` (doc_id, word, tf) and
+    ``signatures`` (image_id, word, sig), each a Parquet table below one path."""
+    for name, rows in tables.items():
+        if name not in INDEX:
+            raise ValueError(f"an index has {INDEX}, not {name!r}")
+        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+
+
+def read_index(spark, path: str) -> dict[str, DataFrame]:
+    """The tables of an index that are there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [n for n in INDEX if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{n}/_SUCCESS"))]
+    return {n: spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in there}
+
+
 # Visual words ---------------------------------------------------------------------------
 
 

@@ -55,6 +55,12 @@ def votes(matches: DataFrame, group: list[str], *, max_shift: float = 4096.0, sh
     return scored.select(*group, "x", "y", "s", "a", F.col("n").alias("votes"), (F.col("n") + F.col("extra")).alias("score"))
 
 
+def top_votes(scored: DataFrame, group: list[str], most: int) -> DataFrame:
+    """The ``most`` best bins of each group, by score, then votes, then place."""
+    order = Window.partitionBy(*group).orderBy(F.desc(F.round("score", 6)), F.desc("votes"), "x", "y", "s", "a")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
 def one_to_one(candidates: DataFrame, group: list[str]) -> DataFrame:
     """Matches (a, b, score) without repeated features, fewest options first.
 
