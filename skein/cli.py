@@ -202,6 +202,14 @@ def mapper(spark, args, options):
     return flow.reconstruct_clusters(members, obs)
 
 
+@_matcher
+def local_sfm_worker(spark, args, options):
+    """Reconstruct clusters (label, id) given as ``--other``, one task each."""
+    from skein.plans import flow
+
+    return flow.reconstruct_clusters(_read(spark, args.other), _read(spark, args.input))
+
+
 @_matcher
 def distributed_mapper(spark, args, options):
     from skein.plans import flow
@@ -209,6 +217,21 @@ def distributed_mapper(spark, args, options):
     return flow.run(_read(spark, args.input), _read(spark, args.other), size=options.size)
 
 
+@_matcher
+def automatic_reconstructor(spark, args, options):
+    """Features (image_id, idx, x, y, descriptor) and pairs to a merged model."""
+    from skein.operators import tracks
+    from skein.plans import flow
+    from skein.session import cut
+
+    features, pairs_ = _read(spark, args.input), _read(spark, args.other)
+    matches = cut(flow.match_pairs(pairs_, features.select("image_id", "idx", "descriptor")))
+    geometries = cut(flow.verify_pairs(matches, features.select("image_id", "idx", "x", "y"), least=options.least))
+    edges = cut(flow.view_graph(geometries, least=options.least))
+    found = tracks.build(geometries)
+    return flow.run(found.join(features.select("image_id", "idx", "x", "y"), ["image_id", "idx"]), edges, size=options.size)
+
+
 @_matcher
 def point_triangulator(spark, args, options):
     from skein.plans import flow
@@ -216,22 +239,55 @@ def point_triangulator(spark, args, options):
     return flow.triangulate_tracks(_read(spark, args.input), _read(spark, args.other))
 
 
+@_matcher
+def image_registrator(spark, args, options):
+    """Poses of images that a model (``--other``) lacks, from its points."""
+    from skein.plans import flow
+
+    model = _read(spark, args.other)
+    points = model.filter("kind = 'point'").select(F.col("id").alias("track"), F.col("v").alias("xyz"))
+    return flow.register_images(_read(spark, args.input), points, model.filter("kind = 'pose'").select(F.col("id").alias("image_id")), least=options.least)
+
+
+@_matcher
+def bundle_adjuster(spark, args, options):
+    """Partial models (``--other``) refined on observations."""
+    from skein.plans import flow
+
+    return flow.adjust_models(_read(spark, args.other), _read(spark, args.input))
+
+
 @_matcher
 def model_merger(spark, args, options):
     from skein.plans import flow
 
     models = _read(spark, args.input)
-    return flow.merge_models(models, flow.transforms_to_anchor(flow.model_graph(models)))
+    return flow.merge_models(models, flow.transforms_to_anchor(flow.model_graph(models), models))
 
 
-@command
-def model_aligner(spark, args, options):
-    import numpy as np
+@_matcher
+def sfm_aligner(spark, args, options):
+    """Each partial model's map into its common frame."""
+    from skein.plans import flow
+
+    models = _read(spark, args.input)
+    return flow.transforms_to_anchor(flow.model_graph(models), models)
 
+
+@_matcher
+def model_orientation_aligner(spark, args, options):
+    from skein.plans import flow
+
+    return flow.upright(_read(spark, args.input))
+
+
+@_matcher
+def model_aligner(spark, args, options):
+    """The map of a model onto reference positions: one row (m, mean, median)."""
     from skein.plans import flow
 
     m, mean, median = flow.align_to_reference(_read(spark, args.input), _read(spark, args.other))
-    Path(args.output).write_text(json.dumps({"map": np.asarray(m).tolist(), "mean": mean, "median": median}))
+    return spark.createDataFrame([(m.ravel().tolist(), mean, median)], "m array<double>, mean double, median double")
 
 
 @command

@@ -207,20 +207,20 @@ def labels_of(rows, cols, weights, k: int, name: str) -> np.ndarray:
 # Distributed form ---------------------------------------------------------------------
 
 
-def _dense_limit() -> int:
-    """Nodes up to which a component is cut as one dense matrix."""
-    return 2_000
+#: Nodes up to which a component is cut as one dense matrix (32 MB of doubles); larger
+#: components are broken up by label propagation first.
+DENSE = 2_000
 
 
 def assign(edges: DataFrame, size: int, name: str = "NCUT", *, most: int | None = None) -> DataFrame:
     """(id, label): clusters of about ``size`` nodes.
 
-    Components are cut apart from each other. One of up to ``most`` nodes is cut by
-    a dense kernel in a grouped map; larger ones are first broken up by rounds of
+    Components are cut apart from each other. One of up to ``most`` nodes (``DENSE`` by
+    default) is cut by a dense kernel in a grouped map; larger ones are first broken up by rounds of
     weighted label propagation over the whole edge table, whose blocks are capped
     in size, and the blocks are cut instead. No task ever holds more than a block.
     """
-    most = most or _dense_limit()
+    most = most or DENSE
     edges = cut(edges.select("src", "dst", "weight"))
     labels = cut(components(nodes_of(edges), edges))
     sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
@@ -269,31 +269,139 @@ def split_edges(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
     return inner, lost
 
 
+def boundary_edges(lost: DataFrame) -> DataFrame:
+    """Lost edges of each two clusters, heaviest first: ``rank`` from 1, ties by ids."""
+    order = Window.partitionBy("l1", "l2").orderBy(F.desc("weight"), "src", "dst")
+    return lost.withColumn("rank", F.row_number().over(order))
+
+
 def expand(labels: DataFrame, lost: DataFrame, *, completeness: float = 0.5, overlap: int = 20) -> DataFrame:
     """Clusters with boundary nodes replicated: (label, id, added).
 
-    For each pair of clusters, lost edges by weight give the smaller cluster the
-    end it lacks, until a cluster's share of repeated nodes passes
-    ``completeness`` or the two have more than ``overlap`` nodes in common. The
-    choice runs per cluster pair over its heaviest edges (ties by ids); the
-    completeness budget then cuts each cluster's additions in order of weight.
+    Each two clusters are one sequential unit: their lost edges are taken by weight
+    (ties by ids), and each gives the cluster that is then smaller (the first if equal)
+    the end it lacks, unless the cluster's share of nodes common to both has passed
+    ``completeness``; once both have, or more than ``overlap`` nodes are common, the pair
+    is done. Units are independent of each other, so a cluster's size in one of them
+    does not see what the others add. A unit holds the edges between two clusters,
+    which their sizes bound.
     """
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
     rows = lost.join(sizes.select(F.col("label").alias("l1"), F.col("n").alias("n1")), "l1").join(sizes.select(F.col("label").alias("l2"), F.col("n").alias("n2")), "l2")
-    own = labels.select(F.col("id").alias("src"), F.col("label").alias("ls"))
-    rows = rows.join(own, "src")
-    to = F.when(F.col("n1") > F.col("n2"), F.col("l2")).otherwise(F.col("l1"))
-    gain = F.when(F.col("ls") == to, F.col("dst")).otherwise(F.col("src"))
-    offers = rows.select(to.alias("label"), gain.alias("id"), "l1", "l2", "weight", F.when(to == F.col("l1"), F.col("n1")).otherwise(F.col("n2")).alias("n"))
-    offers = offers.groupBy("label", "id", "l1", "l2", "n").agg(F.max("weight").alias("weight"))
-    pair = Window.partitionBy("l1", "l2").orderBy(F.desc("weight"), "id")
-    offers = offers.withColumn("_p", F.row_number().over(pair)).filter(F.col("_p") <= overlap + 1)
-    best = offers.groupBy("label", "id", "n").agg(F.max("weight").alias("weight"))
-    budget = Window.partitionBy("label").orderBy(F.desc("weight"), "id")
-    taken = best.withColumn("_r", F.row_number().over(budget)).filter(F.col("_r") <= F.ceil(F.col("n") * completeness))
+    rows = rows.join(labels.select(F.col("id").alias("src"), F.col("label").alias("ls")), "src").select("l1", "l2", "n1", "n2", "src", "dst", "weight", (F.col("ls") == F.col("l1")).alias("first"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["weight", "src", "dst"], ascending=[False, True, True])
+        label, size = (int(pdf["l1"].iloc[0]), int(pdf["l2"].iloc[0])), [int(pdf["n1"].iloc[0]), int(pdf["n2"].iloc[0])]
+        added, common = (set(), set()), 0
+        for src, dst, first in pdf[["src", "dst", "first"]].itertuples(index=False):
+            full = [common / n > completeness for n in size]
+            if all(full) or common > overlap:
+                break
+            to = 1 if size[0] > size[1] else 0
+            lacks = int((dst if first else src) if to == 0 else (src if first else dst))
+            if not full[to] and lacks not in added[to]:
+                added[to].add(lacks)
+                size[to], common = size[to] + 1, common + 1
+        return pd.DataFrame([(label[k], i) for k in (0, 1) for i in sorted(added[k])], columns=["label", "id"])
+
+    taken = rows.groupBy("l1", "l2").applyInPandas(run, "label bigint, id bigint").distinct()
     return labels.select("label", "id", F.lit(False).alias("added")).unionByName(taken.select("label", "id", F.lit(True).alias("added")))
 
 
+def _bisect(members: DataFrame, edges: DataFrame, wide: DataFrame, branching: int) -> DataFrame:
+    """Members (label, id) of the clusters ``wide`` (label) cut into ``branching`` parts."""
+    rows = members.join(wide.select("label"), "label", "left_semi")
+    ends = lambda c: rows.select("label", F.col("id").alias(c))
+    inner = edges.join(ends("src"), "src").join(ends("dst"), ["label", "dst"]).select("label", "src", "dst", "weight")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["src", "dst"])
+        ids = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
+        label = normalised_cut(len(ids), np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"]), pdf["weight"].to_numpy(dtype=float), min(branching, len(ids)))
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "id": ids, "part": label})
+
+    parts = inner.groupBy("label").applyInPandas(run, "label bigint, id bigint, part int")
+    # Nodes without inner edges are dealt to the parts by id.
+    cut_ = rows.join(parts, ["label", "id"], "left").withColumn("part", F.coalesce("part", F.pmod(F.xxhash64("id"), F.lit(branching)).cast("int")))
+    return cut_.select(F.xxhash64("label", "part").alias("label"), "id")
+
+
+def cut_and_expand(edges: DataFrame, size: int, *, branching: int = 2, relax: float = 1.3, completeness: float = 0.5, overlap: int = 20, rounds: int = 20) -> DataFrame:
+    """Overlapping clusters (label, id) of at most ``relax * size`` nodes.
+
+    Clusters are cut in two until they have at most ``size`` nodes, then expanded; those
+    that have grown beyond ``relax * size`` are cut again with what they were given, and
+    only their parts are expanded anew, until none is too large. Cuts lower a
+    cluster's size, so this ends; after ``rounds`` expansions clusters that would still
+    grow too large are left as cut.
+    """
+    edges = cut(edges.select("src", "dst", "weight"))
+    first = assign(edges, size)
+    members, done = cut(first.select("label", "id")), None
+    for k in range(rounds + 1):
+        for _ in range(64):
+            wide = members.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > size)
+            wide = cut(wide)
+            if wide.isEmpty():
+                break
+            members = cut(members.join(wide, "label", "left_anti").unionByName(_bisect(members, edges, wide, branching)))
+        if k == rounds:
+            break
+        # A node may be in several clusters by now; its home is the smallest label.
+        home = members.groupBy("id").agg(F.min("label").alias("label"))
+        _, lost = split_edges(edges, home)
+        grown = cut(expand(home, lost, completeness=completeness, overlap=overlap).select("label", "id").unionByName(members).distinct())
+        large = cut(grown.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > relax * size))
+        small = grown.join(large, "label", "left_anti")
+        done = cut(small if done is None else done.unionByName(small).distinct())
+        if large.isEmpty():
+            return done
+        members = cut(grown.join(large, "label", "left_semi"))
+    return done.unionByName(members).distinct()
+
+
+def dispatch_order(members: DataFrame) -> DataFrame:
+    """Clusters by size, largest first: (label, n, position from 0); ties by label."""
+    from .pairs import numbered
+
+    sizes = members.groupBy("label").agg(F.count("*").alias("n")).withColumn("_n", -F.col("n"))
+    return numbered(sizes, ["_n", "label"]).select("label", "n", "position")
+
+
+def with_clusters(images: DataFrame, members: DataFrame) -> DataFrame:
+    """Images (image_id) with ``cluster_id``: the smallest of their clusters' labels, null without one."""
+    home = members.groupBy(F.col("id").alias("image_id")).agg(F.min("label").alias("cluster_id"))
+    return images.drop("cluster_id").join(home, "image_id", "left")
+
+
+def min_cuts(edges: DataFrame) -> DataFrame:
+    """The minimum cut of each group's graph: (group, value, side), the side as sorted
+    ids; ``edges``: (group, src, dst, weight), a group is one dense matrix."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["src", "dst"])
+        ids = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
+        value, side = min_cut(len(ids), np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"]), pdf["weight"].to_numpy(dtype=float))
+        return pd.DataFrame({"group": [pdf["group"].iloc[0]], "value": [value], "side": [ids[side].tolist()]})
+
+    return edges.groupBy("group").applyInPandas(run, "group bigint, value double, side array<bigint>")
+
+
+def terminal_cuts(edges: DataFrame) -> DataFrame:
+    """The maximum flow of each group between its smallest and its largest node:
+    (group, source, sink, value)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["src", "dst"])
+        ids = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
+        rows, cols, w = np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"]), pdf["weight"].to_numpy(dtype=float)
+        value, _ = max_flow(len(ids), np.concatenate([rows, cols]), np.concatenate([cols, rows]), np.concatenate([w, w]), 0, len(ids) - 1)
+        return pd.DataFrame({"group": [pdf["group"].iloc[0]], "source": [ids[0]], "sink": [ids[-1]], "value": [value]})
+
+    return edges.groupBy("group").applyInPandas(run, "group bigint, source bigint, sink bigint, value double")
+
+
 def expand_all(labels: DataFrame, inner: DataFrame, lost: DataFrame) -> DataFrame:
     """Every lost edge into the one of its clusters that has fewer edges."""
     counts = inner.groupBy("label").agg(F.count("*").alias("n"))
@@ -310,12 +418,18 @@ def hierarchy(edges: DataFrame, leaf: int, branching: int = 2, overlap: int = 0)
 
     A level splits every cluster above ``leaf`` nodes into ``branching`` parts;
     with ``overlap`` each leaf also gets up to so many nodes across its boundary,
-    by the heaviest edges.
+    by the heaviest edges. A graph of more than ``DENSE`` nodes begins as the blocks of
+    label propagation, so that no task holds more than a block's matrix.
     """
     edges = cut(edges.select("src", "dst", "weight"))
     nodes = nodes_of(edges)
     n = nodes.count()
     now = cut(nodes.withColumn("label", F.lit(0).cast("long")))
+    if n > DENSE:
+        whole = cut(components(nodes, edges))
+        sizes = whole.groupBy("component").agg(F.count("*").alias("n"))
+        blocks = _propagated(edges, whole.join(sizes, "component").select("id", F.col("component").alias("block"), "n"), DENSE)
+        now = cut(blocks.select("id", F.col("block").alias("label")))
     rounds = max(0, int(np.ceil(np.log(max(1, n / leaf)) / np.log(branching)))) + 3
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

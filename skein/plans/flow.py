@@ -1,8 +1,9 @@
 """The whole flow: match, verify, clean, partition, reconstruct, align, merge.
 
 Relational steps are DataFrame jobs. Numeric steps are grouped maps whose group is
-one pair, one track or one cluster, all of bounded size. What reaches the driver
-is one row a partial model or a pair of them.
+one pair, one block of tracks or one cluster, all of bounded size. Partial models are
+put into common frames by joins along a spanning forest; nothing that grows with the
+scene reaches the driver.
 """
 
 from __future__ import annotations
@@ -63,19 +64,18 @@ def verify_pairs(matches: DataFrame, keypoints: DataFrame, *, most: float = 2e-3
     ``keypoints``: (image_id, idx, x, y) in normalised coordinates. Pairs with
     fewer inliers than ``least`` have an empty list.
     """
-    at = lambda k: keypoints.select(F.col("image_id").alias(f"image_id{k}"), F.col("idx").alias(f"idx{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
-    rows = matches.join(at(1), ["image_id1", "idx1"]).join(at(2), ["image_id2", "idx2"])
+    rows = matched_points(matches, keypoints)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["idx1", "idx2"])
         found = g.two_view(pdf[["x1", "y1"]].to_numpy(), pdf[["x2", "y2"]].to_numpy(), calibrated=True, most=most, least=least)
         good = pdf[found["inliers"]]
-        listed = [{"idx1": int(a), "idx2": int(b)} for a, b in zip(good["idx1"], good["idx2"])] if len(good) >= least else []
+        listed = [{"idx1": int(a), "idx2": int(b)} for a, b in zip(good["idx1"], good["idx2"])]
         r = None if found["R"] is None else g.log_rotation(found["R"]).tolist()
         t = None if found["t"] is None else found["t"].tolist()
         return pd.DataFrame([(pdf["image_id1"].iloc[0], pdf["image_id2"].iloc[0], found["config"], listed, r, t, found["angle"])], columns=["image_id1", "image_id2", "config", "inliers", "rotation", "translation", "angle"])
 
-    return rows.groupBy("image_id1", "image_id2").applyInPandas(run, GEOMETRY)
+    return enough(rows.groupBy("image_id1", "image_id2").applyInPandas(run, GEOMETRY), least)
 
 
 def view_graph(geometries: DataFrame, *, least: int = 15, loop_error: float = 5.0) -> DataFrame:
@@ -167,103 +167,223 @@ def model_graph(models: DataFrame, *, least: int = 4, most_error: float = 0.1) -
     return pairs.groupBy("src", "dst").applyInPandas(run, "src bigint, dst bigint, weight double, m array<double>")
 
 
-def _compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """First ``b``, then ``a`` (3x4 similarities)."""
-    return np.column_stack([a[:, :3] @ b[:, :3], a[:, :3] @ b[:, 3] + a[:, 3]])
+def _cell(m, i: int, j: int):
+    """An entry of a 3x4 matrix kept by rows in an array column."""
+    return m[4 * i + j]
+
+
+def _compose(a, b):
+    """First ``b``, then ``a`` (3x4 similarities as array columns)."""
+    return F.array(*[sum((_cell(a, i, k) * _cell(b, k, j) for k in range(1, 3)), _cell(a, i, 0) * _cell(b, 0, j)) + (_cell(a, i, 3) if j == 3 else F.lit(0.0)) for i in range(3) for j in range(4)])
+
+
+def _squared_scale(m):
+    return sum((_cell(m, 0, j) * _cell(m, 0, j) for j in (1, 2)), _cell(m, 0, 0) * _cell(m, 0, 0))
+
+
+def _inverse(m):
+    """The inverse of a similarity: its linear part is a rotation times a scale."""
+    back = [[_cell(m, j, i) / _squared_scale(m) for j in range(3)] for i in range(3)]
+    return F.array(*[x for i in range(3) for x in (*back[i], -sum((back[i][k] * _cell(m, k, 3) for k in (1, 2)), back[i][0] * _cell(m, 0, 3)))])
 
 
-def _inverse(a: np.ndarray) -> np.ndarray:
-    m = np.linalg.inv(a[:, :3])
-    return np.column_stack([m, -m @ a[:, 3]])
+_IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]
 
 
-def transforms_to_anchor(fits: DataFrame) -> dict[int, np.ndarray]:
-    """Each partial model's map into the anchor's frame, along the spanning tree.
+def transforms_to_anchor(fits: DataFrame, models: DataFrame) -> DataFrame:
+    """Each partial model's map into its frame: (label, frame, m).
 
-    One row a pair of models reaches the driver: partitions, not images.
+    Models that fit together (``model_graph``) are one frame, that of the anchor of
+    their spanning tree, along which the maps are composed. A model that fits no other
+    is a frame of its own.
     """
+    fits = cut(fits)
     tree = cut(graph.spanning_forest(fits.select("src", "dst", "weight")))
-    root = graph.anchor(tree)
-    if root is None:
-        return {}
-    maps = {(r.src, r.dst): np.array(r.m).reshape(3, 4) for r in fits.join(tree.select("src", "dst"), ["src", "dst"], "left_semi").collect()}
-    near: dict[int, list] = {}
-    for (a, b), m in maps.items():
-        near.setdefault(a, []).append((b, m))
-        near.setdefault(b, []).append((a, _inverse(m)))
-    out, queue = {root: np.eye(3, 4)}, [root]
-    for at in queue:
-        for other, m in near.get(at, ()):  # m maps other's frame into at's
-            if other not in out:
-                out[other] = _compose(out[at], m)
-                queue.append(other)
-    return out
-
-
-def merge_models(models: DataFrame, maps: dict[int, np.ndarray]) -> DataFrame:
-    """One model from the aligned partial ones: (kind, id, v, n).
-
-    Points are means over the models that hold them, poses come from the smallest
-    label. Models without a map are left out.
+    steps = fits.join(tree.select("src", "dst"), ["src", "dst"], "left_semi").select("src", "dst", "m")
+    one = F.array(*[F.lit(x) for x in _IDENTITY])
+    found = graph.composed(steps, graph.anchors(tree).select("id"), "m", _compose, _inverse, one)
+    labels = models.select(F.col("label").alias("id")).distinct()
+    return labels.join(found.select("id", "root", "m"), "id", "left").select(F.col("id").alias("label"), F.coalesce("root", "id").alias("frame"), F.coalesce("m", one).alias("m"))
+
+
+def merge_models(models: DataFrame, maps: DataFrame, *, most: float | None = None) -> DataFrame:
+    """Models from the aligned partial ones: (frame, kind, id, v, n).
+
+    Within a frame, points are means over the models that hold them, poses come from the
+    smallest label. With ``most``, a point is dropped as a conflict if its models put it
+    farther than this from the mean, relative to the frame's spread.
+    """
+    rows = models.join(maps, "label")
+    v, m = F.col("v"), F.col("m")
+    at = lambda x, y, z: [_cell(m, i, 0) * x + _cell(m, i, 1) * y + _cell(m, i, 2) * z + _cell(m, i, 3) for i in range(3)]
+    point = at(v[0], v[1], v[2])
+    # A pose's rotation follows the map's; its centre is mapped as a point.
+    scale = F.sqrt(_squared_scale(m))
+    turn = [[sum((_cell(v, i, k) * _cell(m, j, k) for k in (1, 2)), _cell(v, i, 0) * _cell(m, j, 0)) / scale for j in range(3)] for i in range(3)]
+    centre = at(*[-sum((_cell(v, k, i) * _cell(v, k, 3) for k in (1, 2)), _cell(v, 0, i) * _cell(v, 0, 3)) for i in range(3)])
+    pose = [x for i in range(3) for x in (*turn[i], -sum((turn[i][k] * centre[k] for k in (1, 2)), turn[i][0] * centre[0]))]
+    moved = rows.select("frame", "label", "kind", "id", F.when(F.col("kind") == "point", F.array(*point)).otherwise(F.array(*pose)).alias("v"))
+    poses = moved.filter("kind = 'pose'").groupBy("frame", "kind", "id").agg(F.min_by("v", "label").alias("v"), F.count("*").alias("n"))
+    points = moved.filter("kind = 'point'")
+    mean = points.groupBy("frame", "kind", "id").agg(F.array(*[F.avg(v[i]) for i in range(3)]).alias("v"), F.count("*").alias("n"))
+    if most is not None:
+        away = lambda a, b: F.sqrt(sum(((a[i] - b[i]) * (a[i] - b[i]) for i in (1, 2)), (a[0] - b[0]) * (a[0] - b[0])))
+        middle = mean.groupBy("frame").agg(F.array(*[F.avg(v[i]) for i in range(3)]).alias("c"))
+        spread = mean.join(middle, "frame").groupBy("frame").agg(F.avg(away(F.col("v"), F.col("c"))).alias("spread"))
+        off = points.select("frame", "id", F.col("v").alias("own")).join(mean.filter("n > 1"), ["frame", "id"]).groupBy("frame", "id").agg(F.max(away(F.col("own"), F.col("v"))).alias("off"))
+        mean = mean.join(off.join(spread, "frame").filter(F.col("off") > most * F.col("spread")), ["frame", "id"], "left_anti").select(*mean.columns)
+    return poses.unionByName(mean)
+
+
+#: Tracks that are triangulated together.
+_TRACKS = 2_000
+
+
+def triangulate_tracks(observations: DataFrame, poses: DataFrame, *, most: float = 2e-3) -> DataFrame:
+    """(track, xyz, n) of tracks seen by two or more posed images (image_id, pose).
+
+    An image counts once a track, by its first observation. Points behind a camera or
+    farther than ``most`` from an observation are left out. Tracks are packed to one
+    row each and triangulated in batches of equal length.
     """
-    rows = [(int(k), m.ravel().tolist()) for k, m in maps.items()]
-    table = models.sparkSession.createDataFrame(rows, "label bigint, m array<double>")
-    joined = models.join(F.broadcast(table), "label")  # one row a model
+    rows = observations.join(poses, "image_id").groupBy("track", "image_id").agg(F.min(F.struct("x", "y", "pose")).alias("o"))
+    seen = F.array_sort(F.collect_list(F.struct("image_id", F.concat(F.array("o.x", "o.y"), "o.pose").alias("v"))))  # a track's images
+    packed = rows.groupBy("track").agg(seen.alias("seen")).select("track", F.size("seen").alias("n"), F.flatten(F.transform("seen", lambda s: s["v"])).alias("v")).filter("n >= 2")
 
     def run(frames):
         for frame in frames:
-            out = []
-            for kind, v, m, label, id_ in zip(frame["kind"], frame["v"], frame["m"], frame["label"], frame["id"]):
-                m, v = np.array(m).reshape(3, 4), np.array(v)
-                if kind == "point":
-                    v = m[:, :3] @ v + m[:, 3]
-                else:
-                    p = v.reshape(3, 4)
-                    s = np.cbrt(np.linalg.det(m[:, :3]))
-                    r = p[:, :3] @ (m[:, :3] / s).T
-                    c = m[:, :3] @ (-p[:, :3].T @ p[:, 3]) + m[:, 3]
-                    v = np.column_stack([r, -r @ c]).ravel()
-                out.append((label, kind, id_, v.tolist()))
-            yield pd.DataFrame(out, columns=["label", "kind", "id", "v"])
-
-    moved = joined.mapInPandas(run, MODEL)
-    poses = moved.filter("kind = 'pose'").groupBy("kind", "id").agg(F.min_by("v", "label").alias("v"), F.count("*").alias("n"))
-    points = moved.filter("kind = 'point'").groupBy("kind", "id").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(3)]).alias("v"), F.count("*").alias("n"))
-    return poses.unionByName(points)
+            for low in range(0, len(frame), _TRACKS):
+                part = frame.iloc[low : low + _TRACKS]
+                for n, own in part.groupby("n"):
+                    v = np.array(own["v"].tolist()).reshape(len(own), n, 14)
+                    x, p = v[:, :, :2], v[:, :, 2:].reshape(-1, n, 3, 4)
+                    a = np.concatenate([x[..., :1, None] * p[:, :, 2:3] - p[:, :, 0:1], x[..., 1:, None] * p[:, :, 2:3] - p[:, :, 1:2]], axis=2).reshape(len(own), 2 * n, 4)
+                    found = np.linalg.svd(a)[2][:, -1]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        at = found[:, :3] / found[:, 3:]
+                        cam = np.einsum("tnij,tj->tni", p[..., :3], at) + p[..., 3]
+                        off = ((cam[..., :2] / cam[..., 2:] - x) ** 2).sum(axis=2).max(axis=1)
+                    good = np.isfinite(at).all(axis=1) & (cam[..., 2] > 0).all(axis=1) & (off <= most**2)
+                    yield pd.DataFrame({"track": own["track"].to_numpy()[good], "xyz": list(at[good]), "n": n})
+
+    return packed.mapInPandas(run, "track bigint, xyz array<double>, n int")
+
+
+def register_images(observations: DataFrame, points: DataFrame, posed: DataFrame, *, most: float = 2e-3, least: int = 15) -> DataFrame:
+    """Poses of images that have none: (image_id, pose, inliers).
+
+    ``points``: (track, xyz); ``posed``: (image_id). An image's 2D-3D correspondences
+    are one group; images with fewer than ``least`` inliers are absent.
+    """
+    rows = observations.join(posed.select("image_id"), "image_id", "left_anti").join(points.select("track", "xyz"), "track")
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("track")
+        x, y = np.array(pdf["xyz"].tolist()), pdf[["x", "y"]].to_numpy()
+        found, out = ransac(g.PnP(), x, y, most**2, max_trials=200) if len(pdf) >= max(6, least) else None, []
+        if found is not None and found[1].sum() >= least:
+            pose = g.refine_pose(found[0], x[found[1]], y[found[1]])
+            out.append((pdf["image_id"].iloc[0], pose.ravel().tolist(), int(found[1].sum())))
+        return pd.DataFrame(out, columns=["image_id", "pose", "inliers"])
 
-def triangulate_tracks(observations: DataFrame, poses: DataFrame, *, most: float = 2e-3) -> DataFrame:
-    """(track, xyz, n) of tracks seen by two or more posed images (image_id, pose)."""
-    rows = observations.join(poses, "image_id")
+    return rows.groupBy("image_id").applyInPandas(run, "image_id bigint, pose array<double>, inliers int")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("image_id")
-        out = []
-        if len(pdf) >= 2:
-            p = np.array(pdf["pose"].tolist()).reshape(-1, 3, 4)
-            v = g.triangulate_views(p, pdf[["x", "y"]].to_numpy()[None])[0]
-            cam = p[:, :, :3] @ v + p[:, :, 3]
-            if np.isfinite(v).all() and (cam[:, 2] > 0).all() and ((cam[:, :2] / cam[:, 2:] - pdf[["x", "y"]].to_numpy()) ** 2).sum(axis=1).max() <= most**2:
-                out.append((key[0], v.tolist(), len(pdf)))
-        return pd.DataFrame(out, columns=["track", "xyz", "n"])
 
-    return rows.groupBy("track").applyInPandas(run, "track bigint, xyz array<double>, n int")
+def adjust_models(models: DataFrame, observations: DataFrame, *, rounds: int = 20, loss: float = 2e-3) -> DataFrame:
+    """Partial models after bundle adjustment, each a group: (label, kind, id, v).
+
+    The smallest image's pose stays, which holds the frame. Points seen by fewer than two
+    of a model's images are left as they are.
+    """
+    poses = models.filter("kind = 'pose'").select("label", F.col("id").alias("image_id"))
+    points = models.filter("kind = 'point'").select("label", F.col("id").alias("track"))
+    seen = observations.join(poses, "image_id").join(points, ["label", "track"]).select("label", F.lit("seen").alias("kind"), F.col("image_id").alias("id"), F.array("x", "y").alias("v"), "track")
+    rows = models.withColumn("track", F.lit(None).cast("long")).unionByName(seen)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        label, kinds = pdf["label"].iloc[0], dict(list(pdf.groupby("kind")))
+        held = {k: kinds[k].sort_values("id") for k in ("pose", "point") if k in kinds}
+        obs = kinds.get("seen")
+        if len(held) == 2 and obs is not None:
+            obs = obs.sort_values(["id", "track"])
+            obs = obs[obs.groupby("track")["id"].transform("nunique") >= 2]
+        if len(held) == 2 and obs is not None and len(obs):
+            ids, tracks = held["pose"]["id"].to_numpy(), held["point"]["id"].to_numpy()
+            view, point = np.searchsorted(ids, obs["id"]), np.searchsorted(tracks, obs["track"].astype(np.int64))
+            used, where = np.unique(point, return_inverse=True)
+            start, xyz = np.array(held["pose"]["v"].tolist()).reshape(-1, 3, 4), np.array(held["point"]["v"].tolist())
+            new, moved, _ = g.bundle_adjust(start, xyz[used], view, where, np.array(obs["v"].tolist()), fixed=(0,), rounds=rounds, loss=loss)
+            xyz[used] = moved
+            held["pose"], held["point"] = held["pose"].assign(v=[p.ravel().tolist() for p in new]), held["point"].assign(v=xyz.tolist())
+        return pd.concat([h[["kind", "id", "v"]] for h in held.values()]).assign(label=label)[["label", "kind", "id", "v"]]
+
+    return rows.groupBy("label").applyInPandas(run, MODEL)
+
+
+def matched_points(matches: DataFrame, keypoints: DataFrame) -> DataFrame:
+    """Matches (image_id1, image_id2, idx1, idx2) with both features' places x1, y1, x2, y2."""
+    at = lambda k: keypoints.select(F.col("image_id").alias(f"image_id{k}"), F.col("idx").alias(f"idx{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    return matches.join(at(1), ["image_id1", "idx1"]).join(at(2), ["image_id2", "idx2"])
+
+
+def enough(geometries: DataFrame, least: int) -> DataFrame:
+    """Geometries whose inlier lists are empty unless they hold at least ``least``."""
+    listed = F.col("inliers")
+    return geometries.withColumn("inliers", F.when(F.size(listed) >= least, listed).otherwise(F.slice(listed, 1, 0)))
+
+
+#: Common images on which an alignment is fitted; its errors are those of all.
+_FITTED = 10_000
+
+
+def common_centres(model: DataFrame, reference: DataFrame) -> DataFrame:
+    """Images of a model (kind, id, v) with a reference position (image_id, x, y, z):
+    (image_id, cx, cy, cz, x, y, z); of repeated reference rows the smallest."""
+    v = F.col("v")
+    centre = [-sum((_cell(v, k, i) * _cell(v, k, 3) for k in (1, 2)), _cell(v, 0, i) * _cell(v, 0, 3)) for i in range(3)]
+    own = model.filter("kind = 'pose'").select(F.col("id").alias("image_id"), *[c.alias(f"c{n}") for n, c in zip("xyz", centre)])
+    once = reference.groupBy("image_id").agg(F.min(F.struct("x", "y", "z")).alias("r")).select("image_id", "r.x", "r.y", "r.z")
+    return own.join(once, "image_id")
+
+
+def alignment_errors(rows: DataFrame, m) -> DataFrame:
+    """One row: mean and median distance of mapped centres to their reference."""
+    c = [F.col("cx"), F.col("cy"), F.col("cz")]
+    off = [sum((float(m[i][k]) * c[k] for k in range(3)), F.lit(float(m[i][3]))) - F.col(n) for i, n in enumerate("xyz")]
+    away = F.sqrt(off[0] * off[0] + off[1] * off[1] + off[2] * off[2])
+    return rows.agg(F.avg(away).alias("mean"), F.median(away).alias("median"))
 
 
 def align_to_reference(model: DataFrame, reference: DataFrame, *, most: float | None = None) -> tuple[np.ndarray, float, float]:
     """Map of a model onto reference camera positions (image_id, x, y, z).
 
-    Returns the 3x4 map and the mean and median distance after it. At least three
-    common images are needed. Positions of common images reach the driver.
+    Returns the 3x4 map and the mean and median distance after it, over all common
+    images, of which three at least are needed. The map is fitted to ``_FITTED`` of them
+    at most, chosen by hash.
     """
-    rows = model.filter("kind = 'pose'").select(F.col("id").alias("image_id"), "v").join(reference.dropDuplicates(["image_id"]), "image_id").orderBy("image_id").toPandas()
-    if len(rows) < 3:
+    rows = cut(common_centres(model, reference))
+    some = rows.orderBy(F.xxhash64("image_id"), "image_id").limit(_FITTED).toPandas().sort_values("image_id")
+    if len(some) < 3:
         raise ValueError("at least three common images are needed")
-    p = np.array(rows["v"].tolist()).reshape(-1, 3, 4)
-    x, y = np.array([-q[:, :3].T @ q[:, 3] for q in p]), rows[["x", "y", "z"]].to_numpy()
+    x, y = some[["cx", "cy", "cz"]].to_numpy(), some[["x", "y", "z"]].to_numpy()
     found = ransac(g.Similarity(), x, y, most**2, local=3)[0] if most else g.Similarity().fit(x, y)[0]
-    off = np.sqrt(g.Similarity.residuals(found, x, y))
-    return found, float(off.mean()), float(np.median(off))
+    errors = alignment_errors(rows, found).first()
+    return found, float(errors["mean"]), float(errors["median"])
+
+
+def upright(model: DataFrame) -> DataFrame:
+    """A model turned so that the mean of its cameras' down directions points down
+    (the positive y axis)."""
+    from skein.functions import geometry as e
+
+    v = F.col("v")
+    down = model.filter("kind = 'pose'").agg(*[F.avg(_cell(v, 1, j)).alias(f"d{j}") for j in range(3)])
+    length = F.greatest(F.lit(1e-12), e.norm(tuple(F.col(f"d{j}") for j in range(3))))
+    unit = down.select(*[(F.col(f"d{j}") / length).alias(f"d{j}") for j in range(3)])
+    turn = e.to_matrix(e.between(tuple(F.col(f"d{j}") for j in range(3)), (F.lit(0.0), F.lit(1.0), F.lit(0.0))))
+    m = unit.select(F.lit(0).cast("long").alias("label"), F.lit(0).cast("long").alias("frame"), F.array(*[x for row in turn for x in (*row, F.lit(0.0))]).alias("m"))
+    moved = merge_models(model.withColumn("label", F.lit(0).cast("long")).select("label", "kind", "id", "v"), m)
+    return moved.select("kind", "id", "v")
 
 
 def merge_plan(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -279,8 +399,53 @@ def merge_plan(old: DataFrame, new: DataFrame) -> DataFrame:
     return own.select("point_id", action.alias("action"), F.when(F.col("points") == 1, F.col("old_id")).alias("old_id"), "elements", "known")
 
 
-def run(observations: DataFrame, edges: DataFrame, *, size: int = 100, **options) -> DataFrame:
-    """Partition, reconstruct in parallel, align and merge."""
+def merged_observations(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The observations (image_id, idx, point_id) of two models as one, by ``merge_plan``.
+
+    Points that are copied get ids behind the first model's; those that merge take the
+    first model's id; conflicting ones are left out. Of an observation that both models
+    hold the first one's stays.
+    """
+    plan = cut(merge_plan(old, new))
+    shift = old.agg(F.coalesce(F.max("point_id"), F.lit(0)).alias("_shift"))
+    fresh = new.join(plan.filter("action <> 'conflict'").select("point_id", "action", "old_id"), "point_id").join(old.select("image_id", "idx"), ["image_id", "idx"], "left_anti")
+    fresh = fresh.crossJoin(F.broadcast(shift))  # one row
+    named = F.when(F.col("action") == "merge", F.col("old_id")).otherwise(F.col("point_id") + F.col("_shift") + 1)
+    return old.select("image_id", "idx", "point_id").unionByName(fresh.select("image_id", "idx", named.alias("point_id")))
+
+
+def snapshot(models: DataFrame, path: str, number: int) -> str:
+    """Write a partial model as snapshot ``number`` below ``path``; a repeated one
+    replaces it. Returns the snapshot's folder."""
+    at = f"{path.rstrip('/')}/snapshot={number}"
+    models.write.mode("overwrite").parquet(at)
+    return at
+
+
+def run(observations: DataFrame, edges: DataFrame, *, size: int = 100, refine: bool = True, snapshots: str | None = None, **options) -> DataFrame:
+    """Partition, reconstruct in parallel, align, merge and filter: (frame, kind, id, v, n).
+
+    Scenes that fit one cluster are a frame of their own, and so are parts that do not
+    fit the others. With ``refine``, points are triangulated anew from all of a frame's
+    poses, which drops those that no longer agree. With ``snapshots``, the partial models
+    are kept below that path before (0) and the merged one after the merge (1).
+    """
     members = cut(partition_images(edges, size))
     models = cut(reconstruct_clusters(members, observations, **options))
-    return merge_models(models, transforms_to_anchor(cut(model_graph(models))))
+    if snapshots:
+        snapshot(models, snapshots, 0)
+    merged = cut(merge_models(models, transforms_to_anchor(model_graph(models), models)))
+    if snapshots:
+        snapshot(merged, snapshots, 1)
+    if not refine:
+        return merged
+    most = options.get("most", 2e-3)
+    poses = merged.filter("kind = 'pose'")
+    # Frames are worked on together: a track of a frame is a track of its own.
+    key = F.xxhash64("frame", "track")
+    seen = observations.join(poses.select(F.col("id").alias("image_id"), "frame", F.col("v").alias("pose")), "image_id").withColumn("key", key)
+    seen = seen.withColumn("view", F.xxhash64("frame", "image_id"))
+    named = seen.select("key", "frame", "track").distinct()
+    found = triangulate_tracks(seen.select(F.col("view").alias("image_id"), F.col("key").alias("track"), "x", "y"), seen.select(F.col("view").alias("image_id"), "pose").distinct(), most=2 * most)
+    points = found.withColumnRenamed("track", "key").join(named, "key").select("frame", F.lit("point").alias("kind"), F.col("track").alias("id"), F.col("xyz").alias("v"), F.col("n").cast("long").alias("n"))
+    return poses.unionByName(points)
