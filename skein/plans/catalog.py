@@ -7,36 +7,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skein.functions import geometry as g, scalar as s
 from skein.operators import edits, graph, model, pairs, partition, retrieval, store, views
 from skein.session import cut
-from skein.views import frame, with_
+from skein.views import frame
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its oracle."""
-
-    def add(function):
-        name = function.__name__
-
-        def run(spark, sf_dir, function=function) -> DataFrame:
-            known: dict[str, DataFrame] = {}
-            return function(lambda view: frame(spark, sf_dir, view, known))
-
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLES[name] = with_(sql)
-        return function
-
-    return add
+from .registry import ORACLES, QUERIES, query
 
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 # Store: scans, look-ups, counts -----------------------------------------------------
 
@@ -47,11 +28,6 @@ def table_counts(v):
     return v("images").agg(F.count("*").alias("images")).crossJoin(v("cameras").agg(F.count("*").alias("cameras"))).crossJoin(obs)
 
 
-@query("SELECT image_id, name, camera_id FROM {images} WHERE name = '0000000042' OR image_id = 7")
-def image_lookup(v):
-    return v("images").filter((F.col("name") == "0000000042") | (F.col("image_id") == 7)).select("image_id", "name", "camera_id")
-
-
 @query("SELECT i.image_id, CAST(coalesce(n, 0) AS BIGINT) AS observations FROM {images} i LEFT JOIN (SELECT image_id, count(*) AS n FROM {obs} GROUP BY image_id) o ON i.image_id = o.image_id")
 def observations_per_image(v):
     return model.per_image_counts(v("images"), v("obs"))
@@ -124,19 +100,6 @@ def remapped(v):
     return store.remap(v("obs").select("image_id", "idx", "point_id"), ids, "image_id").select("image_id", "idx", "point_id")
 
 
-@query("SELECT image_id, name FROM {images} WHERE image_id % 7 <> 0 AND name <> '0000000011'")
-def images_deleted(v):
-    gone = v("images").filter("image_id % 7 = 0 OR name = '0000000011'").select("image_id")
-    return v("images").select("image_id", "name").join(gone, "image_id", "left_anti")
-
-
-@query("SELECT image_id, CASE WHEN image_id % 9 = 0 THEN camera_id + 1 ELSE camera_id END AS camera_id FROM {images}")
-def images_updated(v):
-    rows = v("images").select("image_id", "camera_id")
-    changed = rows.filter("image_id % 9 = 0").select("image_id", (F.col("camera_id") + 1).alias("camera_id"))
-    return rows.join(changed.select("image_id"), "image_id", "left_anti").unionByName(changed)
-
-
 @query("SELECT image_id, image_id % 6 = 0 AS common FROM {images} WHERE image_id % 2 = 0")
 def common_images(v):
     a, b = v("images").filter("image_id % 3 = 0"), v("images").filter("image_id % 2 = 0")
@@ -623,47 +586,6 @@ def bfs_distance(v):
     return graph.distances(edges, 0).select("id", "distance")
 
 
-@query()
-def bfs_path(v):
-    """From the smallest node to the one farthest from it."""
-    edges = cut(v("viewgraph").select("src", "dst", "weight"))
-    source = edges.agg(F.least(F.min("src"), F.min("dst"))).first()[0]
-    far = graph.distances(edges, source).agg(F.max(F.struct("distance", (-F.col("id")).alias("i"))).alias("m")).first()["m"]
-    return graph.shortest_path(edges, source, -far["i"])
-
-
-@query()
-def mst_edges(v):
-    return graph.spanning_forest(v("dense"))
-
-
-@query()
-def triangle_groups(v):
-    return graph.triangle_groups(graph.triangles(_sparse_edges(v)))
-
-
-@query()
-def size_capped_components(v):
-    return graph.size_capped_components(_sparse_edges(v), 20)
-
-
-@query()
-def clusters(v):
-    return partition.assign(v("dense"), 20)
-
-
-@query()
-def clusters_expanded(v):
-    labels = cut(partition.assign(v("dense"), 20))
-    _, lost = partition.split_edges(v("dense"), labels)
-    return partition.expand(labels, lost, completeness=0.5, overlap=10)
-
-
-@query()
-def cluster_tree(v):
-    return partition.hierarchy(v("dense"), 20, overlap=3)
-
-
 @query("""--with
     l AS (SELECT camera_id AS id, camera_id % 5 AS label FROM {cameras}), e AS (SELECT src, dst, weight FROM {dense})
     SELECT min(a.label) AS l1, max(b.label) AS l2, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM e JOIN l a ON a.id = src JOIN l b ON b.id = dst WHERE a.label <> b.label GROUP BY least(a.label, b.label), greatest(a.label, b.label)""".replace("min(a.label)", "least(min(a.label), min(b.label))").replace("max(b.label)", "greatest(max(a.label), max(b.label))"))
@@ -908,17 +830,13 @@ def rig_scale(v):
     return views.rig_scale(rig, images).select(F.round("scale", 6).alias("scale"))
 
 
-@query()
-def one_to_one(v):
-    rows = _feature_pairs(v).withColumn("pair", (F.col("a") % 7).cast("long"))
-    order = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    few = rows.withColumn("k", F.row_number().over(order)).filter("k <= 3").select("pair", "a", "b", "score")
-    return views.one_to_one(few, ["pair"])
-
-
 def flagship(spark, sf_dir: str) -> DataFrame:
     """Co-visibility, largest component, and the best neighbours in it."""
     v = lambda name: frame(spark, sf_dir, name)
     edges = model.shared_points(v("obs")).filter("shared >= 2").select(F.col("image_id1").alias("src"), F.col("image_id2").alias("dst"), F.col("shared").alias("weight"))
     inside = graph.largest_subgraph(cut(edges))
     return model.top_overlap(inside.select(F.col("src").alias("image_id1"), F.col("dst").alias("image_id2"), F.col("weight").alias("shared")))
+
+
+# The other catalogues register their queries as they are loaded.
+from . import catalog_graph, catalog_model, catalog_numeric, catalog_retrieval, catalog_sources, catalog_store  # noqa: E402, F401
