@@ -249,6 +249,73 @@ class Essential8(Fundamental8):
         return [u @ np.diag([k, k, 0]) @ vt]
 
 
+#: Monomials in three unknowns up to degree three: those of degree three, then the others.
+_CUBIC = [(3, 0, 0), (2, 1, 0), (2, 0, 1), (1, 2, 0), (1, 1, 1), (1, 0, 2), (0, 3, 0), (0, 2, 1), (0, 1, 2), (0, 0, 3)]
+_LOWER = [(2, 0, 0), (1, 1, 0), (1, 0, 1), (0, 2, 0), (0, 1, 1), (0, 0, 2), (1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 0)]
+
+
+def _product(p: dict, q: dict) -> dict:
+    out: dict = {}
+    for a, x in p.items():
+        for b, y in q.items():
+            k = (a[0] + b[0], a[1] + b[1], a[2] + b[2])
+            out[k] = out.get(k, 0.0) + x * y
+    return out
+
+
+def _total(*terms) -> dict:
+    out: dict = {}
+    for sign, p in terms:
+        for k, x in p.items():
+            out[k] = out.get(k, 0.0) + sign * x
+    return out
+
+
+class Essential5(Fundamental8):
+    """Five matches in normalised coordinates, up to ten models.
+
+    The essential matrix is a combination of four null vectors; its determinant and its
+    singular values give ten cubic equations in three unknowns, whose solutions are
+    eigenvectors of the matrix by which the first unknown multiplies the lower monomials.
+    Eight matches or more are fitted linearly.
+    """
+
+    least = 5
+
+    def fit(self, x, y):
+        if len(x) >= 8:
+            return Essential8().fit(x, y)
+        a, b = _lifted(x), _lifted(y)
+        basis = np.linalg.svd((b[:, :, None] * a[:, None, :]).reshape(len(x), 9))[2][-4:].reshape(4, 3, 3)
+        units = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 0)]
+        m = [[{u: basis[k, i, j] for k, u in enumerate(units)} for j in range(3)] for i in range(3)]
+        square = [[_total(*[(1, _product(m[i][k], m[j][k])) for k in range(3)]) for j in range(3)] for i in range(3)]
+        trace = _total(*[(1, square[i][i]) for i in range(3)])
+        rows = [_total(*[(2, _product(square[i][k], m[k][j])) for k in range(3)], (-1, _product(trace, m[i][j]))) for i in range(3) for j in range(3)]
+        minor = lambda i, j: _total((1, _product(m[1][i], m[2][j])), (-1, _product(m[1][j], m[2][i])))
+        rows.append(_total((1, _product(m[0][0], minor(1, 2))), (-1, _product(m[0][1], minor(0, 2))), (1, _product(m[0][2], minor(0, 1)))))
+        system = np.array([[r.get(k, 0.0) for k in _CUBIC + _LOWER] for r in rows])
+        try:
+            reduced = np.linalg.solve(system[:, :10], system[:, 10:])
+        except np.linalg.LinAlgError:
+            return []
+        action = np.zeros((10, 10))
+        for i, (p, q, r) in enumerate(_LOWER):
+            k = (p + 1, q, r)
+            if k in _CUBIC:
+                action[i] = -reduced[_CUBIC.index(k)]
+            else:
+                action[i, _LOWER.index(k)] = 1
+        out = []
+        for v in np.linalg.eig(action)[1].T:
+            if abs(v[9]) < 1e-12 or np.abs((v / v[9]).imag).max() > 1e-6:
+                continue
+            w = (v / v[9]).real
+            e = w[6] * basis[0] + w[7] * basis[1] + w[8] * basis[2] + basis[3]
+            out.append(e / np.linalg.norm(e))
+        return out
+
+
 class Homography:
     """Four or more matches of a plane or a turn."""
 
@@ -284,6 +351,27 @@ def decompose_essential(e: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(r, s * t) for r in (u @ w @ vt, u @ w.T @ vt) for s in (1, -1)]
 
 
+def decompose_homography(h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The motions (R, t, n) of a plane's homography H = R + t n' (normalised
+    coordinates, the plane's distance as unit): four, or one if it only turns."""
+    h = h / np.linalg.svd(h)[1][1]
+    h = h * np.sign(np.linalg.det(h))
+    v, (s1, _, s3), _ = np.linalg.svd(h.T @ h)
+    if s1 - s3 < 1e-9:
+        u, _, vt = np.linalg.svd(h)
+        return [(u @ vt, np.zeros(3), np.zeros(3))]
+    v = v * np.sign(np.linalg.det(v))
+    first, last = np.sqrt(max(0.0, 1 - s3)) * v[:, 0], np.sqrt(max(0.0, s1 - 1)) * v[:, 2]
+    out = []
+    for u in ((first + last) / np.sqrt(s1 - s3), (first - last) / np.sqrt(s1 - s3)):
+        before = np.column_stack([v[:, 1], u, np.cross(v[:, 1], u)])
+        after = np.column_stack([h @ v[:, 1], h @ u, np.cross(h @ v[:, 1], h @ u)])
+        r, n = after @ before.T, np.cross(v[:, 1], u)
+        t = (h - r) @ n
+        out += [(r, t, n), (r, -t, -n)]
+    return out
+
+
 def triangulate(p1: np.ndarray, p2: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """World points of matches in normalised coordinates (two 3x4 poses)."""
     return triangulate_views(np.array([p1, p2]), np.stack([x, y], axis=1))

@@ -13,13 +13,33 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skein.functions import geometry as g
 from skein.functions.scalar import fraction_rank, percentile_of
 
+from skein.session import cut
+
 from .pairs import numbered
 
 
-def shared_points(obs: DataFrame) -> DataFrame:
-    """Images that see the same points: (image_id1 < image_id2, shared)."""
-    left, right = obs.select("point_id", F.col("image_id").alias("image_id1")), obs.select("point_id", F.col("image_id").alias("image_id2"))
-    return left.join(right, "point_id").filter("image_id1 < image_id2").groupBy("image_id1", "image_id2").agg(F.count("*").alias("shared"))
+#: Images of a track that meet each other in one task.
+TRACK = 1_024
+
+
+def shared_points(obs: DataFrame, block: int = TRACK) -> DataFrame:
+    """Images that see the same points: (image_id1 < image_id2, shared).
+
+    Tracks of more than ``block`` images are dealt to blocks that meet two by two, so
+    that a long one is many tasks' work.
+    """
+    rows = obs.select("point_id", "image_id").filter("point_id IS NOT NULL")
+    sizes = rows.groupBy("point_id").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    long = cut(sizes.select("point_id", F.ceil(F.col("n") / block).cast("long").alias("blocks")))
+    if long.isEmpty():
+        left, right = rows.withColumnRenamed("image_id", "image_id1"), rows.withColumnRenamed("image_id", "image_id2")
+        return left.join(right, "point_id").filter("image_id1 < image_id2").groupBy("image_id1", "image_id2").agg(F.count("*").alias("shared"))
+    few = F.broadcast(long) if long.count() <= 1_000_000 else long
+    dealt = rows.join(few, "point_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("own", F.pmod(F.xxhash64("image_id"), "blocks"))
+    left = dealt.select("point_id", F.col("image_id").alias("a"), F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"))
+    right = dealt.select("point_id", F.col("image_id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("x"), F.col("own").alias("y"))
+    met = left.join(right, ["point_id", "x", "y"]).filter("(x < y AND a <> b) OR a < b")
+    return met.groupBy(F.least("a", "b").alias("image_id1"), F.greatest("a", "b").alias("image_id2")).agg(F.count("*").alias("shared"))
 
 
 def both_ways(pairs: DataFrame, *values: str) -> DataFrame:

@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
         path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        if not path and re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
             path = tempfile.mkdtemp(prefix="skein-")
         if not path:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")

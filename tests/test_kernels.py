@@ -157,3 +157,32 @@ def test_interpolated_poses(spark):
     q, t = g.interpolate_pose((F.col("w1"), zero, zero, F.col("z1")), g.vector(0.0, 0.0, 0.0), (F.col("w2"), zero, zero, F.col("z2")), g.vector(2.0, 0.0, 0.0), F.lit(0.5))
     r = df.select(F.array(*q).alias("q"), F.array(*t).alias("t")).first()
     assert np.allclose(r.q, [np.cos(np.pi / 8), 0, 0, np.sin(np.pi / 8)]) and np.allclose(r.t, [1, 0, 0])
+
+
+def test_five_points():
+    """Of the models through five matches one is the true essential matrix."""
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        r, t = k.exp_rotation(rng.normal(size=3) * 0.3), rng.normal(size=3)
+        x3 = rng.uniform(-2, 2, (30, 3)) + [0, 0, 6]
+        y3 = x3 @ r.T + t
+        x, y = x3[:, :2] / x3[:, 2:], y3[:, :2] / y3[:, 2:]
+        truth = k.skew(t / np.linalg.norm(t)) @ r
+        truth /= np.linalg.norm(truth)
+        found = k.Essential5().fit(x[:5], y[:5])
+        assert found and min(min(np.abs(e - truth).max(), np.abs(e + truth).max()) for e in found) < 1e-6
+        best = min(found, key=lambda e: k.sampson(e, x, y).max())
+        assert k.sampson(best, x, y).max() < 1e-12
+
+
+def test_homography_decomposition():
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        r, t, n = k.exp_rotation(rng.normal(size=3) * 0.4), rng.normal(size=3), rng.normal(size=3)
+        n /= np.linalg.norm(n)
+        n = n if np.linalg.det(r + np.outer(t, n)) > 0 else -n  # both cameras on one side of the plane
+        found = k.decompose_homography(rng.choice([-2.0, 3.0]) * (r + np.outer(t, n)))
+        assert min(np.abs(a - r).max() + np.abs(b - t).max() + np.abs(c - n).max() for a, b, c in found) < 1e-6
+        assert all(np.allclose(a @ a.T, np.eye(3), atol=1e-8) for a, _, _ in found)
+    ((a, b, _),) = k.decompose_homography(2 * r)
+    assert np.allclose(a, r) and not b.any()

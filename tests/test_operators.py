@@ -242,3 +242,70 @@ def test_whitening(spark):
     mean, w = retrieval.whitening(spark.createDataFrame([(r.tolist(),) for r in x], "embedding array<double>"), 4)
     y = (x - mean) @ w.T
     assert np.allclose(np.cov(y.T, bias=True), np.eye(4), atol=1e-6)
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_shared_points_of_long_tracks(spark, block):
+    rng = np.random.default_rng(3)
+    seen = {(int(i), int(p)) for i, p in zip(rng.integers(0, 30, 200), rng.integers(0, 12, 200))}
+    expected = {}
+    for a, p in seen:
+        for b, q in seen:
+            if p == q and a < b:
+                expected[a, b] = expected.get((a, b), 0) + 1
+    found = model.shared_points(spark.createDataFrame(list(seen) + [(99, None)], "image_id bigint, point_id bigint"), block)
+    assert {(r.image_id1, r.image_id2): r.shared for r in found.collect()} == expected
+
+
+def test_first_edge_wins(spark):
+    g_ = edges(spark, [(0, 1, 5)])
+    more = spark.createDataFrame([(1, 2, 9, 1), (1, 2, 3, 2), (0, 1, 1, 0)], "src bigint, dst bigint, weight bigint, at int")
+    assert {(r.src, r.dst, r.weight) for r in graph.add_edges(g_, more, "at").collect()} == {(0, 1, 5), (1, 2, 9)}
+
+
+def test_distances_have_no_limit(spark):
+    chain = edges(spark, [(i, i + 1) for i in range(40)])
+    assert graph.distances(chain, 0).agg(F.max("distance")).first()[0] == 40
+    assert graph.distances(chain, 0, most=3).count() == 4
+
+
+def test_failing_edges_use_up_a_budget(spark):
+    star = edges(spark, [(0, i, 10 + i) for i in range(1, 9)])
+    few = graph.verified_forest(star, lambda e: e.filter("dst <= 2"), budget=2)
+    assert {r.dst for r in few.collect()} <= {1, 2}
+    every = graph.verified_forest(star, lambda e: e.filter("dst <= 2"), budget=100)
+    assert {r.dst for r in every.collect()} == {1, 2}
+
+
+def test_store_appends_write_their_rows_only(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s")).create()
+    rows = spark.createDataFrame([(1, "a", 1)], "image_id bigint, name string, camera_id bigint")
+    s.append("images", rows)
+    s.append("images", rows.withColumn("image_id", F.lit(2).cast("long")))
+    assert sorted(r.image_id for r in s.read("images").collect()) == [1, 2] and s.read("images", 2).count() == 1
+    folders = [n for n in s._names("images") if n.startswith("d")]
+    assert len(folders) == 3
+    s.vacuum("images")
+    assert s.read("images").count() == 2 and len(s._versions("images")) == 1
+
+
+def test_tracks_are_built(spark):
+    from skein.operators import tracks
+
+    rows = [(1, 2, [(0, 0), (1, 1)]), (2, 3, [(0, 5), (1, 6)]), (1, 3, [(7, 5)]), (4, 5, [(3, 3)])]
+    found = tracks.build(spark.createDataFrame(rows, "image_id1 bigint, image_id2 bigint, inliers array<struct<idx1:int,idx2:int>>")).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.track, set()).add((r.image_id, r.idx))
+    # Features 0 and 7 of image 1 are one track: the first stays.
+    assert sorted(map(sorted, by.values())) == [[(1, 0), (2, 0), (3, 5)], [(1, 1), (2, 1), (3, 6)], [(4, 3), (5, 3)]]
+
+
+def test_clusters_are_regrouped(spark):
+    rng = np.random.default_rng(6)
+    links = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (500, 2)) if a != b}
+    found = partition.cut_and_expand(edges(spark, [(a, b, 1 + (a + b) % 9) for a, b in links]), 12, relax=1.5, completeness=0.2).collect()
+    sizes = {}
+    for r in found:
+        sizes.setdefault(r.label, set()).add(r.id)
+    assert set().union(*sizes.values()) == {x for e in links for x in e} and max(map(len, sizes.values())) <= 18
