@@ -254,6 +254,10 @@ _CUBIC = [(3, 0, 0), (2, 1, 0), (2, 0, 1), (1, 2, 0), (1, 1, 1), (1, 0, 2), (0,
 _LOWER = [(2, 0, 0), (1, 1, 0), (1, 0, 1), (0, 2, 0), (0, 1, 1), (0, 0, 2), (1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 0)]
 
 
+#: Some rotation of four vectors that leaves none of them nearly alone.
+_MIXED = np.linalg.qr(np.random.default_rng(5).normal(size=(4, 4)))[0]
+
+
 def _product(p: dict, q: dict) -> dict:
     out: dict = {}
     for a, x in p.items():
@@ -286,7 +290,9 @@ class Essential5(Fundamental8):
         if len(x) >= 8:
             return Essential8().fit(x, y)
         a, b = _lifted(x), _lifted(y)
-        basis = np.linalg.svd((b[:, :, None] * a[:, None, :]).reshape(len(x), 9))[2][-4:].reshape(4, 3, 3)
+        basis = np.linalg.svd((b[:, :, None] * a[:, None, :]).reshape(len(x), 9))[2][-4:]
+        # Mixed, as the last one's coefficient is set to one and must not vanish.
+        basis = (_MIXED @ basis).reshape(4, 3, 3)
         units = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 0)]
         m = [[{u: basis[k, i, j] for k, u in enumerate(units)} for j in range(3)] for i in range(3)]
         square = [[_total(*[(1, _product(m[i][k], m[j][k])) for k in range(3)]) for j in range(3)] for i in range(3)]
