@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skein.operators.components import connected_components
 
-from .common import NONBLANK, WordHasher, bounded, cut, joined, mix64, shingle_hashes, text_groups
+from .common import NONBLANK, WordHasher, bounded, by_key, cut, joined, mix64, shingle_hashes, text_groups
 
 N = 5
 #: The threshold as a fraction, so that bounds are exact integers.
@@ -527,9 +527,12 @@ def _connecting(ordered: DataFrame, t) -> DataFrame:
     sets = ordered.select("id", "grams")
     # Step 4. The centre has the smallest share of n-grams of its own.
     held = cut(ordered.select("id", "n", "alone", "prefix", "at").mapInArrow(_postings(STARS), POSTINGS))
-    centres = held.groupBy("gram").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"))).alias("c"))
+    centres = held.groupBy("gram").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"))).alias("c"), F.count("*").alias("holders"))
+    # An n-gram of many holders would be one key of a shuffled join.
+    centres = cut(centres.filter("holders > 1"))
+    total = centres.agg(F.sum("holders")).first()[0] or 0
     reach = F.least("reach", "c.ra") * (t[0] + t[1]) >= (F.col("n") + F.col("c.na")) * t[0]
-    pairs = held.join(centres, "gram").filter((F.col("id") != F.col("c.a")) & reach).groupBy(F.col("id").alias("b"), F.col("c.a").alias("a")).agg(F.count("*").alias("count"))
+    pairs = by_key(held, centres, "gram", "holders", total).filter((F.col("id") != F.col("c.a")) & reach).groupBy(F.col("id").alias("b"), F.col("c.a").alias("a")).agg(F.count("*").alias("count"))
     pairs = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")))
     links = cut(_joined(_stars(pairs), sets, t, _connected))
     # Step 5: holders of a prefix n-gram that are still apart and could link.
