@@ -50,6 +50,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skein.operators.components import connected_components
 
+from . import common
 from .common import NONBLANK, WordHasher, bounded, by_key, cut, joined, mix64, shingle_hashes, text_groups
 
 N = 5
@@ -61,6 +62,8 @@ SLACK = 16
 STARS = 16
 #: Sets and n-grams of a block of steps 5 and 6; members of a star's tile.
 BLOCK, BLOCK_GRAMS, STAR = 64, 1 << 19, 4_096
+#: Holders of an n-gram that one task lists against the other blocks at least.
+CROWD = 512
 #: N-grams whose postings make one part of the hash range.
 PART_GRAMS = 1 << 22
 
@@ -471,6 +474,22 @@ def _stars(pairs: DataFrame) -> DataFrame:
     return members.unionByName(centres).withColumn("mark", F.col("id"))
 
 
+def _met(held: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of stored holders with what their n-grams have elsewhere.
+
+    The holders of a crowded key are dealt to several tasks, each of which gets all of
+    ``there`` for it. Crowded are keys of more than ``CROWD`` holders and of more than a
+    ``HOT``-th of all, so that at most ``HOT`` keys are broadcast.
+    """
+    crowd = max(CROWD, -(-held.count() // common.HOT))
+    salts = held.groupBy(*keys).agg(F.ceil(F.count("*") / crowd).cast("long").alias("_salts")).filter("_salts > 1")
+    salts = F.broadcast(cut(salts))
+    many = F.coalesce("_salts", F.lit(1).cast("long"))
+    rows = held.join(salts, keys, "left").withColumn("_salt", F.pmod(F.xxhash64("id"), many)).drop("_salts")
+    there = there.join(salts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("_salts")
+    return rows.join(there, [*keys, "_salt"]).drop("_salt")
+
+
 def _blocked(held: DataFrame, t) -> DataFrame:
     """Tiles in which holders of the same n-gram meet, if they are of different
     components; ``held``: (id, n, gram, component, most).
@@ -489,7 +508,7 @@ def _blocked(held: DataFrame, t) -> DataFrame:
     there = held.groupBy("gram", F.col("block").alias("other"), F.col("kind").alias("kind2")).agg(
         F.min("n").alias("least2"), F.max("n").alias("n2"), F.max("most").alias("most2"), (F.min("component") != F.max("component")).alias("several")
     )
-    met = held.join(there, "gram")
+    met = _met(held, there, ["gram"])
     apart = F.when(F.col("block") == F.col("other"), F.col("several")).otherwise((F.col("kind") != F.col("kind2")) | (F.col("kind") < 0))
     near = (F.col("n") * t[1] >= F.col("least2") * t[0]) & (F.col("n2") * t[1] >= F.col("n") * t[0]) & (F.col("least2") <= F.col("most")) & (F.col("n") <= F.col("most2"))
     side = F.when(F.col("block") == F.col("other"), _BOTH).when(F.col("block") < F.col("other"), _PROBE).otherwise(_HELD)
@@ -527,7 +546,7 @@ def _connecting(ordered: DataFrame, t) -> DataFrame:
     sets = ordered.select("id", "grams")
     # Step 4. The centre has the smallest share of n-grams of its own.
     held = cut(ordered.select("id", "n", "alone", "prefix", "at").mapInArrow(_postings(STARS), POSTINGS))
-    centres = held.groupBy("gram").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"))).alias("c"), F.count("*").alias("holders"))
+    centres = held.groupBy("gram").agg(F.min(F.struct((F.col("mark") / F.col("n")).alias("share"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"))).alias("c"), F.count("*").alias("holders"))
     # An n-gram of many holders would be one key of a shuffled join.
     centres = cut(centres.filter("holders > 1"))
     total = centres.agg(F.sum("holders")).first()[0] or 0
@@ -537,14 +556,17 @@ def _connecting(ordered: DataFrame, t) -> DataFrame:
     links = cut(_joined(_stars(pairs), sets, t, _connected))
     # Step 5: holders of a prefix n-gram that are still apart and could link.
     found = cut(connected_components(links))
-    sizes = ordered.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    held = ordered.select("id", "n", "alone", "prefix", "at").mapInArrow(_postings(None), POSTINGS).drop("alone").join(sizes, "id")
+    labelled = cut(ordered.select("id", "n", "prefix", "at").join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), "prefix", "at"))
+    held = labelled.mapInArrow(_postings(None), POSTINGS).withColumnRenamed("mark", "component")
     # Largest partner that the positions allow: (t0 + t1) reach >= t0 (n + m).
     held = held.withColumn("most", F.floor(F.lit(t[0] + t[1]) * F.col("reach") / t[0]) - F.col("n"))
-    smallest = held.groupBy("gram").agg(F.min("n").alias("smallest"))
-    held = cut(held.join(smallest, "gram").filter("most >= smallest").drop("smallest"))
-    apart = held.groupBy("gram").agg((F.min("component") != F.max("component")).alias("apart")).filter("apart").select("gram")
-    held = cut(held.join(apart, "gram", "left_semi"))
+    apart = (F.min("component") != F.max("component")).alias("apart")
+    smallest = cut(held.groupBy("gram").agg(F.min("n").alias("smallest"), F.count("*").alias("holders"), apart).filter("apart").drop("apart"))
+    total = smallest.agg(F.sum("holders")).first()[0] or 0
+    held = cut(by_key(held, smallest, "gram", "holders", total).filter("most >= smallest").drop("smallest"))
+    apart = cut(held.groupBy("gram").agg(F.count("*").alias("holders"), apart).filter("apart"))
+    total = apart.agg(F.sum("holders")).first()[0] or 0
+    held = cut(by_key(held, apart, "gram", "holders", total).drop("apart"))
     return links.unionByName(_joined(_blocked(held, t), sets, t, _connected))
 
 
@@ -564,19 +586,20 @@ def _every_link(docs: DataFrame, classes: DataFrame, n: int, t, find=_linked) ->
     held = cut(held)
     here = held.groupBy("gram", "component", F.col("block").alias("other")).agg(F.count("*").alias("holders"))
     # A holder meets those of the other blocks, and of its own if there are any.
-    meets = held.join(here, ["gram", "component"]).filter((F.col("block") != F.col("other")) | (F.col("holders") > 1))
+    meets = _met(held, here, ["gram", "component"]).filter((F.col("block") != F.col("other")) | (F.col("holders") > 1))
     side = F.when(F.col("block") == F.col("other"), _BOTH).when(F.col("block") < F.col("other"), _PROBE).otherwise(_HELD)
     meets = meets.select(F.col("component").alias("tile"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "id").distinct()
     meets = meets.join(classes.select("id", F.col("copies").alias("mark")), "id")
     return _joined(meets, ordered.select("id", "grams"), t, find)
 
 
-POSTINGS = "id bigint, n bigint, alone bigint, gram bigint, reach bigint"
+#: ``mark`` is what comes with a set: its n-grams of its own, or its component.
+POSTINGS = "id bigint, n bigint, mark bigint, gram bigint, reach bigint"
 
 
 def _postings(most: int | None):
-    """Each set's prefix n-grams (the first ``most`` of them): rows with ``reach``,
-    the number of n-grams from there on."""
+    """Each set's prefix n-grams (the first ``most`` of them), of (id, n, mark, prefix,
+    at): rows with ``reach``, the number of n-grams from there on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -585,8 +608,8 @@ def _postings(most: int | None):
             if not grams:
                 continue
             own = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-            ids, n, alone = (batch.column(i).to_numpy()[own] for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, n, alone, np.concatenate(grams), n - np.concatenate(at))], ["id", "n", "alone", "gram", "reach"])
+            ids, n, mark = (batch.column(i).to_numpy()[own] for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, n, mark, np.concatenate(grams), n - np.concatenate(at))], ["id", "n", "mark", "gram", "reach"])
 
     return run
 

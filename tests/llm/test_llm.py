@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF, same
-from skein.llm import ann, chat, decontaminate, entry, jaccard, langid, linededup, mixing, pii, sharding, tokencount
+from skein.llm import ann, chat, common, decontaminate, entry, jaccard, langid, linededup, mixing, pii, sharding, tokencount
 from skein.llm.common import ALNUM, NONBLANK, WordHasher, cut, joined
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -77,8 +77,6 @@ def test_word_hashes_do_not_depend_on_place():
 @pytest.mark.parametrize("hot", [100_000, 4])
 def test_join_by_key(spark, monkeypatch, hot):
     """The same rows whether keys are broadcast or only the frequent ones are."""
-    from skein.llm import common
-
     monkeypatch.setattr(common, "HOT", hot)
     keys = [1] * 50 + [2] * 30 + list(range(3, 20)) + [None]
     rows_ = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k int")
@@ -793,6 +791,8 @@ def links7(texts):
 def test_op7_links(spark, monkeypatch, block):
     """Every link counts, also where its ends are connected already; copies count each."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    if block < 64:
+        monkeypatch.setattr(jaccard, "CROWD", 2)
     rng, texts = random.Random(8), [None, "", "one two", "ONE two"]
     for k in range(4):
         words = [f"w{k}x{i}" for i in range(60)]
@@ -878,6 +878,9 @@ def test_op7_common_passages(spark, monkeypatch, block):
     """One passage in many texts that do not link with most others, and small blocks."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "STAR", 4 * block)
+    if block < 64:
+        monkeypatch.setattr(jaccard, "CROWD", 2)
+        monkeypatch.setattr(common, "HOT", 20)
     rng = random.Random(9)
     passage, texts = [f"p{i}" for i in range(30)], []
     for i in range(60):
