@@ -144,12 +144,16 @@ def mean_quaternion(quaternions: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return q if q[0] >= 0 else -q
 
 
-def average_rotations(n: int, rows, cols, relative: np.ndarray, *, rounds: int = 100, robust: bool = True) -> np.ndarray:
+def average_rotations(n: int, rows, cols, relative: np.ndarray, *, rounds: int = 100, robust: bool = True, method: str = "L1_IRLS") -> np.ndarray:
     """Global rotations (n, 3, 3) from relative ones R_ij = R_j R_i'.
 
-    Starts along a breadth-first tree from node 0, then solves for small updates,
-    first by least absolute deviations, then by reweighted least squares.
+    ``L1_IRLS`` starts along a breadth-first tree from node 0, then solves for small
+    updates, first by least absolute deviations, then by reweighted least squares.
+    ``NONLINEAR`` minimises a soft L1 norm of the angles from the same start, ``LAGRANGE_DUAL``
+    solves the semidefinite relaxation.
     """
+    if method == "LAGRANGE_DUAL":
+        return dual_rotations(n, rows, cols, relative)
     out, known = np.tile(np.eye(3), (n, 1, 1)), {0}
     near: list[list] = [[] for _ in range(n)]
     for i, j, r in zip(rows, cols, relative):
@@ -168,11 +172,14 @@ def average_rotations(n: int, rows, cols, relative: np.ndarray, *, rounds: int =
     a = a[:, 1:]
     for k in range(rounds):
         off = np.array([log_rotation(out[j].T @ r @ out[i]) for i, j, r in zip(rows, cols, relative)])
-        if robust and k < 5:
+        if robust and method == "L1_IRLS" and k < 5:
             step = np.stack([least_absolute(a, off[:, c]) for c in range(3)], axis=1)
         else:
             size = np.linalg.norm(off, axis=1)
-            w = 1 / (size**2 + np.radians(5) ** 2) ** 2 if robust else np.ones(m)
+            if method == "NONLINEAR":
+                w = 1 / np.sqrt(1 + (size / SOFT_ANGLE) ** 2)
+            else:
+                w = 1 / (size**2 + np.radians(5) ** 2) ** 2 if robust else np.ones(m)
             step = np.linalg.lstsq(a * np.sqrt(w)[:, None], off * np.sqrt(w)[:, None], rcond=None)[0]
         for j in range(1, n):
             out[j] = out[j] @ exp_rotation(step[j - 1])
@@ -181,6 +188,49 @@ def average_rotations(n: int, rows, cols, relative: np.ndarray, *, rounds: int =
     return out
 
 
+#: Angle from which the soft L1 norm grows linearly.
+SOFT_ANGLE = 0.1
+
+
+def dual_rotations(n: int, rows, cols, relative: np.ndarray, *, rounds: int = 500, tolerance: float = 1e-10) -> np.ndarray:
+    """Rotations by block coordinate steps on the semidefinite relaxation.
+
+    Maximises <M, X> over X >= 0 with identity blocks on the diagonal, M holding the
+    measured rotations and X_ji standing for R_j R_i'. With the other blocks B fixed and C
+    the measured blocks of node k, the best column of k is B C (C' B C)^(-1/2).
+    """
+    m = np.zeros((n, 3, n, 3))
+    for i, j, r in zip(rows, cols, relative):
+        m[j, :, i, :] += r
+        m[i, :, j, :] += r.T
+    m, x = m.reshape(3 * n, 3 * n), np.eye(3 * n)
+    for _ in range(rounds):
+        before = x.copy()
+        for k in range(n):
+            own = slice(3 * k, 3 * k + 3)
+            c = m[:, own].copy()
+            c[own] = 0
+            # Rows and columns of k itself meet zeros of c.
+            column = x @ c
+            column[own] = 0
+            values, vectors = np.linalg.eigh(c.T @ column)
+            root = np.where(values > 1e-12 * max(1.0, values.max()), values, np.inf) ** -0.5
+            column = column @ (vectors * root) @ vectors.T
+            x[:, own], x[own, :] = column, column.T
+            x[own, own] = np.eye(3)
+        if np.abs(x - before).max() < tolerance:
+            break
+    # The factor of rank three, turned to the first node.
+    values, vectors = np.linalg.eigh(x)
+    out = (vectors[:, -3:] * np.sqrt(np.maximum(values[-3:], 0))).reshape(n, 3, 3)
+    if np.linalg.det(out).sum() < 0:
+        out[:, :, 0] *= -1
+    u, _, vt = np.linalg.svd(out)
+    u[:, :, 2] *= np.linalg.det(u @ vt)[:, None]
+    out = u @ vt
+    return out @ out[0].T
+
+
 def align_rotations(truth: np.ndarray, found: np.ndarray) -> np.ndarray:
     """``found`` turned as a whole to agree best with ``truth``."""
     u, _, vt = np.linalg.svd(np.einsum("nij,nik->jk", found, truth))

@@ -208,6 +208,71 @@ def selected_tracks(seen: DataFrame, tracks: DataFrame, per_image: int, cell: fl
     return ranked.filter((F.col("_r") <= per_image) | F.col("picked").isNotNull()).select("point_id").distinct()
 
 
+def selected_in_turn(seen: DataFrame, tracks: DataFrame, per_image: int, group: str, cell: float = 100.0) -> DataFrame:
+    """As ``selected_tracks``, but images take their turns by id within a ``group`` (one
+    bundle problem, so of bounded size) and count what others have picked before.
+
+    An image that sees ``per_image`` picked tracks, or only picked ones, adds none.
+    Returns the distinct (group, point_id).
+    """
+    best = grid_best(seen, tracks, cell).select("image_id", "point_id", F.lit(True).alias("picked"))
+    rows = seen.select(group, "image_id", "point_id").join(tracks, "point_id").join(best, ["image_id", "point_id"], "left")
+    rows = rows.select(F.col(group).cast("long").alias("label"), "image_id", "point_id", F.col("length").cast("long").alias("length"), F.round("mean_error2", 6).alias("error"), F.coalesce("picked", F.lit(False)).alias("picked"))
+
+    def run(pdf):
+        chosen = set(pdf.loc[pdf["picked"], "point_id"])
+        for _, own in pdf.sort_values(["image_id", "length", "error", "point_id"]).groupby("image_id", sort=True):
+            ids = list(dict.fromkeys(own["point_id"]))
+            left = [i for i in ids if i not in chosen]
+            chosen.update(left[: max(0, min(per_image, len(ids)) - (len(ids) - len(left)))])
+        return pdf[pdf["point_id"].isin(chosen)][["label", "point_id"]].drop_duplicates()
+
+    return rows.groupBy("label").applyInPandas(run, "label bigint, point_id bigint").withColumnRenamed("label", group)
+
+
+# Growing tracks -----------------------------------------------------------------------
+
+
+def completed(pixels: DataFrame, obs: DataFrame, corr: DataFrame, points: DataFrame, most: float, rounds: int = 1, pose_of=pose) -> DataFrame:
+    """Features without a point that continue a track: (image_id, idx, point_id).
+
+    ``pixels`` holds each feature's pose, camera and pixel, ``obs`` the features that have
+    points. A feature takes the point of a corresponding one that it sees with the smallest
+    error, if that is at most ``most``. ``rounds`` steps go on from what was added.
+    """
+    known, front, out = obs.select("image_id", "idx"), obs.select("image_id", "idx", "point_id"), None
+    for _ in range(rounds):
+        there = front.select(F.col("image_id").alias("other"), F.col("idx").alias("other_idx"), "point_id")
+        candidates = corr.join(known, ["image_id", "idx"], "left_anti").join(there, ["other", "other_idx"]).select("image_id", "idx", "point_id").distinct()
+        rows = with_error(candidates.join(pixels, ["image_id", "idx"]).join(points, "point_id"), pose_of).filter(F.col("error2") <= most * most)
+        front = cut(rows.groupBy("image_id", "idx").agg(F.min_by("point_id", F.struct(F.round(F.sqrt("error2"), 4), "point_id")).alias("point_id")))
+        known = known.unionByName(front.select("image_id", "idx"))
+        out = front if out is None else out.unionByName(front)
+    return out
+
+
+def mergeable(pixels: DataFrame, obs: DataFrame, corr: DataFrame, points: DataFrame, most: float, pose_of=pose) -> DataFrame:
+    """Pairs of points that correspondences join and that one point can replace.
+
+    The point between them, weighted by track length, must be seen with at most ``most``
+    error by every observation of both. A point takes part in one pair: two points merge if
+    each is the other's smallest partner. Returns (id1, id2, px, py, pz), id1 < id2.
+    """
+    here = obs.select("image_id", "idx", F.col("point_id").alias("id1"))
+    there = obs.select(F.col("image_id").alias("other"), F.col("idx").alias("other_idx"), F.col("point_id").alias("id2"))
+    pairs = corr.join(here, ["image_id", "idx"]).join(there, ["other", "other_idx"]).filter("id1 < id2").select("id1", "id2").distinct()
+    sized = obs.groupBy("point_id").agg(F.count("*").alias("n")).join(points.select("point_id", "px", "py", "pz"), "point_id")
+    for k, side in (("id1", "a_"), ("id2", "b_")):
+        pairs = pairs.join(sized.select(F.col("point_id").alias(k), *[F.col(c).alias(side + c) for c in ("n", "px", "py", "pz")]), k)
+    between = cut(pairs.select("id1", "id2", *merge_two("a_", "b_", ["px", "py", "pz"], "a_n", "b_n")))
+    rows = between.withColumn("point_id", F.explode(F.array("id1", "id2"))).join(obs.select("image_id", "idx", "point_id"), "point_id").join(pixels, ["image_id", "idx"])
+    good = with_error(rows, pose_of).groupBy("id1", "id2").agg(F.max("error2").alias("worst")).filter(F.col("worst") <= most * most).select("id1", "id2")
+    good = cut(good)
+    partner = good.unionByName(good.select(F.col("id2").alias("id1"), F.col("id1").alias("id2"))).groupBy(F.col("id1").alias("id")).agg(F.min("id2").alias("partner"))
+    both = partner.join(partner.select(F.col("id").alias("partner"), F.col("partner").alias("back")), "partner").filter("id = back AND id < partner")
+    return between.join(both.select(F.col("id").alias("id1"), F.col("partner").alias("id2")), ["id1", "id2"])
+
+
 def merge_two(a: str, b: str, columns: list[str], wa: str, wb: str) -> list[Column]:
     """Weighted means of two points' columns (by track length)."""
     total = F.col(wa) + F.col(wb)

@@ -170,6 +170,31 @@ def bundler_points(v):
     return found.join(names, "place").select("point_id", "x", "z", "r", F.size("track").alias("n"))
 
 
+@query("SELECT camera_id AS image_id, f, cx, cy, round(cos(camera_id % 360 / 57.0), 6) + 0.0 AS r00, round(sin(camera_id % 360 / 57.0), 6) + 0.0 AS r10, lat AS tx, lon AS ty, k1 AS tz FROM {cameras}")
+def projection_files(v):
+    """Projection matrices of a folder, one file a camera, taken apart."""
+    spark, path = _fresh(v, "pmvs")
+    for i in v("cameras").toLocalIterator():
+        c, s = np.cos(i["camera_id"] % 360 / 57), np.sin(i["camera_id"] % 360 / 57)
+        k = np.array([[i["f"], 0, i["cx"]], [0, i["f"], i["cy"]], [0, 0, 1]])
+        p = -2.5 * k @ np.array([[c, -s, 0, i["lat"]], [s, c, 0, i["lon"]], [0, 0, 1, i["k1"]]])
+        _put(spark, f"{path}/txt/{i['camera_id']:08d}.txt", ("CONTOUR\n" + "\n".join(" ".join(map(repr, row)) for row in p.tolist()) + "\n").encode())
+    number = lambda c, i: F.round(F.col(c)[i], 6) + 0.0
+    places = {"f": ("k", 0), "cx": ("k", 2), "cy": ("k", 5), "r00": ("r", 0), "r10": ("r", 3), "tx": ("t", 0), "ty": ("t", 1), "tz": ("t", 2)}
+    return m.read_projections(spark, path).select("image_id", *[number(*at).alias(n) for n, at in places.items()])
+
+
+@query("SELECT src AS image_id, dst AS other FROM {dense}")
+def visibility_files(v):
+    spark, path = _fresh(v, "vis")
+    others = F.sort_array(F.collect_list("dst"))  # at most the images of the graph
+    rows = v("dense").groupBy("src").agg(others.alias("others"))
+    text = F.concat_ws(" ", F.col("src").cast("string"), (F.size("others") + 1).cast("string"), F.col("src").cast("string"), F.array_join(F.col("others").cast("array<string>"), " "))
+    body = _joined(rows.select("src", text.alias("value")), ["src"])
+    _put(spark, f"{path}/vis.dat", b"VISDATA\n" + str(rows.count()).encode() + b"\n" + body + b"\n")
+    return m.read_visible(spark, path)
+
+
 def _matrix(v) -> tuple[np.ndarray, np.ndarray]:
     rows = v("embeddings").select("vec_id", "embedding").orderBy("vec_id").toPandas()
     return rows["vec_id"].to_numpy(), np.array(rows["embedding"].tolist(), dtype=np.float32)

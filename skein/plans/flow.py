@@ -94,10 +94,10 @@ def view_graph(geometries: DataFrame, *, least: int = 15, loop_error: float = 5.
     return graph.largest_subgraph(kept)
 
 
-def global_rotations(edges: DataFrame) -> DataFrame:
+def global_rotations(edges: DataFrame, method: str = "L1_IRLS") -> DataFrame:
     """(id, rotation): rotation vectors averaged over a view graph.
 
-    The view graph of one partition is dense in a grouped map per component; a
+    Methods are those of ``average_rotations``. The view graph of one partition is dense in a grouped map per component; a
     node's rotation is relative to its component's smallest node.
     """
     labels = cut(graph.components(graph.nodes_of(edges), edges))
@@ -107,7 +107,7 @@ def global_rotations(edges: DataFrame) -> DataFrame:
         pdf = pdf.sort_values(["src", "dst"])
         ids = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
         relative = np.stack([g.exp_rotation(np.array(r)) for r in pdf["rotation"]])
-        found = g.average_rotations(len(ids), np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"]), relative)
+        found = g.average_rotations(len(ids), np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"]), relative, method=method)
         return pd.DataFrame({"id": ids, "rotation": [g.log_rotation(r).tolist() for r in found]})
 
     return rows.groupBy("component").applyInPandas(run, "id bigint, rotation array<double>")

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skein.kernels.robust import rq
+
 CAMERAS = "camera_id bigint, model int, width bigint, height bigint, params array<double>"
 IMAGES = "image_id bigint, qvec array<double>, tvec array<double>, camera_id bigint, name string, cluster_id bigint, points array<struct<x:double,y:double,point3d_id:bigint>>"
 POINTS = "point3d_id bigint, x double, y double, z double, r int, g int, b int, error double, track array<struct<image_id:bigint,idx:bigint>>"
@@ -248,6 +250,48 @@ def read_bundler(spark: SparkSession, path: str, table: str = "points") -> DataF
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
+PROJECTIONS = "image_id bigint, k array<double>, r array<double>, t array<double>"
+#: Numbered names of the files of a PMVS folder.
+_NUMBERED = r"(\d+)\.txt$"
+
+
+def decompose_projection(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Calibration (without skew, last element 1), rotation and translation of a 3x4 matrix."""
+    p = p if np.linalg.det(p[:, :3]) >= 0 else -p
+    k, r = rq(p[:, :3])
+    t = np.linalg.solve(k, p[:, 3])
+    k = np.diag(np.diag(k)) + np.outer(k[:, 2] * [1, 1, 0], [0, 0, 1])
+    return k / k[2, 2], r, t
+
+
+def read_projections(spark: SparkSession, path: str) -> DataFrame:
+    """Cameras of a PMVS folder without Bundler file: ``txt/NUMBER.txt`` holds CONTOUR and
+    the 12 numbers of a projection matrix. Row-major ``k`` and ``r``."""
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            out = []
+            for image, words in zip(frame["image_id"], frame["words"]):
+                k, r, t = decompose_projection(np.array([float(w) for w in words[1:13]]).reshape(3, 4))
+                out.append((image, k.ravel().tolist(), r.ravel().tolist(), t.tolist()))
+            yield pd.DataFrame(out, columns=["image_id", "k", "r", "t"])
+
+    files = spark.read.text(path.rstrip("/") + "/txt", wholetext=True)
+    words = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    rows = files.select(F.regexp_extract(F.input_file_name(), _NUMBERED, 1).cast("long").alias("image_id"), words.alias("words"))
+    return rows.filter((F.element_at("words", 1) == "CONTOUR") & (F.size("words") >= 13)).mapInPandas(run, PROJECTIONS)
+
+
+def read_visible(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, other) of a PMVS folder's ``vis.dat``: the images to use with each other,
+    one image a line behind its number and how many follow; itself left out."""
+    lines = _lines(spark, path.rstrip("/") + "/vis.dat").filter("size(w) > 2")
+    rows = lines.select(F.col("w")[0].cast("long").alias("image_id"), F.explode(F.slice("w", 3, F.size("w")).cast("array<bigint>")).alias("other"))
+    return rows.filter("image_id <> other")
+
+
 def inlier_pairs(geometries: DataFrame, images: DataFrame, least: int = 15) -> DataFrame:
     """Names of verified pairs (name1, name2, inliers)."""
     ids = images.select("image_id", "name")

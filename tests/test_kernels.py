@@ -109,6 +109,20 @@ def test_rotation_averaging():
     assert max(np.degrees(np.linalg.norm(k.log_rotation(a @ b.T))) for a, b in zip(truth, found)) < 1.0
 
 
+@pytest.mark.parametrize(("method", "most"), [("NONLINEAR", 2.0), ("LAGRANGE_DUAL", 2.0)])
+def test_rotation_averaging_methods(method, most):
+    """A sparse graph with a little noise on every edge; exact without it."""
+    rng = np.random.default_rng(3)
+    truth = np.stack([k.exp_rotation(rng.normal(size=3)) for _ in range(12)])
+    rows, cols = np.array([(i, j) for i in range(12) for j in range(i + 1, 12) if (j - i) % 5 < 3]).T
+    for noise, bound in ((0.0, 1e-3), (0.01, most)):
+        relative = np.stack([k.exp_rotation(rng.normal(size=3) * noise) @ truth[j] @ truth[i].T for i, j in zip(rows, cols)])
+        found = k.average_rotations(12, rows, cols, relative, method=method)
+        assert np.allclose(np.linalg.det(found), 1) and np.allclose(found[0], np.eye(3), atol=1e-6)
+        found = k.align_rotations(truth, found)
+        assert max(np.degrees(np.linalg.norm(k.log_rotation(a @ b.T))) for a, b in zip(truth, found)) < bound
+
+
 def test_bundle_adjustment():
     points, poses, x = scene(30, views=4, seed=9)
     view, point = np.divmod(np.arange(120), 30)

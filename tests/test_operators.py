@@ -309,3 +309,28 @@ def test_clusters_are_regrouped(spark):
     for r in found:
         sizes.setdefault(r.label, set()).add(r.id)
     assert set().union(*sizes.values()) == {x for e in links for x in e} and max(map(len, sizes.values())) <= 18
+
+
+def test_tracks_in_turn(spark):
+    """Images fill up by id and count what others have picked; compared with a plain loop."""
+    rng = np.random.default_rng(5)
+    seen = sorted({(int(i), int(t)) for i, t in rng.integers(0, [12, 30], (150, 2))})
+    rows_ = [(i % 2, i, 2 * t + i % 2, float(50 * (t % 3)), 0.0) for i, t in seen]
+    length = {t: sum(r[2] == t for r in rows_) for r in rows_ for t in [r[2]]}
+    stats = [(t, n, float(t % 7)) for t, n in length.items()]
+    rank = {t: (n, e, t) for t, n, e in stats}
+    expected = set()
+    for label in (0, 1):
+        own = [r for r in rows_ if r[0] == label]
+        cells: dict = {}
+        for _, i, t, x, y in own:
+            cells.setdefault((i, int(x / 100), int(y / 100)), []).append(t)
+        chosen = {min(ts, key=rank.get) for ts in cells.values()}
+        for i in sorted({r[1] for r in own}):
+            ids = sorted((r[2] for r in own if r[1] == i), key=rank.get)
+            want = min(6, len(ids)) - sum(t in chosen for t in ids)
+            chosen |= set([t for t in ids if t not in chosen][: max(0, want)])
+        expected |= {(label, t) for t in chosen}
+    df = spark.createDataFrame(rows_, "label long, image_id long, point_id long, x double, y double")
+    got = model.selected_in_turn(df, spark.createDataFrame(stats, "point_id long, length long, mean_error2 double"), 6, "label")
+    assert {tuple(r) for r in got.collect()} == expected and got.columns == ["label", "point_id"]

@@ -21,6 +21,16 @@ def test_sqlite_round_trip(spark, tmp_path):
     assert sqlite.read(spark, [path], "matches").count() == 0
 
 
+def test_projection_matrix():
+    """Either sign; the skew is left out."""
+    r = np.linalg.qr(np.random.default_rng(1).normal(size=(3, 3)))[0]
+    r *= np.linalg.det(r)
+    k, t = np.array([[500.0, 3, 320], [0, 480, 240], [0, 0, 1]]), np.array([1.0, -2, 3])
+    for scale in (1.0, -0.1):
+        found = model.decompose_projection(scale * k @ np.column_stack([r, t]))
+        assert np.allclose(found[0], k - 3 * np.eye(3, k=1) * [[1], [0], [0]]) and np.allclose(found[1], r) and np.allclose(found[2], t)
+
+
 def test_keypoint_shapes():
     assert sqlite.keypoints(np.array([[1, 2]], "<f4").tobytes(), 1, 2).tolist() == [[1, 2, 1, 0, 0, 1]]
     four = sqlite.keypoints(np.array([[1, 2, 2, 0]], "<f4").tobytes(), 1, 4)
