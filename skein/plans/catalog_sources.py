@@ -134,7 +134,7 @@ def nvm_export(v):
     return m.nvm_lines(rows, _cameras(v)).select(w[0].alias("name"), w[1].cast("double").alias("f"), *[(F.round(w[6 + i].cast("double"), 6) + 0.0).alias(n) for i, n in enumerate("xyz")])
 
 
-@query("SELECT image_id, f, round(cos(2 * half_yaw), 6) AS r00, round(-sin(2 * half_yaw), 6) AS r10, tx, -ty AS ty, -tz AS tz FROM {images} i JOIN {cameras} c ON i.camera_id = c.camera_id")
+@query("SELECT image_id, f, round(cos(2 * half_yaw), 6) AS r00, round(-sin(2 * half_yaw), 6) + 0.0 AS r10, tx, -ty + 0.0 AS ty, -tz + 0.0 AS tz FROM {images} i JOIN {cameras} c ON i.camera_id = c.camera_id")
 def bundler_export(v):
     rows = v("images").select("image_id", "camera_id", F.array(F.cos("half_yaw"), F.lit(0.0), F.lit(0.0), F.sin("half_yaw")).alias("qvec"), F.array("tx", "ty", "tz").alias("tvec"))
     w = F.split("value", r"\s+")
