@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Sent, WordHasher, _byte_table, joined, text_groups
@@ -259,21 +260,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, *, per_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled, not held-out texts of each language.
-
-    Chosen by hash of the id; more than 40 languages share 40 times the bound.
-    """
+def _sample(docs: DataFrame, *, per_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> tuple[DataFrame | None, int]:
+    """Rows (lang, text, hash) among which are the training texts, and how many each
+    language may have; no rows if nothing is labelled."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).toLocalIterator()}
     if not counts:
-        return []
+        return None, 0
     most = max(1, min(per_language, 40 * per_language // len(counts)))
     limit = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(int(2 * most / n * (1 << 20)) + 1))])
     begin = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int") + 1
-    some = labelled.filter(F.col("_h") < limit[F.col("lang")]).select("lang", F.substring(F.col("text"), begin, F.lit(chars)).alias("text"), "_h")
+    return labelled.filter(F.col("_h") < limit[F.col("lang")]).select("lang", F.substring(F.col("text"), begin, F.lit(chars)).alias("text"), "_h"), most
+
+
+def _chosen(rows, most: int) -> list[tuple[str, str]]:
+    """The ``most`` rows (lang, text, hash) of least hash of each language."""
     out: dict[str, list] = {}
-    for lang, text, h in some.toLocalIterator():
+    for lang, text, h in rows:
         own = out.setdefault(lang, [])
         own.append((h, text))
         if len(own) > 4 * most:  # repeated ids share a hash
@@ -282,9 +285,31 @@ def training_rows(docs: DataFrame, *, per_language: int = TRAIN_DOCS, chars: int
     return [(lang, text) for lang in sorted(out) for _, text in sorted(out[lang])[:most]]
 
 
+def training_rows(docs: DataFrame, **options) -> list[tuple[str, str]]:
+    """At most ``per_language`` labelled, not held-out texts of each language.
+
+    Chosen by hash of the id; more than 40 languages share 40 times the bound.
+    """
+    some, most = _sample(docs, **options)
+    return [] if some is None else _chosen(some.toLocalIterator(), most)
+
+
+def _trainer(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = train(_chosen((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))), most))
+        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(vars(model))], pa.binary())], ["model"])
+
+    return run
+
+
 def fit(docs: DataFrame, **options) -> Model:
-    """Train on a bounded sample of ``docs``."""
-    return train(training_rows(docs, **options))
+    """Train on a bounded sample of ``docs``, in a task, so that the driver holds the
+    model only."""
+    some, most = _sample(docs, **options)
+    row = None if some is None else some.repartition(1).mapInArrow(_trainer(most), "model binary").first()
+    model = train([])
+    vars(model).update({} if row is None else cloudpickle.loads(row[0]))
+    return model
 
 
 IDENTIFIED = "doc_id bigint, held_out boolean, lang_pred string, score double, lang_words string"
